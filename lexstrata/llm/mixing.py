@@ -67,7 +67,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    head = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("part") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")))
+    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(spaced, 1, F.col("part")), "")
     text = F.when(F.col("part") < 0, F.col("text")).otherwise(head)
     out = rows.withColumn("part", F.explode(parts)).select("doc_id", text.alias("text"), "lang", "source")
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexstrata.llm import line_dedup, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
+from lexstrata.llm import line_dedup, lm_scoring, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from lexstrata.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op9_source_mix, op10_pii)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op8_lm_scoring, op9_source_mix, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
