@@ -1,8 +1,8 @@
 """MinHash near-dedup.
 
 Sets of 5-word shingles get minima of universal hashes, in bands. Documents with equal sets become one class at once.
-Classes that share a band bucket are candidates, in rounds that never list all pairs of a bucket: first each
-class with its best pivot of its buckets, then with new pivots, and at last the exact rest, every class outside its
+Classes that share a band bucket are candidates, in rounds: first each class with the best few of its buckets' pivots
+(the members with the most company), then with new pivots, and at last the exact rest, every class outside its
 bucket's largest component against the classes of other components there. Signatures drop hopeless candidates; the
 full sets confirm the links; large-star and small-star join them to components after each round.
 """
@@ -23,18 +23,20 @@ from lexstrata.llm.components import components
 from lexstrata.llm.tokens import chunks, constants, fold, mix, shingle_sets
 
 BANDS, ROWS, WORDS, PERCENT = 24, 4, 5, 75
-#: Pairs go to the exact test if their share of equal minima is within 4.5 standard errors of the threshold.
-PIVOTS = 4
+#: Minima in a signature; the first BANDS * ROWS make the bands. A pair goes to the exact test if its share of equal
+#: minima is no more than 4 standard errors under the threshold.
+MINIMA = 512
+PIVOTS, TURNS, TRIED = 4, 2, 3
 
 
 def least_equal(k: int, percent: int) -> int:
     p = percent / 100
-    return int(k * (p - 4.5 * (p * (1 - p) / k) ** 0.5))
+    return int(k * (p - 4 * (p * (1 - p) / k) ** 0.5))
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_hash (16 bytes), sig (a byte per minimum), buckets (a hash per band)."""
-    k = bands * rows
+    k = max(MINIMA, bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = constants(k, 11) | np.uint64(1), constants(k, 12)
@@ -50,7 +52,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
                     for j in range(k):
                         minima[j, full] = np.minimum.reduceat(a[j] * h + b[j], at)
                 sig = np.ascontiguousarray((mix(minima) & np.uint64(255)).astype(np.uint8).T)
-                bucket = fold([*minima.reshape(bands, rows, -1).transpose(1, 0, 2)]) + salt
+                bucket = fold([*minima[: bands * rows].reshape(bands, rows, -1).transpose(1, 0, 2)]) + salt
                 bucket = np.ascontiguousarray(mix(bucket).T).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(row, len(sets)), pa.array(n),
@@ -106,7 +108,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     kept. Other columns are ignored; no documents give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    least = least_equal(bands * rows, percent)
+    least = least_equal(max(MINIMA, bands * rows), percent)
     sk = scratch.save(sketches(docs, bands, rows, size), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets")), "classes")
@@ -123,20 +125,25 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     def labelled(label: DataFrame | None) -> DataFrame:
         if label is None:
             return members.withColumn("root", F.col("rep"))
-        return members.join(label, members.rep == label.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        return members.join(label, members.rep == label.node, "left").select("bucket", "rep", "weight", F.coalesce("root", "rep").alias("root"))
 
     def open_buckets(now: DataFrame) -> DataFrame:
         return now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
 
+    central = members.groupBy("bucket").agg(F.count("*").alias("n")).join(members, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = scratch.save(members.join(central, "rep").select("bucket", "rep", "weight"), "members")
     label = None
-    for turn in range(2):
+    for turn in range(TURNS):
         now = labelled(label)
-        seats = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + j)), "rep", "root")).alias(f"p{j}") for j in range(PIVOTS)]
-        pivots = now.groupBy("bucket").agg(*seats, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        pivots = pivots.select("bucket", F.array_distinct(F.transform(F.array(*[f"p{j}" for j in range(PIVOTS)]), lambda p: F.struct(p["rep"].alias("a"), p["root"].alias("pivot_root")))).alias("pivots"))
+        seat = F.pmod(F.xxhash64("rep"), F.lit(TURNS * PIVOTS)) - turn * PIVOTS
+        seats = [F.max(F.when(seat == j, F.struct("weight", -F.col("rep"), "rep", "root"))).alias(f"p{j}") for j in range(PIVOTS)]
+        spare = F.max(F.struct(F.xxhash64("rep", F.lit(turn)), "weight", "rep", "root"))
+        pivots = now.groupBy("bucket").agg(*seats, spare.alias("spare"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        chosen = F.array(*[F.struct(F.col(f"{p}.rep").alias("a"), F.col(f"{p}.root").alias("pivot_root")) for p in [*(f"p{j}" for j in range(PIVOTS)), "spare"]])
+        pivots = pivots.select("bucket", F.array_distinct(F.filter(chosen, lambda p: p["a"].isNotNull())).alias("pivots"))
         pairs = now.join(pivots, "bucket").select(F.col("rep").alias("b"), "root", F.inline("pivots")).where("pivot_root <> root").select("a", "b").distinct()
-        best = _likely(pairs, sigs, least).groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a"))
-        edges.append(scratch.save(_confirmed(best, texts, size, percent), "links"))
+        best = _likely(pairs, sigs, least).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("equal", "a")), False), 1, TRIED).alias("best"))  # a pair per band and pivot at most
+        edges.append(scratch.save(_confirmed(best.select("b", F.inline("best")), texts, size, percent), "links"))
         label = scratch.save(components(reduce(DataFrame.union, edges), scratch), "labels")
 
     now = scratch.save(labelled(label).join(open_buckets(labelled(label)), "bucket"), "open")
