@@ -26,7 +26,7 @@ BANDS, ROWS, WORDS, PERCENT = 24, 4, 5, 75
 #: Minima in a signature; the first BANDS * ROWS make the bands. A pair goes to the exact test if its share of equal
 #: minima is no more than 4 standard errors under the threshold.
 MINIMA = 512
-PIVOTS, TURNS, TRIED = 4, 2, 3
+PIVOTS, TURNS, TRIED = 2, 2, 3
 
 
 def least_equal(k: int, percent: int) -> int:
@@ -99,6 +99,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "u bigint, v bigint")
 
 
+def _unshared(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, own): how many shingles of each text are in no other text of the table; texts without such have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for row, data, offsets in chunks(x.column("text")):
+                sets = shingle_sets(data, offsets, size)
+                reps = np.repeat(x.column("doc_id").slice(row, len(sets)).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "h"])
+
+    rows = texts.mapInArrow(run, "rep bigint, h bigint").groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    return rows.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs.
 
@@ -111,7 +125,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     least = least_equal(max(MINIMA, bands * rows), percent)
     sk = scratch.save(sketches(docs, bands, rows, size), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets")), "classes")
+    classes = scratch.save(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles")), "classes")
     sigs = classes.select("rep", "sig")
     again = real.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     edges = [scratch.save(real.join(again, "doc_id").join(classes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "links")]
@@ -141,17 +155,24 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
         pivots = now.groupBy("bucket").agg(*seats, spare.alias("spare"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         chosen = F.array(*[F.struct(F.col(f"{p}.rep").alias("a"), F.col(f"{p}.root").alias("pivot_root")) for p in [*(f"p{j}" for j in range(PIVOTS)), "spare"]])
         pivots = pivots.select("bucket", F.array_distinct(F.filter(chosen, lambda p: p["a"].isNotNull())).alias("pivots"))
-        pairs = now.join(pivots, "bucket").select(F.col("rep").alias("b"), "root", F.inline("pivots")).where("pivot_root <> root").select("a", "b").distinct()
-        best = _likely(pairs, sigs, least).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("equal", "a")), False), 1, TRIED).alias("best"))  # a pair per band and pivot at most
-        edges.append(scratch.save(_confirmed(best.select("b", F.inline("best")), texts, size, percent), "links"))
+        met = now.join(pivots, "bucket").select(F.col("rep").alias("b"), "root", F.inline("pivots")).where("pivot_root <> root").groupBy("b", "a").agg(F.count("*").alias("shared"))
+        tried = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, TRIED).alias("best"))  # a pair per band and pivot at most
+        pairs = _likely(tried.select("b", F.inline("best")).select("a", "b"), sigs, least)
+        edges.append(scratch.save(_confirmed(pairs, texts, size, percent), "links"))
         label = scratch.save(components(reduce(DataFrame.union, edges), scratch), "labels")
 
-    now = scratch.save(labelled(label).join(open_buckets(labelled(label)), "bucket"), "open")
+    now = labelled(label).join(open_buckets(labelled(label)), "bucket")
+    # With s shared and o own shingles, a pair's similarity is at most min(s) / max(n + the other's o).
+    waiting = now.select("rep").distinct().withColumnRenamed("rep", "doc_id")
+    own = _unshared(texts.join(waiting, "doc_id"), size)
+    facts = classes.select("rep", "n_shingles").join(own, "rep", "left").select("rep", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
+    now = scratch.save(now.join(facts, "rep"), "open")
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest")
+    outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest", F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+    near = 100 * F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
     once = (F.col("root") == F.col("largest")) | (F.col("a") < F.col("rep"))
-    pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once).select("a", F.col("rep").alias("b")).distinct()
+    pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once & near).select("a", F.col("rep").alias("b")).distinct()
     edges.append(scratch.save(_confirmed(_likely(pairs, sigs, least), texts, size, percent), "links"))
     label = scratch.save(components(reduce(DataFrame.union, edges), scratch), "labels")
 
