@@ -80,10 +80,10 @@ def article_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.where("fikra is null").select("doc_id", "key", F.col("full").alias("text"))
 
 
-@query(f"""WITH {PRICES} SELECT source, article::VARCHAR AS key, seq, date, 'uygulandi' AS status FROM p WHERE step > 0""")
+@query(f"""WITH {PRICES} SELECT source, article::VARCHAR AS key, seq, date::VARCHAR AS date, 'uygulandi' AS status FROM p WHERE step > 0""")
 def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = rendered.versions(rendered.prices(spark, sf_dir)).where("fikra = 1 and bent is null")
-    return replay.apply_log(versions).select("source", "key", "seq", "date", "status")
+    return replay.apply_log(versions).select("source", "key", "seq", F.col("date").cast("string").alias("date"), "status")
 
 
 @query(f"""WITH {PRICES}, a AS (SELECT source, article, arg_min(price, step) AS x, arg_max(price, step) AS y FROM p GROUP BY source, article)
@@ -144,11 +144,12 @@ def gazette_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT DISTINCT o_orderkey AS ref, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 10 = 1), p AS (SELECT DISTINCT o_orderdate::DATE AS page_day FROM orders WHERE o_custkey % 40 = 3)
-  SELECT ref, day, max(page_day) AS page_day FROM d LEFT JOIN p ON page_day BETWEEN day - 5 AND day - 1 GROUP BY ref, day""")
+  SELECT ref, day::VARCHAR AS day, max(page_day)::VARCHAR AS page_day FROM d LEFT JOIN p ON page_day BETWEEN day - 5 AND day - 1 GROUP BY ref, day""")
 def issue_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each reference the last issue within the days before it."""
     o = _read(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    return src.pages_before(o.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("ref"), "day"), o.where("o_custkey % 40 = 3").select(F.col("day").alias("page_day")), 5)
+    found = src.pages_before(o.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("ref"), "day"), o.where("o_custkey % 40 = 3").select(F.col("day").alias("page_day")), 5)
+    return found.select("ref", F.col("day").cast("string").alias("day"), F.col("page_day").cast("string").alias("page_day"))
 
 
 @query("""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '([?&])(utm_\\w+|ref)=[^&]*', '\\1', 'g'), '[?&]$', ''), '/$', '') AS url FROM pages)
