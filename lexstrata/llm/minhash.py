@@ -165,12 +165,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     # With s shared and o own shingles, a pair's similarity is at most min(s) / max(n + the other's o).
     waiting = now.select("rep").distinct().withColumnRenamed("rep", "doc_id")
     own = _unshared(texts.join(waiting, "doc_id"), size)
-    facts = classes.select("rep", "n_shingles").join(own, "rep", "left").select("rep", F.col("n_shingles").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
+    sizes_of = classes.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("n_shingles")).alias("n"))  # null for a doc_id of several texts, which the bound leaves alone
+    facts = sizes_of.join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
     now = scratch.save(now.join(facts, "rep"), "open")
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest", F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    near = 100 * F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
+    near = F.col("n").isNull() | F.col("n_a").isNull() | (100 * F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own")))
     once = (F.col("root") == F.col("largest")) | (F.col("a") < F.col("rep"))
     pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once & near).select("a", F.col("rep").alias("b")).distinct()
     edges.append(scratch.save(_confirmed(_likely(pairs, sigs, least), texts, size, percent), "links"))
