@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -121,11 +122,9 @@ class PrefixTable:
         marked = text.replace(" ", MARK)
         if self.dummy_prefix and marked:
             marked = MARK + marked
-        runs = [self.encode_run(r) for r in self.runs.findall(marked)]
-        ids: list[int] = []
-        for r in runs:
-            ids += r[0]
-        return ids, ",".join([r[1] for r in runs])
+        known = self.cache.get
+        runs = [known(r) or self.encode_run(r) for r in self.runs.findall(marked)]
+        return list(chain.from_iterable([r[0] for r in runs])), ",".join([r[1] for r in runs])
 
 
 _tables: dict[str, tuple] = {}
