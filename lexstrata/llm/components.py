@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lexstrata.llm.common import Scratch
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and no node with an edge down has one from above: nothing is left to do."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 0 and down + up > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,11 +30,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (u, v bigint) to (node, root): root is the smallest node of its component; roots themselves have no row."""
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while True:
+    while not _stars(now):
         step = _small_star(_large_star(now)).where("u <> v").distinct()
         new = scratch.save(step, "edges")
         scratch.drop(now)
-        now, old, mark = new, mark, _mark(new)
-        if mark == old:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

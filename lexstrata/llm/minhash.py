@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
         tried = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, TRIED).alias("best"))  # a pair per band and pivot at most
         pairs = _likely(tried.select("b", F.inline("best")).select("a", "b"), sigs, least)
         edges.append(scratch.save(_confirmed(pairs, texts, size, percent), "links"))
-        label = scratch.save(components(reduce(DataFrame.union, edges), scratch), "labels")
+        label = components(reduce(DataFrame.union, edges), scratch)
+        edges = [label.select(F.col("node").alias("u"), F.col("root").alias("v"))]  # the stars stand for the links so far
 
     now = labelled(label).join(open_buckets(labelled(label)), "bucket")
     # With s shared and o own shingles, a pair's similarity is at most min(s) / max(n + the other's o).
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     once = (F.col("root") == F.col("largest")) | (F.col("a") < F.col("rep"))
     pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once & near).select("a", F.col("rep").alias("b")).distinct()
     edges.append(scratch.save(_confirmed(_likely(pairs, sigs, least), texts, size, percent), "links"))
-    label = scratch.save(components(reduce(DataFrame.union, edges), scratch), "labels")
+    label = components(reduce(DataFrame.union, edges), scratch)
 
     of_class = classes.select("set_hash", "rep").join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("root", "rep").alias("class_root"))
     out = sk.join(of_class, F.col("set_hash") == F.col("of"), "left")
