@@ -27,6 +27,8 @@ BANDS, ROWS, WORDS, PERCENT = 24, 4, 5, 75
 #: minima is no more than 4 standard errors under the threshold.
 MINIMA = 512
 PIVOTS, TURNS, TRIED = 2, 2, 3
+#: Longs in an odd sketch: a bit for each hash value, set if an odd number of a set's shingles has that value.
+PARITY = 16
 
 
 def least_equal(k: int, percent: int) -> int:
@@ -35,7 +37,7 @@ def least_equal(k: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes), sig (a byte per minimum), buckets (a hash per band)."""
+    """doc_id, n_shingles, set_hash (16 bytes), sig (a byte per minimum), buckets (a hash per band), parity (the odd sketch)."""
     k = max(MINIMA, bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,16 +54,19 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int =
                     for j in range(k):
                         minima[j, full] = np.minimum.reduceat(a[j] * h + b[j], at)
                 sig = np.ascontiguousarray((mix(minima) & np.uint64(255)).astype(np.uint8).T)
+                odd = np.array([np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 for s in sets], np.uint8)
+                odd = np.packbits(odd.reshape(len(sets), 64 * PARITY), axis=1).view(np.int64)
                 bucket = fold([*minima[: bands * rows].reshape(bands, rows, -1).transpose(1, 0, 2)]) + salt
                 bucket = np.ascontiguousarray(mix(bucket).T).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(row, len(sets)), pa.array(n),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([x.tobytes() for x in sig], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, bucket.size + 1, bands, dtype=np.int32)), pa.array(bucket.ravel()))],
-                    names=["doc_id", "n_shingles", "set_hash", "sig", "buckets"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, bucket.size + 1, bands, dtype=np.int32)), pa.array(bucket.ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, odd.size + 1, PARITY, dtype=np.int32)), pa.array(odd.ravel()))],
+                    names=["doc_id", "n_shingles", "set_hash", "sig", "buckets", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash binary, sig binary, buckets array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash binary, sig binary, buckets array<bigint>, parity array<bigint>")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
@@ -125,7 +130,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     least = least_equal(max(MINIMA, bands * rows), percent)
     sk = scratch.save(sketches(docs, bands, rows, size), "sketches")
     real = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = scratch.save(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity")), "classes")
     sigs = classes.select("rep", "sig")
     again = real.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     edges = [scratch.save(real.join(again, "doc_id").join(classes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct(), "links")]
@@ -166,13 +171,18 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     # With s shared and o own shingles, a pair's similarity is at most min(s) / max(n + the other's o).
     waiting = now.select("rep").distinct().withColumnRenamed("rep", "doc_id")
     own = _unshared(texts.join(waiting, "doc_id"), size)
-    sizes_of = classes.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("n_shingles")).alias("n"))  # null for a doc_id of several texts, which the bound leaves alone
-    facts = sizes_of.join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    # Each shingle that only one of two texts has flips one bit of the odd sketches, so they differ in no more bits than that.
+    odd = [F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY)]
+    sizes_of = classes.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("n_shingles")).alias("n"), *odd)  # null for a doc_id of several texts, which the bound leaves alone
+    facts = sizes_of.join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"), *(f"w{i}" for i in range(PARITY)))
     now = scratch.save(now.join(facts, "rep"), "open")
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest", F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    near = F.col("n").isNull() | F.col("n_a").isNull() | (100 * F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own")))
+    outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest", F.col("n").alias("n_a"), F.col("own").alias("own_a"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(PARITY)))
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(PARITY)])
+    total = F.col("n") + F.col("n_a")
+    near = (100 * F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))) & (100 * (total - differ) >= percent * (total + differ))
+    near = F.col("n").isNull() | F.col("n_a").isNull() | near
     once = (F.col("root") == F.col("largest")) | (F.col("a") < F.col("rep"))
     pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once & near).select("a", F.col("rep").alias("b")).distinct()
     edges.append(scratch.save(_confirmed(_likely(pairs, sigs, least), texts, size, percent), "links"))

@@ -59,3 +59,16 @@ def test_shingle_hashes_tell_shingles_apart():
     for i in range(len(texts)):
         for j in range(len(texts)):
             assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+
+
+def test_odd_sketches_differ_in_no_more_bits_than_the_sets(spark):
+    rng, words = random.Random(8), [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 60, 900])))) for i in range(30)]
+    rows += [(100 + i, text + " and one more word") for i, text in rows]
+    odd = {r.doc_id: r.parity for r in minhash.sketches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: brute.shingles(text) for i, text in rows}
+    for a in sets:
+        for b in sets:
+            differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(odd[a], odd[b], strict=True))
+            assert differ <= len(sets[a] ^ sets[b])
+    assert all(any(x) for x in odd.values())
