@@ -136,13 +136,14 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -
     counts = count_ngrams(docs.where(~held_out()))
     counts = scratch.save(counts.where("n = 1 or c > 1"), "counts")
     words = counts.where("n = 1").select("h", "c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") >= 2**k).alias(f"k{k}") for k in range(50)]).first()
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("docs"), *[F.count_if(F.col("c") >= 2**k).alias(f"k{k}") for k in range(50)]).first()
     head_from = 2 ** next(k for k in range(50) if total[f"k{k}"] <= head)
     table = words.where(F.col("c") >= head_from).toArrow()  # at most head rows
     order = np.argsort(table.column("h").to_numpy().view(np.uint64))
     known = (table.column("h").to_numpy().view(np.uint64)[order], table.column("c").to_numpy()[order])
     model = build_filter(counts, head_from, filter_bytes)
     shared = spark.sparkContext.broadcast((*known, model.bits))
+    starts = float(total["docs"])  # every document learned from starts and ends once
     n, space, least, top = total["n"], total["n"] + ADD * (total["v"] + 1), model.least, model.top
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +162,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -
                 first = np.zeros(len(t), bool)
                 first[at[:-1]] = True
                 context = np.roll(about, 1)
-                context[first] = max(1.0, 0.9 * n / max(1, total["v"]))
+                context[first] = starts
                 pair = lookup.estimate(fold([before, t]))
                 context = np.maximum(context, np.maximum(pair, 1.0))
                 p = PAIR_SHARE * pair / context + (1 - PAIR_SHARE) * (about + ADD) / space

@@ -60,3 +60,18 @@ def test_pairs_help_on_repeated_text(spark):
     rows = [(i, "alpha beta gamma delta epsilon " * 20) for i in range(40)]
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert got and all(r.score > r.base_score for r in got)
+
+
+def test_start_probabilities_sum_to_one_at_most(spark):
+    rows = [(i, f"word{i % 60}") for i in range(1_800)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(x for i, x in rows if not out(i))
+    docs = sum(c.values())
+    space = 2 * docs + 0.1 * (len(c) + 2)
+    end = {x: 0.3 * 2 ** math.floor(math.log2(k)) / k + 0.7 * (docs + 0.1) / space for x, k in c.items()}
+    got = {r.text: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert len(got) == 60
+    start = {x: 10**s / end[x] for x, s in got.items()}
+    assert sum(start.values()) <= 1
+    for x, p in start.items():
+        assert math.isclose(p, 0.3 * 2 ** math.floor(math.log2(c[x])) / docs + 0.7 * (c[x] + 0.1) / space, rel_tol=1e-6)
