@@ -1,14 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs over all training documents are gathered by aggregation. A count c is stored as level
-1 + floor(log2 c): the filter holds (n-gram, level) for every level up to its own, and a lookup probes level after
-level until one is missing. The filter is cut into slices, each n-gram living in one, that tasks build side by side;
-it is broadcast, its size bounded by filter_bytes. Within that bound the lowest level stored is the smallest that
-fits, never below 2 (pairs seen once are left to the unigram part). Probabilities interpolate the pair's relative
-frequency with the additively smoothed unigram.
-
-The exact unigram score needs every word's count. The most frequent words (at most head) are broadcast as exact
-counts; each document's other words are joined with the table of counts, where no word is frequent.
+Counts of words and word pairs over all training documents are gathered by aggregation. A pair's count c is stored as
+level 1 + floor(log2 c): the filter holds (pair, level) for every level up to its own, and a lookup probes level after
+level until one is missing. The filter is cut into slices, each pair living in one, that tasks build side by side; it
+is broadcast, its size bounded by filter_bytes. Within that bound the lowest level stored is the smallest that fits.
+Where that is above 1, the pairs not found in the filter are joined with the table of counts, so that every pair has
+its level at any input size; but for those whose count within a document learned from already tells the level. Probabilities interpolate the pair's level with the additively smoothed unigram.
+
+Words have exact counts, in both scores. The most frequent (at most head) are broadcast; each document's other words
+are joined with the table of counts, where no word is frequent. What a token needs from the joins is kept beside its
+document as an item, and scored once the counts found have come back.
 """
 
 from __future__ import annotations
@@ -86,7 +87,11 @@ class LogFrequencyFilter:
 
     def estimate(self, h: np.ndarray) -> np.ndarray:
         """The smallest count of the highest level found; 0 where even the lowest stored level is missing."""
-        out, live = np.zeros(len(h)), np.arange(len(h))
+        level = self.levels(h)
+        return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(h), np.int32), np.arange(len(h))
         for level in range(self.least, self.top + 1):
             where, places = _places(h[live], np.full(len(live), level), len(self.bits))
             for k in range(PROBES):
@@ -95,7 +100,7 @@ class LogFrequencyFilter:
                 live, where, places = live[hit], where[hit], [q[hit] for q in places]
             if len(live) == 0:
                 return out
-            out[live] = 2.0 ** (level - 1)
+            out[live] = level
         return out
 
 
@@ -103,9 +108,9 @@ def build_filter(counts: DataFrame, head_from: int, filter_bytes: int) -> LogFre
     """counts: (n, h, c). All pairs, and the words that are not in the exact head."""
     rows = counts.where((F.col("n") == 2) | (F.col("c") < head_from)).withColumn("level", F.floor(F.log2("c")).cast("int") + 1)
     by_level = {r.level: r.k for r in rows.groupBy("level").agg(F.count("*").alias("k")).collect()}
-    top = max(by_level, default=2)
+    top = max(by_level, default=1)
     entries = lambda q: sum(k * (lv - q + 1) for lv, k in by_level.items() if lv >= q)
-    least = next(q for q in range(2, top + 2) if entries(q) * BITS_PER_ENTRY <= filter_bytes * 8)
+    least = next(q for q in range(1, top + 2) if entries(q) * BITS_PER_ENTRY <= filter_bytes * 8)
     slices = max(1, -(-entries(least) * BITS_PER_ENTRY // (SLICE_BYTES * 8)))
 
     def fill(table: pa.Table) -> pa.Table:
@@ -125,6 +130,23 @@ def build_filter(counts: DataFrame, head_from: int, filter_bytes: int) -> LogFre
     return LogFrequencyFilter(bits, least, top)
 
 
+def _distinct(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct (of, h), sorted: (a place, how often); and for each place its number among the distinct."""
+    order = np.lexsort((h, of))
+    o, x = of[order], h[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
+    number = np.empty(len(o), np.int64)
+    number[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.append(starts, len(o))), number
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(where each row's list starts and the number of values, the values); null lists are empty."""
+    return np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))), column.flatten()
+
+
 def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -133,56 +155,97 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -
     each. Other columns are ignored; no documents give no rows; with none to learn from, counts are 0.
     """
     scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
-    counts = count_ngrams(docs.where(~held_out()))
-    counts = scratch.save(counts.where("n = 1 or c > 1"), "counts")
+    counts = scratch.save(count_ngrams(docs.where(~held_out())), "counts")
     words = counts.where("n = 1").select("h", "c")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("docs"), *[F.count_if(F.col("c") >= 2**k).alias(f"k{k}") for k in range(50)]).first()
     head_from = 2 ** next(k for k in range(50) if total[f"k{k}"] <= head)
     table = words.where(F.col("c") >= head_from).toArrow()  # at most head rows
     order = np.argsort(table.column("h").to_numpy().view(np.uint64))
     known = (table.column("h").to_numpy().view(np.uint64)[order], table.column("c").to_numpy()[order])
-    model = build_filter(counts, head_from, filter_bytes)
+    model = build_filter(counts, 1, filter_bytes)  # pairs only: every word has its exact count
     shared = spark.sparkContext.broadcast((*known, model.bits))
-    starts = float(total["docs"])  # every document learned from starts and ends once
+    starts = total["docs"]  # every document learned from starts and ends once
     n, space, least, top = total["n"], total["n"] + ADD * (total["v"] + 1), model.least, model.top
+    share = lambda pair, context, c: PAIR_SHARE * pair / np.maximum(context, np.maximum(pair, 1.0)) + (1 - PAIR_SHARE) * (c + ADD) / space
+    size = lambda level: np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_h, head_c, bits = shared.value
         lookup = LogFrequencyFilter(bits, least, top)
         for batch in batches:
+            learned = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             for row, data, offsets in chunks(batch.column("text")):
                 t, before, at = tokens_of(data, offsets)
                 place = np.minimum(np.searchsorted(head_h, t), max(0, len(head_h) - 1))
                 in_head = head_h[place] == t if len(head_h) else np.zeros(len(t), bool)
-                c = np.where(in_head, head_c[place], 0.0) if len(head_h) else np.zeros(len(t))
+                c = np.where(in_head, head_c[place], 0) if len(head_h) else np.zeros(len(t), np.int64)
                 exact = np.where(in_head, np.log10((c + ADD) / space), 0.0)
+                of = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 rare = np.flatnonzero(~in_head)
-                about = c.copy()
-                about[rare] = lookup.estimate(t[rare])
-                first = np.zeros(len(t), bool)
-                first[at[:-1]] = True
-                context = np.roll(about, 1)
-                context[first] = starts
-                pair = lookup.estimate(fold([before, t]))
-                context = np.maximum(context, np.maximum(pair, 1.0))
-                p = PAIR_SHARE * pair / context + (1 - PAIR_SHARE) * (about + ADD) / space
+                some, tf, number = _distinct(of[rare], t[rare])
+                of_word = of[rare[some]]
+                word_at = np.searchsorted(of_word, np.arange(len(at)))
+                own = c.copy()  # the count, or -1 - the word's number within its document
+                own[rare] = word_at[of[rare]] - number - 1
+                context = np.roll(own, 1)
+                context[at[:-1]] = starts
+                pairs = fold([before, t])
+                level = lookup.levels(pairs)
+                missing = (level == 0) & (least > 1)
+                mine = np.flatnonzero(missing & learned[row : row + len(at) - 1][of])  # counted at least as often as they occur here
+                _, here, number = _distinct(of[mine], pairs[mine])
+                mine = mine[here[number] >= 2 ** (least - 2)]
+                level[mine], missing[mine] = least - 1, False
+                late = missing | ~in_head | ((context < 0) & (level > 0))
+                log = np.where(late, 0.0, np.log10(share(size(level), np.maximum(context, 0), c)))
+                late = np.flatnonzero(late)
+                some_late, late_tf, _ = _distinct(of[late], pairs[late])
+                item = late[some_late]
+                item_at = np.searchsorted(of[item], np.arange(len(at)))
+                ask = np.flatnonzero(missing[item])
+                asked_h = np.concatenate([t[rare[some]], pairs[item[ask]]])
+                asked = np.concatenate([np.arange(len(some)) - word_at[of_word], item_at[of[item[ask]]] - ask - 1])  # -1 - number for items
+                of_asked = np.concatenate([of_word, of[item[ask]]])
+                order = np.argsort(of_asked, kind="stable")
+                ask_at = np.searchsorted(of_asked[order], np.arange(len(at)))
                 sums = lambda x, at=at: np.add.reduceat(x, at[:-1])
-                of_doc = np.searchsorted(at, rare, side="right") - 1
-                key = np.unique(np.stack([of_doc.astype(np.uint64), t[rare]], 1), axis=0, return_counts=True) if len(rare) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
-                bound = np.searchsorted(key[0][:, 0], np.arange(len(at)).astype(np.uint64)).astype(np.int32)
-                lists = lambda v, bound=bound: pa.ListArray.from_arrays(pa.array(bound), v)
+                lists = lambda bound, v: pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(v))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(row, len(at) - 1), "held_out": batch.column("held_out").slice(row, len(at) - 1),
-                    "n_tokens": pa.array(np.diff(at).astype(np.int64)), "n_head": pa.array(sums(in_head.astype(np.int64))), "exact": pa.array(sums(exact)),
-                    "score": pa.array(sums(np.log10(p))), "h": lists(pa.array(np.ascontiguousarray(key[0][:, 1]).view(np.int64))), "tf": lists(pa.array(key[1].astype(np.int32)))})
+                    "n_tokens": pa.array(np.diff(at).astype(np.int64)), "n_head": pa.array(sums(in_head.astype(np.int64))), "exact": pa.array(sums(exact)), "score": pa.array(sums(log)),
+                    "h": lists(ask_at, np.ascontiguousarray(asked_h[order]).view(np.int64)), "at": lists(ask_at, asked[order].astype(np.int32)), "tf": lists(word_at, tf.astype(np.int32)),
+                    "own": lists(item_at, own[item]), "context": lists(item_at, context[item]), "level": lists(item_at, level[item].astype(np.int8)), "late_tf": lists(item_at, late_tf.astype(np.int32))})
 
-    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, exact double, score double, h array<bigint>, tf array<int>"
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            word_at, tf = _lists(batch.column("tf"))
+            item_at, own = _lists(batch.column("own"))
+            found_at, found = _lists(batch.column("found"))
+            own, tf = own.to_numpy(), tf.to_numpy()
+            context, level, late_tf = (_lists(batch.column(x))[1].to_numpy() for x in ("context", "level", "late_tf"))
+            place, count = (x.to_numpy() for x in found.flatten())
+            row = np.repeat(np.arange(rows), np.diff(found_at))
+            c, level = np.zeros(len(tf) + 1), level.astype(np.int32)
+            of_word, w = np.repeat(np.arange(rows), np.diff(word_at)), place >= 0
+            c[word_at[row[w]] + place[w]] = count[w]
+            level[item_at[row[~w]] - place[~w] - 1] = np.floor(np.log2(count[~w])) + 1
+            of_item = np.repeat(np.arange(rows), np.diff(item_at))
+            value = lambda x, first=word_at[of_item], c=c: np.where(x >= 0, x, c[np.where(x >= 0, 0, first - x - 1)])
+            late = np.log10(share(size(level), value(context), value(own)))
+            c = c[:-1]
+            sums = lambda of, x, rows=rows: np.bincount(of, x, rows)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": batch.column("n_tokens"),
+                "n_known": pa.array(batch.column("n_head").to_numpy() + sums(of_word, tf * (c > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(rows, n, np.int64)),
+                "base_score": pa.array(batch.column("exact").to_numpy() + sums(of_word, tf * np.log10((c + ADD) / space))),
+                "score": pa.array(batch.column("score").to_numpy() + sums(of_item, late_tf * late))})
+
+    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, exact double, score double, h array<bigint>, at array<int>, tf array<int>, own array<bigint>, context array<bigint>, level array<tinyint>, late_tf array<int>"
     scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, kinds)
     scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the ids are fixed once written
-    rare = scored.select("row", F.inline(F.arrays_zip("h", "tf"))).join(words, "h")
-    rare = rare.groupBy("row").agg(F.sum("tf").alias("seen"), F.sum(F.col("tf") * F.log10((F.col("c") + ADD) / space)).alias("part"))
-    out = scored.drop("h", "tf").join(rare, "row", "left")
-    seen = F.col("n_head") + F.coalesce("seen", F.lit(0))
-    floor = F.log10(F.lit(ADD) / F.lit(float(space))) * (F.col("n_tokens") - seen) if space > 0 else F.lit(0.0)
-    return out.select("doc_id", "held_out", "n_tokens", seen.alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("exact") + F.coalesce("part", F.lit(0.0)) + floor).alias("base_score"), "score")
-
+    asked = scored.select("row", F.inline(F.arrays_zip("h", "at"))).withColumn("n", F.when(F.col("at") < 0, 2).otherwise(1))
+    table = counts.where((F.col("n") == 1) & (F.col("c") < head_from) | (F.col("n") == 2) & (F.col("c") < 2 ** (least - 1)))
+    found = asked.join(table, ["n", "h"]).groupBy("row").agg(F.collect_list(F.struct("at", "c")).alias("found"))
+    out = scored.drop("h", "at").join(found, "row", "left").drop("row")
+    return out.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

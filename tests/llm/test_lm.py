@@ -75,3 +75,32 @@ def test_start_probabilities_sum_to_one_at_most(spark):
     assert sum(start.values()) <= 1
     for x, p in start.items():
         assert math.isclose(p, 0.3 * 2 ** math.floor(math.log2(c[x])) / docs + 0.7 * (c[x] + 0.1) / space, rel_tol=1e-6)
+
+
+def brute_score(rows):
+    """The score with every pair's count rounded down to a power of two and every word's count as it is."""
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    train = [["start", *tokens(x)] for i, x in rows if not out(i)]
+    c = Counter(t for x in train for t in x[1:])
+    pairs = Counter(p for x in train for p in zip([0, *x[1:-1]], x[1:], strict=True))
+    n, space = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    for i, x in rows:
+        t = tokens(x)
+        s = 0.0
+        for a, b in zip([0, *t[:-1]], t, strict=True):
+            context = len(train) if a == 0 else c[a]
+            pair = 2.0 ** math.floor(math.log2(pairs[a, b])) if pairs[a, b] else 0.0
+            s += math.log10(0.3 * pair / max(context, 1) + 0.7 * (c[b] + 0.1) / space)
+        yield i, len(t), s
+
+
+@pytest.mark.parametrize(("head", "filter_bytes"), [(200_000, 32 << 20), (300, 32 << 20), (200_000, 1), (300, 1), (0, 1), (300, 40_000)])
+def test_score_is_the_same_within_any_bounds(spark, sf_dir, head, filter_bytes):
+    docs = read(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(1001, None), (1002, ""), (None, "The the A"), (1003, "nowhere " * 3_000), (1004, "seen once"), (1005, "never seen"), (1006, "seen once")]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), head=head, filter_bytes=filter_bytes).collect()
+    want = sorted(brute_score(rows), key=str)
+    off = [math.isclose(r.score, w[2], rel_tol=1e-9) for r, w in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens, r.score))), want, strict=True)]
+    assert all(off) if filter_bytes == 1 else sum(off) >= 0.95 * len(off)  # the filter itself may take one pair for another
+    assert all(math.isclose(r.score, w[2], rel_tol=1e-2) for r, w in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens, r.score))), want, strict=True))
