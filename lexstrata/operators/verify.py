@@ -6,17 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import oran, verify_norm
+from lexstrata.operators.structure import full_texts, parse_units
 
 LEVELS = ("fikra", "bent", "alt_bent")
 #: The statuses of the output contract.
 STATUSES = ("uyumlu", "uyumsuz", "hedef_bulunamadi", "kontrol_edilemedi", "sonradan_degisti", "kaynak_tutarsizligi")
 PROBE = 150
+ARTICLES = ("madde", "maddeler", "gecici_madde", "ek_madde")
 
 
 def record_key(madde_type: str = "madde_type", madde: str = "madde") -> Column:
     return F.when(F.col(madde_type) == "normal", F.col(madde)).otherwise(F.concat(madde_type, F.lit(":"), madde))
 
 
+def _adds_articles() -> Column:
+    return (F.col("operation") == "BIRIM_EKLE") & F.coalesce(F.col("unit").isin(*ARTICLES), F.lit(False))
+
+
+def _replaces_article() -> Column:
+    return (F.col("operation") == "BIRIM_DEGISTIR") & F.coalesce(F.col("unit") == "madde", F.lit(False))
+
+
+def new_articles(records: DataFrame, whole: DataFrame) -> DataFrame:
+    """n_source, n_text, added, head: for each new text of article records, parsed, the status of its articles as added
+    ones (that of the first article missing or different in the consolidated text) and the text of its first article.
+
+    whole: (w_source, w_key, whole), the consolidated articles. A new text without articles has no row.
+    """
+    texts = records.where(_adds_articles() | _replaces_article()).select("source", "new_text").where("new_text is not null").distinct()
+    docs = texts.select(F.col("new_text").alias("doc_id"), F.concat(F.lit("BAŞLIK\n"), F.col("new_text")).alias("text")).distinct()
+    parsed = full_texts(parse_units(docs)).where(" and ".join(f"{c} is null" for c in LEVELS)).select(F.col("doc_id").alias("new_text"), "article", F.col("key").alias("w_key"), verify_norm(F.col("full")).alias("said"))
+    rows = texts.join(parsed, "new_text").join(whole.withColumnRenamed("w_source", "source"), ["source", "w_key"], "left")
+    bad = F.when(F.col("whole").isNull(), "hedef_bulunamadi").when(F.col("said") != verify_norm(F.col("whole")), "uyumsuz")
+    out = rows.groupBy(F.col("source").alias("n_source"), F.col("new_text").alias("n_text"))
+    return out.agg(F.coalesce(F.min_by(bad, F.when(bad.isNotNull(), F.col("article"))), F.lit("uyumlu")).alias("added"), F.min_by("said", "article").alias("head"))
+
+
 def verify(records: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
     """records (source, seq, operation, unit, madde_type, madde, fikra, bent, alt_bent, cumle, old_text, new_text) with
     status added. units and full come from the structural parse of the consolidated texts, doc_id being the source.
@@ -34,6 +59,7 @@ def verify(records: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
     out = r.alias("r").join(target.alias("t"), [F.col("r.source") == F.col("t.source"), F.col("r.key") == F.col("t_key"), *same], "left")
     out = out.select("r.*", "target").join(whole, [F.col("source") == F.col("w_source"), F.col("key") == F.col("w_key")], "left")
     out = out.join(art, [F.col("source") == F.col("a_source"), F.col("key") == F.col("a_key")], "left")
+    out = out.join(new_articles(records, whole), [F.col("source") == F.col("n_source"), F.col("new_text") == F.col("n_text")], "left")
     new, old, text = verify_norm(F.col("new_text")), verify_norm(F.col("old_text")), verify_norm(F.col("target"))
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "uyumlu").otherwise("uyumsuz")
     found = lambda c, ok: F.when(F.col(c).isNull(), "hedef_bulunamadi").otherwise(verdict(ok))
@@ -43,6 +69,8 @@ def verify(records: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
     status = (
         F.when((F.col("madde_type") == "ek_belge") | op.isin("EK_EKLE", "EK_DEGISTIR"), "kontrol_edilemedi")
         .when((op == "BASLIK_DEGISTIR") | ((op == "BIRIM_DEGISTIR") & (F.col("unit") == "baslik")), found("whole", new == verify_norm(F.col("t_title"))))
+        .when(_adds_articles(), F.coalesce("added", F.lit("kontrol_edilemedi")))
+        .when(_replaces_article(), F.when(F.col("target").isNull(), "hedef_bulunamadi").when(F.col("head").isNull(), "kontrol_edilemedi").otherwise(verdict(F.col("head") == text)))
         .when(op == "BIRIM_EKLE", found("whole", (probe != "") & F.contains(verify_norm(F.col("whole")), probe)))
         .when((op == "BIRIM_DEGISTIR") & F.col("cumle").isNotNull(), found("target", (probe != "") & F.contains(text, F.regexp_replace(new, r"[.,;: ]+$", ""))))
         .when(op == "BIRIM_DEGISTIR", found("target", bare == F.regexp_replace(text, r"(?U)^(?:\(\d+\)|\w{1,3}\))\s*", "")))

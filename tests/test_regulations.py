@@ -93,3 +93,24 @@ def test_text_functions(spark):
 def test_quality_labels(spark):
     rows = spark.createDataFrame([(["uyumlu"], "x"), (["uyumlu", "sonradan_degisti"], "x"), (["uyumsuz"], "x"), ([], "Bu Yönetmelik yürürlüğe girer."), ([], "x")], "s array<string>, x string")
     assert [r[0] for r in rows.select(evaluate.quality_label(F.col("s"), F.col("x"))).collect()] == ["dogrulanmis", "kismen", "sorunlu", "kayitsiz", "supheli"]
+
+
+def test_article_records_compare_whole_texts(spark, units):
+    long = "MADDE 2 – (1) Kapsam on iki kuruluştur."
+    rows = [
+        (1, "BIRIM_EKLE", "madde", "2", long, "uyumlu"),
+        (2, "BIRIM_EKLE", "madde", "2", long + " Fazla.", "uyumsuz"),
+        (3, "BIRIM_EKLE", "maddeler", "2", long + "\nMADDE 7 – (1) Yok.", "hedef_bulunamadi"),
+        (4, "BIRIM_EKLE", "madde", "2", "Kapsam on iki", "kontrol_edilemedi"),
+        (5, "BIRIM_EKLE", "fikra", "2", "(1) Kapsam on iki", "uyumlu"),
+        (6, "BIRIM_EKLE", "gecici_madde", "1", "GEÇİCİ MADDE 1 – (1) Yok.", "hedef_bulunamadi"),
+        (7, "BIRIM_DEGISTIR", "madde", "2", long, "uyumlu"),
+        (8, "BIRIM_DEGISTIR", "madde", "2", long + " Fazla.", "uyumsuz"),
+        (9, "BIRIM_DEGISTIR", "madde", "2", "Kapsam on iki kuruluştur.", "kontrol_edilemedi"),
+        (10, "BIRIM_DEGISTIR", "madde", "9", long, "hedef_bulunamadi"),
+        (11, "BIRIM_EKLE", "madde", "2", None, "kontrol_edilemedi"),
+    ]
+    kinds = "seq long, operation string, unit string, madde string, new_text string, want string, source string, madde_type string, fikra int, bent string, alt_bent int, cumle string, old_text string"
+    records = spark.createDataFrame([(*r, "s", "normal", None, None, None, None, None) for r in rows], kinds)
+    got = verify.verify(records, units, structure.full_texts(units)).collect()
+    assert {r.seq: r.status for r in got} == {r[0]: r[5] for r in rows}
