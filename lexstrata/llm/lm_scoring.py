@@ -1,15 +1,19 @@
-"""Language-model scoring with a log-frequency Bloom filter.
-
-Counts of words and word pairs over all training documents are gathered by aggregation. A pair's count c is stored as
-level 1 + floor(log2 c): the filter holds (pair, level) for every level up to its own, and a lookup probes level after
-level until one is missing. The filter is cut into slices, each pair living in one, that tasks build side by side; it
-is broadcast, its size bounded by filter_bytes. Within that bound the lowest level stored is the smallest that fits.
-Where that is above 1, the pairs not found in the filter are joined with the table of counts, so that every pair has
-its level at any input size; but for those whose count within a document learned from already tells the level. Probabilities interpolate the pair's level with the additively smoothed unigram.
-
-Words have exact counts, in both scores. The most frequent (at most head) are broadcast; each document's other words
-are joined with the table of counts, where no word is frequent. What a token needs from the joins is kept beside its
-document as an item, and scored once the counts found have come back.
+"""Language-model scoring with a log-frequency Bloom filter of word pairs and triples.
+
+A count c is stored as level 1 + floor(log2 c): the filter of a level holds every n-gram of that level or above, so a
+lookup probes level after level until one is missing. N-grams live in buckets of their hash; tasks send each bucket
+their sorted hashes and counts, delta-coded, and a bucket is turned into one piece of every level's filter. No n-gram is
+left out at any input size: buckets grow in number with the text.
+
+The levels from 'least' on are broadcast, least being 2 or the lowest level from which all fit in filter_bytes. An
+n-gram of a document learned from occurs, so its first level needs no probe; where least is 2 such documents are scored
+where they lie. All others (those held out, those with a word outside the broadcast head of exact word counts, and, where
+least is above 2, every document) ask the buckets: each chunk of documents sends a bucket the hashes it needs, the bucket
+probes its own pieces and answers with levels and exact word counts, and the chunk puts the answers together. Both ways
+probe the same pieces, so the score does not depend on the bounds.
+
+A token's probability mixes its triple, its pair and its additively smoothed word. Levels round counts down; the context
+of a triple is the most its pair's level allows, so the probabilities of all words after a context sum to at most 1.
 """
 
 from __future__ import annotations
@@ -24,47 +28,87 @@ from pyspark.sql import functions as F
 from lexstrata.llm.common import Scratch
 from lexstrata.llm.tokens import chunks, constants, fold, mix, word_hashes
 
-HEAD, FILTER_BYTES, BITS_PER_ENTRY, PROBES = 200_000, 32 << 20, 10, 4
-ADD, PAIR_SHARE, SLICE_BYTES, FLUSH = 0.1, 0.3, 1 << 18, 3_000_000
+HEAD, FILTER_BYTES, BITS_PER_ENTRY = 200_000, 96 << 20, 12
+ADD, TRIPLE_SHARE, PAIR_SHARE = 0.1, 0.5, 0.2
+#: Tokens a task counts before it sends them on, n-grams (with repeats) meant for a bucket, bytes of text in a chunk.
+FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 2_000_000, 1_500_000, 2 << 20
 END, START = constants(2, 21)
-_SALTS = constants(PROBES, 22)
+_LEVELS = constants(64, 22)
+#: N-grams are known by 48 bits, words by 64.
+SHIFT = np.uint64(16)
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens with one end per document, the token before each, offsets of documents)."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens with one end per document, 48-bit hashes of the pairs and triples they end, offsets of documents)."""
     h, at = word_hashes(data, offsets)
-    docs = np.arange(len(at) - 1)
     t = np.insert(h, at[1:], END)
-    bounds = at + np.append(docs, len(docs))
-    before = np.empty_like(t)
-    before[1:] = t[:-1]
-    before[bounds[:-1]] = START
-    return t, before, bounds
+    bounds = at + np.arange(len(at))
+    one, two = np.roll(t, 1), np.roll(t, 2)
+    one[bounds[:-1]] = START
+    two[bounds[:-1]] = START
+    second = bounds[:-1] + 1
+    two[second[second < bounds[1:]]] = START
+    return t, fold([one, t]) >> SHIFT, fold([two, one, t]) >> SHIFT, bounds
 
 
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(n, h, c): counts of words (n = 1) and of pairs (n = 2) over docs."""
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned values in as many byte planes as the largest needs."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _widen(raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, the bytes after them)."""
+    width = int(raw[0])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw[1 : 1 + width * n].reshape(width, n).T
+    return out.reshape(-1).view(np.uint64), raw[1 + width * n :]
+
+
+def pack(h: np.ndarray, c: np.ndarray | None = None) -> bytes:
+    """Sorted distinct hashes as differences, and their counts."""
+    return np.uint64(len(h)).tobytes() + _narrow(np.diff(h, prepend=np.uint64(0))) + (b"" if c is None else _narrow(c))
+
+
+def unpack(blob: bytes, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob[:8], np.uint64)[0])
+    d, rest = _widen(np.frombuffer(blob, np.uint8)[8:], n)
+    return np.cumsum(d, dtype=np.uint64), _widen(rest, n)[0] if counted else np.ones(n, np.uint64)
+
+
+def bucket_of(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """The leading 32 of a hash's bits, scaled to the number of buckets: sorted hashes have sorted buckets."""
+    return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _cuts(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    return np.searchsorted(bucket_of(h, buckets, bits), np.arange(buckets + 1))
+
+
+def counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, grams, words): counts of pairs and triples, and of words, of a run of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for n in (1, 2):
-                h, c = np.unique(np.concatenate([x[n - 1] for x in held]), return_counts=True)
-                for k in range(0, len(h), 500_000):
-                    part = slice(k, k + 500_000)
-                    yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(h[part]), n, np.int32)), "h": pa.array(h[part].view(np.int64)), "c": pa.array(c[part].astype(np.int64))})
+            grams, words = (np.unique(np.concatenate([x[i] for x in held]), return_counts=True) for i in (0, 1))
             held.clear()
+            cut_g, cut_w = _cuts(grams[0], buckets, 48), _cuts(words[0], buckets, 64)
+            for at in range(0, buckets, 256):
+                some = [b for b in range(at, min(at + 256, buckets)) if cut_g[b] < cut_g[b + 1] or cut_w[b] < cut_w[b + 1]]
+                of = lambda x, cut, some=some: pa.array([pack(x[0][cut[b] : cut[b + 1]], x[1][cut[b] : cut[b + 1]]) for b in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), of(grams, cut_g), of(words, cut_w)], names=["bucket", "grams", "words"])
 
         size = 0
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
-                t, before, _ = tokens_of(data, offsets)
-                held.append((t, fold([before, t])))
+                t, pair, triple, _ = tokens_of(data, offsets)
+                held += [(pair, t), (triple, t[:0])]
                 size += len(t)
                 if size >= FLUSH:
                     yield from flush()
@@ -72,180 +116,226 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "n int, h bigint, c bigint").groupBy("n", "h").agg(F.sum("c").alias("c"))
-
-
-def _places(h: np.ndarray, level: np.ndarray, slices: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(slice of each n-gram, its PROBES bit places within the slice at that level)."""
-    own = mix(h + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(20)) % np.uint64(slices), [mix(own ^ s) % np.uint64(SLICE_BYTES * 8) for s in _SALTS]
-
-
-class LogFrequencyFilter:
-    def __init__(self, bits: np.ndarray, least: int, top: int):
-        self.bits, self.least, self.top = bits, least, top
-
-    def estimate(self, h: np.ndarray) -> np.ndarray:
-        """The smallest count of the highest level found; 0 where even the lowest stored level is missing."""
-        level = self.levels(h)
-        return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        out, live = np.zeros(len(h), np.int32), np.arange(len(h))
-        for level in range(self.least, self.top + 1):
-            where, places = _places(h[live], np.full(len(live), level), len(self.bits))
-            for k in range(PROBES):
-                p = places[k]
-                hit = self.bits[where, p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1 == 1
-                live, where, places = live[hit], where[hit], [q[hit] for q in places]
-            if len(live) == 0:
-                return out
-            out[live] = level
-        return out
-
-
-def build_filter(counts: DataFrame, head_from: int, filter_bytes: int) -> LogFrequencyFilter:
-    """counts: (n, h, c). All pairs, and the words that are not in the exact head."""
-    rows = counts.where((F.col("n") == 2) | (F.col("c") < head_from)).withColumn("level", F.floor(F.log2("c")).cast("int") + 1)
-    by_level = {r.level: r.k for r in rows.groupBy("level").agg(F.count("*").alias("k")).collect()}
-    top = max(by_level, default=1)
-    entries = lambda q: sum(k * (lv - q + 1) for lv, k in by_level.items() if lv >= q)
-    least = next(q for q in range(1, top + 2) if entries(q) * BITS_PER_ENTRY <= filter_bytes * 8)
-    slices = max(1, -(-entries(least) * BITS_PER_ENTRY // (SLICE_BYTES * 8)))
-
-    def fill(table: pa.Table) -> pa.Table:
-        h, level = table.column("h").to_numpy().view(np.uint64), table.column("level").to_numpy()
-        bits = np.zeros(SLICE_BYTES, np.uint8)
-        for q in range(least, int(level.max()) + 1):
-            some = h[level >= q]
-            for p in _places(some, np.full(len(some), q), slices)[1]:
-                np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-        return pa.table({"slice": [table.column("slice")[0].as_py()], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    where = F.pmod(F.shiftrightunsigned("h", 20), F.lit(slices)).alias("slice")
-    built = rows.where(F.col("level") >= least).select(where, "h", "level").groupBy("slice").applyInArrow(fill, "slice bigint, bits binary")
-    bits = np.zeros((slices, SLICE_BYTES), np.uint8)
-    for r in built.toLocalIterator():  # filter_bytes at most
-        bits[r.slice] = np.frombuffer(r.bits, np.uint8)
-    return LogFrequencyFilter(bits, least, top)
-
-
-def _distinct(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct (of, h), sorted: (a place, how often); and for each place its number among the distinct."""
-    order = np.lexsort((h, of))
-    o, x = of[order], h[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])
-    number = np.empty(len(o), np.int64)
-    number[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    return order[starts], np.diff(np.append(starts, len(o))), number
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(where each row's list starts and the number of values, the values); null lists are empty."""
-    return np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))), column.flatten()
-
-
-def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    return docs.select("text").mapInArrow(run, "bucket bigint, grams binary, words binary")
+
+
+def _merged(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(x.as_py()) for x in blobs]
+    h, c = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in (0, 1))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    return h[first], np.add.reduceat(c, first) if len(h) else c
+
+
+def _probe(h: np.ndarray, level: int, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, four bits of it) of each n-gram in the filter of a level, whose piece for it is first, first + size."""
+    own = mix(h ^ _LEVELS[level])
+    bits = np.uint64(0)
+    for k in (0, 6, 12, 18):
+        bits = bits | (np.uint64(1) << ((own >> np.uint64(k)) & np.uint64(63)))
+    return first + (((own >> np.uint64(32)) * size) >> np.uint64(32)), bits
+
+
+def level_filter(h: np.ndarray, level: int, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
+    """A piece of a level's filter that holds h."""
+    words = np.zeros(max(1, -(-len(h) * bits_per_entry // 64)), np.uint64)
+    at, bits = _probe(h, level, np.uint64(0), np.uint64(len(words)))
+    np.bitwise_or.at(words, at, bits)
+    return words
+
+
+class Pieces:
+    """Filters of consecutive levels from 'least' on, each a piece per bucket."""
+
+    def __init__(self, least: int, buckets: int, pieces: dict[int, list[tuple[int, bytes]]]):
+        self.least, self.buckets, self.levels = least, buckets, []
+        for level in range(least, max(pieces, default=least - 1) + 1):
+            size, of = np.zeros(buckets, np.uint64), dict(pieces.get(level, []))
+            for b, x in of.items():
+                size[b] = len(x) // 8
+            words = np.frombuffer(b"".join(of[b] for b in sorted(of)), np.uint64)
+            self.levels.append((words, np.cumsum(size) - size, size))
+
+    def climb(self, h: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """level, raised by the probes of those that stand right under these filters."""
+        live = np.flatnonzero(level == self.least - 1)
+        for q, (words, first, size) in enumerate(self.levels, self.least):
+            b = bucket_of(h[live], self.buckets, 48)
+            live, b = live[size[b] > 0], b[size[b] > 0]
+            at, bits = _probe(h[live], q, first[b], size[b])
+            live = live[words[at] & bits == bits]
+            level[live] = q
+        return level
+
+
+def build_model(rows: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """(bucket, filters array<binary> from level 1 on, sizes, word_h, word_c, v, n, ends, hist) of counted rows.
+
+    hist: for each k the number of words counted 2**k times or more.
+    """
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        h, c = _merged(table.column("grams"))
+        level = np.frexp(c.astype(np.float64))[1]
+        filters = [level_filter(h[level >= q], q, bits_per_entry).tobytes() for q in range(1, int(level.max(initial=0)) + 1)]
+        w, n = _merged(table.column("words"))
+        hist = [int((n >= 2**k).sum()) for k in range(50)]
+        return pa.table({
+            "bucket": [key[0].as_py()], "filters": pa.array([filters], pa.list_(pa.binary())), "sizes": pa.array([[len(f) for f in filters]], pa.list_(pa.int64())), "word_h": pa.array([w.tobytes()], pa.binary()),
+            "word_c": pa.array([n.tobytes()], pa.binary()), "v": [len(w)], "n": [int(n.sum())], "ends": [int(n[w == END].sum())], "hist": pa.array([hist], pa.list_(pa.int64()))})
+
+    kinds = "bucket bigint, filters array<binary>, sizes array<bigint>, word_h binary, word_c binary, v bigint, n bigint, ends bigint, hist array<bigint>"
+    return rows.groupBy("bucket").applyInArrow(build, kinds)
+
+
+def _head(model: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words counted least times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, c in zip(b.column("word_h"), b.column("word_c"), strict=True):
+                h, c = np.frombuffer(h.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[c >= least]), pa.array(c[c >= least])], names=["h", "c"])
+
+    table = model.select("word_h", "word_c").mapInArrow(run, "h bigint, c bigint").toArrow()
+    h, c = (table.column(x).to_numpy() for x in ("h", "c"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], c[order]
+
+
+def _find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in known, whether it is there)."""
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    return at, known[at] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _sums(c: np.ndarray, pair: np.ndarray, triple: np.ndarray, at: np.ndarray, docs: int, space: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, base score, score) of each document from its tokens' counts and the levels of their n-grams."""
+    size = lambda level: np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
+    c, two, three = c.astype(np.float64), size(pair), size(triple)
+    before, pair_before = np.roll(c, 1), np.roll(np.where(pair > 0, 2 * two - 1, 0.0), 1)
+    before[at[:-1]] = pair_before[at[:-1]] = docs  # every document learned from starts once
+    alone = (c + ADD) / space
+    p = TRIPLE_SHARE * three / np.maximum(np.maximum(pair_before, three), 1) + PAIR_SHARE * two / np.maximum(np.maximum(before, two), 1) + (1 - TRIPLE_SHARE - PAIR_SHARE) * alone
+    of = lambda x: np.add.reduceat(x, at[:-1])
+    return of((c > 0).astype(np.int64)), of(np.log10(alone)), of(np.log10(p))
+
+
+def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose crc32 of doc_id as text is not 0 mod 10, and scores all. A null text is empty: one
     token, the end. A null doc_id counts as the empty text, which is held out. Repeated rows learn and score once
-    each. Other columns are ignored; no documents give no rows; with none to learn from, counts are 0.
+    each. A text of any length is scored whole, in one task. Other columns are ignored; no documents give no rows; with
+    none to learn from, counts are 0.
     """
     scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
-    counts = scratch.save(count_ngrams(docs.where(~held_out())), "counts")
-    words = counts.where("n = 1").select("h", "c")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("h") == int(END.view(np.int64)), F.col("c"))), F.lit(0)).alias("docs"), *[F.count_if(F.col("c") >= 2**k).alias(f"k{k}") for k in range(50)]).first()
-    head_from = 2 ** next(k for k in range(50) if total[f"k{k}"] <= head)
-    table = words.where(F.col("c") >= head_from).toArrow()  # at most head rows
-    order = np.argsort(table.column("h").to_numpy().view(np.uint64))
-    known = (table.column("h").to_numpy().view(np.uint64)[order], table.column("c").to_numpy()[order])
-    model = build_filter(counts, 1, filter_bytes)  # pairs only: every word has its exact count
-    shared = spark.sparkContext.broadcast((*known, model.bits))
-    starts = total["docs"]  # every document learned from starts and ends once
-    n, space, least, top = total["n"], total["n"] + ADD * (total["v"] + 1), model.least, model.top
-    share = lambda pair, context, c: PAIR_SHARE * pair / np.maximum(context, np.maximum(pair, 1.0)) + (1 - PAIR_SHARE) * (c + ADD) / space
-    size = lambda level: np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
+    learned = docs.where(~held_out())
+    n_bytes = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-2 * (n_bytes // 5) // BUCKET_ENTRIES))
+    model = scratch.save(build_model(counted(learned, buckets), bits_per_entry), "model")
+    facts = model.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n", "ends")], *[F.coalesce(F.sum(F.col("hist")[k]), F.lit(0)).alias(f"k{k}") for k in range(50)]).first()
+    n, docs_learned, space = facts["n"], facts["ends"], facts["n"] + ADD * (facts["v"] + 1)
+    sizes = {r.pos + 1: r.b for r in model.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("b")).collect()}
+    least = next(q for q in range(2, 66) if sum(b for level, b in sizes.items() if level >= q) <= filter_bytes)
+    head_from = 2 ** next(k for k in range(50) if facts[f"k{k}"] <= head)
+    pieces: dict[int, list[tuple[int, bytes]]] = {}
+    for r in model.select("bucket", F.slice("filters", least, 64).alias("filters")).toLocalIterator():  # filter_bytes at most
+        for q, x in enumerate(r.filters, least):
+            pieces.setdefault(q, []).append((r.bucket, bytes(x)))
+    shared = spark.sparkContext.broadcast((*_head(model, head_from), Pieces(least, buckets, pieces)))  # and head words at most
+    del pieces
+
+    def counts_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = _find(shared.value[0], t)
+        return np.where(there, shared.value[1][at], 0) if len(shared.value[0]) else np.zeros(len(t), np.int64), there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_c, bits = shared.value
-        lookup = LogFrequencyFilter(bits, least, top)
+        high = shared.value[2]
         for batch in batches:
-            learned = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for row, data, offsets in chunks(batch.column("text")):
-                t, before, at = tokens_of(data, offsets)
-                place = np.minimum(np.searchsorted(head_h, t), max(0, len(head_h) - 1))
-                in_head = head_h[place] == t if len(head_h) else np.zeros(len(t), bool)
-                c = np.where(in_head, head_c[place], 0) if len(head_h) else np.zeros(len(t), np.int64)
-                exact = np.where(in_head, np.log10((c + ADD) / space), 0.0)
-                of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                rare = np.flatnonzero(~in_head)
-                some, tf, number = _distinct(of[rare], t[rare])
-                of_word = of[rare[some]]
-                word_at = np.searchsorted(of_word, np.arange(len(at)))
-                own = c.copy()  # the count, or -1 - the word's number within its document
-                own[rare] = word_at[of[rare]] - number - 1
-                context = np.roll(own, 1)
-                context[at[:-1]] = starts
-                pairs = fold([before, t])
-                level = lookup.levels(pairs)
-                missing = (level == 0) & (least > 1)
-                mine = np.flatnonzero(missing & learned[row : row + len(at) - 1][of])  # counted at least as often as they occur here
-                _, here, number = _distinct(of[mine], pairs[mine])
-                mine = mine[here[number] >= 2 ** (least - 2)]
-                level[mine], missing[mine] = least - 1, False
-                late = missing | ~in_head | ((context < 0) & (level > 0))
-                log = np.where(late, 0.0, np.log10(share(size(level), np.maximum(context, 0), c)))
-                late = np.flatnonzero(late)
-                some_late, late_tf, _ = _distinct(of[late], pairs[late])
-                item = late[some_late]
-                item_at = np.searchsorted(of[item], np.arange(len(at)))
-                ask = np.flatnonzero(missing[item])
-                asked_h = np.concatenate([t[rare[some]], pairs[item[ask]]])
-                asked = np.concatenate([np.arange(len(some)) - word_at[of_word], item_at[of[item[ask]]] - ask - 1])  # -1 - number for items
-                of_asked = np.concatenate([of_word, of[item[ask]]])
-                order = np.argsort(of_asked, kind="stable")
-                ask_at = np.searchsorted(of_asked[order], np.arange(len(at)))
-                sums = lambda x, at=at: np.add.reduceat(x, at[:-1])
-                lists = lambda bound, v: pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(v))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(row, len(at) - 1), "held_out": batch.column("held_out").slice(row, len(at) - 1),
-                    "n_tokens": pa.array(np.diff(at).astype(np.int64)), "n_head": pa.array(sums(in_head.astype(np.int64))), "exact": pa.array(sums(exact)), "score": pa.array(sums(log)),
-                    "h": lists(ask_at, np.ascontiguousarray(asked_h[order]).view(np.int64)), "at": lists(ask_at, asked[order].astype(np.int32)), "tf": lists(word_at, tf.astype(np.int32)),
-                    "own": lists(item_at, own[item]), "context": lists(item_at, context[item]), "level": lists(item_at, level[item].astype(np.int8)), "late_tf": lists(item_at, late_tf.astype(np.int32))})
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            word_at, tf = _lists(batch.column("tf"))
-            item_at, own = _lists(batch.column("own"))
-            found_at, found = _lists(batch.column("found"))
-            own, tf = own.to_numpy(), tf.to_numpy()
-            context, level, late_tf = (_lists(batch.column(x))[1].to_numpy() for x in ("context", "level", "late_tf"))
-            place, count = (x.to_numpy() for x in found.flatten())
-            row = np.repeat(np.arange(rows), np.diff(found_at))
-            c, level = np.zeros(len(tf) + 1), level.astype(np.int32)
-            of_word, w = np.repeat(np.arange(rows), np.diff(word_at)), place >= 0
-            c[word_at[row[w]] + place[w]] = count[w]
-            level[item_at[row[~w]] - place[~w] - 1] = np.floor(np.log2(count[~w])) + 1
-            of_item = np.repeat(np.arange(rows), np.diff(item_at))
-            value = lambda x, first=word_at[of_item], c=c: np.where(x >= 0, x, c[np.where(x >= 0, 0, first - x - 1)])
-            late = np.log10(share(size(level), value(context), value(own)))
-            c = c[:-1]
-            sums = lambda of, x, rows=rows: np.bincount(of, x, rows)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": batch.column("n_tokens"),
-                "n_known": pa.array(batch.column("n_head").to_numpy() + sums(of_word, tf * (c > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(rows, n, np.int64)),
-                "base_score": pa.array(batch.column("exact").to_numpy() + sums(of_word, tf * np.log10((c + ADD) / space))),
-                "score": pa.array(batch.column("score").to_numpy() + sums(of_item, late_tf * late))})
-
-    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, exact double, score double, h array<bigint>, at array<int>, tf array<int>, own array<bigint>, context array<bigint>, level array<tinyint>, late_tf array<int>"
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, kinds)
-    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the ids are fixed once written
-    asked = scored.select("row", F.inline(F.arrays_zip("h", "at"))).withColumn("n", F.when(F.col("at") < 0, 2).otherwise(1))
-    table = counts.where((F.col("n") == 1) & (F.col("c") < head_from) | (F.col("n") == 2) & (F.col("c") < 2 ** (least - 1)))
-    found = asked.join(table, ["n", "h"]).groupBy("row").agg(F.collect_list(F.struct("at", "c")).alias("found"))
-    out = scored.drop("h", "at").join(found, "row", "left").drop("row")
-    return out.mapInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+                t, pair, triple, at = tokens_of(data, offsets)
+                rows = len(at) - 1
+                c, there = counts_of(t)
+                far = held[row : row + rows] | (least > 2)
+                if head_from > 1:
+                    far |= np.add.reduceat(~there, at[:-1]) > 0
+                near = np.repeat(~far, np.diff(at))  # all of these n-grams were counted
+                level = [high.climb(g, np.where(near, 1, 0)) for g in (pair, triple)]
+                known, base, whole = _sums(c, *level, at, docs_learned, space)
+                part = batch.slice(row, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at).astype(np.int64)), pa.array(known), pa.array(np.full(rows, n, np.int64)), pa.array(base), pa.array(whole), pa.array(far),
+                     pa.array([x or "" if f else None for x, f in zip(part.column("text").to_pylist(), far, strict=True)] if far.any() else [None] * rows, pa.string())],
+                    names=[*scored, "far", "text"])
+
+    kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    scored = [x.split(" ")[0] for x in kinds.split(", ")]
+    first = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"{kinds}, far boolean, text string")
+    first = scratch.save(first.withColumn("row", F.monotonically_increasing_id()), "first")  # rows are numbered once written
+    far = first.where("far").select("row", "doc_id", "held_out", "text")
+    in_chunks = max(1, -(-(far.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
+    far = far.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(in_chunks)))
+
+    def wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams and words that a chunk must ask for."""
+        grams, words = [], []
+        for row, data, offsets in chunks(table.column("text")):
+            t, pair, triple, at = tokens_of(data, offsets)
+            held = table.column("held_out").slice(row, len(at) - 1).to_numpy()
+            ask = np.repeat(held | (least > 2), np.diff(at))
+            grams += [pair[ask], triple[ask]]
+            words.append(t[~counts_of(t)[1]] if head_from > 1 else t[:0])
+        return np.unique(np.concatenate(grams)), np.unique(np.concatenate(words))
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        grams, words = wanted(table)
+        cut_g, cut_w = _cuts(grams, buckets, 48), _cuts(words, buckets, 64)
+        some = np.flatnonzero((np.diff(cut_g) > 0) | (np.diff(cut_w) > 0))
+        of = lambda x, cut: pa.array([pack(x[cut[b] : cut[b + 1]]) for b in some], pa.binary())
+        return pa.table({"chunk": pa.array([key[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int64()), "grams": of(grams, cut_g), "words": of(words, cut_w)})
+
+    def answer(key: tuple, asked: pa.Table, have: pa.Table) -> pa.Table:
+        own = have.to_pylist()[0] if have.num_rows else {"filters": [], "word_h": b"", "word_c": b""}
+        low = Pieces(1, buckets, {q: [(key[0].as_py(), x)] for q, x in enumerate(own["filters"], 1)})
+        known, count = np.frombuffer(own["word_h"], np.uint64), np.frombuffer(own["word_c"], np.int64)
+        levels, counts = [], []
+        for g, w in zip(asked.column("grams"), asked.column("words"), strict=True):
+            h, w = unpack(g.as_py(), False)[0], unpack(w.as_py(), False)[0]
+            levels.append(low.climb(h, np.zeros(len(h), np.int64)).astype(np.uint8).tobytes())
+            at, there = _find(known, w)
+            counts.append((np.where(there, count[at], 0) if len(known) else np.zeros(len(w), np.int64)).tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        high = shared.value[2]
+        grams, words = wanted(table)
+        answers = answers.sort_by("bucket")
+        low = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
+        counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
+        out = []
+        for row, data, offsets in chunks(table.column("text")):
+            t, pair, triple, at = tokens_of(data, offsets)
+            rows = len(at) - 1
+            c, there = counts_of(t)
+            if len(words):
+                place, rare = _find(words, t)
+                c = np.where(rare & ~there, counts[place], c)
+            held = np.repeat(table.column("held_out").slice(row, rows).to_numpy(), np.diff(at))
+            level = []
+            for g in (pair, triple):
+                place, asked = _find(grams, g)
+                found = np.where(asked, low[place], 0) if len(grams) else np.zeros(len(g), np.int64)
+                level.append(high.climb(g, np.where(held, found, np.maximum(found, 1))))
+            known, base, whole = _sums(c, *level, at, docs_learned, space)
+            part = table.slice(row, rows)
+            out.append(pa.table([part.column("doc_id"), part.column("held_out"), np.diff(at).astype(np.int64), known, np.full(rows, n, np.int64), base, whole], names=scored))
+        return pa.concat_tables(out)
+
+    asked = far.groupBy("chunk").applyInArrow(ask, "chunk bigint, bucket bigint, grams binary, words binary")
+    low = model.select("bucket", F.slice("filters", 1, least - 1).alias("filters"), "word_h", "word_c")
+    answers = asked.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, levels binary, counts binary")
+    settled = far.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds)
+    return first.where("not far").select(*scored).union(settled)

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from tests.llm.brute import WORD
@@ -43,17 +44,31 @@ def test_empty(spark):
     assert [r.n_known for r in lm_scoring.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [0]
 
 
-def test_filter_holds_levels(spark):
+def test_filters_hold_levels():
     rng = np.random.default_rng(1)
-    h = rng.integers(-(2**63), 2**63, 40_000)
-    c = 2 ** rng.integers(0, 12, 40_000) + rng.integers(0, 2, 40_000)
-    table = spark.createDataFrame([(2, int(a), int(b)) for a, b in zip(h, c, strict=True)], "n int, h long, c long")
-    model = lm_scoring.build_filter(table, 1, 1 << 20)
-    found, stored = model.estimate(h.view(np.uint64)), 2.0 ** np.floor(np.log2(c))
-    assert (found[c >= 2] >= stored[c >= 2]).all() and (found[c >= 2] == stored[c >= 2]).mean() > 0.95
-    assert (model.estimate(rng.integers(0, 2**63, 40_000).view(np.uint64)) > 0).mean() < 0.05
-    small = lm_scoring.build_filter(table, 1, 1 << 18)
-    assert small.least > 2 and small.bits.size <= 1 << 19
+    h = np.unique(rng.integers(0, 2**48, 40_000).astype(np.uint64))
+    want = rng.integers(1, 13, len(h))
+    buckets = 7
+    own = lm_scoring.bucket_of(h, buckets, 48)
+    pieces = {q: [(b, lm_scoring.level_filter(h[(own == b) & (want >= q)], q).tobytes()) for b in range(buckets)] for q in range(1, 13)}
+    whole = lm_scoring.Pieces(1, buckets, pieces)
+    found = whole.climb(h, np.zeros(len(h), np.int64))
+    assert (found >= want).all() and (found == want).mean() > 0.97
+    assert (whole.climb(np.setdiff1d(rng.integers(0, 2**48, 40_000).astype(np.uint64), h), np.zeros(40_000, np.int64)) > 0).mean() < 0.03
+    for least in (2, 5):  # low levels in their bucket, high ones together: the same answers
+        low = lm_scoring.Pieces(1, buckets, {q: x for q, x in pieces.items() if q < least}).climb(h, np.zeros(len(h), np.int64))
+        high = lm_scoring.Pieces(least, buckets, {q: x for q, x in pieces.items() if q >= least}).climb(h, low)
+        assert (high == found).all()
+
+
+def test_packed_hashes_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5_000):
+        h = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        c = rng.integers(1, 70_000, len(h)).astype(np.uint64)
+        x, y = lm_scoring.unpack(lm_scoring.pack(h, c))
+        assert (x == h).all() and (y == c).all()
+        assert (lm_scoring.unpack(lm_scoring.pack(h), False)[0] == h).all()
 
 
 def test_pairs_help_on_repeated_text(spark):
@@ -62,45 +77,111 @@ def test_pairs_help_on_repeated_text(spark):
     assert got and all(r.score > r.base_score for r in got)
 
 
-def test_start_probabilities_sum_to_one_at_most(spark):
-    rows = [(i, f"word{i % 60}") for i in range(1_800)]
-    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    c = Counter(x for i, x in rows if not out(i))
-    docs = sum(c.values())
-    space = 2 * docs + 0.1 * (len(c) + 2)
-    end = {x: 0.3 * 2 ** math.floor(math.log2(k)) / k + 0.7 * (docs + 0.1) / space for x, k in c.items()}
-    got = {r.text: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
-    assert len(got) == 60
-    start = {x: 10**s / end[x] for x, s in got.items()}
-    assert sum(start.values()) <= 1
-    for x, p in start.items():
-        assert math.isclose(p, 0.3 * 2 ** math.floor(math.log2(c[x])) / docs + 0.7 * (c[x] + 0.1) / space, rel_tol=1e-6)
+def is_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
 
 
-def brute_score(rows):
-    """The score with every pair's count rounded down to a power of two and every word's count as it is."""
-    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    train = [["start", *tokens(x)] for i, x in rows if not out(i)]
-    c = Counter(t for x in train for t in x[1:])
-    pairs = Counter(p for x in train for p in zip([0, *x[1:-1]], x[1:], strict=True))
-    n, space = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    for i, x in rows:
-        t = tokens(x)
-        s = 0.0
-        for a, b in zip([0, *t[:-1]], t, strict=True):
-            context = len(train) if a == 0 else c[a]
-            pair = 2.0 ** math.floor(math.log2(pairs[a, b])) if pairs[a, b] else 0.0
-            s += math.log10(0.3 * pair / max(context, 1) + 0.7 * (c[b] + 0.1) / space)
-        yield i, len(t), s
+def quantised(k):
+    return 2.0 ** math.floor(math.log2(k)) if k else 0.0
+
+
+class Plain:
+    """The model with every n-gram's count rounded down to a power of two and every word's count as it is."""
+
+    def __init__(self, rows):
+        self.train = [tokens(x) for i, x in rows if not is_out(i)]
+        self.c = Counter(t for x in self.train for t in x)
+        full = [[0, 0, *x] for x in self.train]
+        self.two = Counter(g for x in full for g in zip(x[1:], x[2:]))
+        self.three = Counter(g for x in full for g in zip(x, x[1:], x[2:]))
+        self.space = sum(self.c.values()) + 0.1 * (len(self.c) + 1)
+
+    def p(self, u, v, w):
+        three, two = quantised(self.three[u, v, w]), quantised(self.two[v, w])
+        q = quantised(self.two[u, v])
+        after_two = len(self.train) if v == 0 else 2 * q - 1 if q else 0
+        after_one = len(self.train) if v == 0 else self.c[v]
+        return 0.5 * three / max(after_two, 1) + 0.2 * two / max(after_one, 1) + 0.3 * (self.c[w] + 0.1) / self.space
+
+    def scored(self, rows):
+        for i, x in rows:
+            t = [0, 0, *tokens(x)]
+            yield i, len(t) - 2, sum(math.log10(self.p(*g)) for g in zip(t, t[1:], t[2:]))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def by_row(rows):
+    return sorted(rows, key=lambda r: str((r.doc_id, r.n_tokens, r.score)))
+
 
+def test_probabilities_sum_to_one_at_most(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").collect()]
+    model = Plain(rows)
+    words, rng = [*model.c, "neverseen"], np.random.default_rng(3)
+    pairs = list(model.two)
+    for k in rng.integers(0, len(pairs), 150):
+        assert 0.29 < sum(model.p(*pairs[k], w) for w in words) <= 1 + 1e-9
+    assert sum(model.p(0, 0, w) for w in words) <= 1 + 1e-9
+    starts = [(i, f"word{i % 60}") for i in range(1_800)]  # the operator's own start probabilities
+    model, got = Plain(starts), {}
+    for r in lm_scoring.score(frame(spark, starts)).join(frame(spark, starts), "doc_id").collect():
+        got[r.text] = 10**r.score / model.p(0, r.text, None)
+    assert len(got) == 60 and sum(got.values()) <= 1
 
-@pytest.mark.parametrize(("head", "filter_bytes"), [(200_000, 32 << 20), (300, 32 << 20), (200_000, 1), (300, 1), (0, 1), (300, 40_000)])
-def test_score_is_the_same_within_any_bounds(spark, sf_dir, head, filter_bytes):
+
+@pytest.fixture(scope="module")
+def odd_rows(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").collect()]
+    return rows + [(1001, None), (1002, ""), (None, "The the A"), (1003, "nowhere " * 3_000), (1004, "seen once"), (1005, "never seen"), (1006, "seen once")]
+
+
+def test_score_equals_a_plain_model(spark, odd_rows):
+    """A filter with room takes no n-gram for another; one of the usual size takes about one in a hundred."""
+    want = sorted(Plain(odd_rows).scored(odd_rows), key=str)
+    for bits, off in ((400, 1e-9), (lm_scoring.BITS_PER_ENTRY, 8e-2)):
+        got = by_row(lm_scoring.score(frame(spark, odd_rows), bits_per_entry=bits).collect())
+        assert all(math.isclose(r.score, w[2], rel_tol=off) for r, w in zip(got, want, strict=True))
+
+
+@pytest.fixture(scope="module")
+def usual(spark, odd_rows):
+    return by_row(lm_scoring.score(frame(spark, odd_rows)).collect())
+
+
+@pytest.mark.parametrize(("head", "filter_bytes"), [(300, 96 << 20), (200_000, 1), (0, 40_000)])
+def test_score_is_the_same_within_any_bounds(spark, odd_rows, usual, head, filter_bytes):
+    a, b = usual, by_row(lm_scoring.score(frame(spark, odd_rows), head=head, filter_bytes=filter_bytes).collect())
+    assert [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in a] == [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in b]
+
+
+def test_documents_learned_twice_stand_apart(spark):
+    """Texts of random words: a text that occurs twice scores above those that occur once, and those above texts held out."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 200)) for _ in range(900)]
+    rows = [*enumerate(texts), *((10_000 + k, texts[k]) for k in range(60))]
+    got = {r.doc_id: (r.score / r.n_tokens, r.held_out) for r in lm_scoring.score(frame(spark, rows)).collect()}
+    twice = [got[k][0] for k in range(60) if not is_out(k) and not is_out(10_000 + k)]
+    once = [got[k][0] for k in range(60, 900) if not is_out(k)]
+    out = [got[k][0] for k in range(60, 900) if is_out(k)]
+    assert min(twice) > max(once) and min(once) > max(out)
+
+
+def test_base_columns_equal_sql(spark, sf_dir):
+    sql = r"""
+    WITH d AS (SELECT doc_id, held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), NULL) AS t FROM docs),
+    x AS (SELECT doc_id, held_out, unnest(t) AS w FROM d),
+    c AS (SELECT w, count(*) AS c FROM x WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+    SELECT x.doc_id, any_value(held_out), count(*), count(c.c), any_value(n)::BIGINT, sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1))))
+    FROM x LEFT JOIN c ON x.w IS NOT DISTINCT FROM c.w, n GROUP BY x.doc_id"""
     docs = read(spark, sf_dir, "documents")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows += [(1001, None), (1002, ""), (None, "The the A"), (1003, "nowhere " * 3_000), (1004, "seen once"), (1005, "never seen"), (1006, "seen once")]
-    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), head=head, filter_bytes=filter_bytes).collect()
-    want = sorted(brute_score(rows), key=str)
-    off = [math.isclose(r.score, w[2], rel_tol=1e-9) for r, w in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens, r.score))), want, strict=True)]
-    assert all(off) if filter_bytes == 1 else sum(off) >= 0.95 * len(off)  # the filter itself may take one pair for another
-    assert all(math.isclose(r.score, w[2], rel_tol=1e-2) for r, w in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens, r.score))), want, strict=True))
+    con = duckdb.connect()
+    table = docs.select("doc_id", "text", lm_scoring.held_out().alias("held_out")).toArrow()
+    con.register("docs", table)
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    for r in lm_scoring.score(docs).collect():
+        w = want.pop(r.doc_id)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9)
+    assert not want
