@@ -18,6 +18,7 @@ of a triple is the most its pair's level allows, so the probabilities of all wor
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from lexstrata.llm.tokens import chunks, constants, fold, mix, word_hashes
 HEAD, FILTER_BYTES, BITS_PER_ENTRY = 200_000, 96 << 20, 12
 ADD, TRIPLE_SHARE, PAIR_SHARE = 0.1, 0.5, 0.2
 #: Tokens a task counts before it sends them on, n-grams (with repeats) meant for a bucket, bytes of text in a chunk.
-FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 2_000_000, 1_500_000, 2 << 20
+FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 1_500_000, 1_500_000, 2 << 20
 END, START = constants(2, 21)
 _LEVELS = constants(64, 22)
 #: N-grams are known by 48 bits, words by 64.
@@ -251,51 +252,42 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         at, there = _find(shared.value[0], t)
         return np.where(there, shared.value[1][at], 0) if len(shared.value[0]) else np.zeros(len(t), np.int64), there
 
+    def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams and words that the far documents of a chunk must ask for."""
+        words = t[np.repeat(far, np.diff(at)) & ~counts_of(t)[1]] if head_from > 1 else t[:0]
+        return np.unique(np.concatenate([g[np.repeat(far & (held | (least > 2)), np.diff(at))] for g in grams])), np.unique(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = shared.value[2]
         for batch in batches:
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            for row, data, offsets in chunks(batch.column("text")):
+            every = batch.column("held_out").to_numpy(zero_copy_only=False)
+            for row, data, offsets in chunks(batch.column("text"), CHUNK_BYTES):
                 t, pair, triple, at = tokens_of(data, offsets)
-                rows = len(at) - 1
+                rows, held = len(at) - 1, every[row : row + len(at) - 1]
                 c, there = counts_of(t)
-                far = held[row : row + rows] | (least > 2)
+                far = held | (least > 2)
                 if head_from > 1:
-                    far |= np.add.reduceat(~there, at[:-1]) > 0
+                    far = far | (np.add.reduceat((~there).astype(np.int64), at[:-1]) > 0)
                 near = np.repeat(~far, np.diff(at))  # all of these n-grams were counted
                 level = [high.climb(g, np.where(near, 1, 0)) for g in (pair, triple)]
                 known, base, whole = _sums(c, *level, at, docs_learned, space)
+                grams, words = wanted(t, [pair, triple], at, held, far)
+                cut_g, cut_w = _cuts(grams, buckets, 48), _cuts(words, buckets, 64)
+                asks = [{"bucket": b, "grams": pack(grams[cut_g[b] : cut_g[b + 1]]), "words": pack(words[cut_w[b] : cut_w[b + 1]])} for b in np.flatnonzero((np.diff(cut_g) > 0) | (np.diff(cut_w) > 0)).tolist()]
                 part = batch.slice(row, rows)
+                texts = [x or "" if f else None for x, f in zip(part.column("text").to_pylist(), far, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at).astype(np.int64)), pa.array(known), pa.array(np.full(rows, n, np.int64)), pa.array(base), pa.array(whole), pa.array(far),
-                     pa.array([x or "" if f else None for x, f in zip(part.column("text").to_pylist(), far, strict=True)] if far.any() else [None] * rows, pa.string())],
-                    names=[*scored, "far", "text"])
+                    [part.column("doc_id"), part.column("held_out"), *map(pa.array, (np.diff(at).astype(np.int64), known, np.full(rows, n, np.int64), base, whole, far)), pa.array(texts, pa.string()),
+                     pa.array([uuid.uuid4().int >> 65] * rows, pa.int64()), pa.array([asks] + [None] * (rows - 1), ask_kind)],
+                    names=[*scored, "far", "text", "chunk", "asks"])
 
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = [x.split(" ")[0] for x in kinds.split(", ")]
-    first = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"{kinds}, far boolean, text string")
-    first = scratch.save(first.withColumn("row", F.monotonically_increasing_id()), "first")  # rows are numbered once written
-    far = first.where("far").select("row", "doc_id", "held_out", "text")
-    in_chunks = max(1, -(-(far.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
-    far = far.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(in_chunks)))
-
-    def wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct n-grams and words that a chunk must ask for."""
-        grams, words = [], []
-        for row, data, offsets in chunks(table.column("text")):
-            t, pair, triple, at = tokens_of(data, offsets)
-            held = table.column("held_out").slice(row, len(at) - 1).to_numpy()
-            ask = np.repeat(held | (least > 2), np.diff(at))
-            grams += [pair[ask], triple[ask]]
-            words.append(t[~counts_of(t)[1]] if head_from > 1 else t[:0])
-        return np.unique(np.concatenate(grams)), np.unique(np.concatenate(words))
-
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        grams, words = wanted(table)
-        cut_g, cut_w = _cuts(grams, buckets, 48), _cuts(words, buckets, 64)
-        some = np.flatnonzero((np.diff(cut_g) > 0) | (np.diff(cut_w) > 0))
-        of = lambda x, cut: pa.array([pack(x[cut[b] : cut[b + 1]]) for b in some], pa.binary())
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(some), pa.int64()), "bucket": pa.array(some, pa.int64()), "grams": of(grams, cut_g), "words": of(words, cut_w)})
+    ask_kind = pa.list_(pa.struct([("bucket", pa.int64()), ("grams", pa.binary()), ("words", pa.binary())]))
+    first = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"{kinds}, far boolean, text string, chunk bigint, asks array<struct<bucket:bigint, grams:binary, words:binary>>")
+    first = scratch.save(first, "first")  # chunks have their numbers once written
+    asked = first.where("asks is not null").select("chunk", F.inline("asks"))
+    far = first.where("far").select("chunk", "doc_id", "held_out", "text")
 
     def answer(key: tuple, asked: pa.Table, have: pa.Table) -> pa.Table:
         own = have.to_pylist()[0] if have.num_rows else {"filters": [], "word_h": b"", "word_c": b""}
@@ -311,30 +303,27 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         high = shared.value[2]
-        grams, words = wanted(table)
+        said = [(tokens_of(data, offsets), table.slice(row, len(offsets) - 1)) for row, data, offsets in chunks(table.column("text"), CHUNK_BYTES)]
+        asked = [wanted(t, [pair, triple], at, part.column("held_out").to_numpy(), np.ones(len(at) - 1, bool)) for (t, pair, triple, at), part in said]
+        grams, words = (np.unique(np.concatenate([a[i] for a in asked])) if asked else np.empty(0, np.uint64) for i in (0, 1))
         answers = answers.sort_by("bucket")
         low = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
         counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
         out = []
-        for row, data, offsets in chunks(table.column("text")):
-            t, pair, triple, at = tokens_of(data, offsets)
-            rows = len(at) - 1
+        for (t, pair, triple, at), part in said:
             c, there = counts_of(t)
             if len(words):
                 place, rare = _find(words, t)
                 c = np.where(rare & ~there, counts[place], c)
-            held = np.repeat(table.column("held_out").slice(row, rows).to_numpy(), np.diff(at))
-            level = []
+            held, level = np.repeat(part.column("held_out").to_numpy(), np.diff(at)), []
             for g in (pair, triple):
-                place, asked = _find(grams, g)
-                found = np.where(asked, low[place], 0) if len(grams) else np.zeros(len(g), np.int64)
+                place, got = _find(grams, g)
+                found = np.where(got, low[place], 0) if len(grams) else np.zeros(len(g), np.int64)
                 level.append(high.climb(g, np.where(held, found, np.maximum(found, 1))))
             known, base, whole = _sums(c, *level, at, docs_learned, space)
-            part = table.slice(row, rows)
-            out.append(pa.table([part.column("doc_id"), part.column("held_out"), np.diff(at).astype(np.int64), known, np.full(rows, n, np.int64), base, whole], names=scored))
-        return pa.concat_tables(out)
+            out.append(pa.table([part.column("doc_id"), part.column("held_out"), np.diff(at).astype(np.int64), known, np.full(len(at) - 1, n, np.int64), base, whole], names=scored))
+        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in scored[2:5]), *((c, pa.float64()) for c in scored[5:])]).empty_table()
 
-    asked = far.groupBy("chunk").applyInArrow(ask, "chunk bigint, bucket bigint, grams binary, words binary")
     low = model.select("bucket", F.slice("filters", 1, least - 1).alias("filters"), "word_h", "word_c")
     answers = asked.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, levels binary, counts binary")
     settled = far.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds)
