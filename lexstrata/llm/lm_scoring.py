@@ -5,10 +5,11 @@ lookup probes level after level until one is missing. N-grams live in buckets of
 their sorted hashes and counts, delta-coded, and a bucket is turned into one piece of every level's filter. No n-gram is
 left out at any input size: buckets grow in number with the text.
 
-The levels from 'least' on are broadcast, least being 2 or the lowest level from which all fit in filter_bytes. An
-n-gram of a document learned from occurs, so its first level needs no probe; where least is 2 such documents are scored
-where they lie. All others (those held out, those with a word outside the broadcast head of exact word counts, and, where
-least is above 2, every document) ask the buckets: each chunk of documents sends a bucket the hashes it needs, the bucket
+The levels from 'least' on are broadcast, least being 2 or the lowest level from which all fit in filter_bytes, and the
+exact counts of the words counted head_from times or more, 2 or the lowest power of two that leaves at most 'head' of
+them. An n-gram of a document learned from occurs, so its first level needs no probe, and a word of one that the head
+lacks where head_from is 2 occurs once: such documents are scored where they lie. All others (those held out, those with a
+word outside the head where head_from is above 2, and, where least is above 2, every document) ask the buckets: each chunk of documents sends a bucket the hashes it needs, the bucket
 probes its own pieces and answers with levels and exact word counts, and the chunk puts the answers together. Both ways
 probe the same pieces, so the score does not depend on the bounds.
 
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from lexstrata.llm.common import Scratch
 from lexstrata.llm.tokens import chunks, constants, fold, mix, word_hashes
 
-HEAD, FILTER_BYTES, BITS_PER_ENTRY = 200_000, 96 << 20, 12
+HEAD, FILTER_BYTES, BITS_PER_ENTRY = 2_000_000, 96 << 20, 12
 ADD, TRIPLE_SHARE, PAIR_SHARE = 0.1, 0.5, 0.2
 #: Tokens a task counts before it sends them on, n-grams (with repeats) meant for a bucket, bytes of text in a chunk.
-FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 1_500_000, 1_500_000, 2 << 20
+FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 1_000_000, 1_500_000, 2 << 20
 END, START = constants(2, 21)
 _LEVELS = constants(64, 22)
 #: N-grams are known by 48 bits, words by 64.
@@ -240,7 +241,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     n, docs_learned, space = facts["n"], facts["ends"], facts["n"] + ADD * (facts["v"] + 1)
     sizes = {r.pos + 1: r.b for r in model.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("b")).collect()}
     least = next(q for q in range(2, 66) if sum(b for level, b in sizes.items() if level >= q) <= filter_bytes)
-    head_from = 2 ** next(k for k in range(50) if facts[f"k{k}"] <= head)
+    head_from = 2 ** next(k for k in range(1, 50) if facts[f"k{k}"] <= head)
     pieces: dict[int, list[tuple[int, bytes]]] = {}
     for r in model.select("bucket", F.slice("filters", least, 64).alias("filters")).toLocalIterator():  # filter_bytes at most
         for q, x in enumerate(r.filters, least):
@@ -254,7 +255,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
 
     def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct n-grams and words that the far documents of a chunk must ask for."""
-        words = t[np.repeat(far, np.diff(at)) & ~counts_of(t)[1]] if head_from > 1 else t[:0]
+        words = t[np.repeat(far & (held | (head_from > 2)), np.diff(at)) & ~counts_of(t)[1]]
         return np.unique(np.concatenate([g[np.repeat(far & (held | (least > 2)), np.diff(at))] for g in grams])), np.unique(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +267,10 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
                 rows, held = len(at) - 1, every[row : row + len(at) - 1]
                 c, there = counts_of(t)
                 far = held | (least > 2)
-                if head_from > 1:
+                if head_from > 2:
                     far = far | (np.add.reduceat((~there).astype(np.int64), at[:-1]) > 0)
-                near = np.repeat(~far, np.diff(at))  # all of these n-grams were counted
+                near = np.repeat(~far, np.diff(at))  # all of these tokens and n-grams were counted
+                c = np.where(near & ~there, 1, c)
                 level = [high.climb(g, np.where(near, 1, 0)) for g in (pair, triple)]
                 known, base, whole = _sums(c, *level, at, docs_learned, space)
                 grams, words = wanted(t, [pair, triple], at, held, far)
@@ -298,7 +300,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
             h, w = unpack(g.as_py(), False)[0], unpack(w.as_py(), False)[0]
             levels.append(low.climb(h, np.zeros(len(h), np.int64)).astype(np.uint8).tobytes())
             at, there = _find(known, w)
-            counts.append((np.where(there, count[at], 0) if len(known) else np.zeros(len(w), np.int64)).tobytes())
+            counts.append(np.uint64(len(w)).tobytes() + _narrow(np.where(there, count[at], 0) if len(known) else np.zeros(len(w), np.int64)))
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -308,7 +310,8 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         grams, words = (np.unique(np.concatenate([a[i] for a in asked])) if asked else np.empty(0, np.uint64) for i in (0, 1))
         answers = answers.sort_by("bucket")
         low = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
-        counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
+        counts = [_widen(np.frombuffer(x, np.uint8)[8:], int(np.frombuffer(x[:8], np.uint64)[0]))[0].astype(np.int64) for x in answers.column("counts").to_pylist()]
+        counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         out = []
         for (t, pair, triple, at), part in said:
             c, there = counts_of(t)
@@ -316,6 +319,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
                 place, rare = _find(words, t)
                 c = np.where(rare & ~there, counts[place], c)
             held, level = np.repeat(part.column("held_out").to_numpy(), np.diff(at)), []
+            c = np.where(~held & (c == 0), 1, c)  # only where head_from is 2 is such a word not asked for
             for g in (pair, triple):
                 place, got = _find(grams, g)
                 found = np.where(got, low[place], 0) if len(grams) else np.zeros(len(g), np.int64)
