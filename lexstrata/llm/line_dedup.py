@@ -9,20 +9,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.llm.common import Scratch, let, named
 
 MIN_SITES = 5
 LINE_ENDS = " \t\x0b\x0c\r"
+#: Places a boilerplate line's occurrences are dealt over, so that no line meets all of its own in one task.
+SALTS = 32
+
+
+def _row_key() -> Column:
+    """128 bits that tell rows apart; null differs from every text."""
+    parts = [named(F.col(c).cast("string")) for c in ("doc_id", "source", "text")]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("row"), *parts).alias("b"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    text, row = F.coalesce("text", F.lit("")), F.xxhash64("doc_id", "source", "text")
-    rows = docs.select("doc_id", row.alias("row"), named(F.col("source")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """doc_id, row, site, pos, h (128 bits) of every line with a word; only these columns, whatever else docs has."""
+    rows = docs.select("doc_id", _row_key().alias("row"), named(F.col("source")).alias("site"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     line = F.btrim("line", F.lit(LINE_ENDS))
-    return rows.where(line != "").select("doc_id", "row", "site", "pos", F.xxhash64(line).alias("h"))
+    return rows.where(line != "").select("doc_id", "row", "site", "pos", F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 10) -> DataFrame:
@@ -41,16 +49,21 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = 10) ->
     """All columns of docs, text without boilerplate, and n_lines, n_removed.
 
     Lines are \\n-split and compared without ASCII white space at their ends; lines without a word are never removed
-    nor counted. A null source is one site of its own. A null text is kept as null with 0 lines. Equal rows (same
-    doc_id, source and text) are treated alike: if one holds the first occurrence, each keeps it. No rows give none.
-    Columns of docs called n_lines or n_removed are replaced.
+    nor counted. A null source is one site of its own. A null text is kept as null with 0 lines, an empty one as empty.
+    Texts of any length are handled whole, a line at a time. Of equal lines the first by (doc_id, position) stays, null
+    doc_ids first. Equal rows (same doc_id, source and text) are treated alike: if one holds the first occurrence, each
+    keeps it. No rows give none. Columns of docs called n_lines or n_removed are replaced; any other name may occur.
     """
-    hits = _lines(docs).join(boilerplate(docs, min_sites, lg_k), "h").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    gone = hits.groupBy("row").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("row", "hit_row")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(LINE_ENDS)) != ""))
-    out = docs.drop("n_lines", "n_removed").withColumn("hit_row", F.xxhash64("doc_id", "source", "text")).join(gone, "hit_row", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda all_lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone")), lambda i: F.get(all_lines, i)), "\n")))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    salt = F.pmod(F.col("row.a"), F.lit(SALTS)).cast("int").alias("salt")
+    common = boilerplate(docs, min_sites, lg_k).select("h", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = _lines(docs).select("doc_id", "row", "pos", "h", salt).join(common, ["h", "salt"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
+    gone = hits.groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), _row_key().alias("row")).join(gone, "row", "left")
+    n_lines = F.size(F.filter(F.split(F.coalesce("d.text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(LINE_ENDS)) != ""))
+    left = let(F.split("d.text", "\n"), lambda every: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone")), lambda i: F.get(every, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(left)
+    return held.select(*[text.alias("text") if c == "text" else F.col("d").getField(c).alias(c) for c in kept], n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 ORACLE = r"""

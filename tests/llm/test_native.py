@@ -91,6 +91,22 @@ def test_op1_edges(spark, edge):
     assert line_dedup.dedup_lines(edge.limit(0)).count() == 0
 
 
+def test_op1_clashing_names_and_nulls(spark):
+    """Columns called like the operator's own survive; a null text is not charged with the lines of a row like it."""
+    rows = [(i, f"keep {i}\nshared", f"s{i}", i) for i in range(7)] + [(1, None, "z", 50), (1, "z", None, 51), (None, "shared", None, 52), (None, "shared", None, 52)]
+    names = "doc_id long, text string, source string, gone int"
+    docs = spark.createDataFrame(rows, names).selectExpr("*", "gone AS hit_row", "gone AS row", "gone AS d", "gone AS h", "gone AS salt", "gone AS `a.b`", "gone AS n_lines")
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.gone == r.hit_row == r.row == r.d == r.h == r.salt == r["a.b"]
+    by = {r.gone: r for r in got}
+    assert by[50].text is None and (by[50].n_lines, by[50].n_removed) == (0, 0) and by[51].text == "z"
+    assert [r.text for r in got if r.gone == 52] == ["shared", "shared"] and by[3].text == "keep 3" and by[3].n_removed == 1
+    long = spark.createDataFrame([(i, "x" * 1_000_000 + "\nsame\n" * 20_000, f"s{i}", i) for i in range(6)], names)
+    assert [r.n_removed for r in line_dedup.dedup_lines(long).orderBy("doc_id").collect()] == [19_999, *[20_001] * 5]
+
+
 def test_op1_exact_near_threshold(spark):
     rows = [(i * 10 + s, f"line of {i} sites", "en", f"s{s}", 1) for i in range(1, 9) for s in range(i)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).where("n_removed > 0").collect()
