@@ -77,8 +77,20 @@ def feature_of(payload: bytes) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+#: How the names that Hadoop gives to stores read elsewhere.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def store_uri(uri: str) -> str:
+    """A Hadoop URI as the file systems of Arrow know it; a bare path is a local one."""
+    scheme, there, rest = uri.partition("://")
+    if there:
+        return f"{_SCHEMES.get(scheme.lower(), scheme.lower())}://{rest}"
+    return "file://" + (uri[5:] if uri.startswith("file:") else uri)
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(store_uri(uri))
 
 
 class ShardWriter:
@@ -104,6 +116,12 @@ class ShardWriter:
         self.at += len(head) + len(image) + (-len(image) % 512)
         return place
 
+    def __enter__(self) -> ShardWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def close(self) -> None:
         if self.out is not None:
             self.out.write(bytes(1024))
@@ -117,41 +135,44 @@ def store(docs: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _open(folder)
         where.create_dir(path, recursive=True)
-        writer = ShardWriter(folder)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(k, 512), []
-                for text in part.column("text").to_pylist():
-                    data = (text or "").encode()
-                    payload = pad(data)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    rows.append((len(data), digest, *writer.put(digest, payload)))
-                n, digest, shard, at, size = map(list, zip(*rows, strict=True))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "digest": digest, "shard": shard, "at": pa.array(at, pa.int64()), "media_bytes": pa.array(size, pa.int64())})
-        writer.close()
+        with ShardWriter(folder) as writer:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 512):
+                    part, rows = batch.slice(k, 512), []
+                    for text in part.column("text").to_pylist():
+                        data = (text or "").encode()
+                        payload = pad(data)
+                        digest = hashlib.sha256(payload).hexdigest()
+                        rows.append((len(data), digest, *writer.put(digest, payload)))
+                    n, digest, shard, at, size = map(list, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "digest": digest, "shard": shard, "at": pa.array(at, pa.int64()), "media_bytes": pa.array(size, pa.int64())})
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, digest string, shard string, at bigint, media_bytes bigint")
     return scratch.save(rows, "rows")
 
 
 def read_headers(catalogue: DataFrame) -> DataFrame:
-    """The catalogue with width, height and bits, read from the first bytes of each image only."""
+    """The catalogue with width, height and bits, read from the first HEADER bytes of each image and nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for shard, at in _ranges(b):
-                with _reader(shard) as f:
-                    for k, offset, _ in at:
-                        f.seek(offset)
-                        got.append((k, *png_size(f.read(HEADER))))
-            got.sort()
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[i] for g in got], pa.int64()) for i in (1, 2, 3))], names=[*b.schema.names, "width", "height", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *header_columns(b)], names=[*b.schema.names, "width", "height", "bits"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in catalogue.dtypes)
     return catalogue.mapInArrow(run, f"{kinds}, width bigint, height bigint, bits bigint")
 
 
+def header_columns(b: pa.RecordBatch) -> list[pa.Array]:
+    """Width, height and bits of the images of a batch of (shard, at, media_bytes)."""
+    out = np.zeros((b.num_rows, 3), np.int64)
+    for shard, at in _ranges(b):
+        with _reader(shard) as f:
+            for k, offset, _ in at:
+                f.seek(offset)
+                out[k] = png_size(f.read(HEADER))
+    return [pa.array(out[:, i]) for i in range(3)]
+
+
 def _reader(shard: str):
     where, path = _open(shard)
     return where.open_input_file(path)
@@ -166,41 +187,42 @@ def _ranges(b: pa.RecordBatch) -> list[tuple[str, list[tuple[int, int, int]]]]:
 
 
 def read_back(catalogue: DataFrame) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_sha256, width, height, feature: from the stored bytes."""
+    """The catalogue (digest, shard, at, media_bytes) with what its stored bytes say: width, height and bits from a range
+    read of the header alone; payload_bytes, payload_sha256, tail_crc32, media_sha256 and feature from one of the image."""
+    schema = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests = b.column("digest").to_pylist()
-            out = []
-            for shard, at in _ranges(b):
-                with _reader(shard) as f:
-                    for k, offset, n in at:
-                        f.seek(offset)
-                        image = f.read(n)
-                        width, height, _ = png_size(image[:HEADER])
-                        payload = from_png(image)
-                        sha = hashlib.sha256(payload).hexdigest()
-                        if sha != digests[k]:
-                            raise ValueError(f"{shard} at {offset} does not hold {digests[k]}")
-                        out.append((digests[k], len(payload), sha, zlib.crc32(payload[-ROW:]), hashlib.sha256(image).hexdigest(), width, height, feature_of(payload)))
-            if out:
-                cols = list(map(list, zip(*out, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (1, 3, 5, 6) else pa.string()) for i, c in enumerate(cols)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "width", "height", "feature"])
-
-    kind = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, width bigint, height bigint, feature string"
-    return catalogue.select("digest", "shard", "at", "media_bytes").mapInArrow(run, kind)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                heads, digests, out = header_columns(b), b.column("digest").to_pylist(), [None] * b.num_rows
+                for shard, at in _ranges(b):
+                    with _reader(shard) as f:
+                        for k, offset, n in at:
+                            f.seek(offset)
+                            image = f.read(n)
+                            payload = from_png(image)
+                            sha = hashlib.sha256(payload).hexdigest()
+                            if sha != digests[k]:
+                                raise ValueError(f"{shard} at {offset} does not hold {digests[k]}")
+                            out[k] = (len(payload), sha, zlib.crc32(payload[-ROW:]), hashlib.sha256(image).hexdigest(), feature_of(payload))
+                cols = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([*b.columns, *heads, *(pa.array(c, f.type) for c, f in zip(cols, schema, strict=True))], names=[*b.schema.names, "width", "height", "bits", *schema.names])
+
+    kind = "width bigint, height bigint, bits bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string"
+    return catalogue.select("digest", "shard", "at", "media_bytes").mapInArrow(run, f"digest string, shard string, at bigint, media_bytes bigint, {kind}")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, digest, media_bytes, and what read_back finds.
+    """doc_id, n_bytes, digest, shard, at (offset), media_bytes (length), and what read_back finds there.
 
-    A null text counts as empty; an empty text is one row of zeros. Equal texts share one stored image per shard and
-    have equal values. Repeated rows stay; a null doc_id is kept; other columns are ignored; no documents give no
-    rows. folder: where the shards go, by default into the shared folder.
+    A null text counts as empty; an empty text is one row of zeros. A text of any length is one payload, held whole by
+    its task. Equal texts have equal values: a shard stores them once, and all rows of a digest point at the one copy that
+    is read back. Repeated rows stay; a null doc_id is kept; other columns are ignored; no documents give no rows.
+    folder: where the shards go, by default into the shared folder; they stay there, as the rows point at them.
     """
     scratch = Scratch(docs.sparkSession)
     rows = store(docs, folder or scratch.path("shards"), scratch)
     catalogue = rows.groupBy("digest").agg(F.min(F.struct("shard", "at", "media_bytes")).alias("x")).select("digest", "x.*")
     found = scratch.save(read_back(catalogue.repartitionByRange("shard", "at")), "found")
-    return rows.select("doc_id", "n_bytes", "digest", "media_bytes").join(found, "digest")
-
+    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
