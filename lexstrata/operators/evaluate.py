@@ -12,14 +12,14 @@ LOCATION = ("madde_type", "madde", "fikra", "bent", "alt_bent")
 BLOCK_OPERATIONS = ("BIRIM_DEGISTIR", "BIRIM_EKLE")
 
 
-def record_key(columns: Sequence[str]) -> Column:
+def text_key(columns: Sequence[str]) -> Column:
     """A key under which null and empty texts are one and white space does not count."""
     return F.concat_ws("\x1f", *[F.coalesce(F.trim(F.regexp_replace(F.translate(F.col(c).cast("string"), "“”", ""), r"\s+", " ")), F.lit("")) for c in columns])
 
 
 def prf(predicted: DataFrame, gold: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Multiset precision, recall and F1 per group: by, tp, n_pred, n_gold, precision, recall, f1."""
-    side = lambda df, n: df.select(*by, record_key(columns).alias("k")).groupBy(*by, "k").agg(F.count("*").alias(n))
+    side = lambda df, n: df.select(*by, text_key(columns).alias("k")).groupBy(*by, "k").agg(F.count("*").alias(n))
     both = side(predicted, "p").join(side(gold, "g"), [*by, "k"], "full_outer").fillna(0, ["p", "g"])
     n = both.groupBy(*by).agg(F.sum(F.least("p", "g")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
     p, r = F.col("tp") / F.greatest("n_pred", F.lit(1)), F.col("tp") / F.greatest("n_gold", F.lit(1))
@@ -40,50 +40,38 @@ def quality_label(statuses: Column, text: Column) -> Column:
     )
 
 
+_RECORD_FIELDS = ("operation", "unit", "madde_type", "madde", "fikra", "bent", "alt_bent", "cumle", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after")
+
+
 def build_examples(articles: DataFrame, verified: DataFrame) -> DataFrame:
-    """Every amending article (doc_id, article, sentence) with its records and the quality of its label."""
-    per = verified.groupBy("doc_id", "article").agg(F.transform(F.array_sort(F.collect_list(F.struct("rec", "status"))), lambda x: x["status"]).alias("statuses"))
-    out = articles.join(per, ["doc_id", "article"], "left").withColumn("statuses", F.coalesce("statuses", F.array().cast("array<string>")))
+    """Every amending article (doc_id, article, sentence, block) with its records and statuses, in order, and the quality
+    of its label. Articles without records have empty arrays."""
+    held = F.array_sort(F.collect_list(F.struct("rec", "status", F.struct(*_RECORD_FIELDS).alias("r"))))
+    per = verified.groupBy("doc_id", "article").agg(held.alias("held"))
+    out = articles.join(per, ["doc_id", "article"], "left").withColumn("statuses", F.coalesce(F.transform("held", lambda x: x["status"]), F.array().cast("array<string>")))
+    kind = out.schema["held"].dataType.elementType["r"].dataType.simpleString()
+    out = out.withColumn("records", F.coalesce(F.transform("held", lambda x: x["r"]), F.array().cast(f"array<{kind}>"))).drop("held")
     return out.withColumn("quality", quality_label(F.col("statuses"), F.col("sentence")))
 
 
 def with_split(examples: DataFrame, splits: DataFrame) -> DataFrame:
-    return examples.join(splits.select("source", F.col("split").alias("given")), "source", "left").withColumn("split", F.coalesce("given", F.lit("train"))).drop("given")
-
+    """examples with the split of their source; sources in none are in train. An own column split is replaced."""
+    return examples.drop("split").join(splits.select("source", F.col("split").alias("_given")), "source", "left").withColumn("split", F.coalesce("_given", F.lit("train"))).drop("_given")
 
-def linearize(c: dict[str, Column]) -> Column:
-    """One record as 'OP | location | key=value ...'; block operations leave their text out."""
-    clean = lambda x: F.replace(F.replace(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("|"), F.lit("/")), F.lit(";;"), F.lit(";"))
-    pair = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), clean(v.cast("string"))))
-    place = F.concat_ws(" ", *[pair(k, c[k]) for k in (*LOCATION, "cumle")])
-    new = F.when(~c["operation"].isin(*BLOCK_OPERATIONS), c["new_text"])
-    return F.concat_ws(" | ", c["operation"], place, *[pair(k, v) for k, v in (("unit", c["unit"]), ("old_text", c["old_text"]), ("new_text", new), ("anchor_text", c["anchor_text"]), ("anchor_position", c["anchor_position"]))])
 
-
-def delinearize(lines: Column) -> Column:
-    """array<map<string,string>> of ';;'-joined records; malformed ones are left out."""
-    parts = F.transform(F.split(lines, r"\s*;;\s*"), lambda r: F.split(r, r"\s*\|\s*"))
-    good = F.filter(parts, lambda p: F.size(p) >= 2)
-    pairs = lambda p: F.map_from_entries(F.transform(F.filter(F.concat(F.split(p[1], " "), F.slice(p, 3, F.greatest(F.size(p), F.lit(1)))), lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.substring_index(x, "=", 1), F.substr(x, F.call_function("instr", x, F.lit("=")) + 1))))
-    return F.transform(good, lambda p: F.map_concat(F.create_map(F.lit("operation"), p[0]), pairs(p)))
+def split_stats(examples: DataFrame) -> DataFrame:
+    """split, quality, n: counts, with a row per split (quality null) and one over all (both null)."""
+    return examples.rollup("split", "quality").agg(F.count("*").alias("n"))
 
 
 def keep_first(records: DataFrame, group: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:
-    """Without the later ones of equal records of a group."""
-    rank = F.row_number().over(W.partitionBy(*group, record_key(columns)).orderBy(order))
-    return records.withColumn("_n", rank).where("_n = 1").drop("_n")
+    """Without the later ones of equal records of a group. Null and empty fields are one; no rows give none."""
+    rank = F.row_number().over(W.partitionBy(*group, text_key(columns)).orderBy(order))
+    rows = records.select(F.struct("*").alias("_row"), rank.alias("_rank")).where("_rank = 1")
+    return rows.select("_row.*")
 
 
 def hybrid(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
-    """candidates (group, priority, ...): the rows of the first priority that has any, per group."""
+    """candidates (group, priority, ...): the rows of the first priority that has any, per group. Null groups have none."""
     best = candidates.groupBy(*group).agg(F.min("priority").alias("priority"))
     return candidates.join(best, [*group, "priority"], "left_semi")
-
-
-def few_shot(pool: DataFrame, predicates: Sequence[Column]) -> list[str]:
-    """ids: for each predicate in turn the shortest unused row that meets it (ties by id)."""
-    chosen: list[str] = []
-    for p in predicates:
-        top = pool.where(p & ~F.col("id").isin(chosen)).agg(F.min(F.struct(F.length("input"), "id")).alias("x")).first()["x"]
-        chosen += [top["id"]] if top else []
-    return chosen

@@ -1,41 +1,34 @@
-"""Amendment records from amending texts, by native expressions: clauses, their operation, texts and location."""
+"""Amendment records from amending texts: articles and their target by windows, sentences by the token grammar."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import ORDINAL, ordinal, unit_name
+from lexstrata.operators.grammar import article_records
 from lexstrata.operators.structure import ARTICLE, lines_of
 
-Q = "“([^“”]*)”"
-PHRASE = "ibare(?:si|leri)"
-#: A unit word is followed by its case ending.
-UNIT = r"((?:geçici madde|ek madde|madde|fıkra|alt bend|bend|cümle)[a-zçğıöşü]*)"
-OPERATIONS = {
-    "IBARE_EKLE": rf"{Q}\s+ibare(?:sinden|lerinden)\s+(sonra|önce)\s+gelmek\s+üzere\s+{Q}\s+{PHRASE}",
-    "IBARE_DEGISTIR": rf"{Q}\s+{PHRASE}\s+{Q}\s+(?:şeklinde|şeklide|olarak)",
-    "BASLIK_DEGISTIR": rf"başlığı\s+{Q}\s+şeklinde",
-    "EK_EKLE": r"(E[Kk]-\d+(?:[-/][A-Z])?)\S*\s+eklenmiş",
-    "EK_DEGISTIR": r"(E[Kk]-\d+(?:[-/][A-Z])?)\S*\s+ekteki\s+şekilde\s+değiştirilmiş",
-    "IBARE_KALDIR": rf"{Q}\s+{PHRASE}\s+(?:yürürlükten\s+kaldırılmış|metinden\s+çıkarılmış)",
-    "BIRIM_DEGISTIR": rf"{UNIT}\s+(?:başlığı(?:yla|\s+ile)\s+birlikte\s+)?aşağıdaki\s+şekilde\s+değiştirilmiş",
-    "BIRIM_KALDIR": rf"{UNIT}\s+yürürlükten\s+kaldırılmış",
-    "BIRIM_EKLE": rf"aşağıda(?:ki|\s+yer\s+alan)\s+(?:\S+\s+){{0,6}}?{UNIT}\s+eklenmiş",
-}
-ANY = "|".join(f"(?:{p})" for p in OPERATIONS.values())
-CLAUSE = rf"(?s).*?(?:{ANY})"
-REGULATION = r"yayımlanan\s+(.+?\s+(?:Yönetmeli[kğ]|Tebli[ğg])[a-zçğıöşü]*)"
-
-
-def _last(segment: Column, regex: str) -> Column:
-    """The first group of the last match, or null."""
-    return F.element_at(F.nullif(F.regexp_extract_all(segment, F.lit(regex), F.lit(1)), F.array().cast("array<string>")), -1)
+#: How a sentence names the regulation it amends.
+CASE = r"(?:(?:in(?:in)?|(?:in)?e)(?![a-zçğıöşü])|i?\s*\([^)]*\)\s*[’'`]n?[iıea]n?(?![a-zçğıöşü]))"
+NAMED = rf"yayımlanan\s+(.+?)\s*(Yönetmeli|Tebli)ğ{CASE}"
+MEANT = rf"(?:Yönetmeli|Tebli)ğ{CASE}"
+RECORD = (
+    "operation string, unit string, madde_type string, madde string, fikra int, bent string, alt_bent int, cumle string, "
+    "old_text string, new_text string, anchor_text string, anchor_position string, insert_after string"
+)
+_FIELDS = {"fikra": pa.int32(), "alt_bent": pa.int32()}
+_STRUCT = pa.struct([(x.split(" ")[0], _FIELDS.get(x.split(" ")[0], pa.string())) for x in RECORD.split(", ")])
 
 
 def amending_articles(docs: DataFrame) -> DataFrame:
-    """doc_id, article, sentence (its first line without the head), block (the lines after it)."""
+    """doc_id, article, amending_article (its number), sentence (its first line without the head), block (the lines after it).
+
+    A null or empty text has no articles. Lines within quotation marks open none.
+    """
     rows = lines_of(docs).where("line <> ''")
     head = ~F.col("quoted") & F.col("line").rlike(ARTICLE)
     doc = W.partitionBy("doc_id").orderBy("pos")
@@ -46,46 +39,24 @@ def amending_articles(docs: DataFrame) -> DataFrame:
 
 
 def extract_amendments(docs: DataFrame) -> DataFrame:
-    """A row per record: doc_id, amending_article, rec, regulation, operation, unit, madde_type, madde, fikra, bent,
-    alt_bent, cumle, old_text, new_text, anchor_text, anchor_position.
+    """A row per record: doc_id, article, amending_article, rec (from 0 within its article), regulation, then RECORD.
 
-    A location is what the words before the operation name; levels they leave out come from the record before in the
-    same article, as long as no higher level changed. The regulation comes from the last article that named one.
+    Lists of targets give a record each. Levels a sentence leaves out come from the operation before it in the article.
+    The regulation is the one named last; an article that neither names one nor speaks of a regulation gives nothing.
+    A null or empty text has no records; repeated doc_ids are one text; other columns are ignored.
     """
     rows = amending_articles(docs)
-    by_doc = W.partitionBy("doc_id").orderBy("article")
-    named = F.nullif(F.regexp_extract("sentence", REGULATION, 1), F.lit(""))
-    rows = rows.withColumn("regulation", F.last(named, True).over(by_doc))
-    clauses = F.regexp_extract_all("sentence", F.lit(CLAUSE), F.lit(0))
-    rows = rows.select("*", F.posexplode(clauses).alias("rec", "clause"))
-    op = F.lit(None).cast("string")
-    for name, regex in reversed(OPERATIONS.items()):
-        op = F.when(F.col("clause").rlike(f"(?:{regex})$"), name).otherwise(op)
-    rows = rows.withColumn("operation", op)
-    got = lambda name, i: F.when(F.col("operation") == name, F.regexp_extract("clause", f"(?:{OPERATIONS[name]})$", i))
-    place = F.regexp_replace("clause", "“[^“”]*”", "“”")
-    place = F.when(F.col("operation").isin("BIRIM_DEGISTIR", "BIRIM_KALDIR"), place).otherwise(F.regexp_replace(place, r"aşağıda(?:ki|\s+yer\s+alan)\b.*$", ""))
-    rows = rows.withColumn("place", place)
-    madde = _last(F.col("place"), r"(\d+(?:/[A-ZÇĞİÖŞÜ]|\s*(?:inci|ıncı|nci|ncı|üncü|uncu|ncü|ncu))?)\s+madde(?!sinden)")
-    kind = F.when(F.col("place").rlike(r"(?i)geçici\s+(?:madde\s+)?\d"), "gecici").when(F.col("place").rlike(r"(?i)\bek\s+(?:madde\s+)?\d"), "ek").otherwise("normal")
-    fikra = ordinal(_last(F.col("place"), rf"({ORDINAL})\s+fıkra(?!sından)"))
-    bent = _last(F.col("place"), r"\(([a-zçğıöşü]{1,3})\)\s+bend(?!inden)")
-    alt = _last(F.col("place"), r"\((\d+)\)\s+numaralı\s+alt\s+bend(?!inden)").cast("int")
-    cumle = ordinal(_last(F.col("place"), rf"({ORDINAL})\s+cümle")).cast("string")
-    rows = rows.withColumn("m", F.regexp_extract(madde, r"\d+(?:/[A-ZÇĞİÖŞÜ])?", 0)).withColumn("k", F.when(madde.isNotNull(), kind))
-    rows = rows.withColumn("f", fikra).withColumn("b", bent).withColumn("a", alt).withColumn("c", cumle)
-    art = ["doc_id", "article"]
-    order = W.partitionBy(*art).orderBy("rec")
-    rows = rows.withColumn("mg", F.count("m").over(order)).withColumn("fg", F.count("f").over(order)).withColumn("bg", F.count("b").over(order))
-    deep = lambda *levels: W.partitionBy(*art, *levels).orderBy("rec")
-    rows = rows.withColumn("madde", F.last("m", True).over(order)).withColumn("madde_type", F.coalesce(F.last("k", True).over(order), F.lit("normal")))
-    rows = rows.withColumn("fikra", F.last("f", True).over(deep("mg"))).withColumn("bent", F.last("b", True).over(deep("mg", "fg"))).withColumn("alt_bent", F.last("a", True).over(deep("mg", "fg", "bg")))
-    quoted = F.col("operation").isin("BIRIM_DEGISTIR", "BIRIM_EKLE")
-    block = F.when(quoted, F.regexp_replace(F.trim("block"), "^“|”$", ""))
-    return rows.select(
-        "doc_id", "article", "amending_article", "rec", "regulation", "operation",
-        F.coalesce(*[unit_name(got(n, 1)) for n in ("BIRIM_DEGISTIR", "BIRIM_KALDIR", "BIRIM_EKLE")]).alias("unit"), "madde_type",
-        F.coalesce(got("EK_EKLE", 1), got("EK_DEGISTIR", 1), F.col("madde")).alias("madde"), "fikra", "bent", "alt_bent", F.col("c").alias("cumle"),
-        F.coalesce(got("IBARE_DEGISTIR", 1), got("IBARE_KALDIR", 1)).alias("old_text"),
-        F.coalesce(got("IBARE_DEGISTIR", 2), got("IBARE_EKLE", 3), got("BASLIK_DEGISTIR", 1), block).alias("new_text"),
-        got("IBARE_EKLE", 1).alias("anchor_text"), got("IBARE_EKLE", 2).alias("anchor_position"))
+    name = F.when(F.col("sentence").rlike(NAMED), F.concat(F.trim(F.regexp_extract("sentence", NAMED, 1)), F.when(F.regexp_extract("sentence", NAMED, 2) == "Tebli", " Tebliğ").otherwise(" Yönetmelik")))
+    rows = rows.withColumn("regulation", F.last(name, True).over(W.partitionBy("doc_id").orderBy("article")))
+    rows = rows.where(F.col("sentence").rlike(MEANT) & F.col("sentence").rlike("miş|mış|düzenlemeler"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = zip(b.column("sentence").to_pylist(), b.column("block").to_pylist(), strict=True)
+            found = pa.array([article_records(s, t) for s, t in said], pa.list_(_STRUCT))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), found], names=[*keys, "records"])
+
+    keys = ["doc_id", "article", "amending_article", "regulation"]
+    kinds = dict(rows.dtypes)
+    found = rows.select(*keys, "sentence", "block").mapInArrow(read, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", records array<struct<{RECORD.replace(' ', ':').replace(',:', ', ')}>>")
+    return found.select(*keys[:3], "regulation", F.posexplode("records").alias("rec", "r")).select("doc_id", "article", "amending_article", "rec", "regulation", "r.*")

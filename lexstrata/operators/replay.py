@@ -1,94 +1,156 @@
-"""Replay of amendment records: every unit folds the records of its scope, in order, into versions."""
+"""Replay of amendment records: every article folds its records, in order, into versions of its units."""
 
 from __future__ import annotations
 
 import datetime
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-from lexstrata.functions.text import is_tombstone, version_norm
-from lexstrata.operators.verify import LEVELS, record_key
-
-APPLIED, NO_TARGET, NO_TEXT, UNSUPPORTED = "uygulandi", "hedef_bulunamadi", "metin_bulunamadi", "desteklenmiyor"
-
-
-def _step(text: Column, r: Column) -> tuple[Column, Column]:
-    """(text after the record, status). A null text is a unit that is not there."""
-    op, old, new, anchor = r["operation"], r["old_text"], F.coalesce(r["new_text"], F.lit("")), r["anchor_text"]
-    has = lambda x: F.coalesce(F.contains(text, x), F.lit(False)) & (F.coalesce(x, F.lit("")) != "")
-    at = F.call_function("instr", text, anchor)
-    put = F.when(r["anchor_position"] == "önce", F.concat(F.substr(text, F.lit(1), at - 1), new, F.lit(" "), F.substr(text, at))).otherwise(
-        F.concat(F.substr(text, F.lit(1), at + F.char_length(anchor) - 1), F.lit(" "), new, F.substr(text, at + F.char_length(anchor))))
-    bare = F.regexp_replace(F.trim(new), r"(?U)^(?:\(\d+\)|\w{1,3}\))\s*", "")
-    after = (
-        F.when((op == "IBARE_DEGISTIR") & has(old), F.replace(text, old, new))
-        .when((op == "IBARE_KALDIR") & has(old), F.trim(F.regexp_replace(F.replace(text, old, F.lit("")), r"\s{2,}", " ")))
-        .when((op == "IBARE_EKLE") & has(anchor), put)
-        .when((op == "BIRIM_DEGISTIR") & r["whole"] & (bare != ""), bare)
-        .when((op == "BIRIM_EKLE") & r["whole"] & (bare != ""), bare)
-        .when((op == "BIRIM_KALDIR"), F.lit(None).cast("string"))
-        .otherwise(text)
-    )
-    phrase = op.isin("IBARE_DEGISTIR", "IBARE_KALDIR", "IBARE_EKLE")
-    status = (
-        F.when(op.isin("EK_EKLE", "EK_DEGISTIR") | ~(phrase | op.isin("BIRIM_DEGISTIR", "BIRIM_EKLE", "BIRIM_KALDIR")), UNSUPPORTED)
-        .when(phrase & text.isNull(), NO_TARGET)
-        .when(phrase & ~F.when(op == "IBARE_EKLE", has(anchor)).otherwise(has(old)), NO_TEXT)
-        .when((op == "BIRIM_DEGISTIR") & text.isNull(), NO_TARGET)
-        .when(op.isin("BIRIM_DEGISTIR", "BIRIM_EKLE") & (~r["whole"] | (bare == "")), UNSUPPORTED)
-        .otherwise(APPLIED)
-    )
-    return after, status
+from pyspark.sql.types import DoubleType, StringType
 
+from lexstrata.functions.text import ALPHABET, collapse, diff_sentences, gazette_label, is_tombstone, version_norm
+from lexstrata.operators.fold import ARTICLE_UNITS, NO_TARGET, UNSUPPORTED, fold
+from lexstrata.operators.structure import ARTICLE, parse_units
+from lexstrata.operators.verify import LEVELS, location_key
+
+STEP = "struct<step:int,seq:bigint,rec:int,date:date,operation:string,status:string>"
+UNIT = "struct<since:int,until:int,fikra:int,bent:string,alt_bent:int,raw:string>"
+RESULT = f"source string, key string, pos double, steps array<{STEP}>, units array<{UNIT}>, titles array<struct<since:int,title:string>>"
+_PARSED = "array<struct<fikra:int,bent:string,alt_bent:int,raw:string>>"
+_FIELDS = ("seq", "rec", "date", "operation", "unit", "fikra", "bent", "alt_bent", "cumle", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after")
 
-def replay(units: DataFrame, records: DataFrame) -> DataFrame:
-    """source, key, fikra, bent, alt_bent, versions array<struct<seq, rec, date, text, status>> in order.
 
-    units (doc_id = source, key, the levels, text) hold the original texts; records are as for verify, with a date. A
-    record reaches the units of its scope: those equal to it on each level it names. Units that only records add
-    start absent. Version 0 is the original, with a null date. A unit's records are bounded by its amendments.
+def new_blocks(records: DataFrame) -> DataFrame:
+    """block, article, n_key, parsed_title, parsed_head, parsed: the new texts of unit records, parsed, an article a row.
+
+    A text without an article's head is parsed as the body of one; n_key is then null.
     """
-    base = units.select(F.col("doc_id").alias("source"), "key", *LEVELS, "text")
-    keyed = records.withColumn("key", record_key())
-    added = keyed.where("operation = 'BIRIM_EKLE' and key is not null").select("source", "key", *LEVELS).distinct()
-    on = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("source", "key", *LEVELS)]
-    base = base.unionByName(added.alias("n").join(base.alias("o"), on("n", "o"), "left_anti").withColumn("text", F.lit(None).cast("string")))
-    scope = F.lit(True)
-    for c in LEVELS:
-        scope = scope & (F.col(f"r.{c}").isNull() | F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}")))
-    exact = F.lit(True)
-    for c in LEVELS:
-        exact = exact & F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}"))
-    fields = ["seq", "rec", "date", "operation", "old_text", "new_text", "anchor_text", "anchor_position"]
-    hits = base.alias("u").join(keyed.alias("r"), [F.col("u.source") == F.col("r.source"), F.col("u.key") == F.col("r.key"), scope])
-    hits = hits.select("u.source", "u.key", *[F.col(f"u.{c}") for c in LEVELS], F.struct(*[F.col(f"r.{c}").alias(c) for c in fields], exact.alias("whole")).alias("r"))
-    per_unit = hits.groupBy("source", "key", *LEVELS).agg(F.array_sort(F.collect_list("r")).alias("records"))
-    rows = base.alias("u").join(per_unit.alias("p"), on("u", "p"), "left").select("u.*", "p.records")
-    kind = "array<struct<seq:bigint,rec:int,date:date,text:string,status:string>>"
-    start = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(-1).alias("rec"), F.lit(None).cast("date").alias("date"), F.col("text").alias("text"), F.lit("orijinal").alias("status"))).cast(kind)
-
-    def fold(done: Column, r: Column) -> Column:
-        after, status = _step(F.element_at(done, -1)["text"], r)
-        return F.concat(done, F.array(F.struct(r["seq"].cast("bigint").alias("seq"), r["rec"].cast("int").alias("rec"), r["date"].cast("date").alias("date"), after.alias("text"), status.alias("status"))))
-
-    versions = F.when(F.col("records").isNull(), start).otherwise(F.aggregate("records", start, fold))
-    return rows.select("source", "key", *LEVELS, versions.alias("versions"))
+    texts = records.where(F.col("operation").isin("BIRIM_DEGISTIR", "BIRIM_EKLE")).select("new_text").where("new_text is not null").distinct()
+    headed = F.col("new_text").rlike("(?m)" + ARTICLE)
+    docs = texts.select(F.col("new_text").alias("doc_id"), F.concat(F.lit("YENİ METİN\n"), F.when(headed, F.col("new_text")).otherwise(F.concat(F.lit("MADDE 0 – "), F.regexp_replace("new_text", r"^\s*([a-zçğıöşü]{1,3}\)|\d+\))", "\n$1")))).alias("text"))
+    # an item or sub-item stands on a line of its own; a sub-item needs an open item, named as no real one is
+    sub = F.col("text").rlike(r"(?m)^MADDE 0 – \n\d+\)")
+    docs = docs.withColumn("text", F.when(sub, F.regexp_replace("text", r"MADDE 0 – \n", "MADDE 0 – \nzzz)\n")).otherwise(F.col("text")))
+    units = parse_units(docs).where("not (bent <=> 'zzz' and alt_bent is null and text = '')")
+    rows = F.array_sort(F.collect_list(F.struct("pos", "fikra", F.expr("nullif(bent, 'zzz')").alias("bent"), "alt_bent", "raw")))
+    out = units.groupBy(F.col("doc_id").alias("block"), "article").agg(F.first("key").alias("n_key"), F.first("title").alias("parsed_title"), rows.alias("parsed"))
+    own = F.col("n_key") != "0"
+    parsed = F.transform(F.filter("parsed", lambda x: own | (x["raw"] != "")), lambda x: F.struct(x["fikra"], x["bent"], x["alt_bent"], x["raw"])).cast(_PARSED)
+    return out.select("block", "article", F.when(own, F.col("n_key")).alias("n_key"), "parsed_title", own.alias("parsed_head"), parsed.alias("parsed"))
 
 
-def as_of(versions: DataFrame, day: datetime.date | Column) -> DataFrame:
-    """The text of every unit on a day: its last version whose date is null or not after it."""
+def replay(units: DataFrame, records: DataFrame) -> DataFrame:
+    """source, key, pos, steps, units, titles: a row per article.
+
+    units: as the structural parse of the original texts gives them, doc_id being the source. records: those of
+    extraction with source, seq (order of the amending texts) and date. steps holds each record's outcome; units each
+    state of each unit, alive from step since to before step until; titles likewise. Of an article key that repeats, the
+    first article counts. New articles come after the article whose number theirs extends, or at the end.
+    Records without an article are in no row; lost_records has them. An article's records are bounded by its amendments.
+    Null texts of records are unsupported or not found, not errors; other columns are ignored.
+    """
+    first = units.groupBy("doc_id", "key").agg(F.min("article").alias("article"))
+    base = units.join(first, ["doc_id", "key", "article"]).groupBy(F.col("doc_id").alias("source"), "key").agg(
+        F.min("article").cast("double").alias("pos"), F.first("title", True).alias("title"), F.array_sort(F.collect_list(F.struct("pos", *LEVELS, "raw"))).alias("units"))
+    adds = (F.col("operation") == "BIRIM_EKLE") & F.coalesce(F.col("unit").isin(*ARTICLE_UNITS), F.lit(False))
+    r = records.select("source", *_FIELDS, location_key().alias("at_key"), adds.alias("adds"))
+    blocks = new_blocks(records)
+    r = r.join(blocks, F.col("new_text") == F.col("block"), "left").where("article is null or article = 1 or adds").withColumn("key", F.when(F.col("adds"), F.coalesce("n_key", "at_key")).otherwise(F.col("at_key"))).where("key is not null")
+    stem = F.regexp_extract("key", r"^(\d+)/", 1)
+    there = base.select("source", F.col("key").alias("stem"), F.col("pos").alias("stem_pos")).unionByName(r.where("adds").select("source", F.col("key").alias("stem"), F.lit(None).cast("double").alias("stem_pos")))
+    there = there.groupBy("source", "stem").agg(F.max("stem_pos").alias("stem_pos"))
+    r = r.withColumn("stem", F.when(F.col("adds"), stem)).join(there, ["source", "stem"], "left").withColumn("base_found", (F.coalesce("stem", F.lit("")) == "") | F.col("stem_pos").isNotNull())
+    # lettered articles follow their stem, others the last article
+    letter = F.call_function("instr", F.lit(ALPHABET), F.lower(F.translate(F.regexp_extract("key", "/(.)$", 1), "Iİ", "ıi")))
+    place = F.when(F.col("adds"), F.coalesce(F.col("stem_pos") + (letter + 1) / 64, F.lit(1e9) + F.col("seq")))
+    rows = r.groupBy("source", "key").agg(F.min(place).alias("new_pos"), F.array_sort(F.collect_list(F.struct("seq", "rec", F.coalesce("article", F.lit(0)).alias("article"), *_FIELDS[2:], "parsed_title", "parsed_head", "parsed", "base_found"))).alias("records"))
+    both = base.join(rows, ["source", "key"], "full_outer").select("source", "key", F.coalesce("pos", "new_pos").alias("pos"), "title", "units", "records")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {"steps": [], "units": [], "titles": []}
+            for title, own, todo in zip(*(b.column(c).to_pylist() for c in ("title", "units", "records")), strict=True):
+                todo = todo or []
+                said, versions, titles = fold(title, own or [], [{**x, "parsed": x["parsed"] or []} for x in todo])
+                out["steps"].append([{"step": k, "status": s, **{c: x[c] for c in ("seq", "rec", "date", "operation")}} for k, (s, x) in enumerate(zip(said, todo, strict=True), 1)])
+                out["units"].append(versions)
+                out["titles"].append(titles)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "key", "pos")), *(pa.array(out[c], kinds.field(c).type) for c in out)], schema=kinds)
+
+    unit = pa.struct([("since", pa.int32()), ("until", pa.int32()), ("fikra", pa.int32()), ("bent", pa.string()), ("alt_bent", pa.int32()), ("raw", pa.string())])
+    step = pa.struct([("step", pa.int32()), ("seq", pa.int64()), ("rec", pa.int32()), ("date", pa.date32()), ("operation", pa.string()), ("status", pa.string())])
+    kinds = pa.schema([("source", pa.string()), ("key", pa.string()), ("pos", pa.float64()), ("steps", pa.list_(step)), ("units", pa.list_(unit)), ("titles", pa.list_(pa.struct([("since", pa.int32()), ("title", pa.string())])))])
+    return both.mapInArrow(run, RESULT)
+
+
+def lost_records(records: DataFrame) -> DataFrame:
+    """source, seq, rec, operation, status of the records that name no article and add none."""
+    adds = (F.col("operation") == "BIRIM_EKLE") & F.coalesce(F.col("unit").isin(*ARTICLE_UNITS), F.lit(False)) & F.coalesce(F.col("new_text").rlike("(?m)" + ARTICLE), F.lit(False))
+    lost = records.where(location_key().isNull() & ~adds)
+    return lost.select("source", "seq", "rec", "operation", F.when(F.col("operation").startswith("EK_"), UNSUPPORTED).otherwise(F.when(F.col("new_text").isNull() & (F.col("operation") == "BIRIM_EKLE"), UNSUPPORTED).otherwise(NO_TARGET)).alias("status"))
+
+
+def _step_at(day: datetime.date | Column) -> Column:
+    """The last step whose date is null or not after the day."""
     day = F.lit(day) if isinstance(day, datetime.date) else day
-    last = F.element_at(F.filter("versions", lambda v: v["date"].isNull() | (v["date"] <= day)), -1)
-    return versions.select("source", "key", *LEVELS, last["text"].alias("text"), last["seq"].alias("seq"))
+    return F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["date"].isNull() | (s["date"] <= day)), lambda s: s["step"])), F.lit(0))
+
+
+def _alive(step: Column) -> Column:
+    return F.filter("units", lambda u: (u["since"] <= step) & (u["until"].isNull() | (u["until"] > step)))
+
+
+def as_of(versions: DataFrame, day: datetime.date | Column) -> DataFrame:
+    """source, key, fikra, bent, alt_bent, text: the units that stood on a day, as the last record not after it left them."""
+    return versions.withColumn("_step", _step_at(day)).select("source", "key", F.inline(_alive(F.col("_step")))).select("source", "key", *LEVELS, collapse(F.col("raw")).alias("text"))
+
+
+def _order(u: Column) -> Column:
+    """Paragraphs by number, then items by letter, then sub-items."""
+    letter = F.call_function("instr", F.lit(ALPHABET), F.substring(u["bent"], 1, 1))
+    return F.struct(F.coalesce(u["fikra"], F.lit(0)).alias("a"), F.coalesce(F.char_length(u["bent"]), F.lit(0)).alias("b"), F.coalesce(letter, F.lit(0)).alias("c"), F.coalesce(u["alt_bent"], F.lit(0)).alias("d"))
+
+
+def articles_at(versions: DataFrame, day: datetime.date | Column | None = None) -> DataFrame:
+    """source, key, pos, title, text of every article that stands on a day (null: after all records), as lines."""
+    step = F.lit(2**31 - 1) if day is None else _step_at(day)
+    rows = versions.withColumn("_step", step).withColumn("_alive", _alive(F.col("_step"))).where("size(_alive) > 0")
+    mark = lambda u: F.when(u["alt_bent"].isNotNull(), F.concat(u["alt_bent"].cast("string"), F.lit(") "))).when(u["bent"].isNotNull(), F.concat(u["bent"], F.lit(") "))).when(u["fikra"].isNotNull(), F.concat(F.lit("("), u["fikra"].cast("string"), F.lit(") "))).otherwise("")
+    body = F.array_join(F.transform(F.array_sort(F.transform("_alive", lambda u: F.struct(_order(u).alias("o"), F.concat(mark(u), u["raw"]).alias("line")))), lambda x: x["line"]), "\n")
+    kind, num = F.regexp_extract("key", "^(gecici|ek):", 1), F.regexp_replace("key", "^(gecici|ek):", "")
+    head = F.concat(F.when(kind == "gecici", "GEÇİCİ ").when(kind == "ek", "EK ").otherwise(""), F.lit("MADDE "), num, F.lit(" – "))
+    named = F.element_at(F.filter("titles", lambda t: t["since"] <= F.col("_step")), -1)["title"]
+    return rows.select("source", "key", "pos", named.alias("title"), F.concat(head, body).alias("text"))
+
+
+def full_version(articles: DataFrame) -> DataFrame:
+    """source, text: the articles of a version in their order. A regulation's text is bounded by what one law can hold."""
+    line = F.concat(F.coalesce(F.concat("title", F.lit("\n")), F.lit("")), "text")
+    return articles.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def apply_log(versions: DataFrame) -> DataFrame:
-    """A row per record and unit it reached, with its status."""
-    return versions.select("source", "key", *LEVELS, F.inline(F.slice("versions", 2, F.greatest(F.size("versions"), F.lit(2))))).drop("text")
+    """source, key, step, seq, rec, date, operation, status: a row per record."""
+    return versions.select("source", "key", F.inline("steps"))
+
+
+def chain(log: DataFrame) -> DataFrame:
+    """source, seq, date, applied, failed array<struct<operation, status>>: a version per amending text."""
+    bad = F.array_sort(F.collect_list(F.when(F.col("status") != "uygulandi", F.struct("rec", "operation", "status"))))
+    return log.groupBy("source", "seq").agg(F.min("date").alias("date"), F.count_if(F.col("status") == "uygulandi").alias("applied"), F.transform(bad, lambda x: F.struct(x["operation"].alias("operation"), x["status"].alias("status"))).alias("failed"))
+
+
+def amendment_dates(refs: DataFrame, amendments: DataFrame) -> DataFrame:
+    """amendments (source, seq) with date and label: the i-th reference (source, ref) in order for the i-th amending text."""
+    by = lambda *c: F.row_number().over(W.partitionBy("source").orderBy(*c))
+    day = F.make_date(F.col("ref.year"), F.col("ref.month"), F.col("ref.day"))
+    numbered = refs.select("source", "ref").distinct().withColumn("i", by("ref"))
+    return amendments.withColumn("i", by("seq")).join(numbered, ["source", "i"], "left").withColumn("date", day).withColumn("label", gazette_label(F.col("ref"))).drop("i", "ref")
 
 
 @F.pandas_udf(DoubleType())
@@ -97,9 +159,27 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def compare_articles(ours: DataFrame, official: DataFrame, same: float = 0.98) -> DataFrame:
-    """Full outer join of (source, key, text): ratio and outcome ayni, farkli, bizde_yok, resmide_yok, mulga_mezari."""
+def compare_articles(ours: DataFrame, official: DataFrame, same: float = 0.98, known: DataFrame | None = None) -> DataFrame:
+    """Full outer join of (source, key, text): ratio and outcome ayni, farkli, bizde_yok, resmide_yok, mulga_mezari.
+
+    known: (source, key) of repeals that the official text is known to lack or to keep; articles missing on our side
+    that it lists are kaynak_tutarsizligi.
+    """
     x = ours.alias("x").join(official.alias("y"), ["source", "key"], "full_outer").select("source", "key", F.col("x.text").alias("ours"), F.col("y.text").alias("official"))
-    x = x.withColumn("ratio", seq_ratio(version_norm(F.col("ours")), version_norm(F.col("official"))))
-    outcome = F.when(F.col("ours").isNull(), F.when(is_tombstone(F.col("official")), "mulga_mezari").otherwise("bizde_yok")).when(F.col("official").isNull(), "resmide_yok").when(F.col("ratio") >= same, "ayni").otherwise("farkli")
-    return x.withColumn("durum", outcome)
+    a, b = version_norm(F.col("ours")), version_norm(F.col("official"))
+    x = x.withColumn("ratio", F.when(a == b, 1.0).when(a.isNotNull() & b.isNotNull(), seq_ratio(a, b)))
+    x = x.join(known.select("source", "key").distinct().withColumn("_known", F.lit(True)), ["source", "key"], "left") if known is not None else x.withColumn("_known", F.lit(None).cast("boolean"))
+    gone = F.when(is_tombstone(F.col("official")), "mulga_mezari").when(F.col("_known"), "kaynak_tutarsizligi").otherwise("bizde_yok")
+    outcome = F.when(F.col("ours").isNull(), gone).when(F.col("official").isNull(), "resmide_yok").when(F.col("ratio") >= same, "ayni").otherwise("farkli")
+    return x.withColumn("durum", outcome).drop("_known")
+
+
+@F.pandas_udf(StringType())
+def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(["\n".join(difflib.unified_diff(list(x), list(y), "official", "ours", n=1, lineterm="")) for x, y in zip(a, b, strict=True)])
+
+
+def show_differences(compared: DataFrame) -> DataFrame:
+    """source, key, diff: unified diffs of the sentences of articles that differ."""
+    said = lambda c: diff_sentences(F.coalesce(F.col(c), F.lit("")))
+    return compared.where("durum = 'farkli'").select("source", "key", unified_diff(said("official"), said("ours")).alias("diff"))

@@ -6,74 +6,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import NOTES, annotations, collapse
+from lexstrata.functions.text import NOTES, annotations, collapse, gazette_ref, without_notes
 
-ARTICLE = r"^(?:(GEÇİCİ|EK)\s+)?MADDE\s+(\d+(?:/[A-ZÇĞİÖŞÜ])?)\s*[–-]\s*"
-SECTION = r"^[A-ZÇĞİÖŞÜ ]+(?:BÖLÜM|KISIM)\s*$"
-FOOTNOTE = r"^\(\d{1,3}\)\s*\d{1,2}/\d{1,2}/\d{4} tarihli"
+#: How articles, sections and footnote definitions begin.
+ARTICLE = r"^(?:(GEÇİCİ|Geçici|EK|Ek)\s+)?(?:MADDE|Madde)\s+(\d+(?:/[A-ZÇĞİÖŞÜ])?)\s*[–—-]\s*"
+SECTION = r"^[A-ZÇĞİÖŞÜ ]+\s(?:BÖLÜM|KISIM)$"
+LEAD = r"^((?:\s*" + NOTES + r")+)\s*"
+FOOTNOTE = r"^\((\d{1,3})\)\s*(\d{1,2}/\d{1,2}/\d{4}\s+tarihli\b.*Resm[iî]\s+Gazete.*madde(?:si|leri)y?le.*)$"
+
+
+def _windows() -> tuple:
+    doc = W.partitionBy("doc_id").orderBy("pos")
+    return doc, doc.rowsBetween(W.unboundedPreceding, -1), doc.rowsBetween(W.unboundedPreceding, 0)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, quoted: every line, and whether it starts inside “quotes”."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", collapse(F.col("raw")))
+    """doc_id, pos, line, quoted: every line that is not blank, and whether it starts inside quotes.
+
+    Curly quotes nest. A straight quote opens at a line's start and closes at a line's end, or at an article's head. A
+    null text has no lines.
+    """
+    _, before, upto = _windows()
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "pos", collapse(F.col("raw")).alias("line")).where("line <> ''")
     count = lambda ch: F.char_length("line") - F.char_length(F.translate("line", ch, ""))
-    run = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("turn", count("“") - count("”")).withColumn("s", F.coalesce(F.sum("turn").over(run), F.lit(0)))
-    low = F.min("s").over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("quoted", F.col("s") - F.least(F.lit(0), low) > 0).select("doc_id", "pos", "line", "quoted")
+    art = F.col("line").rlike(ARTICLE)
+    opens, closes = F.col("line").startswith('"') & ~F.col("line").rlike('^".*"$'), F.col("line").endswith('"') | art
+    rows = rows.withColumns({"turn": count("“") - count("”"), "open": F.when(opens, True).when(closes, False), "art": art})
+    rows = rows.withColumns({"s": F.coalesce(F.sum("turn").over(before), F.lit(0)), "straight": F.coalesce(F.last("open", True).over(before), F.lit(False)) & ~F.col("art")})
+    quoted = (F.col("s") - F.least(F.lit(0), F.min("s").over(upto)) > 0) | F.col("straight")
+    return rows.select("doc_id", "pos", "line", quoted.alias("quoted"))
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """lines_of with head, section, footnote, and heading: the lines of the document's own title."""
+    doc, before, _ = _windows()
+    plain = ~F.col("quoted")
+    rows = lines_of(docs).withColumns({"head": plain & F.col("line").rlike(ARTICLE), "section": plain & F.col("line").rlike(SECTION), "footnote": plain & F.col("line").rlike(FOOTNOTE), "upper": F.col("line") == F.upper(F.translate("line", "iı", "İI"))})
+    begun = F.max(F.when(F.col("head") | F.col("section"), 1)).over(doc)
+    other = F.max(F.when(~(F.col("upper") & plain) & ~F.col("head"), F.col("pos"))).over(before)
+    first = F.first("pos").over(doc)
+    return rows.withColumn("heading", plain & begun.isNull() & ((F.col("pos") == first) | (F.col("upper") & (other.isNull() | (other == first)))))
+
+
+def document_titles(docs: DataFrame) -> DataFrame:
+    """doc_id, title: the first line and the capital lines after it, up to the first article or section."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    return _classed(docs).where("heading").groupBy("doc_id").agg(F.array_join(lines, " ").alias("title"))
+
+
+def footnotes(docs: DataFrame) -> DataFrame:
+    """doc_id, footnotes map<int, string>: the definitions; of a number that repeats, the last."""
+    rows = _classed(docs).where("footnote").select("doc_id", "pos", F.regexp_extract("line", FOOTNOTE, 1).cast("int").alias("k"), F.regexp_extract("line", FOOTNOTE, 2).alias("said"))
+    return rows.groupBy("doc_id", "k").agg(F.max_by("said", "pos").alias("said")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "said")))).alias("footnotes"))
 
 
 def parse_units(docs: DataFrame) -> DataFrame:
-    """doc_id, article, kind, num, key, title, section, fikra, bent, alt_bent, pos, text, notes: a row per unit.
+    """doc_id, article, kind, num, key, title, section, section_title, fikra, bent, alt_bent, pos, text, raw, notes, article_notes.
 
-    article numbers the articles of a document in order; fikra, bent and alt_bent are null above their level. Quoted
-    lines belong to the unit that is open. A null text has no units.
+    A row per unit. article numbers the articles of a document in order; fikra, bent and alt_bent are null above their
+    level. raw keeps the lines and notes of the unit, text is one line without them; article_notes are those at its head. Quoted lines belong to the unit that
+    is open. A section ends the article before it. A null or empty text has no units; rows of one doc_id are one text;
+    other columns are ignored.
     """
-    rows = lines_of(docs).where("line <> ''")
-    doc = W.partitionBy("doc_id").orderBy("pos")
-    head = ~F.col("quoted") & F.col("line").rlike(ARTICLE)
-    section = ~F.col("quoted") & F.col("line").rlike(SECTION)
-    rows = rows.withColumn("head", head).withColumn("section", section & ~head)
-    next_head = F.coalesce(F.lead("head").over(doc), F.lit(False))
+    doc, *_ = _windows()
+    after_section = F.coalesce(F.lag("section").over(doc), F.lit(False)) & ~F.col("head")
     bare = F.trim(F.regexp_replace("line", NOTES, ""))
-    title = ~F.col("head") & ~F.col("quoted") & ~F.col("section") & next_head & (F.char_length(bare) <= 250) & ~bare.rlike(r"[.,;:]$") & ~F.coalesce(F.lag("section").over(doc), F.lit(False))
-    named = F.coalesce(F.lag("section").over(doc), F.lit(False)) & ~F.col("head")
-    rows = rows.withColumn("is_title", title).withColumn("names_section", named)
-    rows = rows.withColumn("title", F.when(F.lag("is_title").over(doc), F.lag("line").over(doc)))
-    rows = rows.withColumn("section_name", F.last(F.when(F.col("section"), F.col("line")), True).over(doc))
-    rows = rows.withColumn("article", F.sum(F.col("head").cast("int")).over(doc))
-    in_article = F.last(F.when(F.col("head"), True).when(F.col("section"), False), True).over(doc)
-    rows = rows.withColumn("inside", F.coalesce(in_article, F.lit(False))).where(F.col("inside") & ~F.col("is_title") & ~F.col("section") & ~(~F.col("quoted") & F.col("line").rlike(FOOTNOTE)))
+    fits = ~(F.col("head") | F.col("quoted") | F.col("section") | F.col("heading") | F.col("footnote")) & (F.char_length(bare) <= 250) & ~bare.rlike(r"[.,;:]$") & ~F.col("line").rlike(r"^(?:[\"“]|\(\d+\)|([a-zçğıöşü])\1{0,2}\)|\d+\))")
+    rows = _classed(docs).withColumns({"names": after_section, "bare": bare, "is_title": fits & ~after_section & F.coalesce(F.lead("head").over(doc), F.lit(False))})
+    rows = rows.withColumns({
+        "title": F.when(F.col("head"), F.coalesce(F.when(F.lag("is_title").over(doc), F.lag("bare").over(doc)), F.lit(""))), "article": F.sum(F.col("head").cast("int")).over(doc),
+        "section_name": F.last(F.when(F.col("section"), F.col("line")), True).over(doc), "section_title": F.last(F.when(F.col("names"), F.col("line")).when(F.col("section"), ""), True).over(doc),
+        "inside": F.coalesce(F.last(F.when(F.col("head"), True).when(F.col("section"), False), True).over(doc), F.lit(False))})
+    rows = rows.where("inside and not is_title and not section and not footnote")
 
-    art = W.partitionBy("doc_id", "article").orderBy("pos")
     body = F.when(F.col("head"), F.regexp_replace("line", ARTICLE, "")).otherwise(F.col("line"))
-    body = F.regexp_replace(body, r"^((?:\s*" + NOTES + r")+)\s*(\(\d+\))", "$2 $1")
-    rows = rows.withColumn("body", F.trim(body))
+    rows = rows.withColumns({"lead": F.when(F.col("head"), F.regexp_extract(body, LEAD, 1)).otherwise(""), "body": F.when(F.col("head"), F.regexp_replace(body, LEAD, "")).otherwise(F.regexp_replace(body, LEAD + r"(\(\d+\))", "$2 $1"))})
+    body = F.when(F.col("head"), F.regexp_replace(F.regexp_replace("body", r"^\((\d+)\)\s*\((\d+)\)", ".($1)($2)"), r"^\((\d+)\)$", ".($1)")).otherwise(F.col("body"))
+    rows = rows.withColumns({"lead": F.concat("lead", F.regexp_extract(body, r"^(\.\(\d+\))", 1)), "body": F.trim(F.regexp_replace(body, r"^\.\(\d+\)", ""))})
     mark = lambda regex: F.when(~F.col("quoted"), F.nullif(F.regexp_extract("body", regex, 1), F.lit("")))
-    rows = rows.withColumn("f", mark(r"^\((\d+)\)"))
-    rows = rows.withColumn("b", mark(r"^([a-zçğıöşü]{1,3})\)"))
-    rows = rows.withColumn("b", F.when(F.col("b") == F.repeat(F.substring("b", 1, 1), F.char_length("b")), F.col("b")))
-    rows = rows.withColumn("fikra", F.last("f", True).over(art).cast("int"))
-    first_item = F.min(F.when(F.col("b").isNotNull(), F.col("pos"))).over(art.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("fikra", F.coalesce("fikra", F.when(first_item.isNotNull(), 1)))
-    para = W.partitionBy("doc_id", "article", "fikra").orderBy("pos")
-    rows = rows.withColumn("bent", F.last("b", True).over(para))
-    rows = rows.withColumn("a", F.when(F.col("bent").isNotNull(), mark(r"^(\d+)\)")))
-    item = W.partitionBy("doc_id", "article", "fikra", "bent").orderBy("pos")
-    rows = rows.withColumn("alt_bent", F.last("a", True).over(item).cast("int"))
-    marker = F.coalesce(F.when(F.col("f").isNotNull(), F.lit(r"\(\d+\)")), F.when(F.col("b").isNotNull() | F.col("a").isNotNull(), F.lit(r"\w+\)")))
-    rows = rows.withColumn("own", F.when(marker.isNotNull(), F.trim(F.regexp_replace("body", F.concat(F.lit(r"(?U)^"), marker, F.lit(r"\s*")), F.lit("")))).otherwise(F.col("body")))
-
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"]), " ")
-    first = lambda c: F.min_by(F.when(F.col("head"), F.col(c)), F.when(F.col("head"), F.col("pos")))
-    units = rows.groupBy("doc_id", "article", "fikra", "bent", "alt_bent").agg(F.min("pos").alias("pos"), joined.alias("raw"), first("line").alias("head_line"), first("title").alias("title"), first("section_name").alias("section"))
-    whole = W.partitionBy("doc_id", "article")
-    units = units.withColumn("h", F.max("head_line").over(whole)).withColumn("title", F.max("title").over(whole)).withColumn("section", F.max("section").over(whole))
-    kind = F.regexp_extract("h", ARTICLE, 1)
+    rows = rows.withColumns({"f": mark(r"^\((\d+)\)"), "b": mark(r"^(([a-zçğıöşü])\2{0,2})\)"), "n": mark(r"^(\d+)\)")})
+    art = W.partitionBy("doc_id", "article").orderBy("pos")
+    at_head = lambda c: F.last(F.when(F.col("head"), F.coalesce(c, F.lit(""))), True).over(art)
+    item = F.max(F.when(F.col("b").isNotNull(), 1)).over(art)
+    rows = rows.withColumns({"fikra": F.coalesce(F.last("f", True).over(art).cast("int"), F.when(item.isNotNull(), 1)), "head_line": at_head("line"), **{c: at_head(c) for c in ("title", "section_name", "section_title", "lead")}})
+    rows = rows.withColumn("bent", F.last("b", True).over(W.partitionBy("doc_id", "article", "fikra").orderBy("pos")))
+    rows = rows.withColumn("a", F.when(F.col("bent").isNotNull(), F.col("n")))
+    rows = rows.withColumn("alt_bent", F.last("a", True).over(W.partitionBy("doc_id", "article", "fikra", "bent").orderBy("pos")).cast("int"))
+    own = F.when(F.col("f").isNotNull(), F.regexp_replace("body", r"^\(\d+\)\s*", "")).when(F.col("b").isNotNull() | F.col("a").isNotNull(), F.regexp_replace("body", r"(?U)^\w+\)\s*", "")).otherwise(F.col("body"))
+
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim(own).alias("own")))), lambda x: x["own"]), "\n")
+    tops = [F.first(c).alias(c) for c in ("head_line", "title", "section_name", "section_title", "lead")]
+    units = rows.groupBy("doc_id", "article", "fikra", "bent", "alt_bent").agg(F.min("pos").alias("pos"), lines.alias("raw"), *tops)
+    kind = F.upper(F.translate(F.regexp_extract("head_line", ARTICLE, 1), "iı", "İI"))
     kind = F.when(kind == "GEÇİCİ", "gecici").when(kind == "EK", "ek").otherwise("normal")
-    num = F.regexp_extract("h", ARTICLE, 2)
-    text = collapse(F.regexp_replace("raw", NOTES, " "))
-    return units.select("doc_id", "article", kind.alias("kind"), num.alias("num"), F.when(kind == "normal", num).otherwise(F.concat(kind, F.lit(":"), num)).alias("key"), "title", "section", "fikra", "bent", "alt_bent", "pos", text.alias("text"), annotations(F.col("raw")).alias("notes"))
+    num, given = F.regexp_extract("head_line", ARTICLE, 2), lambda c: F.nullif(c, F.lit(""))
+    return units.select(
+        "doc_id", "article", kind.alias("kind"), num.alias("num"), F.when(kind == "normal", num).otherwise(F.concat(kind, F.lit(":"), num)).alias("key"),
+        given("title").alias("title"), given("section_name").alias("section"), given("section_title").alias("section_title"), "fikra", "bent", "alt_bent", "pos",
+        collapse(without_notes(F.col("raw"))).alias("text"), "raw", annotations(F.col("raw")).alias("notes"), annotations(F.col("lead")).alias("article_notes"))
+
+
+def annotation_refs(units: DataFrame, notes: DataFrame) -> DataFrame:
+    """doc_id, ref, sorted by ref within doc_id: the distinct gazette references of all notes but footnote marks, and of
+    footnote definitions (notes: doc_id, footnotes), where a date and a number stand apart."""
+    said = units.select("doc_id", F.explode(F.concat("notes", "article_notes")).alias("n")).where("n.type <> 'Dipnot'").select("doc_id", gazette_ref(F.col("n.source")).alias("ref"))
+    line = F.regexp_replace("said", r"(\d{1,2}/\d{1,2}/\d{4})\s+tarihli\s+ve\s+(\d+)\s+(?:sayılı\s*)?", "$1-$2 ")
+    each = F.regexp_extract_all(line, F.lit(r"\d{1,2}/\d{1,2}/\d{4}-\d+\s*(?:\(?\d*\.?\s*Mükerrer\)?)?"), F.lit(0))
+    defined = notes.select("doc_id", F.explode("footnotes").alias("k", "said")).select("doc_id", F.explode(each).alias("r")).select("doc_id", gazette_ref(F.col("r")).alias("ref"))
+    return said.unionByName(defined).where("ref is not null").distinct().sortWithinPartitions("doc_id", "ref")
 
 
 def _marked() -> Column:
@@ -83,13 +123,23 @@ def _marked() -> Column:
     return F.concat_ws(" ", F.coalesce(alt, bent, fikra), F.nullif("text", F.lit("")))
 
 
+def article_rows(units: DataFrame) -> DataFrame:
+    """doc_id, key, article, title, whole, parts: a row per article with its full text and parts, an array of (fikra, bent,
+    alt_bent, full, notes) of its units in order. full is a unit's text with its descendants, markers for all but itself;
+    the notes at the article's head go with every part. Where a key repeats, each article has its row.
+    """
+    held = F.array_sort(F.collect_list(F.struct("pos", "fikra", "bent", "alt_bent", "text", _marked().alias("marked"), "notes", "article_notes")))
+    rows = units.groupBy("doc_id", "key", "article").agg(F.first("title", True).alias("title"), held.alias("held"))
+    under = lambda u, v: (u["fikra"] == v["fikra"]) & (u["bent"].isNull() | ((u["bent"] == v["bent"]) & (u["alt_bent"].isNull() | (u["alt_bent"] == v["alt_bent"]))))
+    joined = lambda first, rest: collapse(F.array_join(F.concat(first, F.transform(rest, lambda v: v["marked"])), " "))
+    full = lambda u: joined(F.array(u["text"]), F.filter("held", lambda v: F.coalesce(under(u, v), F.lit(False)) & (v["pos"] != u["pos"])))
+    parts = F.transform("held", lambda u: F.struct(u["fikra"].alias("fikra"), u["bent"].alias("bent"), u["alt_bent"].alias("alt_bent"), full(u).alias("full"), F.concat(u["notes"], u["article_notes"]).alias("notes")))
+    return rows.select("doc_id", "key", "article", "title", joined(F.array().cast("array<string>"), F.col("held")).alias("whole"), parts.alias("parts"))
+
+
 def full_texts(units: DataFrame) -> DataFrame:
-    """doc_id, key, fikra, bent, alt_bent, full: each unit (and each article, all levels null) with its descendants."""
-    at = units.select("doc_id", "key", "article", "pos", "text", "fikra", "bent", "alt_bent", _marked().alias("marked"))
-    own = lambda deep: F.explode(F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(c) if i < k else F.lit(None).cast(t)).alias(f"u_{c}") for i, (c, t) in enumerate((("fikra", "int"), ("bent", "string"), ("alt_bent", "int")))]) for k in range(deep + 1)]))
-    depth = F.col("fikra").isNotNull().cast("int") + F.col("bent").isNotNull().cast("int") + F.col("alt_bent").isNotNull().cast("int")
-    rows = at.withColumn("depth", depth).withColumn("u", own(3)).where("u.level <= depth")
-    said = F.when(F.col("u.level") == F.col("depth"), F.when(F.col("depth") == 0, F.col("text")).otherwise(F.col("text"))).otherwise(F.col("marked"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))), lambda x: x["said"]), " ")
-    keys = [F.col(f"u.u_{c}").alias(c) for c in ("fikra", "bent", "alt_bent")]
-    return rows.groupBy("doc_id", "key", "article", *keys).agg(collapse(joined).alias("full"))
+    """doc_id, key, article, fikra, bent, alt_bent, full: each article (all levels null) and each unit with its descendants."""
+    rows = article_rows(units)
+    own = F.array(F.struct(F.lit(None).cast("int").alias("fikra"), F.lit(None).cast("string").alias("bent"), F.lit(None).cast("int").alias("alt_bent"), F.col("whole").alias("full")))
+    parts = F.transform(F.filter("parts", lambda u: u["fikra"].isNotNull()), lambda u: F.struct(u["fikra"].alias("fikra"), u["bent"].alias("bent"), u["alt_bent"].alias("alt_bent"), u["full"].alias("full")))
+    return rows.select("doc_id", "key", "article", F.inline(F.concat(own, parts)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import oran, verify_norm
-from lexstrata.operators.structure import full_texts, parse_units
+from lexstrata.functions.text import oran, paragraph_blocks, pick_item, verify_norm
+from lexstrata.operators.structure import ARTICLE, article_rows, parse_units
 
 LEVELS = ("fikra", "bent", "alt_bent")
 #: The statuses of the output contract.
@@ -15,7 +15,7 @@ PROBE = 150
 ARTICLES = ("madde", "maddeler", "gecici_madde", "ek_madde")
 
 
-def record_key(madde_type: str = "madde_type", madde: str = "madde") -> Column:
+def location_key(madde_type: str = "madde_type", madde: str = "madde") -> Column:
     return F.when(F.col(madde_type) == "normal", F.col(madde)).otherwise(F.concat(madde_type, F.lit(":"), madde))
 
 
@@ -27,59 +27,83 @@ def _replaces_article() -> Column:
     return (F.col("operation") == "BIRIM_DEGISTIR") & F.coalesce(F.col("unit") == "madde", F.lit(False))
 
 
-def new_articles(records: DataFrame, whole: DataFrame) -> DataFrame:
-    """n_source, n_text, added, head: for each new text of article records, parsed, the status of its articles as added
+def first_articles(units: DataFrame) -> DataFrame:
+    """_source, _have (its key), _title, _whole, _parts: the first article of each key of the parsed consolidated texts."""
+    first = F.min_by(F.struct(F.col("title").alias("_title"), F.col("whole").alias("_whole"), F.col("parts").alias("_parts")), "article").alias("x")
+    return article_rows(units).groupBy(F.col("doc_id").alias("_source"), F.col("key").alias("_have")).agg(first).select("_source", "_have", "x.*")
+
+
+def new_articles(records: DataFrame, have: DataFrame) -> DataFrame:
+    """_of, _block, _added, _head: for each new text of article records, parsed, the status of its articles as added
     ones (that of the first article missing or different in the consolidated text) and the text of its first article.
 
-    whole: (w_source, w_key, whole), the consolidated articles. A new text without articles has no row.
+    have: first_articles of the consolidated texts. A new text without articles has no row.
     """
     texts = records.where(_adds_articles() | _replaces_article()).select("source", "new_text").where("new_text is not null").distinct()
     docs = texts.select(F.col("new_text").alias("doc_id"), F.concat(F.lit("BAŞLIK\n"), F.col("new_text")).alias("text")).distinct()
-    parsed = full_texts(parse_units(docs)).where(" and ".join(f"{c} is null" for c in LEVELS)).select(F.col("doc_id").alias("new_text"), "article", F.col("key").alias("w_key"), verify_norm(F.col("full")).alias("said"))
-    rows = texts.join(parsed, "new_text").join(whole.withColumnRenamed("w_source", "source"), ["source", "w_key"], "left")
-    bad = F.when(F.col("whole").isNull(), "hedef_bulunamadi").when(F.col("said") != verify_norm(F.col("whole")), "uyumsuz")
-    out = rows.groupBy(F.col("source").alias("n_source"), F.col("new_text").alias("n_text"))
-    return out.agg(F.coalesce(F.min_by(bad, F.when(bad.isNotNull(), F.col("article"))), F.lit("uyumlu")).alias("added"), F.min_by("said", "article").alias("head"))
+    parsed = article_rows(parse_units(docs)).select(F.col("doc_id").alias("new_text"), "article", "key", verify_norm(F.col("whole")).alias("said"))
+    rows = texts.join(parsed, "new_text").join(have.select(F.col("_source").alias("source"), F.col("_have").alias("key"), verify_norm(F.col("_whole")).alias("whole")), ["source", "key"], "left")
+    bad = F.when(F.col("whole").isNull(), "hedef_bulunamadi").when(F.col("said") != F.col("whole"), "uyumsuz")
+    out = rows.groupBy(F.col("source").alias("_of"), F.col("new_text").alias("_block"))
+    return out.agg(F.coalesce(F.min_by(bad, F.when(bad.isNotNull(), F.col("article"))), F.lit("uyumlu")).alias("_added"), F.min_by("said", "article").alias("_head"))
+
+
+def _target() -> Column:
+    """The full text of the part a record names: all of the article without levels; an item without a paragraph is the
+    first of that letter; a level that is not there gives null."""
+    same = lambda u, c: u[c].eqNullSafe(F.col(c))
+    hit = F.filter("_parts", lambda u: ((F.col("fikra").isNull() & F.col("bent").isNotNull()) | same(u, "fikra")) & same(u, "bent") & same(u, "alt_bent"))
+    open_ = F.col("fikra").isNull() & F.col("bent").isNull() & F.col("alt_bent").isNull()
+    return F.when(open_, F.col("_whole")).otherwise(F.get(hit, F.lit(0))["full"])
+
+
+def _paragraphs() -> Column:
+    """For a new text of several '(n)' lines: whether those paragraphs are there and all equal to theirs; null otherwise."""
+    blocks = F.transform(paragraph_blocks(F.col("new_text")), lambda x: F.trim(x))
+    own = lambda b: F.get(F.filter("_parts", lambda u: (u["fikra"] == F.regexp_extract(b, r"^\((\d+)\)", 1).cast("int")) & u["bent"].isNull()), F.lit(0))["full"]
+    pairs = F.transform(blocks, lambda b: F.struct(verify_norm(F.regexp_replace(b, r"^\(\d+\)\s*", "")).alias("said"), own(b).alias("have")))
+    found = F.when(F.exists(pairs, lambda p: p["have"].isNull()), "hedef_bulunamadi").when(F.forall(pairs, lambda p: p["said"] == verify_norm(p["have"])), "uyumlu").otherwise("uyumsuz")
+    return F.when(F.size(blocks) > 1, found)
 
 
-def verify(records: DataFrame, units: DataFrame, full: DataFrame) -> DataFrame:
+def verify(records: DataFrame, units: DataFrame) -> DataFrame:
     """records (source, seq, operation, unit, madde_type, madde, fikra, bent, alt_bent, cumle, old_text, new_text) with
-    status added. units and full come from the structural parse of the consolidated texts, doc_id being the source.
+    status added. units come from the structural parse of the consolidated texts, doc_id being the source.
 
-    Where an article key repeats, its first article counts. A record without a place to check has no target.
+    Where an article key repeats, its first article counts; an item without a paragraph is the first of that letter. A
+    record without a place to check has no target. Null texts never verify; no records give no rows; a column called
+    status is replaced, other columns stay, but for names that begin with an underscore.
     """
-    first = full.groupBy("doc_id", "key").agg(F.min("article").alias("article"))
-    full = full.join(first, ["doc_id", "key", "article"])
-    target = full.select(F.col("doc_id").alias("source"), F.col("key").alias("t_key"), *[F.col(c).alias(f"t_{c}") for c in LEVELS], F.col("full").alias("target"))
-    art = units.join(first, ["doc_id", "key", "article"]).groupBy("doc_id", "key").agg(F.first("title", True).alias("t_title"), F.flatten(F.collect_list("notes")).alias("t_notes"))
-    art = art.select(F.col("doc_id").alias("a_source"), F.col("key").alias("a_key"), "t_title", "t_notes")
-    whole = target.where(" and ".join(f"t_{c} is null" for c in LEVELS)).select(F.col("source").alias("w_source"), F.col("t_key").alias("w_key"), F.col("target").alias("whole"))
-    r = records.withColumn("key", record_key())
-    same = [F.col(f"t_{c}").eqNullSafe(F.col(f"r.{c}")) for c in LEVELS]
-    out = r.alias("r").join(target.alias("t"), [F.col("r.source") == F.col("t.source"), F.col("r.key") == F.col("t_key"), *same], "left")
-    out = out.select("r.*", "target").join(whole, [F.col("source") == F.col("w_source"), F.col("key") == F.col("w_key")], "left")
-    out = out.join(art, [F.col("source") == F.col("a_source"), F.col("key") == F.col("a_key")], "left")
-    out = out.join(new_articles(records, whole), [F.col("source") == F.col("n_source"), F.col("new_text") == F.col("n_text")], "left")
-    new, old, text = verify_norm(F.col("new_text")), verify_norm(F.col("old_text")), verify_norm(F.col("target"))
+    records = records.drop("status")
+    have = first_articles(units)
+    text_of = lambda c: F.coalesce(verify_norm(F.col(c)), F.lit(""))
+    out = records.withColumn("_key", location_key()).join(have, [F.col("source") == F.col("_source"), F.col("_key") == F.col("_have")], "left")
+    out = out.join(new_articles(records, have), [F.col("source") == F.col("_of"), F.col("new_text") == F.col("_block")], "left")
+    out = out.withColumns({"_target": _target(), "_new": text_of("new_text"), "_old": text_of("old_text")})
+    out = out.withColumns({"_text": verify_norm(F.col("_target")), "_probe": F.regexp_replace(F.substring("_new", 1, PROBE), r"[.,;: ]+$", "")})
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "uyumlu").otherwise("uyumsuz")
     found = lambda c, ok: F.when(F.col(c).isNull(), "hedef_bulunamadi").otherwise(verdict(ok))
-    op = F.col("operation")
-    probe = F.regexp_replace(F.substring(new, 1, PROBE), r"[.,;: ]+$", "")
-    bare = F.regexp_replace(new, r"(?U)^(?:\(\d+\)|\w{1,3}\))\s*", "")
+    op, new, old, text, marker = F.col("operation"), F.col("_new"), F.col("_old"), F.col("_text"), r"(?U)^(?:\(\d+\)|\w{1,3}\))\s*"
+    own = F.coalesce(F.col("alt_bent").cast("string"), F.col("bent"), F.col("fikra").cast("string"))
+    bare = F.regexp_replace(verify_norm(pick_item(F.col("new_text"), own)), marker, "")
+    fits = lambda u, c: F.coalesce(F.col(c).isNull() | (u[c] == F.col(c)), F.lit(False))
+    repealed = F.exists("_parts", lambda u: fits(u, "fikra") & fits(u, "bent") & F.exists(u["notes"], lambda n: n["type"] == "Mülga"))
+    paragraphs = F.when(op == "BIRIM_DEGISTIR", F.when(F.col("unit") == "fikra", _paragraphs()))
     status = (
         F.when((F.col("madde_type") == "ek_belge") | op.isin("EK_EKLE", "EK_DEGISTIR"), "kontrol_edilemedi")
-        .when((op == "BASLIK_DEGISTIR") | ((op == "BIRIM_DEGISTIR") & (F.col("unit") == "baslik")), found("whole", new == verify_norm(F.col("t_title"))))
-        .when(_adds_articles(), F.coalesce("added", F.lit("kontrol_edilemedi")))
-        .when(_replaces_article(), F.when(F.col("target").isNull(), "hedef_bulunamadi").when(F.col("head").isNull(), "kontrol_edilemedi").otherwise(verdict(F.col("head") == text)))
-        .when(op == "BIRIM_EKLE", found("whole", (probe != "") & F.contains(verify_norm(F.col("whole")), probe)))
-        .when((op == "BIRIM_DEGISTIR") & F.col("cumle").isNotNull(), found("target", (probe != "") & F.contains(text, F.regexp_replace(new, r"[.,;: ]+$", ""))))
-        .when(op == "BIRIM_DEGISTIR", found("target", bare == F.regexp_replace(text, r"(?U)^(?:\(\d+\)|\w{1,3}\))\s*", "")))
-        .when(op.isin("IBARE_DEGISTIR", "IBARE_EKLE"), found("target", (new != "") & F.contains(text, new)))
-        .when(op == "IBARE_KALDIR", found("target", (old != "") & ~F.contains(text, old)))
-        .when(op == "BIRIM_KALDIR", verdict(F.col("target").isNull() | (text == "") | F.exists("t_notes", lambda n: n["type"] == "Mülga")))
+        .when((op == "BASLIK_DEGISTIR") | ((op == "BIRIM_DEGISTIR") & (F.col("unit") == "baslik")), found("_whole", new == verify_norm(F.col("_title"))))
+        .when(_adds_articles(), F.coalesce("_added", F.lit("kontrol_edilemedi")))
+        .when(op == "BIRIM_EKLE", found("_whole", (F.col("_probe") != "") & F.contains(verify_norm(F.col("_whole")), F.col("_probe"))))
+        .when(_replaces_article(), F.when(F.col("_target").isNull(), "hedef_bulunamadi").when(F.col("_head").isNull(), "kontrol_edilemedi").otherwise(verdict(F.col("_head") == text)))
+        .when((op == "BIRIM_DEGISTIR") & F.col("cumle").isNotNull(), found("_target", (F.col("_probe") != "") & F.contains(text, F.regexp_replace(new, r"[.,;: ]+$", ""))))
+        .when(paragraphs.isNotNull(), paragraphs)
+        .when(op == "BIRIM_DEGISTIR", found("_target", bare == F.regexp_replace(text, marker, "")))
+        .when(op.isin("IBARE_DEGISTIR", "IBARE_EKLE"), found("_target", (new != "") & F.contains(text, new)))
+        .when(op == "IBARE_KALDIR", found("_target", (old != "") & ~F.contains(text, old)))
+        .when(op == "BIRIM_KALDIR", verdict(F.col("_target").isNull() | (text == "") | repealed))
         .otherwise("kontrol_edilemedi")
     )
-    return out.withColumn("status", status).select(*records.columns, "status")
+    return out.select(*records.columns, status.alias("status"))
 
 
 def overlaps(a: str, b: str) -> Column:
@@ -91,44 +115,76 @@ def overlaps(a: str, b: str) -> Column:
     return out
 
 
+def effective_places(records: DataFrame) -> DataFrame:
+    """records, with e_type and e_madde: their article, or, for added articles without one, the first of the new text."""
+    found = F.regexp_extract("new_text", "(?m)" + ARTICLE, 2)
+    kind = F.upper(F.translate(F.regexp_extract("new_text", "(?m)" + ARTICLE, 1), "iı", "İI"))
+    adds = F.col("madde").isNull() & _adds_articles() & (F.coalesce(found, F.lit("")) != "")
+    return records.withColumn("e_type", F.when(adds, F.when(kind == "GEÇİCİ", "gecici").when(kind == "EK", "ek").otherwise("normal")).otherwise(F.col("madde_type"))).withColumn("e_madde", F.when(adds, found).otherwise(F.col("madde")))
+
+
 def excuse_later(verified: DataFrame) -> DataFrame:
-    """Failing records that a later amendment (greater seq) of the same place overwrites become sonradan_degisti.
+    """Failing records that later amending texts (greater seq) overwrite become sonradan_degisti; later_count says how
+    many records of them do, else 0.
 
-    The join is on source and article; only failing records are on its left, and each needs just the count.
+    The join is on source and article; only failing records are on its left, and on its right each place counts once per
+    amending text. A column called later_count is replaced; no records give no rows.
     """
-    failing = verified.where(F.col("status").isin("uyumsuz", "hedef_bulunamadi") & F.col("madde").isNotNull())
-    place = ["source", "madde_type", "madde"]
-    later = verified.select(*place, "seq", *LEVELS).groupBy(*place, *LEVELS).agg(F.max("seq").alias("seq"))
+    verified = verified.drop("later_count")
+    place = ["source", "e_type", "e_madde"]
+    at = effective_places(verified)
+    failing = at.where(F.col("status").isin("uyumsuz", "hedef_bulunamadi") & F.col("e_madde").isNotNull())
+    later = at.where("e_madde is not null").groupBy(*place, *LEVELS, "seq").agg(F.count("*").alias("n"))
     hit = failing.select(*place, "seq", *LEVELS, "rec").alias("a").join(later.alias("b"), place).where((F.col("b.seq") > F.col("a.seq")) & overlaps("a", "b"))
-    hit = hit.select("source", F.col("a.seq").alias("seq"), "rec").distinct().withColumn("later", F.lit(True))
-    out = verified.join(hit, ["source", "seq", "rec"], "left")
-    return out.withColumn("status", F.when(F.col("later"), "sonradan_degisti").otherwise(F.col("status"))).select(*verified.columns)
+    hit = hit.groupBy("source", F.col("a.seq").alias("seq"), "rec").agg(F.sum("n").alias("later_count"))
+    out = verified.join(hit, ["source", "seq", "rec"], "left").withColumn("later_count", F.coalesce("later_count", F.lit(0).cast("bigint")))
+    return out.withColumn("status", F.when(F.col("later_count") > 0, "sonradan_degisti").otherwise(F.col("status"))).select(*verified.columns, "later_count")
 
 
-def relabel_known(verified: DataFrame, issues: DataFrame) -> DataFrame:
-    """issues (id, source, operation, madde_type, madde, fikra, bent, alt_bent): null fields fit anything. Failed
-    records with a fitting issue become kaynak_tutarsizligi; issue holds the first fitting id."""
-    fields = ["madde_type", "madde", *LEVELS]
+def passes(totals: DataFrame, least: float) -> bool:
+    """Whether the overall rate of a summary reaches least; without anything to check it does not."""
+    row = totals.where("source is null").select("oran").first()
+    return bool(row and row.oran is not None and row.oran >= least)
+
+
+def manifest_urls(manifest: DataFrame) -> DataFrame:
+    """file, url: where each stored file came from, the last row of a file counting."""
+    return manifest.groupBy(F.regexp_extract("path", r"([^/]+)$", 1).alias("file")).agg(F.max_by("url", "fetched_at").alias("url"))
+
+
+_ISSUE = ("amendment_url", "amending_article", "madde_type", "madde", "fikra", "bent", "alt_bent", "cumle")
+
+
+def _fitting(verified: DataFrame, issues: DataFrame) -> DataFrame:
+    """source, seq, rec, issue: the first fitting issue of each record."""
     fit = F.lit(True)
-    for c in fields:
+    for c in (c for c in _ISSUE if c in issues.columns and c in verified.columns):
         fit = fit & (F.col(f"i.{c}").isNull() | (F.col(f"i.{c}").cast("string") == F.coalesce(F.col(f"r.{c}").cast("string"), F.lit("None"))))
-    hit = verified.alias("r").join(issues.alias("i"), ["source", "operation"]).where(fit).groupBy("source", "seq", "rec").agg(F.min("i.id").alias("issue"))
-    out = verified.join(hit, ["source", "seq", "rec"], "left")
-    failed = F.col("status").isin("uyumsuz", "hedef_bulunamadi") & F.col("issue").isNotNull()
-    return out.withColumn("status", F.when(failed, "kaynak_tutarsizligi").otherwise(F.col("status")))
+    at = issues.select("*", F.col("place").alias("_place")) if "place" in issues.columns else issues.withColumn("_place", F.lit(0))
+    hit = verified.alias("r").join(at.alias("i"), ["source", "operation"]).where(fit)
+    return hit.groupBy("source", F.col("r.seq").alias("seq"), F.col("r.rec").alias("rec")).agg(F.min(F.struct("i._place", "i.id")).alias("x")).select("source", "seq", "rec", F.col("x.id").alias("issue"))
+
+
+def relabel_known(verified: DataFrame, issues: DataFrame) -> DataFrame:
+    """Failed records that a known issue fits become kaynak_tutarsizligi; issue holds its id (null elsewhere).
+
+    issues: id, source, operation, amendment_url and amending_article where the records have them, the levels of the
+    place, null where the issue does not list one, and place, its position in the list: the first fitting issue counts.
+    """
+    out = verified.drop("issue").join(_fitting(verified, issues), ["source", "seq", "rec"], "left")
+    failed = F.col("status").isin("uyumsuz", "hedef_bulunamadi")
+    out = out.withColumn("issue", F.when(failed, F.col("issue")))
+    return out.withColumn("status", F.when(F.col("issue").isNotNull(), "kaynak_tutarsizligi").otherwise(F.col("status")))
+
+
+def resolved_issues(verified: DataFrame, issues: DataFrame) -> DataFrame:
+    """id of issues that fit only records that pass: the source has mended them."""
+    hit = verified.join(_fitting(verified, issues), ["source", "seq", "rec"])
+    failed = F.col("status").isin("uyumsuz", "hedef_bulunamadi", "kaynak_tutarsizligi")
+    return hit.groupBy(F.col("issue").alias("id")).agg(F.bool_or(failed).alias("used")).where("not used").select("id")
 
 
 def summary(verified: DataFrame) -> DataFrame:
     """Counts of the statuses and the rate, per source and over all (source null)."""
     n = {s: F.count_if(F.col("status") == s) for s in STATUSES}
     return verified.rollup("source").agg(F.count("*").alias("records"), *[c.alias(s) for s, c in n.items()], oran(*(n[s] for s in STATUSES[:3])).alias("oran"))
-
-
-def quote_evidence(records: DataFrame, least: int = 8) -> DataFrame:
-    """source, seq, rec, later_seq, quoted: the first later record of the same article that quotes a record's new text."""
-    norm = lambda c: F.lower(verify_norm(F.col(c)))
-    a = records.select("source", "madde_type", "madde", "seq", "rec", norm("new_text").alias("new")).where(F.length("new") >= least)
-    quotes = F.explode(F.array(F.struct(F.lit(0).alias("field"), norm("old_text").alias("quoted")), F.struct(F.lit(1).alias("field"), norm("anchor_text").alias("quoted")))).alias("q")
-    b = records.select("source", "madde_type", "madde", F.col("seq").alias("later_seq"), quotes).where(F.length("q.quoted") >= least)
-    hit = a.join(b, ["source", "madde_type", "madde"]).where("later_seq > seq and (contains(new, q.quoted) or contains(q.quoted, new))")
-    return hit.groupBy("source", "seq", "rec").agg(F.min(F.struct("later_seq", "q.field", "q.quoted")).alias("x")).select("source", "seq", "rec", "x.later_seq", "x.quoted")

@@ -9,18 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions import text as t
-from lexstrata.operators import evaluate, replay, structure, verify
+from lexstrata.operators import dataset, discover, evaluate, evidence, replay, structure, verify
+from lexstrata.operators.extract import amending_articles
 from lexstrata.plans import rendered
 from lexstrata.sources import documents as src
 
 DAY = datetime.date(1996, 6, 30)
-#: The rendered prices in SQL: source, article, step, seq, date, price, before.
-PRICES = """
-o AS (SELECT c_nationkey::VARCHAR AS source, c_custkey, o_orderkey, o_orderdate::DATE AS date, lpad(printf('%.2f', o_totalprice), 12, '0') || '-' AS price
-      FROM orders JOIN customer ON o_custkey = c_custkey),
-p AS (SELECT *, row_number() OVER a - 1 AS step, lag(price) OVER a AS before, dense_rank() OVER (PARTITION BY source ORDER BY c_custkey) AS article,
-      row_number() OVER (PARTITION BY source ORDER BY date, o_orderkey) AS seq FROM o WINDOW a AS (PARTITION BY source, c_custkey ORDER BY date, o_orderkey))
-"""
+P, R = f"WITH {rendered.PRICES}", f"WITH {rendered.PRICES}, {rendered.RECORDS}"
 ORACLES: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,80 +34,112 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(f"WITH {PRICES} SELECT source, article::VARCHAR AS key, 'Tutar ' || coalesce(arg_max(price, step) FILTER (date <= DATE '1996-06-30'), arg_min(price, step)) || ' liradır.' AS text FROM p GROUP BY source, article")
+@query(f"{P}, state AS ({rendered.state("date <= DATE '1996-06-30'")}), u AS ({rendered.UNITS}) SELECT source, article::VARCHAR AS key, fikra, bent, text FROM u")
 def article_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first paragraph of every article on a day: parse, extract, replay, as-of."""
-    versions = rendered.versions(rendered.prices(spark, sf_dir)).where("fikra = 1 and bent is null")
-    return replay.as_of(versions, DAY).select("source", "key", "text")
+    """Every unit of every article on a day: parse, extract, replay, as-of."""
+    return replay.as_of(rendered.versions(rendered.prices(spark, sf_dir)), DAY).select("source", "key", "fikra", "bent", "text")
 
 
-@query(f"WITH {PRICES} SELECT source, seq, article::VARCHAR AS madde, 1 AS fikra, before AS old_text, price AS new_text, 'IBARE_DEGISTIR' AS operation, 'normal' AS madde_type, 'Örnek Yönetmeliğin' AS regulation FROM p WHERE step > 0")
+@query(f"""{P}, state AS ({rendered.state("TRUE")}), t AS (SELECT source, article, v4 FROM state),
+  u AS (SELECT source, article, string_agg(CASE WHEN bent IS NULL THEN '(' || fikra || ') ' ELSE bent || ') ' END || text, chr(10) ORDER BY fikra, bent NULLS FIRST) AS body FROM ({rendered.UNITS}) GROUP BY ALL)
+  SELECT source, string_agg('Tutar ' || v4 || chr(10) || 'MADDE ' || article || ' – ' || body, chr(10) ORDER BY article) AS text FROM u JOIN t USING (source, article) GROUP BY source""")
+def last_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every regulation after all its amendments, titles included."""
+    return replay.full_version(replay.articles_at(rendered.versions(rendered.prices(spark, sf_dir))))
+
+
+@query(f"""{R} SELECT source, seq, rec, article::VARCHAR AS madde, fikra, bent, cumle, operation, unit, old_text, new_text, anchor_text, anchor_position, 'normal' AS madde_type, 'Örnek Yönetmelik' AS regulation FROM records""")
 def extracted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered.records(rendered.prices(spark, sf_dir)).select("source", "seq", "madde", "fikra", "old_text", "new_text", "operation", "madde_type", "regulation")
+    rows = rendered.records(rendered.prices(spark, sf_dir))
+    return rows.select("source", "seq", "rec", "madde", "fikra", "bent", "cumle", "operation", "unit", "old_text", "new_text", "anchor_text", "anchor_position", "madde_type", "regulation")
 
 
-@query(f"""WITH {PRICES}, l AS (SELECT *, last_value(price) OVER (PARTITION BY source, c_custkey ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
-  max(step) OVER (PARTITION BY source, c_custkey) AS top FROM p)
-  SELECT source, seq, CASE WHEN price = final THEN 'uyumlu' WHEN step < top THEN 'sonradan_degisti' ELSE 'uyumsuz' END AS status FROM l WHERE step > 0""")
+@query(f"{R}, {rendered.STATUS} SELECT source, seq, rec, status FROM statuses")
 def record_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record against the consolidated text, excused by later records of its place."""
-    return rendered.verified(rendered.prices(spark, sf_dir)).select("source", "seq", "status")
+    return rendered.verified(rendered.prices(spark, sf_dir)).select("source", "seq", "rec", "status")
 
 
-@query(f"""WITH {PRICES}, l AS (SELECT *, last_value(price) OVER (PARTITION BY source, c_custkey ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM p)
-  SELECT source, count(*) AS records, count(*) FILTER (price = final) AS uyumlu, count(*) FILTER (price <> final) AS sonradan_degisti,
-         CASE WHEN count(*) FILTER (price = final) > 0 THEN 1.0::DOUBLE END AS oran FROM l WHERE step > 0 GROUP BY ROLLUP (source)""")
+@query(f"""{R}, {rendered.STATUS} SELECT source, count(*) AS records, count(*) FILTER (status = 'uyumlu') AS uyumlu, count(*) FILTER (status = 'sonradan_degisti') AS sonradan_degisti,
+         CASE WHEN count(*) FILTER (status = 'uyumlu') > 0 THEN 1.0::DOUBLE END AS oran FROM statuses GROUP BY ROLLUP (source)""")
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.summary(rendered.verified(rendered.prices(spark, sf_dir))).select("source", "records", "uyumlu", "sonradan_degisti", "oran")
 
 
-@query(f"""WITH {PRICES}, a AS (SELECT source, article, arg_min(price, step) AS price FROM p GROUP BY source, article)
-  SELECT source AS doc_id, article::VARCHAR AS key, 'Tutar ' || article AS title, 'BİRİNCİ BÖLÜM' AS section, 1 AS fikra, b.bent, b.pre || CASE WHEN b.bent IS NULL THEN price || ' liradır.' ELSE '' END AS text
-  FROM a, (VALUES (NULL, 'Tutar '), ('a', 'Genel'), ('b', 'Özel')) b(bent, pre)""")
+@query(f"""{P}, state AS ({rendered.state("FALSE")}), u AS ({rendered.UNITS})
+  SELECT source AS doc_id, article::VARCHAR AS key, 'Tutar sıfır' AS title, 'BİRİNCİ BÖLÜM' AS section, 'Genel Hükümler' AS section_title, fikra, bent, text FROM u""")
 def parsed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.parse_units(rendered.originals(rendered.prices(spark, sf_dir))).select("doc_id", "key", "title", "section", "fikra", "bent", "text")
+    return structure.parse_units(rendered.originals(rendered.prices(spark, sf_dir))).select("doc_id", "key", "title", "section", "section_title", "fikra", "bent", "text")
 
 
-@query(f"""WITH {PRICES}, a AS (SELECT source, article, arg_min(price, step) AS price FROM p GROUP BY source, article)
-  SELECT source AS doc_id, article::VARCHAR AS key, '(1) Tutar ' || price || ' liradır. a) Genel b) Özel' AS text FROM a""")
+@query(f"""{P}, state AS ({rendered.state("TRUE")}), u AS ({rendered.UNITS})
+  SELECT source AS doc_id, article::VARCHAR AS key, string_agg(CASE WHEN bent IS NULL THEN '(' || fikra || ') ' ELSE bent || ') ' END || text, ' ' ORDER BY fikra, bent NULLS FIRST) AS text FROM u GROUP BY ALL""")
 def article_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = structure.full_texts(structure.parse_units(rendered.originals(rendered.prices(spark, sf_dir))))
+    full = structure.full_texts(structure.parse_units(rendered.originals(rendered.prices(spark, sf_dir), last=True)))
     return full.where("fikra is null").select("doc_id", "key", F.col("full").alias("text"))
 
 
-@query(f"""WITH {PRICES} SELECT source, article::VARCHAR AS key, seq, date::VARCHAR AS date, 'uygulandi' AS status FROM p WHERE step > 0""")
+@query("SELECT DISTINCT (c_custkey // 20)::VARCHAR AS doc_id, 'ÖRNEK YÖNETMELİK' AS title FROM orders JOIN customer ON o_custkey = c_custkey")
+def regulation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.document_titles(rendered.originals(rendered.prices(spark, sf_dir)))
+
+
+@query(f"""{R} SELECT source, article::VARCHAR AS key, seq, rec, date::VARCHAR AS date, CASE WHEN operation = 'BIRIM_KALDIR' AND nth > 1 THEN 'hedef_bulunamadi' ELSE 'uygulandi' END AS status FROM records""")
 def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = rendered.versions(rendered.prices(spark, sf_dir)).where("fikra = 1 and bent is null")
-    return replay.apply_log(versions).select("source", "key", "seq", F.col("date").cast("string").alias("date"), "status")
+    log = replay.apply_log(rendered.versions(rendered.prices(spark, sf_dir)))
+    return log.select("source", "key", "seq", "rec", F.col("date").cast("string").alias("date"), "status")
 
 
-@query(f"""WITH {PRICES}, a AS (SELECT source, article, arg_min(price, step) AS x, arg_max(price, step) AS y FROM p GROUP BY source, article)
-  SELECT source, article::VARCHAR AS key, x = y AS same FROM a""")
+@query(f"""{R} SELECT source, seq, min(date)::VARCHAR AS date, count(*) FILTER (NOT (operation = 'BIRIM_KALDIR' AND nth > 1)) AS applied, count(*) FILTER (operation = 'BIRIM_KALDIR' AND nth > 1) AS failed FROM records GROUP BY ALL""")
+def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version per amending text, with what it could and could not apply."""
+    versions = replay.chain(replay.apply_log(rendered.versions(rendered.prices(spark, sf_dir))))
+    return versions.select("source", "seq", F.col("date").cast("string").alias("date"), "applied", F.size("failed").cast("bigint").alias("failed"))
+
+
+@query(f"""{P}, a AS ({rendered.state("FALSE")}), z AS ({rendered.state("TRUE")}) SELECT a.source, a.article::VARCHAR AS key, 'Tutar ' || a.v0 || ' liradır.' = 'Tutar ' || z.v0 || ' liradır.'
+    AND a.v1 = z.v1 AND a.v2 = z.v2 AND a.v3 = z.v3 AND a.v5 = z.v5 AND len(z.v6) = 0 AS same FROM a JOIN z USING (source, article)""")
 def article_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Original against consolidated articles by sequence similarity."""
+    """Original against consolidated articles: which are word for word the same."""
+    return article_similarity(spark, sf_dir).select("source", "key", (F.col("ratio") == 1.0).alias("same"))
+
+
+@query()
+def article_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original against consolidated articles by sequence similarity, with the outcome."""
     p = rendered.prices(spark, sf_dir)
     of = lambda last: structure.full_texts(structure.parse_units(rendered.originals(p, last))).where("fikra is null").select(F.col("doc_id").alias("source"), "key", F.col("full").alias("text"))
-    return replay.compare_articles(of(False), of(True)).select("source", "key", (F.col("ratio") == 1.0).alias("same"))
+    return replay.compare_articles(of(False), of(True)).select("source", "key", "ratio", "durum")
 
 
-@query(f"""WITH {PRICES} SELECT source, seq, 'IBARE_DEGISTIR | madde_type=normal madde=' || article || ' fikra=1 | old_text=' || before || ' | new_text=' || price AS target FROM p WHERE step > 0""")
+@query(f"""{R}, l AS (SELECT source, seq, rec, operation || ' | madde_type=normal madde=' || article || coalesce(' fikra=' || fikra, '') || coalesce(' bent=' || bent, '') || coalesce(' cumle=' || cumle, '') || ' | unit=' || unit
+    || coalesce(' | old_text=' || old_text, '') || CASE WHEN operation LIKE 'BIRIM%' THEN '' ELSE coalesce(' | new_text=' || new_text, '') END || coalesce(' | anchor_text=' || anchor_text, '') || coalesce(' | anchor_position=' || anchor_position, '') AS line FROM records)
+  SELECT source, seq, 1 AS article, string_agg(line, ' ;; ' ORDER BY rec) AS target FROM l GROUP BY source, seq UNION ALL SELECT source, seq, 2, 'YOK' FROM r""")
 def seq2seq_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rendered.records(rendered.prices(spark, sf_dir))
-    return r.select("source", "seq", evaluate.linearize({c: F.col(c) for c in r.columns}).alias("target"))
+    """Every amending article's records as the target of a sequence model."""
+    p = rendered.prices(spark, sf_dir)
+    texts = rendered.amendments(p)
+    rows = dataset.seq2seq(evaluate.build_examples(amending_articles(texts), rendered.records(p).withColumn("status", F.lit("uyumlu"))))
+    return rows.join(texts.select("doc_id", "source", "seq"), "doc_id").select("source", "seq", F.col("article").cast("int").alias("article"), "target")
 
 
-@query(f"""WITH {PRICES}, l AS (SELECT *, last_value(price) OVER (PARTITION BY source, c_custkey ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM p),
-  e AS (SELECT source, CASE WHEN price = final THEN 'dogrulanmis' ELSE 'kismen' END AS quality FROM l WHERE step > 0 UNION ALL SELECT source, 'kayitsiz' FROM l WHERE step > 0)
-  SELECT CASE source WHEN '3' THEN 'test' WHEN '5' THEN 'dev' ELSE 'train' END AS split, quality, count(*) AS n FROM e GROUP BY ALL""")
+@query(f"""{R}, {rendered.STATUS}, e AS (SELECT source, seq, CASE WHEN bool_and(status = 'uyumlu') THEN 'dogrulanmis' ELSE 'kismen' END AS quality FROM statuses GROUP BY source, seq UNION ALL SELECT source, seq, 'kayitsiz' FROM r)
+  SELECT CASE source WHEN '3' THEN 'test' WHEN '5' THEN 'dev' ELSE 'train' END AS split, quality, count(*) AS n FROM e GROUP BY ROLLUP (split, quality)""")
 def dataset_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amending articles as labelled examples, counted by split and quality."""
-    from lexstrata.operators.extract import amending_articles
-
+    """Amending articles as labelled examples, counted by split and quality, with totals."""
     p = rendered.prices(spark, sf_dir)
     texts = rendered.amendments(p)
     examples = evaluate.build_examples(amending_articles(texts), rendered.verified(p)).join(texts.select("doc_id", "source"), "doc_id")
     splits = spark.createDataFrame([("3", "test"), ("5", "dev")], "source string, split string")
-    return evaluate.with_split(examples, splits).groupBy("split", "quality").agg(F.count("*").alias("n"))
+    return evaluate.split_stats(evaluate.with_split(examples, splits))
+
+
+@query(f"""{R}, later AS (SELECT a.source, a.seq, a.rec, arg_min(b.seq, b.seq) AS later_seq FROM records a JOIN records b ON a.source = b.source AND a.article = b.article AND b.seq > a.seq
+     AND length(a.new_text) >= 8 AND length(coalesce(b.old_text, b.anchor_text)) >= 8 AND (contains(lower(a.new_text), lower(coalesce(b.old_text, b.anchor_text))) OR contains(lower(coalesce(b.old_text, b.anchor_text)), lower(a.new_text))) GROUP BY ALL)
+  SELECT * FROM later""")
+def superseded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each record the first later one of its article that quotes its new text."""
+    return evidence.quote_evidence(rendered.records(rendered.prices(spark, sf_dir))).select("source", "seq", "rec", "later_seq")
 
 
 @query("""WITH g AS (SELECT l_suppkey, l_partkey % 50 AS k, count(*) AS g FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
@@ -143,12 +170,12 @@ def gazette_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.select("ref.*", t.index_path(F.col("ref")).alias("path"))
 
 
-@query("""WITH d AS (SELECT DISTINCT o_orderkey AS ref, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 10 = 1), p AS (SELECT DISTINCT o_orderdate::DATE AS page_day FROM orders WHERE o_custkey % 40 = 3)
+@query("""WITH d AS (SELECT DISTINCT o_orderkey AS ref, o_orderdate::DATE AS day FROM orders), p AS (SELECT DISTINCT l_shipdate::DATE AS page_day FROM lineitem)
   SELECT ref, day::VARCHAR AS day, max(page_day)::VARCHAR AS page_day FROM d LEFT JOIN p ON page_day BETWEEN day - 5 AND day - 1 GROUP BY ref, day""")
 def issue_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each reference the last issue within the days before it."""
-    o = _read(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    found = src.pages_before(o.where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("ref"), "day"), o.where("o_custkey % 40 = 3").select(F.col("day").alias("page_day")), 5)
+    refs = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), F.to_date("o_orderdate").alias("day"))
+    found = src.pages_before(refs, _read(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("page_day")), 5)
     return found.select("ref", F.col("day").cast("string").alias("day"), F.col("page_day").cast("string").alias("page_day"))
 
 

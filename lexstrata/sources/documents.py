@@ -77,17 +77,47 @@ def decode_text(content: pd.Series) -> pd.Series:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, modified, text, source_type: HTML files as lines, others as they are. PDF pages come in by remove_repeats."""
+    """path, modified, text, source_type: HTML files as lines, others as they are; PDF files have a null text, as theirs
+    comes in as pages by pdf_text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
-    rows = files.select("path", F.col("modificationTime").alias("modified"), F.when(kind.isin("html", "htm"), "html").otherwise("txt").alias("source_type"), decode_text("content").alias("raw"))
-    return rows.select("path", "modified", tidy(dehyphenate(F.when(F.col("source_type") == "html", html_to_lines("raw")).otherwise(F.col("raw")))).alias("text"), "source_type")
+    kind = F.when(kind.isin("html", "htm"), "html").when(kind == "pdf", "pdf").otherwise("txt")
+    utf8 = F.try_validate_utf8("content")
+    rows = files.select("path", F.col("modificationTime").alias("modified"), kind.alias("source_type"), "content").withColumn("raw", F.when(F.col("source_type") != "pdf", F.coalesce(utf8, decode_text("content"))))
+    said = F.when(F.col("source_type") == "html", html_to_lines("raw")).otherwise(F.col("raw"))
+    return rows.select("path", "modified", tidy(dehyphenate(said)).alias("text"), "source_type")
+
+
+def pdf_text(pages: DataFrame) -> DataFrame:
+    """doc, text, source_type, pages_without_text, needs_ocr of extracted pages (doc, page, text), running heads removed."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
+    whole = remove_repeats(pages).groupBy("doc").agg(tidy(dehyphenate(body)).alias("text"))
+    return whole.join(needs_ocr(pages), "doc").select("doc", "text", F.lit("pdf").alias("source_type"), "pages_without_text", "needs_ocr")
 
 
 def newest(files: DataFrame, by: str = "source") -> DataFrame:
+    """Of each group the text modified last (ties by path). No files give no rows."""
     return files.groupBy(by).agg(F.max_by("text", F.struct("modified", "path")).alias("text"))
 
 
+#: The roles of stored files and their names.
+ROLES = (("konsolide", "konsolide"), ("orijinal", "orijinal"), ("degisiklik", "degisiklik"))
+
+
+def by_role(files: DataFrame) -> DataFrame:
+    """source, role, seq, path, text of files stored as <source>/<role>[NN]_<name>.
+
+    Of consolidated and original texts the newest counts, seq 0. Amending texts count from 1, by the number in their name,
+    so that the hundredth follows the ninety-ninth; equal or missing numbers go by path. Other files are left out.
+    """
+    name, source = F.regexp_extract("path", r"([^/]+)$", 1), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    role = F.coalesce(*[F.when(name.startswith(prefix), kind) for prefix, kind in ROLES])
+    rows = files.select(source.alias("source"), role.alias("role"), F.regexp_extract(name, r"^degisiklik(\d+)", 1).try_cast("int").alias("n"), "path", "modified", "text").where("role is not null")
+    last = rows.where("role <> 'degisiklik'").groupBy("source", "role").agg(F.max(F.struct("modified", "path", "text")).alias("x")).select("source", "role", F.lit(0).alias("seq"), "x.path", "x.text")
+    order = W.partitionBy("source").orderBy(F.col("n").asc_nulls_last(), "path")
+    return last.unionByName(rows.where("role = 'degisiklik'").select("source", "role", F.row_number().over(order).alias("seq"), "path", "text"))
+
+
 def remove_repeats(pages: DataFrame, share: float = 0.5, longest: int = 90) -> DataFrame:
     """(doc, page, text) without running heads and feet: short lines that, digits aside, are on half the pages and on
     three at least. Structural lines stay; documents of fewer than three pages stay as they are."""
@@ -122,11 +152,30 @@ def not_yet_fetched(jobs: DataFrame, manifest: DataFrame, refresh: bool = False)
     return new.unionByName(again).distinct()
 
 
+def download_jobs(sources: DataFrame) -> DataFrame:
+    """source, role, url to fetch for sources (id, url, original_url, amendments array<string>): amending texts are numbered
+    by their place in the list. Null addresses give no job."""
+    one = lambda role, c: sources.select(F.col("id").alias("source"), F.lit(role).alias("role"), F.col(c).alias("url"))
+    many = sources.select(F.col("id").alias("source"), F.posexplode("amendments").alias("i", "url")).select("source", F.format_string("degisiklik%02d", "i").alias("role"), "url")
+    return one("konsolide", "url").unionByName(one("orijinal", "original_url")).unionByName(many).where("url is not null")
+
+
 def manifest_rows(fetched: DataFrame, known: DataFrame) -> DataFrame:
-    """source, role, url, path, sha256 of fetched (source, role, url, content); content already stored adds no row."""
-    sha = F.sha2("content", 256)
-    rows = fetched.withColumn("sha256", sha).withColumn("path", F.concat_ws("/", "source", F.concat(F.col("role"), F.lit("_"), F.substring("sha256", 1, 16))))
-    return rows.join(known.select("path").distinct(), "path", "left_anti").select("source", "role", "url", "path", "sha256")
+    """source, role, url, path, sha256, content_type, fetched_at of fetched (source, role, url, content, content_type,
+    fetched_at); content already stored under a path adds no row."""
+    kind, url = F.lower(F.coalesce("content_type", F.lit(""))), F.lower("url")
+    ext = F.when(kind.contains("pdf") | url.rlike(r"\.pdf($|\?)"), ".pdf").when(kind.contains("html") | url.rlike(r"\.html?($|\?)"), ".html").when(kind.contains("text/plain") | url.rlike(r"\.txt($|\?)"), ".txt").otherwise(".bin")
+    rows = fetched.withColumn("sha256", F.sha2("content", 256)).withColumn("path", F.concat(F.concat_ws("/", "source", F.concat(F.col("role"), F.lit("_"), F.substring("sha256", 1, 16))), ext))
+    return rows.join(known.select("path").distinct(), "path", "left_anti").select("source", "role", "url", "path", "sha256", "content_type", "fetched_at").dropDuplicates(["path"])
+
+
+def frame_url(url: Column) -> Column:
+    """The address that holds a regulation's text, from that of the page around it: number, kind and series of the query,
+    whatever their case, series 5 by default. Null where number or kind is missing."""
+    key = lambda k: F.nullif(F.regexp_extract(url, rf"(?i)[?&]{k}=([^&#]+)", 1), F.lit(""))
+    no, kind, series = key("mevzuatno"), key("mevzuattur"), F.coalesce(key("mevzuattertip"), F.lit("5"))
+    base = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1)
+    return F.when(url.contains("MevzuatFihristDetayIframe"), url).when(no.isNotNull() & kind.isNotNull(), F.concat(base, F.lit("/anasayfa/MevzuatFihristDetayIframe?MevzuatTur="), kind, F.lit("&MevzuatNo="), no, F.lit("&MevzuatTertip="), series))
 
 
 def normalise_url(url: Column) -> Column:
@@ -143,6 +192,12 @@ def upsert_sources(sources: DataFrame, changes: DataFrame, key: str = "id") -> D
     return both.select(key, *[F.coalesce(F.col(f"c.{x}"), F.col(f"s.{x}")).alias(x) for x in sources.columns if x != key])
 
 
+def move_to_split(splits: DataFrame, moved: DataFrame) -> DataFrame:
+    """splits (split, source) where each source of moved (source, split) is in that split alone; the last by name counts."""
+    new = moved.groupBy("source").agg(F.max("split").alias("split"))
+    return splits.join(new.select("source"), "source", "left_anti").select("split", "source").distinct().unionByName(new.select("split", "source"))
+
+
 def pages_before(refs: DataFrame, pages: DataFrame, days: int) -> DataFrame:
     """refs (ref, day) with the last page day in the window [day - days, day - 1], null without one.
 
@@ -154,4 +209,5 @@ def pages_before(refs: DataFrame, pages: DataFrame, days: int) -> DataFrame:
 
 
 def latest_rows(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each key by order; null keys are one key."""
+    return rows.select(F.struct("*").alias("_row"), F.row_number().over(W.partitionBy(key).orderBy(order)).alias("_rank")).where("_rank = 1").select("_row.*")
