@@ -10,6 +10,7 @@ spans; each distinct run is encoded once and remembered in a bounded cache.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -45,11 +46,16 @@ class PrefixTable:
         apart = "" if any("\n" in p for p in long) else "\n"
         self.runs = re.compile(f"{apart}|{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+" if apart else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.automaton = ahocorasick.Automaton()
+        self.text: list[str] = []  # pieces by number, and how long each is
+        self.length: list[int] = []
         for p in self.ids:
             if len(p) == 1 or self.merge(p) == [p]:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (len(self.text), len(p)))
+                self.text.append(p)
+                self.length.append(len(p))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.id_of = [self.ids[p] for p in self.text]
+        self.pairs: dict[int, bool] = {}
         self.cache: dict[str, tuple[list[int], str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -77,39 +83,47 @@ class PrefixTable:
             offer(i)
         return [p for p in parts if p]
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether a then b is how BPE encodes their concatenation."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > CACHE_RUNS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether piece a then piece b is how BPE encodes their concatenation."""
+        if len(self.pairs) > CACHE_RUNS:
+            self.pairs.clear()
+        x, y = self.text[a], self.text[b]
+        known = self.pairs[a << 32 | b] = self.merge(x + y) == [x, y]
         return known
 
-    def pieces(self, run: str) -> list[str]:
-        """Tokens of a run by the table of last tokens; a character without a piece stands for itself."""
-        ends: list[list[str]] = [[] for _ in run]
-        for end, piece in self.automaton.iter(run):
-            ends[end].append(piece)
-        last: list[str] = []
-        for i, found in enumerate(ends):
-            for piece in sorted(found, key=len, reverse=True):
-                before = i - len(piece)
-                if before < 0 or last[before] not in self.ids or self.compatible(last[before], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(run[i])
+    def encode_pieces(self, run: str) -> list[int]:
+        """Ids of a run by the table of last tokens, from the back; a character without a piece is its bytes.
+
+        The automaton names the pieces that end at a place longest first; the first that may follow the last token of
+        the prefix before it is the one.
+        """
+        last, done, known = [-1] * len(run), -1, self.pairs.get
+        for end, (piece, n) in self.automaton.iter(run):
+            if end == done:
+                continue
+            before = last[end - n] if end >= n else -1
+            if before >= 0:
+                fits = known(before << 32 | piece)
+                if not (self.compatible(before, piece) if fits is None else fits):
+                    continue
+            last[end] = piece
+            done = end
         out, i = [], len(run) - 1
         while i >= 0:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            piece = last[i]
+            if piece >= 0:
+                out.append(self.id_of[piece])
+                i -= self.length[piece]
+            else:
+                out.extend(self.bytes[b] for b in reversed(run[i].encode()))
+                i -= 1
+        out.reverse()
+        return out
 
     def encode_run(self, run: str) -> tuple[list[int], str]:
         known = self.cache.get(run)
         if known is None:
-            ids = [i for p in self.pieces(run) for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
+            ids = self.encode_pieces(run)
             known = (ids, ",".join(map(str, ids)))
             if len(run) <= 64:
                 if len(self.cache) >= CACHE_RUNS:
@@ -138,6 +152,8 @@ def loaded(path: str) -> tuple:
         with open(path, "rb") as f:
             model = f.read()
         _tables[path] = (PrefixTable(model), sentencepiece.SentencePieceProcessor(model_proto=model))
+        gc.freeze()  # tables and remembered runs hold no cycles; looking for them over and over costs a tenth of the time
+        gc.set_threshold(200_000, 50, 100)
     return _tables[path]
 
 
@@ -145,7 +161,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     Every whole text is encoded without begin or end ids, then decoded by the library. A null text counts as empty
-    and has no ids. Repeated rows are encoded alike; a null doc_id is kept; other columns are ignored; no documents
+    and has no ids; a text of any length is encoded by its task alone. Repeated rows are encoded alike; a null doc_id is kept; other columns are ignored; no documents
     give no rows. model_path is a file that every executor has.
     """
 
