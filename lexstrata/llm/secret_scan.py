@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
-from re import _constants as op
-from re import _parser as regex_tree
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,37 +34,68 @@ RULES = (
     SecretRule("api_token", r"AIza[0-9A-Za-z_-]{35}", 39),
     SecretRule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 20),
     SecretRule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 20),
+    SecretRule("payment_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]{24,}", 32),
+    SecretRule("mail_key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", 69),
+    SecretRule("host_token", r"glpat-[A-Za-z0-9_-]{20,}", 26),
+    SecretRule("package_token", r"npm_[A-Za-z0-9]{36}", 40),
+    SecretRule("web_hook", r"hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{20,}", 40),
+    SecretRule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{24,}", 30),
+    SecretRule("url_login", r"[a-z]{3,10}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!$&*+,;=-]{3,64}@", 12),
 )
 MAX_ALTERNATIVES = 64
-
-
-def _literal_runs(tree) -> list[list[str]]:
-    """For each way through the branches, the literal runs every match holds ('\\0' parts runs); [] where too many ways."""
-    ways = [""]
-    for kind, arg in tree:
-        if kind is op.LITERAL:
-            step = [chr(arg)]
-        elif kind is op.SUBPATTERN:
-            step = ["\0".join(w) for w in _literal_runs(arg[3])]
-        elif kind is op.BRANCH:
-            step = ["\0".join(w) for part in arg[1] for w in _literal_runs(part)]
-        elif kind is op.IN and len(arg) <= 8 and all(k is op.LITERAL for k, _ in arg):
-            step = [chr(c) for _, c in arg]
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[1] == 1 and arg[0] == 0:
-            step = ["", *["\0".join(w) for w in _literal_runs(arg[2])]]
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[0] >= 1:
-            step = ["\0".join(w) + "\0" for w in _literal_runs(arg[2])] if arg[1] > 1 else ["\0".join(w) for w in _literal_runs(arg[2])]
-        else:
-            step = ["\0"]
+#: Postings of matching rows that are sent to all tasks; beyond that they are joined by row.
+BROADCAST_ROWS = 500_000
+
+
+def _atom(p: str, i: int) -> tuple[list[str], int]:
+    """(the literal texts of the element of a pattern at i, '\0' for any other text; where the next one begins)."""
+    c = p[i]
+    if c == "(":
+        start = p.index(":", i) + 1 if p[i + 1] == "?" else i + 1
+        ways, end = _ways(p, start)
+        return ways, end + 1
+    if c == "[":
+        end = p.index("]", i + 2)
+        inside = p[i + 1 : end]
+        plain = len(inside) <= 8 and not any(x in inside for x in "^-\\")
+        return list(inside) if plain else ["\0"], end + 1
+    if c == "\\":
+        if p[i + 1] == "x":
+            return [chr(int(p[i + 2 : i + 4], 16))], i + 4
+        return ["\0" if p[i + 1].isalnum() else p[i + 1]], i + 2
+    return ["\0" if c in ".^$" else c], i + 1
+
+
+def _ways(p: str, i: int) -> tuple[list[str], int]:
+    """(for each way through the branches its literal runs, '\0' between them; where the branch ends)."""
+    out, ways = [], [""]
+    while i < len(p) and p[i] != ")":
+        if p[i] == "|":
+            out, ways, i = out + ways, [""], i + 1
+            continue
+        step, i = _atom(p, i)
+        least, most = 1, 1
+        if i < len(p) and p[i] in "?*+{":
+            if p[i] == "{":
+                end = p.index("}", i)
+                low, _, high = p[i + 1 : end].partition(",")
+                least, most, i = int(low), 1 if (high or low) == low == "1" else 2, end
+            else:
+                least, most = {"?": (0, 1), "*": (0, 2), "+": (1, 2)}[p[i]]
+            i += 1
+        if least == 0:
+            step = ["", *step] if most == 1 else ["\0"]
+        elif most > 1:
+            step = [x + "\0" for x in step]
         if len(ways) * len(step) > MAX_ALTERNATIVES:
             step = ["\0"]
         ways = [a + b for a, b in product(ways, step)]
-    return [w.split("\0") for w in ways]
+    return out + ways, i
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Alternatives of mandatory lower-case ASCII trigrams; [] means that the pattern must scan every row."""
-    ways = _literal_runs(regex_tree.parse(pattern))
+    ways = [w.split("\0") for w in _ways(pattern, 0)[0]]
     sets = {frozenset(r[i : i + 3] for run in way for r in (run.lower(),) if r.isascii() for i in range(len(r) - 2)) for way in ways}
     return [] if not all(sets) else sorted((s for s in sets if not any(t < s for t in sets)), key=sorted)
 
@@ -105,15 +134,19 @@ def spans(text: Column, rule: SecretRule) -> Column:
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """doc_id, text, spans array<struct<start, end, kind>> in order of start, then of the rules.
 
-    A null text is scanned as empty and has no spans. Repeated rows are scanned alike. A null doc_id is kept. Other
-    columns are ignored; no documents give no rows.
+    The rows that the index names for some rule come back as a table of row keys; it is sent to all tasks while it has
+    BROADCAST_ROWS rows at most and joined by row beyond, so the texts stay where they are in the first case. A null text
+    is scanned as empty and has no spans; texts of any length are scanned whole. Repeated rows are scanned alike; rows
+    whose keys collide are verified by each other's rules too, which changes nothing. A null doc_id is kept. Other columns
+    are ignored; no documents give no rows.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("t"), F.xxhash64("doc_id", "text").alias("row"))
     grams = sorted({g for r in rules for alt in trigram_query(r.pattern) for g in alt})
     index = scratch.save(build_index(rows, grams).distinct(), "postings")
-    may = candidates(index, rules).withColumnRenamed("row", "cand_row")
-    rows = rows.join(may, F.col("row") == F.col("cand_row"), "left")
+    may = scratch.save(candidates(index, rules).withColumnRenamed("row", "cand_row"), "candidates")
+    few = may.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(may) if few else may, F.col("row") == F.col("cand_row"), "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     per_rule = [spans(F.col("t"), r) if not trigram_query(r.pattern) else F.when(F.array_contains("rules", r.kind), spans(F.col("t"), r)).otherwise(none) for r in rules]
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])

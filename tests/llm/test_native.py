@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from tests.llm import brute
 
@@ -129,3 +132,30 @@ def test_op9(spark, sf_dir, edge):
         mixed = mixing.mixed_documents(docs)
         assert mixed.selectExpr("coalesce(sum(size(array_remove(split(text, '[ \\t-\\r]+'), ''))), 0) n").first().n == sum(r.taken for r in rows)
     assert mixing.mix_to_targets(edge.limit(0)).count() == 0
+
+
+ADDED = {
+    "vcs_token": r"gh[pousr]_[A-Za-z0-9]{36,}", "chat_token": r"xox[abprs]-[A-Za-z0-9-]{10,}", "api_token": r"AIza[0-9A-Za-z_-]{35}",
+    "signed_token": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "payment_key": r"[rs]k_(live|test)_[0-9A-Za-z]{24,}",
+    "mail_key": r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", "host_token": r"glpat-[A-Za-z0-9_-]{20,}", "package_token": r"npm_[A-Za-z0-9]{36}",
+    "web_hook": r"hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{20,}", "bearer": r"[Bb][Ee][Aa][Rr][Ee][Rr] +[A-Za-z0-9._~+/=-]{24,}", "url_login": r"[a-z]{3,10}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!$&*+,;=-]{3,64}@",
+}
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_op6_every_span_against_brute_force(spark, monkeypatch, few):
+    """Spans of all rules, ties at one start in the order of the rules, with candidates sent to all tasks or joined."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", few)
+    rng = random.Random(5)
+    some = lambda n, of="abcXYZ019": "".join(rng.choice(of) for _ in range(n))
+    parts = [
+        lambda: "ghp_" + some(rng.choice((35, 36, 40))), lambda: "xoxb-" + some(rng.choice((9, 10, 30))), lambda: "AIza" + some(rng.choice((34, 35, 36))), lambda: f"eyJ{some(9)}.eyJ{some(9)}.{some(8)}",
+        lambda: "-----BEGIN EC PRIVATE KEY-----", lambda: "sk_live_" + some(24), lambda: "rk_test_" + some(23), lambda: f"SG.{some(22)}.{some(43)}", lambda: "glpat-" + some(20), lambda: "npm_" + some(36),
+        lambda: f"hooks.slack.com/services/T{some(8, 'AB12')}/B{some(8, 'AB12')}/{some(20)}", lambda: "Bearer " + some(30), lambda: f"https://user:{some(5)}@host", lambda: "token=" + some(9), lambda: "secret: ghp_" + some(36),
+        lambda: "AKIA" + some(16, "AB12"), lambda: some(24, "abcdef0123"), lambda: "é\U0001f600", lambda: "plain words", lambda: "tokens of secrets"]
+    rows = [(i, rng.choice((" ", "\n", ", ")).join(rng.choice(parts)() for _ in range(rng.randrange(0, 9)))) for i in range(300)] + [(300, None), (300, None), (None, "ghp_" + "a" * 36), (301, "x " * 200_000 + "glpat-" + "Z" * 20)]
+    kinds = list(brute.KINDS) + list(ADDED)
+    rules = {**brute.KINDS, **{k: (re.compile(p, re.A), 0, 0) for k, p in ADDED.items()}}
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((str(i), ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(((m.start(), k, m.end()) for k in kinds for m in rules[k][0].finditer(t or "") if len(m.group(rules[k][1])) >= rules[k][2]), key=lambda x: (x[0], kinds.index(x[1]))))) for i, t in rows)
+    assert sorted((str(r.doc_id), ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)) for r in got) == want
