@@ -193,3 +193,20 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_root")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: Every pair that shares a shingle, for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), '|')) AS class FROM s),
+c AS (SELECT class, min(doc_id) AS rep, any_value(n) AS n FROM n WHERE n > 0 GROUP BY class),
+x AS (SELECT rep, unnest(s) AS g FROM c JOIN s ON s.doc_id = c.rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c u ON u.rep = a JOIN c v ON v.rep = b WHERE 100 * shared >= 75 * (u.n + v.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, CASE WHEN n.n = 0 THEN n.doc_id ELSE m.root END AS component_id, n.doc_id = (CASE WHEN n.n = 0 THEN n.doc_id ELSE m.root END) AS kept
+FROM n LEFT JOIN c ON c.class = n.class LEFT JOIN m ON m.node = c.rep
+"""

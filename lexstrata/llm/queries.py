@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE_BASE, "op9_source_mix": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op7_url_filter": url_filter.ORACLE_BASE, "op9_source_mix": mixing.ORACLE}
