@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from lexstrata.functions.text import ALPHABET, collapse, diff_sentences, gazette_label, is_tombstone, version_norm
+from lexstrata.functions.text import ALPHABET, collapse, diff_sentences, gazette_label, gazette_ref, is_tombstone, version_norm
 from lexstrata.operators.fold import ARTICLE_UNITS, NO_TARGET, UNSUPPORTED, fold
 from lexstrata.operators.structure import ARTICLE, parse_units
 from lexstrata.operators.verify import LEVELS, location_key
@@ -153,6 +153,18 @@ def amendment_dates(refs: DataFrame, amendments: DataFrame) -> DataFrame:
     return amendments.withColumn("i", by("seq")).join(numbered, ["source", "i"], "left").withColumn("date", day).withColumn("label", gazette_label(F.col("ref"))).drop("i", "ref")
 
 
+def original_dates(sources: DataFrame) -> DataFrame:
+    """source, date: when each source (id, original_ref) was first published; null without a reference."""
+    ref = gazette_ref(F.col("original_ref"))
+    return sources.select(F.col("id").alias("source"), F.make_date(ref["year"], ref["month"], ref["day"]).alias("date"))
+
+
+def chain_similarity(texts: DataFrame, consolidated: DataFrame) -> DataFrame:
+    """source, similarity: whole texts (source, text) against the consolidated ones; null where either is missing."""
+    both = texts.alias("a").join(consolidated.alias("b"), "source", "full_outer").select("source", version_norm(F.col("a.text")).alias("x"), version_norm(F.col("b.text")).alias("y"))
+    return both.select("source", F.when(F.col("x") == F.col("y"), 1.0).when(F.col("x").isNotNull() & F.col("y").isNotNull(), seq_ratio("x", "y")).alias("similarity"))
+
+
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio with its junk heuristic; null if either side is."""

@@ -185,7 +185,10 @@ def first_seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").groupBy(src.normalise_url(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<nav\b[^>]*>.*?</nav>|<header\b[^>]*>.*?</header>|<footer\b[^>]*>.*?</footer>|<!--.*?-->|<![^>]*>', '', 'g') AS x FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)</(p|div|li|tr|table|section|article|h[1-6])\s*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS x FROM b)
+  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text FROM c""")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", t.tidy(src.html_to_lines("html")).alias("text"))
 

@@ -26,7 +26,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.skip += tag in SKIPPED
-        if tag == "br":
+        if tag == "br" and not self.skip:
             self.out.append("\n")
         if tag == "sup":
             self.sup = len(self.out)
@@ -38,7 +38,7 @@ class _Lines(HTMLParser):
             if re.fullmatch(r"\s*\(?\d{1,3}\)?\s*", "".join(self.out[self.sup :])):
                 del self.out[self.sup :]
             self.sup = None
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.skip:
             self.out.append("\n")
 
     def handle_data(self, data: str) -> None:

@@ -109,6 +109,12 @@ def test_chain_dates_and_as_of(spark):
     got = {r.seq: (r.applied, [tuple(x) for x in r.failed]) for r in replay.chain(replay.apply_log(versions)).collect()}
     assert got == {1: (1, []), 2: (1, []), 3: (0, [("IBARE_DEGISTIR", "metin_bulunamadi")])}
     assert replay.replay(structure.parse_units(docs), records.limit(0)).count() == 5
+    first = replay.original_dates(spark.createDataFrame([("s", "RG-2/3/2004-25000"), ("t", None)], "id string, original_ref string"))
+    assert {r.source: str(r.date) for r in first.collect()} == {"s": "2004-03-02", "t": "None"}
+    of = lambda *x: spark.createDataFrame(x, "source string, text string")
+    alike = replay.chain_similarity(of(("s", "bir iki üç"), ("t", "x"), ("u", "Aynı  söz")), of(("s", "bir iki dört"), ("u", "aynı söz")))
+    got = {r.source: r.similarity for r in alike.collect()}
+    assert 0.5 < got["s"] < 1 and got["t"] is None and got["u"] == 1.0
 
 
 def test_comparison_and_differences(spark):
