@@ -137,9 +137,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
 
     members = classes.select("rep", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = scratch.save(members.join(shared, "bucket"), "members")
+    spent = [members := scratch.save(members.join(shared, "bucket"), "members")]
     rows_of = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    texts = scratch.save(rows_of.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"), "texts")
+    spent.append(texts := scratch.save(rows_of.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h"), "texts"))
 
     def labelled(label: DataFrame | None) -> DataFrame:
         if label is None:
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
         return now.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
 
     central = members.groupBy("bucket").agg(F.count("*").alias("n")).join(members, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = scratch.save(members.join(central, "rep").select("bucket", "rep", "weight"), "members")
+    spent.append(members := scratch.save(members.join(central, "rep").select("bucket", "rep", "weight"), "members"))
     label = None
     for turn in range(TURNS):
         now = labelled(label)
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
         pairs = _likely(tried.select("b", F.inline("best")).select("a", "b"), sigs, least)
         edges.append(scratch.save(_confirmed(pairs, texts, size, percent), "links"))
         label = components(reduce(DataFrame.union, edges), scratch)
+        spent.append(edges[-1])
         edges = [label.select(F.col("node").alias("u"), F.col("root").alias("v"))]  # the stars stand for the links so far
 
     now = labelled(label).join(open_buckets(labelled(label)), "bucket")
@@ -175,7 +176,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     odd = [F.first(F.col("parity")[i]).alias(f"w{i}") for i in range(PARITY)]
     sizes_of = classes.groupBy("rep").agg(F.when(F.count("*") == 1, F.min("n_shingles")).alias("n"), *odd)  # null for a doc_id of several texts, which the bound leaves alone
     facts = sizes_of.join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"), *(f"w{i}" for i in range(PARITY)))
-    now = scratch.save(now.join(facts, "rep"), "open")
+    spent.append(now := scratch.save(now.join(facts, "rep"), "open"))
     sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     outside = now.join(largest, "bucket").where("root <> largest").select("bucket", F.col("rep").alias("a"), F.col("root").alias("root_a"), "largest", F.col("n").alias("n_a"), F.col("own").alias("own_a"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(PARITY)))
@@ -186,7 +187,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size:
     once = (F.col("root") == F.col("largest")) | (F.col("a") < F.col("rep"))
     pairs = outside.join(now, "bucket").where((F.col("root") != F.col("root_a")) & once & near).select("a", F.col("rep").alias("b")).distinct()
     edges.append(scratch.save(_confirmed(_likely(pairs, sigs, least), texts, size, percent), "links"))
+    spent.append(edges[-1])
     label = components(reduce(DataFrame.union, edges), scratch)
+    scratch.drop(*spent)  # the result rests on the sketches, the classes and the last components
 
     of_class = classes.select("set_hash", "rep").join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("root", "rep").alias("class_root"))
     out = sk.join(of_class, F.col("set_hash") == F.col("of"), "left")

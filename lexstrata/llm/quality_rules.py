@@ -170,6 +170,7 @@ def learn(labelled: DataFrame, bins: int = 24, max_rules: int = 10, max_tests: i
             break
         rules.append(Rule(tuple(Test(s, above, float(cuts[s][k])) for s, above, k in tests[:size])))
         left = left.where(~prefix[size])
+    scratch.drop(cells)
     return rules
 
 
@@ -193,7 +194,9 @@ def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **how)
     stats = scratch.save(statistics(docs, keep), "stats")
     marked = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("of"), (F.col("quality") == 0).alias("bad"))
     labelled = stats.where("not base_failed").join(marked, F.col("doc_id") == F.col("of")).select("doc_id", "bad", *RATIOS)
-    rules = learn(scratch.save(labelled, "labelled"), scratch=scratch, **how)
+    labelled = scratch.save(labelled, "labelled")
+    rules = learn(labelled, scratch=scratch, **how)
+    scratch.drop(labelled)
     out = stats.withColumn("rule", F.when(~F.col("base_failed"), first_rule(rules)))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule",

@@ -145,6 +145,7 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     grams = sorted({g for r in rules for alt in trigram_query(r.pattern) for g in alt})
     index = scratch.save(build_index(rows, grams).distinct(), "postings")
     may = scratch.save(candidates(index, rules).withColumnRenamed("row", "cand_row"), "candidates")
+    scratch.drop(index)
     few = may.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(may) if few else may, F.col("row") == F.col("cand_row"), "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")

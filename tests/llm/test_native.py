@@ -159,3 +159,31 @@ def test_op6_every_span_against_brute_force(spark, monkeypatch, few):
     got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = sorted((str(i), ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(((m.start(), k, m.end()) for k in kinds for m in rules[k][0].finditer(t or "") if len(m.group(rules[k][1])) >= rules[k][2]), key=lambda x: (x[0], kinds.index(x[1]))))) for i, t in rows)
     assert sorted((str(r.doc_id), ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)) for r in got) == want
+
+
+def test_op4_rules_against_plain_evaluation(spark):
+    """Every verdict follows from the learned list read in plain Python; a planted conjunction is found again."""
+    rng = random.Random(6)
+    names = list(quality_rules.RATIOS)
+    rows = []
+    for i in range(4_000):
+        x = {n: rng.random() for n in names}
+        bad = (x[names[0]] > 0.7 and x[names[1]] <= 0.4) or x[names[2]] > 0.95
+        rows.append((i, bad, *x.values()))
+    kinds = "doc_id long, bad boolean, " + ", ".join(f"{n} double" for n in names)
+    table = spark.createDataFrame(rows, kinds)
+    rules = quality_rules.learn(table)
+    assert rules
+
+    def plain(x):
+        for r in rules:
+            if all((x[t.stat] > t.value) == t.above for t in r.tests):
+                return str(r)
+        return None
+
+    got = {r.doc_id: r.rule for r in table.select("doc_id", quality_rules.first_rule(rules).alias("rule")).collect()}
+    want = {r[0]: plain(dict(zip(names, r[2:], strict=True))) for r in rows}
+    assert got == want
+    right = sum((want[r[0]] is not None) == r[1] for r in rows)
+    assert right / len(rows) > 0.95, (right, list(map(str, rules)))
+    assert quality_rules.learn(table.where("bad")) == [] and quality_rules.learn(table.limit(0)) == []
