@@ -18,6 +18,11 @@ from lexstrata.operators.verify import excuse_later, relabel_known, summary, ver
 EMPTY = "YOK"
 PLACE = (*LOCATION, "cumle")
 FIELDS = ("unit", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after")
+#: The names of a record's fields in a target.
+SHORT = {
+    "madde_type": "tur", "madde": "madde", "fikra": "fikra", "bent": "bent", "alt_bent": "altbent", "cumle": "cumle",
+    "unit": "birim", "old_text": "eski", "new_text": "yeni", "anchor_text": "capa", "anchor_position": "konum", "insert_after": "sonra",
+}
 RECORD = "struct<operation:string,unit:string,madde_type:string,madde:string,fikra:int,bent:string,alt_bent:int,cumle:string,old_text:string,new_text:string,anchor_text:string,anchor_position:string,insert_after:string>"
 TRUSTED = ("dogrulanmis", "kismen", "kayitsiz")
 
@@ -29,10 +34,10 @@ def canonical(r: Column) -> Column:
 
 
 def linear(r: Column | dict) -> Column:
-    """One record as 'OP | location | key=value ...'; block operations leave their text out."""
+    """One record as 'OP | location | key=value ...'; block operations leave their text out, and a normal article its kind."""
     clean = lambda x: F.replace(F.replace(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit("|"), F.lit("/")), F.lit(";;"), F.lit(";"))
-    pair = lambda k, v: F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f"{k}="), clean(v.cast("string"))))
-    place = F.concat_ws(" ", *[pair(k, r[k]) for k in PLACE])
+    pair = lambda k, v: F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f"{SHORT[k]}="), clean(v.cast("string"))))
+    place = F.concat_ws(" ", *[pair(k, F.nullif(r[k], F.lit("normal")) if k == "madde_type" else r[k]) for k in PLACE])
     value = lambda k: F.when(~r["operation"].isin(*BLOCK_OPERATIONS), r[k]) if k == "new_text" else r[k]
     return F.concat_ws(" | ", r["operation"], F.when(place == "", "-").otherwise(place), *[pair(k, value(k)) for k in FIELDS])
 
@@ -50,7 +55,7 @@ def delinearize(said: Column) -> Column:
     def record(p: Column) -> Column:
         pairs = F.concat(F.split(p[1], r" +(?=\w+=)"), F.slice(p, 3, F.greatest(F.size(p), F.lit(1))))
         entries = F.transform(F.filter(pairs, lambda x: F.contains(x, F.lit("="))), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substr(x, F.call_function("instr", x, F.lit("=")) + 1).alias("v")))
-        of = lambda k: F.get(F.filter(entries, lambda e: e["k"] == k), F.lit(0))["v"]
+        of = lambda k: F.get(F.filter(entries, lambda e: e["k"] == SHORT[k]), F.lit(0))["v"]
         value = lambda k: of(k).try_cast("int") if k in ("fikra", "alt_bent") else F.coalesce(of(k), F.lit("normal")) if k == "madde_type" else of(k)
         return F.struct(p[0].alias("operation"), *[value(k).alias(k) for k in ("unit", *PLACE, *FIELDS[1:])])
 

@@ -112,8 +112,8 @@ def article_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.compare_articles(of(False), of(True)).select("source", "key", "ratio", "durum")
 
 
-@query(f"""{R}, l AS (SELECT source, seq, rec, operation || ' | madde_type=normal madde=' || article || coalesce(' fikra=' || fikra, '') || coalesce(' bent=' || bent, '') || coalesce(' cumle=' || cumle, '') || ' | unit=' || unit
-    || coalesce(' | old_text=' || old_text, '') || CASE WHEN operation LIKE 'BIRIM%' THEN '' ELSE coalesce(' | new_text=' || new_text, '') END || coalesce(' | anchor_text=' || anchor_text, '') || coalesce(' | anchor_position=' || anchor_position, '') AS line FROM records)
+@query(f"""{R}, l AS (SELECT source, seq, rec, operation || ' | madde=' || article || coalesce(' fikra=' || fikra, '') || coalesce(' bent=' || bent, '') || coalesce(' cumle=' || cumle, '') || ' | birim=' || unit
+    || coalesce(' | eski=' || old_text, '') || CASE WHEN operation LIKE 'BIRIM%' THEN '' ELSE coalesce(' | yeni=' || new_text, '') END || coalesce(' | capa=' || anchor_text, '') || coalesce(' | konum=' || anchor_position, '') AS line FROM records)
   SELECT source, seq, 1 AS article, string_agg(line, ' ;; ' ORDER BY rec) AS target FROM l GROUP BY source, seq UNION ALL SELECT source, seq, 2, 'YOK' FROM r""")
 def seq2seq_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every amending article's records as the target of a sequence model."""

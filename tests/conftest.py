@@ -21,3 +21,9 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def small_plans(request, spark):
+    """The regulation tests have long plans over a few rows, where compiling takes most of the time; the others compile."""
+    spark.conf.set("spark.sql.codegen.wholeStage", str("llm" in request.path.parts).lower())

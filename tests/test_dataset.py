@@ -32,8 +32,8 @@ def test_sequence_pairs(examples):
     rows = {r.article: r for r in dataset.seq2seq(examples).collect()}
     assert rows[1].input.endswith("aşağıdaki bentler eklenmiştir. [ALINTI1]") and "“eski kurum” ibaresi “yeni kurum”" in rows[1].input
     assert rows[1].quotes == ["c) Uzun söz,\nç) Daha uzun söz,"]
-    assert rows[1].target == "IBARE_DEGISTIR | madde_type=normal madde=2 fikra=1 bent=b | unit=ibare | old_text=eski kurum | new_text=yeni kurum ;; BIRIM_EKLE | madde_type=normal madde=2 fikra=1 | unit=bent"
-    assert rows[2].target == "BIRIM_DEGISTIR | madde_type=normal madde=3 fikra=2 cumle=1 | unit=cumle" and rows[3].target == "YOK"
+    assert rows[1].target == "IBARE_DEGISTIR | madde=2 fikra=1 bent=b | birim=ibare | eski=eski kurum | yeni=yeni kurum ;; BIRIM_EKLE | madde=2 fikra=1 | birim=bent"
+    assert rows[2].target == "BIRIM_DEGISTIR | madde=3 fikra=2 cumle=1 | birim=cumle" and rows[3].target == "YOK"
     assert {k: r.quality for k, r in rows.items()} == {1: "dogrulanmis", 2: "dogrulanmis", 3: "kayitsiz"}
 
 
@@ -43,7 +43,7 @@ def test_targets_read_back(examples):
     for r in rows:
         want = [{**x.asDict(), "new_text": None if x.operation in evaluate.BLOCK_OPERATIONS else x.new_text} for x in r.r]
         assert [x.asDict() for x in r.back] == want
-    said = ["YOK", "", None, "sözler ;; IBARE_DEGISTIR | madde=5 fikra=x | old_text=a b | new_text=c=d", "IBARE_KALDIR"]
+    said = ["YOK", "", None, "sözler ;; IBARE_DEGISTIR | madde=5 fikra=x | eski=a b | yeni=c=d", "IBARE_KALDIR"]
     spark = examples.sparkSession
     got = [r[0] for r in spark.createDataFrame(enumerate(said), "k int, s string").orderBy("k").select(dataset.delinearize(F.col("s"))).collect()]
     assert [len(g) for g in got] == [0, 0, 0, 1, 0]
@@ -54,7 +54,7 @@ def test_predictions(spark, examples):
     """A perfect model equals the rules, copies do not count twice, phrases snap to quotes, blocks are filled."""
     rows = dataset.seq2seq(examples)
     first = rows.where("article = 1").first()
-    near = first.target.replace("old_text=eski kurum", "old_text=eski kurm") + " ;; " + first.target
+    near = first.target.replace("eski=eski kurum", "eski=eski kurm") + " ;; " + first.target
     pred = spark.createDataFrame([(first.id, "YOK", 1), (first.id, near, 2)], "id string, prediction string, seq int")
     got = dataset.repaired(dataset.predicted(pred, rows)).orderBy("rec").collect()
     assert [x.r.operation for x in got] == ["IBARE_DEGISTIR", "BIRIM_EKLE", "IBARE_DEGISTIR"]
@@ -69,7 +69,7 @@ def test_predictions(spark, examples):
 
 
 def test_prompts(spark):
-    pool = [("b", "xx", "YOK"), ("a", "yy", "YOK"), ("c", "z", "IBARE_KALDIR | madde=1 | unit=ibare"), ("d", "zz", "BIRIM_DEGISTIR | madde=1 | unit=cumle"), ("e", "zzz", "BIRIM_DEGISTIR | madde=1 | unit=cumle")]
+    pool = [("b", "xx", "YOK"), ("a", "yy", "YOK"), ("c", "z", "IBARE_KALDIR | madde=1 | birim=ibare"), ("d", "zz", "BIRIM_DEGISTIR | madde=1 | birim=cumle"), ("e", "zzz", "BIRIM_DEGISTIR | madde=1 | birim=cumle")]
     rows = spark.createDataFrame(pool, "id string, input string, target string")
     shots = dataset.few_shot(rows)
     assert [s["id"] for s in shots] == ["a", "c", "d", "e"]
