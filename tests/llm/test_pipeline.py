@@ -33,8 +33,22 @@ def test_stages(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    rows = [(1, None, None, None, None), (None, "a few words", "en", "a", 3), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, "w " * 30_000, "en", None, 1)]
-    for docs in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")):
-        wide = docs.selectExpr("*", "text AS rule", "doc_id AS root", "source AS kept")
-        for _, stage in cp.STAGES:
-            stage(spark, wide, SF).collect()
+    """Nulls, empties, repeats, a very long text and clashing names, stage by stage, and no rows at all."""
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, None, None, None, None), (None, words + " null", "en", "a", 3), (2, "", "en", "a", 0), (3, words, "en", "a", 0), (3, words, "en", "a", 0), (4, words + " end", "en", None, 1), (5, " ".join(f"x{k}" for k in range(40_000)), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(cp.STAGES)
+
+    def ids(name, given):
+        wide = given.selectExpr("*", "text AS rule", "doc_id AS root", "source AS kept", "text AS gone", "doc_id AS taken")
+        return sorted((r.doc_id for r in stages[name](spark, wide, SF).collect()), key=str)
+
+    assert set(ids("quality rules", docs)) <= {None, 3, 4, 5} and not {1, 2} & set(ids("quality rules", docs))  # base failures go
+    assert ids("line dedup", docs) == sorted((r[0] for r in rows), key=str)  # no line is on five sites
+    assert ids("near duplicates", docs) == sorted([1, None, 2, 3, 3, 5], key=str)  # 4 goes with 3; rows of one document stay; what has no id or no words links nothing
+    mixed = ids("source mix", docs)
+    assert set(mixed) <= {None, 3, 4, 5} and mixed.count(5) <= 2  # what has no words gives nothing
+    got = {(r.doc_id, r.n_tokens == 0) for r in stages["sentencepiece"](spark, docs, SF).collect()}
+    assert got == {(1, True), (2, True), (None, False), (3, False), (4, False), (5, False)}
+    for name in stages:
+        assert ids(name, docs.limit(0)) == []
