@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexstrata.llm import line_dedup, lm_scoring, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
+from lexstrata.llm import alignment, line_dedup, lm_scoring, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from lexstrata.llm.common import read
 
 
@@ -55,8 +55,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pseudonymise(read(spark, sf_dir, "documents"), key=KEY))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op8_lm_scoring, op9_source_mix, op10_pii)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op8_lm_scoring, op9_source_mix, op10_pii, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
