@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexstrata.llm import alignment, line_dedup, lm_scoring, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
+from lexstrata.llm import alignment, ball_tree, license_scan, line_dedup, lm_scoring, media, minhash, mixing, pii, quality_rules, secret_scan, sentencepiece_bpe, url_filter
 from lexstrata.llm.common import read
 
 
@@ -55,13 +55,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pseudonymise(read(spark, sf_dir, "documents"), key=KEY))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op8_lm_scoring, op9_source_mix, op10_pii, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_minhash_near_dedup, op4_quality_rules, op5_sentencepiece, op6_secret_scan, op7_url_filter, op8_lm_scoring, op9_source_mix, op10_pii, op11_license_scan, op12_centroid_clustering, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op7_url_filter": url_filter.ORACLE_BASE, "op9_source_mix": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_minhash_near_dedup": minhash.ORACLE, "op7_url_filter": url_filter.ORACLE_BASE, "op9_source_mix": mixing.ORACLE, "op11_license_scan": license_scan.ORACLE, "op12_centroid_clustering": ball_tree.ORACLE}
