@@ -11,9 +11,8 @@ ONES = ["birinci", "ikinci", "üçüncü", "dördüncü", "beşinci", "altıncı
 TENS = {10: ("onuncu", "on"), 20: ("yirminci", "yirmi"), 30: ("otuzuncu", "otuz")}
 UNITS = [("alt bent", "alt_bent"), ("alt bend", "alt_bent"), ("geçici madde", "gecici_madde"), ("ek madde", "ek_madde"), ("madde", "madde"), ("fıkra", "fikra"), ("bent", "bent"), ("bend", "bent"), ("cümle", "cumle"), ("başlı", "baslik"), ("ibare", "ibare")]
 ORDINALS = {w: i for i, w in enumerate(ONES, 1)} | {full: n for n, (full, _) in TENS.items()} | {f"{stem} {w}": n + i for n, (_, stem) in TENS.items() for i, w in enumerate(ONES, 1)}
-#: How an amendment note is written: what happened, among a few words, then the source.
-NOTE = r"\((?:\p{L}+\s+){0,3}?(Değişik|Ek|Mülga|İptal)(?:\s+\p{Ll}+){0,4}\s*:\s*([^()]*?)\s*\)"
-NOTES = NOTE.replace("(Değişik", "(?:Değişik").replace("([^()]*?)", "[^()]*?")
+#: What an amendment note says was done.
+NOTE_HEADS = ("Değişik", "Ek", "Mülga", "İptal")
 #: A footnote's number stands right after punctuation.
 FOOTNOTE_MARK = r"(?<=[.,;:])\((\d{1,3})\)"
 
@@ -44,13 +43,53 @@ def plain_norm(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
+def _pieces(c: Column) -> Column:
+    """A text cut before every opening and after every closing bracket: a bracket without brackets inside is one piece."""
+    return F.filter(F.split(c, r"(?=\()|(?<=\))"), lambda p: p != "")
+
+
+def _note(piece: Column) -> Column:
+    """struct<type, source> of a piece that is an amendment note, else null: in brackets, before the first colon words of
+    which one of the first four says what was done and the few after it are in lower case, after it the source."""
+    inside = F.regexp_replace(F.substr(piece, F.lit(2), F.char_length(piece) - 2), r"\s+", " ")
+    colon = F.call_function("instr", inside, F.lit(":"))
+    said = F.filter(F.split(F.trim(F.substr(inside, F.lit(1), F.greatest(colon - 1, F.lit(0)))), " "), lambda w: w != "")
+    at = F.array_min(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(said, i).isin(*NOTE_HEADS)), lambda i: i))
+    before, after = F.slice(said, 1, at), F.slice(said, at + 2, F.greatest(F.size(said) - at - 1, F.lit(0)))
+    good = F.forall(before, lambda w: w.rlike(r"^\p{L}+$")) & F.forall(after, lambda w: w.rlike(r"^\p{Ll}+$")) & (F.size(after) <= 4)
+    is_one = piece.startswith("(") & piece.endswith(")") & (colon > 0) & at.isNotNull() & good
+    return F.when(is_one, F.struct(F.get(said, at).alias("type"), F.trim(F.substr(inside, colon + 1)).alias("source")))
+
+
+def _bracketed(c: Column) -> Column:
+    """Whether a text may hold a note at all; most lines do not."""
+    return F.contains(c, F.lit("(")) & F.contains(c, F.lit(":"))
+
+
+def drop_notes(c: Column) -> Column:
+    """A text with a space for each of its amendment notes."""
+    kept = F.array_join(F.transform(_pieces(c), lambda p: F.when(_note(p).isNotNull(), F.lit(" ")).otherwise(p)), "")
+    return F.when(_bracketed(c), kept).otherwise(c)
+
+
+def leading_notes(c: Column) -> Column:
+    """struct<lead, rest>: the amendment notes that a text begins with, and what follows them."""
+    def cut(pieces: Column) -> Column:
+        past = F.filter(F.transform(pieces, lambda p, i: F.when(_note(p).isNull() & (F.trim(p) != ""), i)), lambda i: i.isNotNull())
+        n = F.coalesce(F.get(past, F.lit(0)), F.size(pieces))
+        return F.struct(F.array_join(F.slice(pieces, 1, n), "").alias("lead"), F.ltrim(F.array_join(F.slice(pieces, n + 1, F.greatest(F.size(pieces) - n, F.lit(0))), "")).alias("rest"))
+
+    first = F.element_at(F.transform(F.array(_pieces(c)), cut), 1)
+    return F.when(_bracketed(c) & F.ltrim(c).startswith("("), first).otherwise(F.struct(F.lit("").alias("lead"), c.alias("rest")))
+
+
 def version_norm(c: Column) -> Column:
     """Without amendment notes and without paragraph or footnote numbers."""
-    return F.lower(collapse(F.regexp_replace(F.regexp_replace(c, NOTES, " "), r"\(\d{1,2}\)", " ")))
+    return F.lower(collapse(F.regexp_replace(drop_notes(c), r"\(\d{1,2}\)", " ")))
 
 
 def without_notes(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, NOTES, " "), FOOTNOTE_MARK, "")
+    return F.regexp_replace(drop_notes(c), FOOTNOTE_MARK, "")
 
 
 def keyword_of(name: Column) -> Column:
@@ -113,9 +152,17 @@ def sentences(c: Column) -> Column:
     return F.split(F.trim(c), r"(?<=[.:])\s+")
 
 
+#: The phrases that open what is not the regulation's own text any more.
+APPENDED = ("Eki için tıklayınız", "Yayımlandığı Resmî Gazete", "Yayımlandığı Resmi Gazete")
+
+
 def strip_apparatus(c: Column) -> Column:
-    """The text before the footnote rule, the annex link or the publication table."""
-    return F.split(c, r"(?m)^\s*_{3,}.*$|Eki için tıklayınız|Yayımlandığı Resm[îi] Gazete", 2)[0]
+    """The text before the first rule of underscores at a line's start and before the annex link or publication table."""
+    for phrase in APPENDED:
+        c = F.substring_index(c, phrase, 1)
+    lines = F.split(c, "\n")
+    ruled = F.filter(F.transform(lines, lambda x, i: F.when(F.ltrim(x).startswith("___"), i)), lambda i: i.isNotNull())
+    return F.when(F.size(ruled) > 0, F.concat(F.array_join(F.slice(lines, 1, F.get(ruled, F.lit(0))), "\n"), F.when(F.get(ruled, F.lit(0)) > 0, "\n").otherwise(""))).otherwise(c)
 
 
 def next_letter(c: Column) -> Column:
@@ -131,9 +178,9 @@ def is_tombstone(c: Column) -> Column:
 
 def annotations(c: Column) -> Column:
     """array<struct<type, source>> of the amendment notes of a text, then of its footnote marks (Dipnot, dipnot:k)."""
-    found = lambda regex, i: F.regexp_extract_all(c, F.lit(regex), F.lit(i))
-    notes = F.transform(F.arrays_zip(found(NOTE, 1).alias("type"), found(NOTE, 2).alias("source")), lambda x: F.struct(x["type"].alias("type"), x["source"].alias("source")))
-    marks = F.transform(found(FOOTNOTE_MARK, 1), lambda k: F.struct(F.lit("Dipnot").alias("type"), F.concat(F.lit("dipnot:"), k).alias("source")))
+    notes = F.filter(F.transform(_pieces(c), _note), lambda x: x.isNotNull())
+    notes = F.when(_bracketed(c), notes).otherwise(F.filter(F.array(F.lit(None).cast("struct<type:string,source:string>")), lambda x: x.isNotNull()))
+    marks = F.transform(F.regexp_extract_all(c, F.lit(FOOTNOTE_MARK), F.lit(1)), lambda k: F.struct(F.lit("Dipnot").alias("type"), F.concat(F.lit("dipnot:"), k).alias("source")))
     return F.concat(notes, marks)
 
 
@@ -154,48 +201,77 @@ def pick_item(c: Column, key: Column) -> Column:
     return F.when(F.size(marked) >= 2, F.coalesce(F.get(mine, F.lit(0)), c)).otherwise(c)
 
 
-#: The headings of the two publication tables of a consolidated text.
-FIRST_TABLE = r"(?:Yönetmeli[ğg]in|Tebli[ğg]in|Kararın|Kanunun)\s+Yayımlandı[ğg]ı\s+Resm[îi]\s*Gazete"
-LATER_TABLE = r"Değişiklik\s+Yapan\s+[^\n]{0,80}?Yayımlandı[ğg]ı\s+Resm[îi]\s*Gazete"
-_PUBLISHED = r"(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{4,6})(?:[ \t]*(?:(\d)[ \t]*\.[ \t]*)?(Mükerrer))?"
+def _fields(c: Column) -> Column:
+    return F.filter(F.split(collapse(c), " "), lambda x: x != "")
 
 
-def _published(c: Column) -> Column:
-    g = lambda i: F.regexp_extract(c, _PUBLISHED, i)
-    repeat = F.when(g(5) != "", g(5).cast("int")).when(g(6) != "", 1).otherwise(0)
-    return F.struct(g(3).cast("int").alias("year"), g(2).cast("int").alias("month"), g(1).cast("int").alias("day"), g(4).alias("number"), repeat.alias("repeat"))
+def _number(c: Column, least: int, most: int = 9) -> Column:
+    """The digits that a field begins with, if they are so many; else null."""
+    digits = F.regexp_extract(c, r"^\d+", 0)
+    return F.when(F.char_length(digits).between(least, most), digits)
+
+
+def _publication(fields: Column, at: Column) -> Column:
+    """The gazette reference whose date is field at, its number the next one and its repeat after that; null if none is."""
+    day, number = F.split(F.get(fields, at), "/"), _number(F.get(fields, at + 1), 4, 6)
+    third, fourth = F.get(fields, at + 2), F.get(fields, at + 3)
+    nth = F.regexp_extract(third, r"^(\d)\.?$", 1)
+    repeat = F.when(third.startswith("Mükerrer"), 1).when(fourth.startswith("Mükerrer") & (nth != ""), nth.cast("int")).otherwise(0)
+    part = lambda i: F.get(day, F.lit(i)).try_cast("int")
+    good = (F.size(day) == 3) & part(0).isNotNull() & part(1).isNotNull() & part(2).between(1000, 9999) & number.isNotNull()
+    return F.when(good, F.struct(part(2).alias("year"), part(1).alias("month"), part(0).alias("day"), number.alias("number"), F.coalesce(repeat, F.lit(0)).alias("repeat")))
+
+
+#: What stands over both publication tables, and before it over that of the amendments.
+TABLE, AMENDING = "Yayımlandığı Resmî Gazete", "Değişiklik Yapan"
 
 
 def publication_table(c: Column) -> Column:
     """struct<first, amendments>: the first publication, and those of the amendments, whose rows count 1, 2, 3, ...
 
-    Reading stops at the first row out of turn. Without a table, first is null and amendments empty.
+    A table is what follows its heading, read field by field wherever lines break. Reading of the amendments stops at the
+    first row out of turn. Without a table, first is null and amendments empty.
     """
-    after = lambda heading: F.get(F.split(c, heading, 2), F.lit(1))
-    first = F.regexp_extract(F.get(F.split(after(FIRST_TABLE), LATER_TABLE, 2), F.lit(0)), _PUBLISHED, 0)
-    rows = F.coalesce(F.regexp_extract_all(after(LATER_TABLE), F.lit(r"\d{1,3}[ \t]*\.\s+" + _PUBLISHED), F.lit(0)), F.array().cast("array<string>"))
-    turn = lambda x, i: F.regexp_extract(x, r"^\d+", 0).cast("int") == i + 1
-    bad = F.filter(F.transform(rows, lambda x, i: F.when(~turn(x, i), i)), lambda i: i.isNotNull())
+    kind = "struct<year:int,month:int,day:int,number:string,repeat:int>"
+    plain = F.replace(F.replace(collapse(c), F.lit("Resmi"), F.lit("Resmî")), F.lit("Yayımlandıgı"), F.lit("Yayımlandığı"))
+    parts = F.split(plain, TABLE)
+    tables = F.filter(F.transform(parts, lambda x, i: F.when(i > 0, F.struct(F.contains(F.substring_index(F.get(parts, i - 1), ".", -1), F.lit(AMENDING)).alias("later"), _fields(x).alias("f")))), lambda x: x.isNotNull())
+    of = lambda later: F.coalesce(F.get(F.filter(tables, lambda x: x["later"] if later else ~x["later"]), F.lit(0))["f"], F.array().cast("array<string>"))
+    first = F.get(F.filter(F.transform(of(False), lambda _, i: _publication(of(False), i)), lambda x: x.isNotNull()), F.lit(0))
+    rows = F.transform(of(True), lambda x, i: F.when(x.endswith("."), F.struct(F.regexp_extract(x, r"^(\d{1,3})\.$", 1).try_cast("int").alias("n"), _publication(of(True), i + 1).alias("ref"))))
+    rows = F.filter(rows, lambda x: x["n"].isNotNull() & x["ref"].isNotNull())
+    bad = F.filter(F.transform(rows, lambda x, i: F.when(x["n"] != i + 1, i)), lambda i: i.isNotNull())
     rows = F.slice(rows, 1, F.coalesce(F.get(bad, F.lit(0)), F.size(rows)))
-    return F.struct(F.when(first != "", _published(first)).alias("first"), F.transform(rows, _published).alias("amendments"))
+    return F.struct(first.cast(kind).alias("first"), F.coalesce(F.transform(rows, lambda x: x["ref"]), F.array()).cast(f"array<{kind}>").alias("amendments"))
+
+
+def _issue_number(c: Column, least: int, most: int, alone: bool) -> Column:
+    """The number between 'tarihli ve' and 'sayılı', or, where it may stand alone, after 'sayı'."""
+    fields = _fields(F.lower(F.translate(F.replace(F.regexp_replace(c, "<[^>]*>", " "), F.lit(":"), F.lit(" ")), "Iİ", "ıi")))
+    is_ = lambda i, w: F.coalesce(F.get(fields, i) == w, F.lit(False))
+    dated = lambda i: is_(i - 2, "tarihli") & is_(i - 1, "ve") & F.coalesce(F.get(fields, i + 1).startswith("sayılı"), F.lit(False))
+    fits = lambda i: dated(i) | is_(i - 1, "sayı") if alone else dated(i)
+    return F.get(F.filter(F.transform(fields, lambda x, i: F.when(fits(i), _number(x, least, most))), lambda x: x.isNotNull()), F.lit(0))
 
 
 def issue_number_of_index(c: Column) -> Column:
     """The number of five digits or more in the head of an index page."""
-    found = F.regexp_extract(c, r"(?i)Tarihli\s+ve\s+(\d{5,})\s+Sayılı|Sayı\s*:\s*(\d{5,})", 0)
-    return F.nullif(F.regexp_extract(found, r"\d{5,}", 0), F.lit(""))
+    return _issue_number(c, 5, 99, True)
 
 
 def issue_number_of_page(html: Column, head: int = 8000) -> Column:
     """The issue number that the first characters of a page, tags aside, give."""
-    said = collapse(F.regexp_replace(F.substring(html, 1, head), "<[^>]*>", " "))
-    return F.nullif(F.regexp_extract(said, r"(?i)Tarihli\s+ve\s+(\d{4,6})\s+Sayılı", 1), F.lit(""))
+    return _issue_number(F.substring(html, 1, head), 4, 6, False)
 
 
 def diff_sentences(c: Column) -> Column:
-    """Sentences for a side-by-side view: paragraph marks open lines, and so do capitals, quotes and brackets after . : ;"""
-    marked = F.regexp_replace(collapse(c), r"\s*(\(\d{1,2}\))\s*", "\n$1 ")
-    return F.filter(F.transform(F.split(marked, r"\n|(?<=[.:;])\s+(?=[\"“(\p{Lu}])"), lambda x: F.trim(x)), lambda x: x != "")
+    """Sentences for a side-by-side view: a paragraph mark opens a line, and so does a word that begins with a capital, a
+    quote or a bracket after one that ends with . : or ;"""
+    said = _fields(c)
+    ends = lambda i: F.coalesce(F.right(F.get(said, i - 1), F.lit(1)).isin(".", ":", ";"), F.lit(False))
+    opens = lambda w: F.left(w, F.lit(1)).isin('"', "“", "(") | (F.left(w, F.lit(1)) != F.lower(F.left(w, F.lit(1))))
+    lines = F.array_join(F.transform(said, lambda w, i: F.concat(F.when(w.rlike(r"^\(\d{1,2}\)$") | (ends(i) & opens(w)), "\n").otherwise(" "), w)), "")
+    return F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def dehyphenate(c: Column) -> Column:

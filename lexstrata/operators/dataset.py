@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lexstrata.operators.evaluate import BLOCK_OPERATIONS, LOCATION, keep_first, prf
-from lexstrata.operators.grammar import _by_marker, outer_quotes
+from lexstrata.operators.grammar import by_marker, outer_quotes
+from lexstrata.operators.similarity import nearest
 from lexstrata.operators.verify import excuse_later, relabel_known, summary, verify
 
 EMPTY = "YOK"
@@ -112,19 +112,6 @@ def predicted(predictions: DataFrame, prompts: DataFrame) -> DataFrame:
     return keep_first(rows.withColumn("key", model_key(F.col("r"))), ["id"], ["key"], "rec").drop("key")
 
 
-def _nearest(value: str, quotes: Sequence[str], least: float) -> str:
-    """The quote most like the beginning of value, the first of equals; value itself where none is near or it is one."""
-    norm = lambda s: " ".join(s.split()).lower()
-    if value in quotes:
-        return value
-    best, top = value, least
-    for q in quotes:
-        likeness = difflib.SequenceMatcher(None, norm(value)[: len(norm(q)) + 10], norm(q)).ratio()
-        if likeness > top or (likeness == top == least and best is value):
-            best, top = q, likeness
-    return best
-
-
 def repaired(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Predicted records whose phrases are taken from the quoted ones of the input, and whose blocks from its quotes.
 
@@ -140,14 +127,14 @@ def repaired(rows: DataFrame, least: float = 0.5) -> DataFrame:
                 short, quotes = [q.strip() for q in outer_quotes(said) if q.strip()], quotes or []
                 blocks = [x["r"] for x in rs if x["r"]["operation"] in BLOCK_OPERATIONS]
                 if blocks and quotes:
-                    own = _by_marker("\n".join(quotes), blocks) if len(blocks) > 1 else None
+                    own = by_marker("\n".join(quotes), blocks) if len(blocks) > 1 else None
                     texts = own or (quotes if len(quotes) == len(blocks) else ["\n".join(quotes)] * len(blocks))
                     for r, t in zip(blocks, texts, strict=True):
                         r["new_text"] = t
                 for x in rs:
                     for c in ("old_text", "new_text", "anchor_text"):
                         if x["r"][c] and short and not (c == "new_text" and x["r"]["operation"] in BLOCK_OPERATIONS):
-                            x["r"][c] = _nearest(x["r"][c], short, least)
+                            x["r"][c] = nearest(x["r"][c], short, least)
                 out.append(rs)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, b.schema.field("rs").type)], names=["id", "rs"])
 

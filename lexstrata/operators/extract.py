@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexstrata.functions.text import collapse
 from lexstrata.operators.grammar import article_records
 from lexstrata.operators.structure import ARTICLE, lines_of
 
-#: How a sentence names the regulation it amends.
-CASE = r"(?:(?:in(?:in)?|(?:in)?e)(?![a-zçğıöşü])|i?\s*\([^)]*\)\s*[’'`]n?[iıea]n?(?![a-zçğıöşü]))"
-NAMED = rf"yayımlanan\s+(.+?)\s*(Yönetmeli|Tebli)ğ{CASE}"
-MEANT = rf"(?:Yönetmeli|Tebli)ğ{CASE}"
+#: The word before a regulation's name, and the kinds of regulation with the cases in which it is amended.
+PUBLISHED, KINDS, CASES = "yayımlanan", {"Yönetmelik": "Yönetmeli", "Tebliğ": "Tebli"}, ("in", "inin", "e", "ine")
 RECORD = (
     "operation string, unit string, madde_type string, madde string, fikra int, bent string, alt_bent int, cumle string, "
     "old_text string, new_text string, anchor_text string, anchor_position string, insert_after string"
@@ -38,6 +37,30 @@ def amending_articles(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "article", F.regexp_extract("line", ARTICLE, 2).alias("amending_article"), F.regexp_replace("line", ARTICLE, "").alias("sentence"), "block")
 
 
+def _kind_meant(word: Column) -> Column:
+    """The kind of regulation that a word of a sentence names in one of CASES, else null. A bracket between the noun and
+    its ending has been taken out, which leaves the noun, an apostrophe and the ending."""
+    bare = F.regexp_replace(word, r"[.,;:]+$", "")
+    parts = F.split(F.translate(bare, "'`", "’’"), "’")
+    out = F.lit(None).cast("string")
+    for kind, stem in KINDS.items():
+        plain = bare.isin(*[f"{stem}ğ{c}" for c in CASES])
+        out = F.when(plain | ((F.size(parts) > 1) & F.get(parts, F.lit(0)).isin(kind, f"{stem}ği")), kind).otherwise(out)
+    return out
+
+
+def _target(sentence: Column) -> Column:
+    """struct<meant, name>: whether a sentence speaks of a regulation that it amends, and the name of the one it says
+    was published, null without."""
+    words = F.split(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), " ")
+    kinds = F.transform(words, lambda w, i: F.struct(i.alias("i"), _kind_meant(w).alias("kind")))
+    named = F.filter(kinds, lambda x: x["kind"].isNotNull())
+    start = F.array_position(words, PUBLISHED)
+    first = F.get(F.filter(named, lambda x: (start > 0) & (x["i"] > start)), F.lit(0))
+    before = F.array_join(F.slice(words, F.greatest(start, F.lit(1)).cast("int") + 1, F.greatest(first["i"] - start, F.lit(0)).cast("int")), " ")
+    return F.struct((F.size(named) > 0).alias("meant"), F.when(first.isNotNull(), F.concat_ws(" ", before, first["kind"])).alias("name"))
+
+
 def extract_amendments(docs: DataFrame) -> DataFrame:
     """A row per record: doc_id, article, amending_article, rec (from 0 within its article), regulation, then RECORD.
 
@@ -46,9 +69,9 @@ def extract_amendments(docs: DataFrame) -> DataFrame:
     A null or empty text has no records; repeated doc_ids are one text; other columns are ignored.
     """
     rows = amending_articles(docs)
-    name = F.when(F.col("sentence").rlike(NAMED), F.concat(F.trim(F.regexp_extract("sentence", NAMED, 1)), F.when(F.regexp_extract("sentence", NAMED, 2) == "Tebli", " Tebliğ").otherwise(" Yönetmelik")))
-    rows = rows.withColumn("regulation", F.last(name, True).over(W.partitionBy("doc_id").orderBy("article")))
-    rows = rows.where(F.col("sentence").rlike(MEANT) & F.col("sentence").rlike("miş|mış|düzenlemeler"))
+    rows = rows.withColumn("target", _target(F.col("sentence")))
+    rows = rows.withColumn("regulation", F.last("target.name", True).over(W.partitionBy("doc_id").orderBy("article")))
+    rows = rows.where(F.col("target.meant") & F.col("sentence").rlike("miş|mış|düzenlemeler"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

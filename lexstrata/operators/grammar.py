@@ -199,7 +199,7 @@ def outer_quotes(block: str) -> list[str]:
     return out
 
 
-def _by_marker(text: str, wanted: list[dict]) -> list[str] | None:
+def by_marker(text: str, wanted: list[dict]) -> list[str] | None:
     """The part of text under each target's own marker, if all targets are of one level and all have one."""
     for level, mark in (("alt_bent", r"(\d+)\)"), ("bent", r"([a-zçğıöşü]{1,3})\)"), ("fikra", r"\((\d+)\)")):
         if all(w[level] is not None for w in wanted):
@@ -229,7 +229,7 @@ def share(quotes: list[str], blocks: list[tuple[list[dict], bool]]) -> list[list
     """The texts of each block operation: blocks are (its places, whether its noun is plural)."""
     n = [len(p) for p, _ in blocks]
     if len(blocks) == 1 and n[0] > 1 and n[0] != len(quotes):
-        own = _by_marker("\n".join(quotes), blocks[0][0])
+        own = by_marker("\n".join(quotes), blocks[0][0])
         if own:
             return [own]
     spare, cut = len(quotes) - sum(n), []

@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from lexstrata.functions.text import ALPHABET, collapse, diff_sentences, gazette_label, gazette_ref, is_tombstone, version_norm
+from lexstrata.functions.text import ALPHABET, collapse, diff_sentences, gazette_label, gazette_ref, is_tombstone, strip_apparatus, version_norm
 from lexstrata.operators.fold import ARTICLE_UNITS, NO_TARGET, UNSUPPORTED, fold
-from lexstrata.operators.structure import ARTICLE, parse_units
+from lexstrata.operators.similarity import ratios
+from lexstrata.operators.structure import ARTICLE, full_texts, parse_units
 from lexstrata.operators.verify import LEVELS, location_key
 
 STEP = "struct<step:int,seq:bigint,rec:int,date:date,operation:string,status:string>"
@@ -26,13 +27,14 @@ _FIELDS = ("seq", "rec", "date", "operation", "unit", "fikra", "bent", "alt_bent
 
 
 def new_blocks(records: DataFrame) -> DataFrame:
-    """block, article, n_key, parsed_title, parsed_head, parsed: the new texts of unit records, parsed, an article a row.
+    """block, article, n_key, parsed_title, parsed_head, parsed: the new texts of unit records, parsed, an article a row;
+    block is the MD5 of the text, so that no line carries the text as its key.
 
     A text without an article's head is parsed as the body of one; n_key is then null.
     """
-    texts = records.where(F.col("operation").isin("BIRIM_DEGISTIR", "BIRIM_EKLE")).select("new_text").where("new_text is not null").distinct()
+    texts = records.where(F.col("operation").isin("BIRIM_DEGISTIR", "BIRIM_EKLE") & F.col("new_text").isNotNull()).select(F.md5(F.col("new_text").cast("binary")).alias("block"), "new_text").dropDuplicates(["block"])
     headed = F.col("new_text").rlike("(?m)" + ARTICLE)
-    docs = texts.select(F.col("new_text").alias("doc_id"), F.concat(F.lit("YENİ METİN\n"), F.when(headed, F.col("new_text")).otherwise(F.concat(F.lit("MADDE 0 – "), F.regexp_replace("new_text", r"^\s*([a-zçğıöşü]{1,3}\)|\d+\))", "\n$1")))).alias("text"))
+    docs = texts.select(F.col("block").alias("doc_id"), F.concat(F.lit("YENİ METİN\n"), F.when(headed, F.col("new_text")).otherwise(F.concat(F.lit("MADDE 0 – "), F.regexp_replace("new_text", r"^\s*([a-zçğıöşü]{1,3}\)|\d+\))", "\n$1")))).alias("text"))
     # an item or sub-item stands on a line of its own; a sub-item needs an open item, named as no real one is
     sub = F.col("text").rlike(r"(?m)^MADDE 0 – \n\d+\)")
     docs = docs.withColumn("text", F.when(sub, F.regexp_replace("text", r"MADDE 0 – \n", "MADDE 0 – \nzzz)\n")).otherwise(F.col("text")))
@@ -60,7 +62,7 @@ def replay(units: DataFrame, records: DataFrame) -> DataFrame:
     adds = (F.col("operation") == "BIRIM_EKLE") & F.coalesce(F.col("unit").isin(*ARTICLE_UNITS), F.lit(False))
     r = records.select("source", *_FIELDS, location_key().alias("at_key"), adds.alias("adds"))
     blocks = new_blocks(records)
-    r = r.join(blocks, F.col("new_text") == F.col("block"), "left").where("article is null or article = 1 or adds").withColumn("key", F.when(F.col("adds"), F.coalesce("n_key", "at_key")).otherwise(F.col("at_key"))).where("key is not null")
+    r = r.join(blocks, F.md5(F.col("new_text").cast("binary")) == F.col("block"), "left").where("article is null or article = 1 or adds").withColumn("key", F.when(F.col("adds"), F.coalesce("n_key", "at_key")).otherwise(F.col("at_key"))).where("key is not null")
     stem = F.regexp_extract("key", r"^(\d+)/", 1)
     there = base.select("source", F.col("key").alias("stem"), F.col("pos").alias("stem_pos")).unionByName(r.where("adds").select("source", F.col("key").alias("stem"), F.lit(None).cast("double").alias("stem_pos")))
     there = there.groupBy("source", "stem").agg(F.max("stem_pos").alias("stem_pos"))
@@ -110,6 +112,47 @@ def as_of(versions: DataFrame, day: datetime.date | Column) -> DataFrame:
     return versions.withColumn("_step", _step_at(day)).select("source", "key", F.inline(_alive(F.col("_step")))).select("source", "key", *LEVELS, collapse(F.col("raw")).alias("text"))
 
 
+#: Days of one bucket of the interval join.
+BUCKET_DAYS = 512
+_FIRST, _LAST = datetime.date(1, 1, 1), datetime.date(9999, 12, 31)
+
+
+def unit_intervals(versions: DataFrame) -> DataFrame:
+    """source, key, fikra, bent, alt_bent, text, valid_from, valid_to: every state of every unit with the days on which
+    as_of finds it, valid_to excluded; states that no day finds have no row.
+
+    A record counts from its day on and takes those before it along, whatever their days; one without a day counts always.
+    So a state begins on the earliest day among the records from its own on.
+    """
+    # the earliest day of each step and those after it, one array a row; steps count from 1
+    days = F.transform(F.array_sort(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), F.coalesce(s["date"], F.lit(_FIRST)).alias("day")))), lambda s: s["day"])
+    least = F.aggregate(F.reverse(days), F.array().cast("array<date>"), lambda a, d: F.concat(F.array(F.least(d, F.coalesce(F.get(a, F.lit(0)), d))), a))
+    rows = versions.withColumn("_least", least).select("source", "key", "_least", F.inline("units"))
+    at = lambda step: F.when(step == 0, F.lit(_FIRST)).otherwise(F.get("_least", step - 1))
+    rows = rows.select("source", "key", *LEVELS, collapse(F.col("raw")).alias("text"), at(F.col("since")).alias("valid_from"), F.when(F.col("until").isNotNull(), at(F.col("until"))).alias("valid_to"))
+    return rows.where("valid_to is null or valid_from < valid_to")
+
+
+def as_of_many(versions: DataFrame, asked: DataFrame, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """asked (source, day, and key where single articles are meant, with any other columns) with key, fikra, bent,
+    alt_bent, text: the units that stood on each row's own day.
+
+    An interval join: each interval goes to the buckets of days that it shares with the days asked for of its source (and
+    article), each row asked to the one of its day, and days are compared within a bucket. So a table of any number of days
+    takes one join, whose keys are as many as sources times buckets. Rows asked for what is not there, or with nulls, give
+    no row; repeated ones give theirs each; no rows give none.
+    """
+    on = ["source", "key"] if "key" in asked.columns else ["source"]
+    bucket = lambda c: F.floor(F.date_diff(c, F.lit(_FIRST)) / bucket_days)
+    rows = asked.where(" and ".join(f"{c} is not null" for c in [*on, "day"])).withColumn("_bucket", bucket(F.col("day")))
+    span = rows.groupBy(*on).agg(F.min("day").alias("_low"), F.max("day").alias("_high"))
+    held = unit_intervals(versions).join(span, on).where("valid_from <= _high and (valid_to is null or valid_to > _low)")
+    low, high = F.greatest("valid_from", "_low"), F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(_LAST)), F.col("_high"))
+    held = held.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("_low", "_high")
+    hit = rows.join(held, [*on, "_bucket"]).where("valid_from <= day and (valid_to is null or day < valid_to)")
+    return hit.select(*asked.columns, *[c for c in ("key",) if c not in on], *LEVELS, "text")
+
+
 def _order(u: Column) -> Column:
     """Paragraphs by number, then items by letter, then sub-items."""
     letter = F.call_function("instr", F.lit(ALPHABET), F.substring(u["bent"], 1, 1))
@@ -160,32 +203,46 @@ def original_dates(sources: DataFrame) -> DataFrame:
 
 
 def chain_similarity(texts: DataFrame, consolidated: DataFrame) -> DataFrame:
-    """source, similarity: whole texts (source, text) against the consolidated ones; null where either is missing."""
-    both = texts.alias("a").join(consolidated.alias("b"), "source", "full_outer").select("source", version_norm(F.col("a.text")).alias("x"), version_norm(F.col("b.text")).alias("y"))
-    return both.select("source", F.when(F.col("x") == F.col("y"), 1.0).when(F.col("x").isNotNull() & F.col("y").isNotNull(), seq_ratio("x", "y")).alias("similarity"))
+    """source, similarity: whole texts (source, text) against the consolidated ones, whose footnotes, publication tables
+    and annex links do not count; null where either is missing."""
+    both = texts.alias("a").join(consolidated.alias("b"), "source", "full_outer").select("source", version_norm(F.col("a.text")).alias("x"), version_norm(strip_apparatus(F.col("b.text"))).alias("y"))
+    return ratios(both, "x", "y").select("source", F.col("ratio").alias("similarity"))
 
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio with its junk heuristic; null if either side is."""
+    """The SQL face of the exact ratio; null if either side is."""
     return pd.Series([None if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def compare_articles(ours: DataFrame, official: DataFrame, same: float = 0.98, known: DataFrame | None = None) -> DataFrame:
-    """Full outer join of (source, key, text): ratio and outcome ayni, farkli, bizde_yok, resmide_yok, mulga_mezari.
+def official_articles(docs: DataFrame) -> DataFrame:
+    """source, key, text: the articles of consolidated texts (doc_id, text), without what stands after the last of them."""
+    own = docs.select("doc_id", strip_apparatus(F.col("text")).alias("text"))
+    return full_texts(parse_units(own)).where("fikra is null").select(F.col("doc_id").alias("source"), "key", F.col("full").alias("text"))
+
+
+def compare_articles(ours: DataFrame, official: DataFrame, same: float = 0.98, known: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Full outer join of (source, key, text): source, key, ours, official, bound, settled, ratio and durum, one of ayni,
+    farkli, bizde_yok, resmide_yok, mulga_mezari.
 
-    known: (source, key) of repeals that the official text is known to lack or to keep; articles missing on our side
-    that it lists are kaynak_tutarsizligi.
+    ratio is exact where it can reach same, and null where lengths or character counts say that it cannot (bound, settled:
+    see similarity.ratios); with exact, it is exact wherever both texts are. known: (source, key) of repeals that the official
+    text is known to lack or to keep; articles missing on our side that it lists are kaynak_tutarsizligi. Null texts are
+    missing ones; a key given twice is compared with each of the other side; no rows give none.
     """
-    x = ours.alias("x").join(official.alias("y"), ["source", "key"], "full_outer").select("source", "key", F.col("x.text").alias("ours"), F.col("y.text").alias("official"))
-    a, b = version_norm(F.col("ours")), version_norm(F.col("official"))
-    x = x.withColumn("ratio", F.when(a == b, 1.0).when(a.isNotNull() & b.isNotNull(), seq_ratio(a, b)))
+    x = ours.alias("x").join(official.alias("y"), ["source", "key"], "full_outer").select("source", "key", F.col("x.text").alias("ours"), F.col("y.text").alias("official"), version_norm(F.col("x.text")).alias("_a"), version_norm(F.col("y.text")).alias("_b"))
+    x = ratios(x, "_a", "_b", None if exact else same).drop("_a", "_b")
     x = x.join(known.select("source", "key").distinct().withColumn("_known", F.lit(True)), ["source", "key"], "left") if known is not None else x.withColumn("_known", F.lit(None).cast("boolean"))
     gone = F.when(is_tombstone(F.col("official")), "mulga_mezari").when(F.col("_known"), "kaynak_tutarsizligi").otherwise("bizde_yok")
     outcome = F.when(F.col("ours").isNull(), gone).when(F.col("official").isNull(), "resmide_yok").when(F.col("ratio") >= same, "ayni").otherwise("farkli")
     return x.withColumn("durum", outcome).drop("_known")
 
 
+def in_order(compared: DataFrame) -> DataFrame:
+    """A comparison as it is read: by source, numbered articles first, then by the length of the key and the key."""
+    return compared.orderBy("source", F.col("key").contains(":"), F.char_length("key"), "key")
+
+
 @F.pandas_udf(StringType())
 def unified_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(difflib.unified_diff(list(x), list(y), "official", "ours", n=1, lineterm="")) for x, y in zip(a, b, strict=True)])

@@ -6,13 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import NOTES, annotations, collapse, gazette_ref, without_notes
+from lexstrata.functions.text import annotations, collapse, drop_notes, gazette_ref, leading_notes, without_notes
 
-#: How articles, sections and footnote definitions begin.
-ARTICLE = r"^(?:(GEÇİCİ|Geçici|EK|Ek)\s+)?(?:MADDE|Madde)\s+(\d+(?:/[A-ZÇĞİÖŞÜ])?)\s*[–—-]\s*"
-SECTION = r"^[A-ZÇĞİÖŞÜ ]+\s(?:BÖLÜM|KISIM)$"
-LEAD = r"^((?:\s*" + NOTES + r")+)\s*"
-FOOTNOTE = r"^\((\d{1,3})\)\s*(\d{1,2}/\d{1,2}/\d{4}\s+tarihli\b.*Resm[iî]\s+Gazete.*madde(?:si|leri)y?le.*)$"
+#: The words that begin an article, with the kinds that may stand before them, and that end a section's line.
+ARTICLE_WORD, KIND_WORDS, SECTION_WORDS, DASHES = "MADDE", {"GEÇİCİ": "gecici", "EK": "ek"}, ("BÖLÜM", "KISIM"), "–—-"
+
+
+def _either_case(word: str) -> str:
+    """A word in capitals, or with a capital first, as a pattern."""
+    low = word[1:].translate(str.maketrans("Iİ", "ıi")).lower()
+    return f"{word[0]}(?:{word[1:]}|{low})"
+
+
+#: An article's head: kind (group 1), number with its letter (group 2) and a dash.
+ARTICLE = rf"^(?:({'|'.join(map(_either_case, KIND_WORDS))})\s+)?{_either_case(ARTICLE_WORD)}\s+([0-9]+(?:/\p{{Lu}})?)\s*[{DASHES}]\s*"
+SECTION = rf"^[A-ZÇĞİÖŞÜ ]+\s(?:{'|'.join(SECTION_WORDS)})$"
+
+
+def _footnote(line: Column) -> Column:
+    """struct<k, said> of a footnote's definition, else null: a number in brackets, a date that something is 'tarihli' by,
+    the gazette's name, and 'maddesiyle' or a like word for the article that did it."""
+    number = F.substring_index(F.substr(line, F.lit(2)), ")", 1)
+    said = F.ltrim(F.substr(line, F.char_length(number) + 3))
+    words = F.split(said, r"\s+")
+    dated = F.try_to_date(F.get(words, F.lit(0)), "d/M/yyyy").isNotNull() & F.get(words, F.lit(1)).startswith("tarihli")
+    gazette = F.contains(F.replace(said, F.lit("Resmi"), F.lit("Resmî")), F.lit("Resmî Gazete"))
+    by = F.exists(words, lambda w: w.startswith("madde") & (F.contains(w, F.lit("siyle")) | F.contains(w, F.lit("sile")) | F.contains(w, F.lit("leriyle")) | F.contains(w, F.lit("lerile"))))
+    good = line.startswith("(") & number.rlike(r"^\d{1,3}$") & dated & gazette & by
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(number.cast("int").alias("k"), said.alias("said")))
 
 
 def _windows() -> tuple:
@@ -24,10 +45,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line, quoted: every line that is not blank, and whether it starts inside quotes.
 
     Curly quotes nest. A straight quote opens at a line's start and closes at a line's end, or at an article's head. A
-    null text has no lines.
+    null text has no lines. Texts of one doc_id follow one another in the order of their hashes, equal ones count once.
     """
     _, before, upto = _windows()
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("doc_id", "pos", collapse(F.col("raw")).alias("line")).where("line <> ''")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("nth", "raw")).select("doc_id", "of", "nth", collapse(F.col("raw")).alias("line")).where("line <> ''")
+    each = W.partitionBy("doc_id").orderBy("of", "nth")
+    rows = rows.withColumn("again", F.lag(F.struct("of", "nth")).over(each) == F.struct("of", "nth")).where("not coalesce(again, false)")
+    rows = rows.withColumn("pos", F.row_number().over(each)).select("doc_id", "pos", "line")
     count = lambda ch: F.char_length("line") - F.char_length(F.translate("line", ch, ""))
     art = F.col("line").rlike(ARTICLE)
     opens, closes = F.col("line").startswith('"') & ~F.col("line").rlike('^".*"$'), F.col("line").endswith('"') | art
@@ -41,7 +65,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     """lines_of with head, section, footnote, and heading: the lines of the document's own title."""
     doc, before, _ = _windows()
     plain = ~F.col("quoted")
-    rows = lines_of(docs).withColumns({"head": plain & F.col("line").rlike(ARTICLE), "section": plain & F.col("line").rlike(SECTION), "footnote": plain & F.col("line").rlike(FOOTNOTE), "upper": F.col("line") == F.upper(F.translate("line", "iı", "İI"))})
+    rows = lines_of(docs).withColumns({"head": plain & F.col("line").rlike(ARTICLE), "section": plain & F.col("line").rlike(SECTION), "footnote": plain & _footnote(F.col("line")).isNotNull(), "upper": F.col("line") == F.upper(F.translate("line", "iı", "İI"))})
     begun = F.max(F.when(F.col("head") | F.col("section"), 1)).over(doc)
     other = F.max(F.when(~(F.col("upper") & plain) & ~F.col("head"), F.col("pos"))).over(before)
     first = F.first("pos").over(doc)
@@ -56,7 +80,7 @@ def document_titles(docs: DataFrame) -> DataFrame:
 
 def footnotes(docs: DataFrame) -> DataFrame:
     """doc_id, footnotes map<int, string>: the definitions; of a number that repeats, the last."""
-    rows = _classed(docs).where("footnote").select("doc_id", "pos", F.regexp_extract("line", FOOTNOTE, 1).cast("int").alias("k"), F.regexp_extract("line", FOOTNOTE, 2).alias("said"))
+    rows = _classed(docs).where("footnote").select("doc_id", "pos", _footnote(F.col("line")).alias("x")).select("doc_id", "pos", "x.k", "x.said")
     return rows.groupBy("doc_id", "k").agg(F.max_by("said", "pos").alias("said")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "said")))).alias("footnotes"))
 
 
@@ -65,12 +89,12 @@ def parse_units(docs: DataFrame) -> DataFrame:
 
     A row per unit. article numbers the articles of a document in order; fikra, bent and alt_bent are null above their
     level. raw keeps the lines and notes of the unit, text is one line without them; article_notes are those at its head. Quoted lines belong to the unit that
-    is open. A section ends the article before it. A null or empty text has no units; rows of one doc_id are one text;
-    other columns are ignored.
+    is open. A section ends the article before it. A null or empty text has no units; several texts of
+    one doc_id follow one another (see lines_of); other columns are ignored.
     """
     doc, *_ = _windows()
     after_section = F.coalesce(F.lag("section").over(doc), F.lit(False)) & ~F.col("head")
-    bare = F.trim(F.regexp_replace("line", NOTES, ""))
+    bare = F.trim(drop_notes(F.col("line")))
     fits = ~(F.col("head") | F.col("quoted") | F.col("section") | F.col("heading") | F.col("footnote")) & (F.char_length(bare) <= 250) & ~bare.rlike(r"[.,;:]$") & ~F.col("line").rlike(r"^(?:[\"“]|\(\d+\)|([a-zçğıöşü])\1{0,2}\)|\d+\))")
     rows = _classed(docs).withColumns({"names": after_section, "bare": bare, "is_title": fits & ~after_section & F.coalesce(F.lead("head").over(doc), F.lit(False))})
     rows = rows.withColumns({
@@ -80,7 +104,10 @@ def parse_units(docs: DataFrame) -> DataFrame:
     rows = rows.where("inside and not is_title and not section and not footnote")
 
     body = F.when(F.col("head"), F.regexp_replace("line", ARTICLE, "")).otherwise(F.col("line"))
-    rows = rows.withColumns({"lead": F.when(F.col("head"), F.regexp_extract(body, LEAD, 1)).otherwise(""), "body": F.when(F.col("head"), F.regexp_replace(body, LEAD, "")).otherwise(F.regexp_replace(body, LEAD + r"(\(\d+\))", "$2 $1"))})
+    rows = rows.withColumn("cut", leading_notes(body)).withColumn("moved", ~F.col("head") & (F.col("cut.lead") != "") & F.col("cut.rest").rlike(r"^\(\d+\)"))
+    # notes at an article's head are the article's; those before a paragraph's number go behind it
+    behind = F.regexp_replace("cut.rest", r"^(\(\d+\))", "$1 \u0001")
+    rows = rows.withColumns({"lead": F.when(F.col("head"), F.col("cut.lead")).otherwise(""), "body": F.when(F.col("head"), F.col("cut.rest")).when(F.col("moved"), F.replace(behind, F.lit("\u0001"), F.trim("cut.lead"))).otherwise(F.col("line"))})
     body = F.when(F.col("head"), F.regexp_replace(F.regexp_replace("body", r"^\((\d+)\)\s*\((\d+)\)", ".($1)($2)"), r"^\((\d+)\)$", ".($1)")).otherwise(F.col("body"))
     rows = rows.withColumns({"lead": F.concat("lead", F.regexp_extract(body, r"^(\.\(\d+\))", 1)), "body": F.trim(F.regexp_replace(body, r"^\.\(\d+\)", ""))})
     mark = lambda regex: F.when(~F.col("quoted"), F.nullif(F.regexp_extract("body", regex, 1), F.lit("")))
@@ -130,9 +157,10 @@ def article_rows(units: DataFrame) -> DataFrame:
     """
     held = F.array_sort(F.collect_list(F.struct("pos", "fikra", "bent", "alt_bent", "text", _marked().alias("marked"), "notes", "article_notes")))
     rows = units.groupBy("doc_id", "key", "article").agg(F.first("title", True).alias("title"), held.alias("held"))
+    # a unit's descendants are the run after it; units that repeat a number stand apart and are looked for in all
     under = lambda u, v: (u["fikra"] == v["fikra"]) & (u["bent"].isNull() | ((u["bent"] == v["bent"]) & (u["alt_bent"].isNull() | (u["alt_bent"] == v["alt_bent"]))))
     joined = lambda first, rest: collapse(F.array_join(F.concat(first, F.transform(rest, lambda v: v["marked"])), " "))
-    full = lambda u: joined(F.array(u["text"]), F.filter("held", lambda v: F.coalesce(under(u, v), F.lit(False)) & (v["pos"] != u["pos"])))
+    full = lambda u: F.when(u["alt_bent"].isNotNull(), collapse(u["text"])).otherwise(joined(F.array(u["text"]), F.filter("held", lambda v: F.coalesce(under(u, v), F.lit(False)) & (v["pos"] != u["pos"]))))
     parts = F.transform("held", lambda u: F.struct(u["fikra"].alias("fikra"), u["bent"].alias("bent"), u["alt_bent"].alias("alt_bent"), full(u).alias("full"), F.concat(u["notes"], u["article_notes"]).alias("notes")))
     return rows.select("doc_id", "key", "article", "title", joined(F.array().cast("array<string>"), F.col("held")).alias("whole"), parts.alias("parts"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import oran, paragraph_blocks, pick_item, verify_norm
@@ -34,17 +35,17 @@ def first_articles(units: DataFrame) -> DataFrame:
 
 
 def new_articles(records: DataFrame, have: DataFrame) -> DataFrame:
-    """_of, _block, _added, _head: for each new text of article records, parsed, the status of its articles as added
+    """_of, _block (its MD5), _added, _head: for each new text of article records, parsed, the status of its articles as added
     ones (that of the first article missing or different in the consolidated text) and the text of its first article.
 
     have: first_articles of the consolidated texts. A new text without articles has no row.
     """
-    texts = records.where(_adds_articles() | _replaces_article()).select("source", "new_text").where("new_text is not null").distinct()
-    docs = texts.select(F.col("new_text").alias("doc_id"), F.concat(F.lit("BAŞLIK\n"), F.col("new_text")).alias("text")).distinct()
-    parsed = article_rows(parse_units(docs)).select(F.col("doc_id").alias("new_text"), "article", "key", verify_norm(F.col("whole")).alias("said"))
-    rows = texts.join(parsed, "new_text").join(have.select(F.col("_source").alias("source"), F.col("_have").alias("key"), verify_norm(F.col("_whole")).alias("whole")), ["source", "key"], "left")
+    texts = records.where((_adds_articles() | _replaces_article()) & F.col("new_text").isNotNull()).select("source", F.md5(F.col("new_text").cast("binary")).alias("block"), "new_text")
+    docs = texts.select(F.col("block").alias("doc_id"), F.concat(F.lit("BAŞLIK\n"), F.col("new_text")).alias("text")).dropDuplicates(["doc_id"])
+    parsed = article_rows(parse_units(docs)).select(F.col("doc_id").alias("block"), "article", "key", verify_norm(F.col("whole")).alias("said"))
+    rows = texts.select("source", "block").distinct().join(parsed, "block").join(have.select(F.col("_source").alias("source"), F.col("_have").alias("key"), verify_norm(F.col("_whole")).alias("whole")), ["source", "key"], "left")
     bad = F.when(F.col("whole").isNull(), "hedef_bulunamadi").when(F.col("said") != F.col("whole"), "uyumsuz")
-    out = rows.groupBy(F.col("source").alias("_of"), F.col("new_text").alias("_block"))
+    out = rows.groupBy(F.col("source").alias("_of"), F.col("block").alias("_block"))
     return out.agg(F.coalesce(F.min_by(bad, F.when(bad.isNotNull(), F.col("article"))), F.lit("uyumlu")).alias("_added"), F.min_by("said", "article").alias("_head"))
 
 
@@ -75,10 +76,14 @@ def verify(records: DataFrame, units: DataFrame) -> DataFrame:
     status is replaced, other columns stay, but for names that begin with an underscore.
     """
     records = records.drop("status")
-    have = first_articles(units)
+    named = records.select(F.col("source").alias("doc_id"), location_key().alias("key")).distinct()
+    # an article that no record names or adds needs no full text
+    added = F.regexp_extract_all("new_text", F.lit("(?m)" + ARTICLE), F.lit(2))
+    named = named.unionByName(records.where(_adds_articles() | _replaces_article()).select(F.col("source").alias("doc_id"), F.explode(added).alias("n")).select("doc_id", F.explode(F.array(F.col("n"), F.concat(F.lit("gecici:"), F.col("n")), F.concat(F.lit("ek:"), F.col("n")))).alias("key"))).distinct()
+    have = first_articles(units.join(named, ["doc_id", "key"], "left_semi"))
     text_of = lambda c: F.coalesce(verify_norm(F.col(c)), F.lit(""))
     out = records.withColumn("_key", location_key()).join(have, [F.col("source") == F.col("_source"), F.col("_key") == F.col("_have")], "left")
-    out = out.join(new_articles(records, have), [F.col("source") == F.col("_of"), F.col("new_text") == F.col("_block")], "left")
+    out = out.join(new_articles(records, have), [F.col("source") == F.col("_of"), F.md5(F.col("new_text").cast("binary")) == F.col("_block")], "left")
     out = out.withColumns({"_target": _target(), "_new": text_of("new_text"), "_old": text_of("old_text")})
     out = out.withColumns({"_text": verify_norm(F.col("_target")), "_probe": F.regexp_replace(F.substring("_new", 1, PROBE), r"[.,;: ]+$", "")})
     verdict = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "uyumlu").otherwise("uyumsuz")
@@ -123,20 +128,62 @@ def effective_places(records: DataFrame) -> DataFrame:
     return records.withColumn("e_type", F.when(adds, F.when(kind == "GEÇİCİ", "gecici").when(kind == "EK", "ek").otherwise("normal")).otherwise(F.col("madde_type"))).withColumn("e_madde", F.when(adds, found).otherwise(F.col("madde")))
 
 
+def open_forms(records: DataFrame) -> DataFrame:
+    """records with mask and form: a row for each set of levels that a record's place says something on (eight at most),
+    mask being the levels it names and form those of the set with their values.
+
+    Two places overlap where every level that both name is equal: that is, where the form of one over the levels that both
+    name is a form of the other.
+    """
+    named = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(0) for i, c in enumerate(LEVELS)]
+    rows = records.withColumn("mask", named[0] + named[1] + named[2])
+    subsets = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda s: s.bitwiseAND(F.col("mask")) == s)
+    return rows.withColumn("_s", F.explode(subsets)).withColumn("form", _form(F.col("_s"))).drop("_s")
+
+
+def _form(levels: Column) -> Column:
+    """The values of some of a place's levels as one text: which they are, and each one's value."""
+    own = [F.when(levels.bitwiseAND(F.lit(1 << i)) > 0, F.col(c).cast("string")) for i, c in enumerate(LEVELS)]
+    return F.concat_ws("\x1f", levels.cast("string"), *own)
+
+
+#: Amending texts of one bucket, within which later ones are counted row by row.
+SEQ_BUCKET = 256
+
+
+def later_counts(failing: DataFrame, records: DataFrame) -> DataFrame:
+    """source, seq, rec, later_count of failing records: how many records of later amending texts (greater seq) have a
+    place that overlaps theirs. Both come with source, e_type, e_madde, seq and the levels; rows without one are left out.
+
+    A record is counted under each of its open forms; a failing one asks, for each set of levels that others may name, for
+    the form over the levels that both name. So all joins are on equal keys. Greater seq is a running sum within buckets of
+    amending texts and one over the buckets, so that an article with very many records takes many tasks.
+    """
+    place = ["source", "e_type", "e_madde", "mask", "form"]
+    counted = open_forms(records).groupBy(*place, "seq").agg(F.count("*").alias("n"))
+    mine = F.when(F.col("fikra").isNotNull(), 1).otherwise(0) + F.when(F.col("bent").isNotNull(), 2).otherwise(0) + F.when(F.col("alt_bent").isNotNull(), 4).otherwise(0)
+    asks = failing.select("source", "e_type", "e_madde", "seq", "rec", *LEVELS, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("mask"))
+    asks = asks.withColumn("form", _form(F.col("mine").bitwiseAND(F.col("mask"))))
+    none = F.lit(None)
+    rows = counted.select(*place, "seq", "n", none.cast("int").alias("rec"), F.lit(False).alias("asks")).unionByName(asks.select(*place, "seq", F.lit(0).cast("bigint").alias("n"), "rec", F.lit(True).alias("asks")))
+    rows = rows.withColumn("bucket", F.floor(F.col("seq") / SEQ_BUCKET))
+    totals = rows.groupBy(*place, "bucket").agg(F.sum("n").alias("n"), F.bool_or("asks").alias("asked"))
+    after = totals.withColumn("after", F.coalesce(F.sum("n").over(W.partitionBy(*place).orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("asked")
+    within = W.partitionBy(*place, "bucket").orderBy(F.col("seq").desc()).rangeBetween(W.unboundedPreceding, -1)
+    found = rows.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).where("asks").join(after.select(*place, "bucket", "after"), [*place, "bucket"])
+    return found.groupBy("source", "seq", "rec").agg(F.sum(F.col("own") + F.col("after")).alias("later_count"))
+
+
 def excuse_later(verified: DataFrame) -> DataFrame:
     """Failing records that later amending texts (greater seq) overwrite become sonradan_degisti; later_count says how
     many records of them do, else 0.
 
-    The join is on source and article; only failing records are on its left, and on its right each place counts once per
-    amending text. A column called later_count is replaced; no records give no rows.
+    Places overlap where each level is equal or open on either side; see later_counts. Records without an article neither
+    excuse nor are excused. A column called later_count is replaced; no records give no rows.
     """
     verified = verified.drop("later_count")
-    place = ["source", "e_type", "e_madde"]
-    at = effective_places(verified)
-    failing = at.where(F.col("status").isin("uyumsuz", "hedef_bulunamadi") & F.col("e_madde").isNotNull())
-    later = at.where("e_madde is not null").groupBy(*place, *LEVELS, "seq").agg(F.count("*").alias("n"))
-    hit = failing.select(*place, "seq", *LEVELS, "rec").alias("a").join(later.alias("b"), place).where((F.col("b.seq") > F.col("a.seq")) & overlaps("a", "b"))
-    hit = hit.groupBy("source", F.col("a.seq").alias("seq"), "rec").agg(F.sum("n").alias("later_count"))
+    at = effective_places(verified).where("e_madde is not null and e_type is not null")
+    hit = later_counts(at.where(F.col("status").isin("uyumsuz", "hedef_bulunamadi")), at)
     out = verified.join(hit, ["source", "seq", "rec"], "left").withColumn("later_count", F.coalesce("later_count", F.lit(0).cast("bigint")))
     return out.withColumn("status", F.when(F.col("later_count") > 0, "sonradan_degisti").otherwise(F.col("status"))).select(*verified.columns, "later_count")
 
