@@ -3,27 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import rg_digits, verify_norm
+from lexstrata.operators.grams import contained
 
 KEY = ("source", "seq", "rec")
 
 
+PLACE = ["source", "madde_type", "madde"]
+
+
+def quote_links(records: DataFrame, least: int = 8) -> DataFrame:
+    """source, madde_type, madde, new, quoted: the pairs of a record's new text and an old or anchor text of the same
+    article of which one contains the other, as MD5s of the texts in lower case and without quotation marks.
+
+    Each text of an article counts once however often it is said. See grams.contained for how pairs are found.
+    """
+    kind = F.coalesce("madde_type", F.lit("normal")).alias("madde_type")
+    norm = lambda c: F.lower(verify_norm(F.col(c)))
+    each = lambda *cs: records.where("source is not null and madde is not null").select("source", kind, "madde", F.explode(F.array(*map(norm, cs))).alias("text")).where(F.char_length("text") >= least).distinct().withColumn("id", F.md5(F.col("text").cast("binary")))
+    new, quoted = each("new_text"), each("old_text", "anchor_text")
+    inside = contained(new, quoted, PLACE).select(*PLACE, F.col("long_id").alias("new"), F.col("short_id").alias("quoted"))
+    around = contained(quoted, new, PLACE).select(*PLACE, F.col("short_id").alias("new"), F.col("long_id").alias("quoted"))
+    return inside.union(around).distinct()
+
+
 def quote_evidence(records: DataFrame, least: int = 8) -> DataFrame:
     """source, seq, rec, later_seq, later_article, quoted: the first later record of the same article that quotes a record's new text.
 
     A null kind of article counts as normal. Texts shorter than least do not count; an old text goes before an anchor.
-    Records without an article or a text have none; no records give none.
+    Records without an article or a text have none; no records give none. Texts are compared once for all records that say
+    them; the first later record is the least one of those after it under each quoted text.
     """
-    norm = lambda c: F.lower(verify_norm(F.col(c)))
     kind = F.coalesce("madde_type", F.lit("normal")).alias("madde_type")
-    a = records.select("source", kind, "madde", "seq", "rec", norm("new_text").alias("new")).where(F.length("new") >= least)
-    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), norm(c).alias("quoted")) for i, c in enumerate(("old_text", "anchor_text"))])).alias("q")
-    b = records.select("source", kind, "madde", F.col("seq").alias("later_seq"), F.col("amending_article").alias("later_article"), fields).where(F.length("q.quoted") >= least)
-    hit = a.join(b, ["source", "madde_type", "madde"]).where("later_seq > seq and (contains(new, q.quoted) or contains(q.quoted, new))")
-    first = hit.groupBy(*KEY).agg(F.min(F.struct("later_seq", "q.field", "later_article", "q.quoted")).alias("x"))
-    return first.select(*KEY, "x.later_seq", "x.later_article", "x.quoted")
+    norm = lambda c: F.lower(verify_norm(F.col(c)))
+    of = lambda c: F.md5(norm(c).cast("binary"))
+    links = quote_links(records, least)
+    mine = records.select("source", kind, "madde", "seq", "rec", of("new_text").alias("new")).where("seq is not null").join(links, [*PLACE, "new"])
+    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), norm(c).alias("said"), of(c).alias("quoted")) for i, c in enumerate(("old_text", "anchor_text"))])).alias("q")
+    said = records.select("source", kind, "madde", "seq", F.col("amending_article").alias("later_article"), fields).where(F.char_length("q.said") >= least)
+    said = said.groupBy(*PLACE, "q.quoted", "seq").agg(F.min(F.struct(F.col("q.field").alias("field"), "later_article", F.col("q.said").alias("said"))).alias("x"))
+    none = F.lit(None)
+    rows = said.select(*PLACE, "quoted", "seq", F.struct(F.col("seq").alias("later_seq"), "x.field", "x.later_article", "x.said").alias("hit"), none.cast("int").alias("rec"), F.lit(False).alias("asks"))
+    rows = rows.unionByName(mine.select(*PLACE, "quoted", "seq", none.cast(rows.schema["hit"].dataType).alias("hit"), F.col("rec").cast("int").alias("rec"), F.lit(True).alias("asks")))
+    after = W.partitionBy(*PLACE, "quoted").orderBy("seq").rangeBetween(1, W.unboundedFollowing)
+    hits = rows.withColumn("next", F.first("hit", True).over(after)).where("asks and next is not null")
+    first = hits.groupBy(*KEY).agg(F.min("next").alias("x"))
+    return first.select(*KEY, "x.later_seq", "x.later_article", F.col("x.said").alias("quoted"))
 
 
 def note_evidence(verified: DataFrame, labels: DataFrame, units: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def as_of(versions: DataFrame, day: datetime.date | Column) -> DataFrame:
 
 #: Days of one bucket of the interval join.
 BUCKET_DAYS = 512
-_FIRST, _LAST = datetime.date(1, 1, 1), datetime.date(9999, 12, 31)
+_FIRST, _LAST = "0001-01-01", "9999-12-31"
 
 
 def unit_intervals(versions: DataFrame) -> DataFrame:
@@ -125,10 +125,10 @@ def unit_intervals(versions: DataFrame) -> DataFrame:
     So a state begins on the earliest day among the records from its own on.
     """
     # the earliest day of each step and those after it, one array a row; steps count from 1
-    days = F.transform(F.array_sort(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), F.coalesce(s["date"], F.lit(_FIRST)).alias("day")))), lambda s: s["day"])
+    days = F.transform(F.array_sort(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), F.coalesce(s["date"], F.lit(_FIRST).cast("date")).alias("day")))), lambda s: s["day"])
     least = F.aggregate(F.reverse(days), F.array().cast("array<date>"), lambda a, d: F.concat(F.array(F.least(d, F.coalesce(F.get(a, F.lit(0)), d))), a))
     rows = versions.withColumn("_least", least).select("source", "key", "_least", F.inline("units"))
-    at = lambda step: F.when(step == 0, F.lit(_FIRST)).otherwise(F.get("_least", step - 1))
+    at = lambda step: F.when(step == 0, F.lit(_FIRST).cast("date")).otherwise(F.get("_least", step - 1))
     rows = rows.select("source", "key", *LEVELS, collapse(F.col("raw")).alias("text"), at(F.col("since")).alias("valid_from"), F.when(F.col("until").isNotNull(), at(F.col("until"))).alias("valid_to"))
     return rows.where("valid_to is null or valid_from < valid_to")
 
@@ -143,11 +143,11 @@ def as_of_many(versions: DataFrame, asked: DataFrame, bucket_days: int = BUCKET_
     no row; repeated ones give theirs each; no rows give none.
     """
     on = ["source", "key"] if "key" in asked.columns else ["source"]
-    bucket = lambda c: F.floor(F.date_diff(c, F.lit(_FIRST)) / bucket_days)
+    bucket = lambda c: F.floor(F.date_diff(c, F.lit(_FIRST).cast("date")) / bucket_days)
     rows = asked.where(" and ".join(f"{c} is not null" for c in [*on, "day"])).withColumn("_bucket", bucket(F.col("day")))
     span = rows.groupBy(*on).agg(F.min("day").alias("_low"), F.max("day").alias("_high"))
     held = unit_intervals(versions).join(span, on).where("valid_from <= _high and (valid_to is null or valid_to > _low)")
-    low, high = F.greatest("valid_from", "_low"), F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(_LAST)), F.col("_high"))
+    low, high = F.greatest("valid_from", "_low"), F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(_LAST).cast("date")), F.col("_high"))
     held = held.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high)))).drop("_low", "_high")
     hit = rows.join(held, [*on, "_bucket"]).where("valid_from <= day and (valid_to is null or day < valid_to)")
     return hit.select(*asked.columns, *[c for c in ("key",) if c not in on], *LEVELS, "text")

@@ -40,6 +40,16 @@ def article_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.as_of(rendered.versions(rendered.prices(spark, sf_dir)), DAY).select("source", "key", "fikra", "bent", "text")
 
 
+@query(f"""{P}, w AS (SELECT row_number() OVER () AS nth, source AS s, article AS a, date AS day FROM p), q AS (SELECT * FROM w JOIN p ON p.source = s AND p.article = a AND (p.step = 0 OR p.date <= day)),
+  state AS ({rendered.state("TRUE").replace("FROM p GROUP BY source, article", "FROM q GROUP BY source, article, nth, day").replace("SELECT source, article,", "SELECT source, article, nth, day,")}), u AS ({rendered.UNITS.replace("SELECT source, article,", "SELECT source, article, nth, day,")})
+  SELECT source, article::VARCHAR AS key, day::VARCHAR AS day, fikra, bent, text FROM u""")
+def orders_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every order the units of its article as they stood on its day: one interval join for all days."""
+    p = rendered.prices(spark, sf_dir)
+    asked = p.select("source", F.col("article").cast("string").alias("key"), F.col("date").alias("day"))
+    return replay.as_of_many(rendered.versions(p), asked).select("source", "key", F.col("day").cast("string").alias("day"), "fikra", "bent", "text")
+
+
 @query(f"""{P}, state AS ({rendered.state("TRUE")}), t AS (SELECT source, article, v4 FROM state),
   u AS (SELECT source, article, string_agg(CASE WHEN bent IS NULL THEN '(' || fikra || ') ' ELSE bent || ') ' END || text, chr(10) ORDER BY fikra, bent NULLS FIRST) AS body FROM ({rendered.UNITS}) GROUP BY ALL)
   SELECT source, string_agg('Tutar ' || v4 || chr(10) || 'MADDE ' || article || ' – ' || body, chr(10) ORDER BY article) AS text FROM u JOIN t USING (source, article) GROUP BY source""")
@@ -97,19 +107,40 @@ def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.select("source", "seq", F.col("date").cast("string").alias("date"), "applied", F.size("failed").cast("bigint").alias("failed"))
 
 
-@query(f"""{P}, a AS ({rendered.state("FALSE")}), z AS ({rendered.state("TRUE")}) SELECT a.source, a.article::VARCHAR AS key, 'Tutar ' || a.v0 || ' liradır.' = 'Tutar ' || z.v0 || ' liradır.'
-    AND a.v1 = z.v1 AND a.v2 = z.v2 AND a.v3 = z.v3 AND a.v5 = z.v5 AND len(z.v6) = 0 AS same FROM a JOIN z USING (source, article)""")
+_COMPARED = f"""{P}, a AS ({rendered.state("FALSE")}), z AS ({rendered.state("TRUE")}),
+  ua AS ({rendered.UNITS.replace("FROM state", "FROM a AS state")}), uz AS ({rendered.UNITS.replace("FROM state", "FROM z AS state")}),
+  ta AS (SELECT source, article, string_agg(CASE WHEN bent IS NULL THEN '' ELSE bent || ') ' END || text, ' ' ORDER BY fikra, bent NULLS FIRST) AS said FROM ua GROUP BY ALL),
+  tz AS (SELECT source, article, string_agg(CASE WHEN bent IS NULL THEN '' ELSE bent || ') ' END || text, ' ' ORDER BY fikra, bent NULLS FIRST) AS said FROM uz GROUP BY ALL),
+  c AS (SELECT source, article::VARCHAR AS key, lower(replace(ta.said, 'İ', 'i̇')) AS x, lower(replace(tz.said, 'İ', 'i̇')) AS y FROM ta JOIN tz USING (source, article)),
+  n AS (SELECT source, key, ch, count(*) FILTER (side = 'x') AS nx, count(*) FILTER (side = 'y') AS ny FROM (SELECT source, key, 'x' AS side, unnest(string_split(x, '')) AS ch FROM c UNION ALL SELECT source, key, 'y', unnest(string_split(y, '')) FROM c) GROUP BY ALL),
+  m AS (SELECT source, key, sum(least(nx, ny)) AS shared FROM n GROUP BY ALL),
+  b AS (SELECT source, key, length(x) AS n_ours, length(y) AS n_official, x = y AS same, 2.0 * least(length(x), length(y)) / (length(x) + length(y)) AS by_length, 2.0 * shared / (length(x) + length(y)) AS by_count FROM c JOIN m USING (source, key))"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = rendered.prices(spark, sf_dir)
+    return replay.compare_articles(replay.official_articles(rendered.originals(p)), replay.official_articles(rendered.originals(p, last=True)))
+
+
+@query(f"""{_COMPARED} SELECT source, key, same FROM b""")
 def article_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original against consolidated articles: which are word for word the same."""
-    return article_similarity(spark, sf_dir).select("source", "key", (F.col("ratio") == 1.0).alias("same"))
+    return _compared(spark, sf_dir).select("source", "key", (F.col("ratio") == 1.0).alias("same")).fillna(False, ["same"])
+
+
+@query(f"""{_COMPARED} SELECT source, key, n_ours::INT AS n_ours, n_official::INT AS n_official, round(CASE WHEN same THEN 1 WHEN by_length < 0.98 THEN by_length ELSE by_count END, 9)::DOUBLE AS bound,
+  CASE WHEN same THEN 'same' WHEN by_length < 0.98 OR by_count < 0.98 THEN 'below' ELSE 'open' END AS settled, CASE WHEN same THEN 'ayni' WHEN by_length < 0.98 OR by_count < 0.98 THEN 'farkli' ELSE 'acik' END AS durum FROM b""")
+def article_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Original against consolidated articles: their lengths, the bound of their ratio, and what it settles (else 'acik')."""
+    n = lambda c: F.char_length(t.version_norm(F.col(c)))
+    rows = _compared(spark, sf_dir)
+    return rows.select("source", "key", n("ours").alias("n_ours"), n("official").alias("n_official"), F.round("bound", 9).alias("bound"), "settled", F.when(F.col("settled") == "open", "acik").otherwise(F.col("durum")).alias("durum"))
 
 
 @query()
 def article_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original against consolidated articles by sequence similarity, with the outcome."""
-    p = rendered.prices(spark, sf_dir)
-    of = lambda last: structure.full_texts(structure.parse_units(rendered.originals(p, last))).where("fikra is null").select(F.col("doc_id").alias("source"), "key", F.col("full").alias("text"))
-    return replay.compare_articles(of(False), of(True)).select("source", "key", "ratio", "durum")
+    return _compared(spark, sf_dir).select("source", "key", "ratio", "durum")
 
 
 @query(f"""{R}, l AS (SELECT source, seq, rec, operation || ' | madde=' || article || coalesce(' fikra=' || fikra, '') || coalesce(' bent=' || bent, '') || coalesce(' cumle=' || cumle, '') || ' | birim=' || unit
