@@ -48,17 +48,31 @@ def _pieces(c: Column) -> Column:
     return F.filter(F.split(c, r"(?=\()|(?<=\))"), lambda p: p != "")
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: written out, it would stand in the plan as often as body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _note(piece: Column) -> Column:
     """struct<type, source> of a piece that is an amendment note, else null: in brackets, before the first colon words of
     which one of the first four says what was done and the few after it are in lower case, after it the source."""
+    def of(x: Column) -> Column:
+        good = F.forall(F.slice(x["said"], 1, x["at"]), lambda w: w.rlike(r"^\p{L}+$"))
+        after = F.slice(x["said"], x["at"] + 2, F.greatest(F.size(x["said"]) - x["at"] - 1, F.lit(0)))
+        good = good & let(after, lambda rest: (F.size(rest) <= 4) & F.forall(rest, lambda w: w.rlike(r"^\p{Ll}+$")))
+        return F.when(x["at"].isNotNull() & good, F.struct(F.get(x["said"], x["at"]).alias("type"), x["source"].alias("source")))
+
+    def placed(x: Column) -> Column:
+        at = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(x["said"], i).isin(*NOTE_HEADS)))
+        return let(F.struct(x["said"], x["source"], at.alias("at")), of)
+
+    def cut(inside: Column) -> Column:
+        said = F.filter(F.split(F.substring_index(inside, ":", 1), " "), lambda w: w != "")
+        return F.struct(said.alias("said"), F.trim(F.substr(inside, F.call_function("instr", inside, F.lit(":")) + 1)).alias("source"))
+
     inside = F.regexp_replace(F.substr(piece, F.lit(2), F.char_length(piece) - 2), r"\s+", " ")
-    colon = F.call_function("instr", inside, F.lit(":"))
-    said = F.filter(F.split(F.trim(F.substr(inside, F.lit(1), F.greatest(colon - 1, F.lit(0)))), " "), lambda w: w != "")
-    at = F.array_min(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(said, i).isin(*NOTE_HEADS)), lambda i: i))
-    before, after = F.slice(said, 1, at), F.slice(said, at + 2, F.greatest(F.size(said) - at - 1, F.lit(0)))
-    good = F.forall(before, lambda w: w.rlike(r"^\p{L}+$")) & F.forall(after, lambda w: w.rlike(r"^\p{Ll}+$")) & (F.size(after) <= 4)
-    is_one = piece.startswith("(") & piece.endswith(")") & (colon > 0) & at.isNotNull() & good
-    return F.when(is_one, F.struct(F.get(said, at).alias("type"), F.trim(F.substr(inside, colon + 1)).alias("source")))
+    is_one = piece.startswith("(") & piece.endswith(")") & F.contains(piece, F.lit(":"))
+    return F.when(is_one, let(let(inside, cut), placed))
 
 
 def _bracketed(c: Column) -> Column:
@@ -76,11 +90,9 @@ def leading_notes(c: Column) -> Column:
     """struct<lead, rest>: the amendment notes that a text begins with, and what follows them."""
     def cut(pieces: Column) -> Column:
         past = F.filter(F.transform(pieces, lambda p, i: F.when(_note(p).isNull() & (F.trim(p) != ""), i)), lambda i: i.isNotNull())
-        n = F.coalesce(F.get(past, F.lit(0)), F.size(pieces))
-        return F.struct(F.array_join(F.slice(pieces, 1, n), "").alias("lead"), F.ltrim(F.array_join(F.slice(pieces, n + 1, F.greatest(F.size(pieces) - n, F.lit(0))), "")).alias("rest"))
+        return let(F.coalesce(F.get(past, F.lit(0)), F.size(pieces)), lambda n: F.struct(F.array_join(F.slice(pieces, 1, n), "").alias("lead"), F.ltrim(F.array_join(F.slice(pieces, n + 1, F.greatest(F.size(pieces) - n, F.lit(0))), "")).alias("rest")))
 
-    first = F.element_at(F.transform(F.array(_pieces(c)), cut), 1)
-    return F.when(_bracketed(c) & F.ltrim(c).startswith("("), first).otherwise(F.struct(F.lit("").alias("lead"), c.alias("rest")))
+    return F.when(_bracketed(c) & F.ltrim(c).startswith("("), let(_pieces(c), cut)).otherwise(F.struct(F.lit("").alias("lead"), c.alias("rest")))
 
 
 def version_norm(c: Column) -> Column:
@@ -234,15 +246,29 @@ def publication_table(c: Column) -> Column:
     """
     kind = "struct<year:int,month:int,day:int,number:string,repeat:int>"
     plain = F.replace(F.replace(collapse(c), F.lit("Resmi"), F.lit("Resmî")), F.lit("Yayımlandıgı"), F.lit("Yayımlandığı"))
-    parts = F.split(plain, TABLE)
-    tables = F.filter(F.transform(parts, lambda x, i: F.when(i > 0, F.struct(F.contains(F.substring_index(F.get(parts, i - 1), ".", -1), F.lit(AMENDING)).alias("later"), _fields(x).alias("f")))), lambda x: x.isNotNull())
-    of = lambda later: F.coalesce(F.get(F.filter(tables, lambda x: x["later"] if later else ~x["later"]), F.lit(0))["f"], F.array().cast("array<string>"))
-    first = F.get(F.filter(F.transform(of(False), lambda _, i: _publication(of(False), i)), lambda x: x.isNotNull()), F.lit(0))
-    rows = F.transform(of(True), lambda x, i: F.when(x.endswith("."), F.struct(F.regexp_extract(x, r"^(\d{1,3})\.$", 1).try_cast("int").alias("n"), _publication(of(True), i + 1).alias("ref"))))
-    rows = F.filter(rows, lambda x: x["n"].isNotNull() & x["ref"].isNotNull())
-    bad = F.filter(F.transform(rows, lambda x, i: F.when(x["n"] != i + 1, i)), lambda i: i.isNotNull())
-    rows = F.slice(rows, 1, F.coalesce(F.get(bad, F.lit(0)), F.size(rows)))
-    return F.struct(first.cast(kind).alias("first"), F.coalesce(F.transform(rows, lambda x: x["ref"]), F.array()).cast(f"array<{kind}>").alias("amendments"))
+    fields_of = lambda later: lambda tables: F.coalesce(F.get(F.filter(tables, lambda x: x["later"] if later else ~x["later"]), F.lit(0))["f"], F.array().cast("array<string>"))
+
+    def tables_of(parts: Column) -> Column:
+        amends = lambda i: F.contains(F.substring_index(F.get(parts, i - 1), ".", -1), F.lit(AMENDING))
+        return F.filter(F.transform(parts, lambda x, i: F.when(i > 0, F.struct(amends(i).alias("later"), _fields(x).alias("f")))), lambda x: x.isNotNull())
+
+    def first_of(fields: Column) -> Column:
+        return F.get(F.filter(F.transform(fields, lambda _, i: _publication(fields, i)), lambda x: x.isNotNull()), F.lit(0))
+
+    def rows_of(fields: Column) -> Column:
+        number = lambda x: F.regexp_extract(x, r"^(\d{1,3})\.$", 1).try_cast("int")
+        rows = F.transform(fields, lambda x, i: F.when(x.endswith("."), F.struct(number(x).alias("n"), _publication(fields, i + 1).alias("ref"))))
+        return F.filter(rows, lambda x: x["n"].isNotNull() & x["ref"].isNotNull())
+
+    def in_turn(rows: Column) -> Column:
+        bad = F.filter(F.transform(rows, lambda x, i: F.when(x["n"] != i + 1, i)), lambda i: i.isNotNull())
+        return F.transform(F.slice(rows, 1, F.coalesce(F.get(bad, F.lit(0)), F.size(rows))), lambda x: x["ref"])
+
+    def read(tables: Column) -> Column:
+        later = let(let(let(tables, fields_of(True)), rows_of), in_turn)
+        return F.struct(let(let(tables, fields_of(False)), first_of).cast(kind).alias("first"), F.coalesce(later, F.array()).cast(f"array<{kind}>").alias("amendments"))
+
+    return let(let(F.split(plain, TABLE), tables_of), read)
 
 
 def _issue_number(c: Column, least: int, most: int, alone: bool) -> Column:

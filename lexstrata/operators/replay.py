@@ -46,48 +46,76 @@ def new_blocks(records: DataFrame) -> DataFrame:
     return out.select("block", "article", F.when(own, F.col("n_key")).alias("n_key"), "parsed_title", own.alias("parsed_head"), parsed.alias("parsed"))
 
 
-def replay(units: DataFrame, records: DataFrame) -> DataFrame:
-    """source, key, pos, steps, units, titles: a row per article.
+RECORD = f"struct<seq:bigint,rec:int,article:int,date:date,operation:string,unit:string,fikra:int,bent:string,alt_bent:int,cumle:string,old_text:string,new_text:string,anchor_text:string,anchor_position:string,insert_after:string,parsed_title:string,parsed_head:boolean,parsed:{_PARSED},base_found:boolean>"
+BASE = "array<struct<pos:int,fikra:int,bent:string,alt_bent:int,raw:string>>"
 
-    units: as the structural parse of the original texts gives them, doc_id being the source. records: those of
-    extraction with source, seq (order of the amending texts) and date. steps holds each record's outcome; units each
-    state of each unit, alive from step since to before step until; titles likewise. Of an article key that repeats, the
-    first article counts. New articles come after the article whose number theirs extends, or at the end.
-    Records without an article are in no row; lost_records has them. An article's records are bounded by its amendments.
-    Null texts of records are unsupported or not found, not errors; other columns are ignored.
-    """
+
+def original_articles(units: DataFrame) -> DataFrame:
+    """source, key, pos, title, base: a row per article key of the original texts (units, doc_id being the source), the
+    first article of a key that repeats; base are its units in order."""
     first = units.groupBy("doc_id", "key").agg(F.min("article").alias("article"))
-    base = units.join(first, ["doc_id", "key", "article"]).groupBy(F.col("doc_id").alias("source"), "key").agg(
-        F.min("article").cast("double").alias("pos"), F.first("title", True).alias("title"), F.array_sort(F.collect_list(F.struct("pos", *LEVELS, "raw"))).alias("units"))
+    held = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), *LEVELS, "raw"))).alias("base")
+    return units.join(first, ["doc_id", "key", "article"]).groupBy(F.col("doc_id").alias("source"), "key").agg(F.min("article").cast("double").alias("pos"), F.first("title", True).alias("title"), held)
+
+
+def prepared(records: DataFrame, articles: DataFrame) -> DataFrame:
+    """source, key, new_pos, record (RECORD): what the fold of each article needs of its records.
+
+    articles (source, key, pos): those that are there. New texts are parsed, an article each; a record that adds several
+    gives a row for each. base_found says whether the article that a lettered one follows is there or added; new_pos is
+    where a new article goes. Records without an article have no row; lost_records has them.
+    """
     adds = (F.col("operation") == "BIRIM_EKLE") & F.coalesce(F.col("unit").isin(*ARTICLE_UNITS), F.lit(False))
     r = records.select("source", *_FIELDS, location_key().alias("at_key"), adds.alias("adds"))
     blocks = new_blocks(records)
     r = r.join(blocks, F.md5(F.col("new_text").cast("binary")) == F.col("block"), "left").where("article is null or article = 1 or adds").withColumn("key", F.when(F.col("adds"), F.coalesce("n_key", "at_key")).otherwise(F.col("at_key"))).where("key is not null")
     stem = F.regexp_extract("key", r"^(\d+)/", 1)
-    there = base.select("source", F.col("key").alias("stem"), F.col("pos").alias("stem_pos")).unionByName(r.where("adds").select("source", F.col("key").alias("stem"), F.lit(None).cast("double").alias("stem_pos")))
+    there = articles.select("source", F.col("key").alias("stem"), F.col("pos").alias("stem_pos")).unionByName(r.where("adds").select("source", F.col("key").alias("stem"), F.lit(None).cast("double").alias("stem_pos")))
     there = there.groupBy("source", "stem").agg(F.max("stem_pos").alias("stem_pos"))
-    r = r.withColumn("stem", F.when(F.col("adds"), stem)).join(there, ["source", "stem"], "left").withColumn("base_found", (F.coalesce("stem", F.lit("")) == "") | F.col("stem_pos").isNotNull())
+    r = r.withColumn("stem", F.when(F.col("adds"), stem)).join(there.withColumn("held", F.lit(True)), ["source", "stem"], "left").withColumn("base_found", (F.coalesce("stem", F.lit("")) == "") | F.col("held").isNotNull())
     # lettered articles follow their stem, others the last article
     letter = F.call_function("instr", F.lit(ALPHABET), F.lower(F.translate(F.regexp_extract("key", "/(.)$", 1), "Iİ", "ıi")))
     place = F.when(F.col("adds"), F.coalesce(F.col("stem_pos") + (letter + 1) / 64, F.lit(1e9) + F.col("seq")))
-    rows = r.groupBy("source", "key").agg(F.min(place).alias("new_pos"), F.array_sort(F.collect_list(F.struct("seq", "rec", F.coalesce("article", F.lit(0)).alias("article"), *_FIELDS[2:], "parsed_title", "parsed_head", "parsed", "base_found"))).alias("records"))
-    both = base.join(rows, ["source", "key"], "full_outer").select("source", "key", F.coalesce("pos", "new_pos").alias("pos"), "title", "units", "records")
+    record = F.struct("seq", "rec", F.coalesce("article", F.lit(0)).alias("article"), *_FIELDS[2:], "parsed_title", "parsed_head", "parsed", "base_found")
+    return r.select("source", "key", place.alias("new_pos"), record.cast(RECORD).alias("record"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = {"steps": [], "units": [], "titles": []}
-            for title, own, todo in zip(*(b.column(c).to_pylist() for c in ("title", "units", "records")), strict=True):
-                todo = todo or []
-                said, versions, titles = fold(title, own or [], [{**x, "parsed": x["parsed"] or []} for x in todo])
-                out["steps"].append([{"step": k, "status": s, **{c: x[c] for c in ("seq", "rec", "date", "operation")}} for k, (s, x) in enumerate(zip(said, todo, strict=True), 1)])
-                out["units"].append(versions)
-                out["titles"].append(titles)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "key", "pos")), *(pa.array(out[c], kinds.field(c).type) for c in out)], schema=kinds)
 
+def fold_article(title: str | None, base: list[dict] | None, records: list[dict] | None) -> dict:
+    """steps, units, titles of one article under its records in order, as in RESULT."""
+    todo = records or []
+    said, versions, titles = fold(title, base or [], [{**x, "parsed": [dict(u) for u in x["parsed"] or []]} for x in todo])
+    steps = [{"step": k, "status": s, **{c: x[c] for c in ("seq", "rec", "date", "operation")}} for k, (s, x) in enumerate(zip(said, todo, strict=True), 1)]
+    return {"steps": steps, "units": versions, "titles": titles}
+
+
+def folded(articles: DataFrame) -> DataFrame:
+    """RESULT of articles (source, key, pos, title, base, records), each on its own."""
     unit = pa.struct([("since", pa.int32()), ("until", pa.int32()), ("fikra", pa.int32()), ("bent", pa.string()), ("alt_bent", pa.int32()), ("raw", pa.string())])
     step = pa.struct([("step", pa.int32()), ("seq", pa.int64()), ("rec", pa.int32()), ("date", pa.date32()), ("operation", pa.string()), ("status", pa.string())])
     kinds = pa.schema([("source", pa.string()), ("key", pa.string()), ("pos", pa.float64()), ("steps", pa.list_(step)), ("units", pa.list_(unit)), ("titles", pa.list_(pa.struct([("since", pa.int32()), ("title", pa.string())])))])
-    return both.mapInArrow(run, RESULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [fold_article(*x) for x in zip(*(b.column(c).to_pylist() for c in ("title", "base", "records")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source", "key", "pos")), *(pa.array([x[c] for x in out], kinds.field(c).type) for c in ("steps", "units", "titles"))], schema=kinds)
+
+    return articles.select("source", "key", "pos", "title", "base", "records").mapInArrow(run, RESULT)
+
+
+def replay(units: DataFrame, records: DataFrame) -> DataFrame:
+    """source, key, pos, steps, units, titles: a row per article.
+
+    units: as the structural parse of the original texts gives them, doc_id being the source. records: those of
+    extraction with source, seq (order of the amending texts) and date. steps holds each record's outcome; units each
+    state of each unit, alive from step since to before step until; titles likewise. Of an article key that repeats, the
+    first article counts. New articles come after the article whose number theirs extends, or at the end.
+    Records without an article are in no row; lost_records has them. An article's records are bounded by its amendments.
+    Null texts of records are unsupported or not found, not errors; other columns are ignored.
+    """
+    base = original_articles(units)
+    rows = prepared(records, base).groupBy("source", "key").agg(F.min("new_pos").alias("new_pos"), F.array_sort(F.collect_list("record")).alias("records"))
+    both = base.join(rows, ["source", "key"], "full_outer").select("source", "key", F.coalesce("pos", "new_pos").alias("pos"), "title", "base", "records")
+    return folded(both)
 
 
 def lost_records(records: DataFrame) -> DataFrame:

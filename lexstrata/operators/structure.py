@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import annotations, collapse, drop_notes, gazette_ref, leading_notes, without_notes
+from lexstrata.functions.text import annotations, collapse, drop_notes, gazette_ref, leading_notes, let, without_notes
 
 #: The words that begin an article, with the kinds that may stand before them, and that end a section's line.
 ARTICLE_WORD, KIND_WORDS, SECTION_WORDS, DASHES = "MADDE", {"GEÇİCİ": "gecici", "EK": "ek"}, ("BÖLÜM", "KISIM"), "–—-"
@@ -26,14 +26,17 @@ SECTION = rf"^[A-ZÇĞİÖŞÜ ]+\s(?:{'|'.join(SECTION_WORDS)})$"
 def _footnote(line: Column) -> Column:
     """struct<k, said> of a footnote's definition, else null: a number in brackets, a date that something is 'tarihli' by,
     the gazette's name, and 'maddesiyle' or a like word for the article that did it."""
+    def of(x: Column) -> Column:
+        words = F.split(x["said"], r"\s+")
+        dated = F.try_to_date(F.get(words, F.lit(0)), "d/M/yyyy").isNotNull() & F.get(words, F.lit(1)).startswith("tarihli")
+        gazette = F.contains(F.replace(x["said"], F.lit("Resmi"), F.lit("Resmî")), F.lit("Resmî Gazete"))
+        by = F.exists(words, lambda w: w.startswith("madde") & F.exists(F.array(*map(F.lit, ("siyle", "sile", "leriyle", "lerile"))), lambda e: F.contains(w, e)))
+        good = x["k"].rlike(r"^\d{1,3}$") & dated & gazette & by
+        return F.when(F.coalesce(good, F.lit(False)), F.struct(x["k"].cast("int").alias("k"), x["said"].alias("said")))
+
     number = F.substring_index(F.substr(line, F.lit(2)), ")", 1)
-    said = F.ltrim(F.substr(line, F.char_length(number) + 3))
-    words = F.split(said, r"\s+")
-    dated = F.try_to_date(F.get(words, F.lit(0)), "d/M/yyyy").isNotNull() & F.get(words, F.lit(1)).startswith("tarihli")
-    gazette = F.contains(F.replace(said, F.lit("Resmi"), F.lit("Resmî")), F.lit("Resmî Gazete"))
-    by = F.exists(words, lambda w: w.startswith("madde") & (F.contains(w, F.lit("siyle")) | F.contains(w, F.lit("sile")) | F.contains(w, F.lit("leriyle")) | F.contains(w, F.lit("lerile"))))
-    good = line.startswith("(") & number.rlike(r"^\d{1,3}$") & dated & gazette & by
-    return F.when(F.coalesce(good, F.lit(False)), F.struct(number.cast("int").alias("k"), said.alias("said")))
+    cut = let(number, lambda k: F.struct(k.alias("k"), F.ltrim(F.substr(line, F.char_length(k) + 3)).alias("said")))
+    return F.when(line.startswith("(") & F.contains(line, F.lit("Gazete")), let(cut, of))
 
 
 def _windows() -> tuple:
