@@ -74,31 +74,54 @@ class ArticleReplay(StatefulProcessor):
 
 
 def article_states(units: DataFrame) -> DataFrame:
-    """source, key, base: the original articles as the state begins."""
+    """source, key, base: the original articles as the state begins. Write them and read them back for replayed: the plan
+    of a stream is made again for every batch, and the parse would stand in it."""
     return original_articles(units).where("source is not null and key is not null").select("source", "key", F.to_json(F.struct("pos", "title", "base")).alias("base"))
 
 
-def replayed(stream: DataFrame, units: DataFrame, due: F.Column | None = None) -> DataFrame:
-    """RESULT rows, one whenever an article changes, of a stream of PREPARED rows over original texts (units).
+def replayed(stream: DataFrame, states: DataFrame, due: F.Column | None = None) -> DataFrame:
+    """RESULT rows, one whenever an article changes, of a stream of PREPARED rows over the original articles
+    (states, see article_states).
 
     due: when a record begins to count, by default the beginning of its date; null counts at once. An article without a
     record has no row: begin with incremental.add_originals. Null sources or keys are left out. The session needs PROVIDER.
     """
     at = F.unix_millis(due if due is not None else F.col("record.date").cast("timestamp"))
     rows = stream.where("source is not null and key is not null").select("source", "key", "new_pos", "record.seq", "record.rec", "record.article", at.alias("due"), F.to_json("record").alias("said"))
-    out = rows.groupBy("source", "key").transformWithStateInPandas(ArticleReplay(), StructType.fromDDL(_OUT), "Update", "ProcessingTime", article_states(units).groupBy("source", "key"))
+    out = rows.groupBy("source", "key").transformWithStateInPandas(ArticleReplay(), StructType.fromDDL(_OUT), "Update", "ProcessingTime", states.groupBy("source", "key"))
     kinds = RESULT.split(", ", 2)[2]
     return out.select("source", "key", F.from_json("result", kinds).alias("r")).select("source", "key", "r.*")
 
 
-def run_replay(spark: SparkSession, folder: str, units: DataFrame, table: SnapshotTable, checkpoint: str, due: F.Column | None = None, **trigger) -> StreamingQuery:
-    """Reads PREPARED files from a folder and keeps a table of RESULT rows (keys source and key) up to date, each batch once;
-    by default it handles what is there and stops. The same checkpoint goes on where it was left."""
+def run_replay(spark: SparkSession, folder: str, states: DataFrame, table: SnapshotTable, checkpoint: str, due: F.Column | None = None, every: str = "10 seconds") -> StreamingQuery:
+    """Reads PREPARED files from a folder and keeps a table of RESULT rows (keys source and key) up to date, each batch once.
+
+    It runs until it is stopped, for days that are still to come need a clock; catch_up handles what is there and stops.
+    The same checkpoint goes on where it was left.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("source", "key").agg(F.max_by(F.struct(*batch.columns), F.size("steps")).alias("x")).select("x.*")
-        table.upsert(last, batch=(checkpoint, number))
+        # held for the passes that the change makes, else the state's operator would run for each of them
+        last = batch.groupBy("source", "key").agg(F.max_by(F.struct(*batch.columns), F.size("steps")).alias("x")).select("x.*").persist()
+        try:
+            if not last.isEmpty():
+                table.upsert(last, batch=(checkpoint, number))
+        finally:
+            last.unpersist()
 
     stream = spark.readStream.schema(PREPARED).parquet(folder)
-    writer = replayed(stream, units, due).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    writer = replayed(stream, states, due).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every).start()
+
+
+def catch_up(spark: SparkSession, folder: str, states: DataFrame, table: SnapshotTable, checkpoint: str, due: F.Column | None = None) -> None:
+    """Handles the files that are there, and the days that have come, and stops."""
+    # with timers there is always a next batch; one without rows comes after all files, but for the first, which may be
+    # the one that the last stop broke off
+    query = run_replay(spark, folder, states, table, checkpoint, due, "1 second")
+    try:
+        while not any(p["numInputRows"] == 0 for p in query.recentProgress[1:]):
+            if query.awaitTermination(1):
+                break
+    finally:
+        query.stop()

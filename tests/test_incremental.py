@@ -123,14 +123,23 @@ def test_snapshot_rules(spark, tmp_path):
         table.upsert(make(("a", "1", None)), tries=0)
 
 
+@pytest.fixture(scope="module")
+def states(spark, units, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("states") / "s")
+    continuous.article_states(units).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", continuous.PROVIDER)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_continuous_replay_with_restarts(spark, tmp_path, units, records, rocks):
+def test_continuous_replay_with_restarts(spark, tmp_path, units, records, states, rocks):
     table = SnapshotTable(spark, f"file://{tmp_path}/t", replay.RESULT, ["source", "key"], 4)
     start = replay.replay(units, records.limit(0))
     table.upsert(start)
@@ -138,27 +147,26 @@ def test_continuous_replay_with_restarts(spark, tmp_path, units, records, rocks)
     for seqs in ((1, 2), (4, 5), (3,)):
         before = {(r.source, r.key): r for r in table.read().collect()}
         replay.prepared(records.where(F.col("seq").isin(*seqs)), articles).write.mode("append").parquet(f"{tmp_path}/in")
-        query = continuous.run_replay(spark, f"{tmp_path}/in", units, table, f"{tmp_path}/check")
-        assert query.awaitTermination(120) and query.exception() is None
+        continuous.catch_up(spark, f"{tmp_path}/in", states, table, f"{tmp_path}/check")
         changed = {k for k, r in ((((r.source, r.key), r)) for r in table.read().collect()) if before.get(k) != r}
         assert changed == {(1, 2): {("s", "1"), ("s", "2")}, (4, 5): {("s", "2/A"), ("s", "1")}, (3,): {("s", "1")}}[seqs]
     assert versions(table.read()) == versions(replay.replay(units, records))
     # the same files again, as another file: nothing changes
     replay.prepared(records.where("seq = 3"), articles).write.mode("append").parquet(f"{tmp_path}/in")
-    continuous.run_replay(spark, f"{tmp_path}/in", units, table, f"{tmp_path}/check").awaitTermination(120)
+    continuous.catch_up(spark, f"{tmp_path}/in", states, table, f"{tmp_path}/check")
     assert versions(table.read()) == versions(replay.replay(units, records))
 
 
-def test_records_wait_for_their_day(spark, tmp_path, units, records, rocks):
+def test_records_wait_for_their_day(spark, tmp_path, units, records, states, rocks):
     table = SnapshotTable(spark, f"file://{tmp_path}/t", replay.RESULT, ["source", "key"], 4)
     rows = replay.prepared(records.where("seq in (1, 3)"), replay.original_articles(units))
-    until = datetime.datetime.now() + datetime.timedelta(seconds=45)
+    until = datetime.datetime.now() + datetime.timedelta(seconds=30)
     rows.write.parquet(f"{tmp_path}/in")
     due = F.when(F.col("record.seq") == 3, F.lit(until))
-    query = continuous.run_replay(spark, f"{tmp_path}/in", units, table, f"{tmp_path}/check", due, processingTime="1 second")
+    query = continuous.run_replay(spark, f"{tmp_path}/in", states, table, f"{tmp_path}/check", due, "1 second")
     seen = []
     try:
-        for _ in range(120):
+        for _ in range(90):
             time.sleep(1)
             got = [r.steps for r in table.read().collect()]
             n = len(got[0]) if got else 0
