@@ -332,9 +332,13 @@ SQL_FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """The SQL face of these functions, as temporary functions of the session; seq_ratio is an Arrow function."""
+    """The SQL face of these functions, as temporary functions of the session; seq_ratio is an Arrow function, parse_units
+    a table function."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     from lexstrata.operators.replay import seq_ratio
 
+    from lexstrata.operators import table_function
+
     spark.udf.register("seq_ratio", seq_ratio)
+    table_function.register(spark)

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, PartitioningColumn, OrderingColumn, udtf
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lexstrata.operators.structure import ARTICLE, SECTION
 
-ROW = "article int, kind string, num string, key string, title string, section string, section_title string, fikra int, bent string, alt_bent int, text string"
+NAMES = "article int, kind string, num string, key string, title string, section string, section_title string, fikra int, bent string, alt_bent int, text string"
+ROW = [StructField(c, IntegerType() if k == "int" else StringType()) for c, k in (x.split(" ") for x in NAMES.split(", "))]
 KINDS = {"G": "gecici", "E": "ek"}
 HEADS = ("Değişik", "Ek", "Mülga", "İptal")
 _ARTICLE, _SECTION = re.compile(ARTICLE.replace(r"\p{Lu}", "[A-ZÇĞİÖŞÜÂÎÛ]")), re.compile(SECTION)
@@ -57,7 +58,7 @@ class Lines:
     """What is open while a text is read line by line; finished() gives its units in order."""
 
     def __init__(self) -> None:
-        self.depth, self.straight, self.before = 0, False, []
+        self.depth, self.straight = 0, False
         self.lines: list[tuple[str, bool]] = []
 
     def read(self, raw: str) -> None:
@@ -78,7 +79,7 @@ class Lines:
 
     def finished(self) -> Iterator[tuple]:
         kinds = [("head" if _ARTICLE.match(x) else "section" if _SECTION.match(x) else "footnote" if _is_footnote(x) else "") if not q else "quoted" for x, q in self.lines]
-        begun, plain = next((i for i, k in enumerate(kinds) if k in ("head", "section")), len(kinds)), 0
+        begun = next((i for i, k in enumerate(kinds) if k in ("head", "section")), len(kinds))
         for i, (x, q) in enumerate(self.lines[:begun]):
             if q or (i > 0 and (x != x.translate(_UPPER).upper() or any(y != y.translate(_UPPER).upper() or z for y, z in self.lines[1:i]))):
                 continue
@@ -89,7 +90,7 @@ class Lines:
             kind = kinds[i]
             if kind == "section":
                 yield from self.rows(units, now)
-                units, now, section, section_title = {}, None, line, None
+                units, now, section, section_title = {}, None, line, line if i and kinds[i - 1] == "section" else None
                 continue
             if i and kinds[i - 1] == "section" and kind != "head":
                 section_title = line
@@ -150,9 +151,8 @@ class ParseUnits:
     def analyze(source: AnalyzeArgument) -> AnalyzeResult:
         """A text gives ROW; a table (doc_id, pos, line) gives doc_id too, and is dealt by doc_id in the order of pos."""
         if not source.isTable:
-            return AnalyzeResult(StructType.fromDDL(ROW))
-        kind = source.dataType["doc_id"].dataType.simpleString()
-        return AnalyzeResult(StructType.fromDDL(f"doc_id {kind}, {ROW}"), partitionBy=[PartitioningColumn("doc_id")], orderBy=[OrderingColumn("pos")])
+            return AnalyzeResult(StructType(ROW))
+        return AnalyzeResult(StructType([source.dataType["doc_id"], *ROW]), partitionBy=[PartitioningColumn("doc_id")], orderBy=[OrderingColumn("pos")])
 
     def eval(self, source) -> Iterator[tuple]:
         if isinstance(source, str) or source is None:

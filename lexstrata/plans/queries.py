@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions import text as t
-from lexstrata.operators import dataset, discover, evaluate, evidence, replay, structure, verify
+from lexstrata.operators import dataset, discover, evaluate, evidence, replay, structure, table_function, verify
 from lexstrata.operators.extract import amending_articles
 from lexstrata.plans import rendered
 from lexstrata.sources import documents as src
@@ -82,6 +82,14 @@ def parsed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.parse_units(rendered.originals(rendered.prices(spark, sf_dir))).select("doc_id", "key", "title", "section", "section_title", "fikra", "bent", "text")
 
 
+@query(ORACLES["parsed_units"])
+def units_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of all originals by the SQL table function alone."""
+    table_function.register(spark)
+    rendered.originals(rendered.prices(spark, sf_dir)).createOrReplaceTempView("rendered_originals")
+    return spark.sql("SELECT o.doc_id, u.key, u.title, u.section, u.section_title, u.fikra, u.bent, u.text FROM rendered_originals o, LATERAL parse_units(o.text) u")
+
+
 @query(f"""{P}, state AS ({rendered.state("TRUE")}), u AS ({rendered.UNITS})
   SELECT source AS doc_id, article::VARCHAR AS key, string_agg(CASE WHEN bent IS NULL THEN '(' || fikra || ') ' ELSE bent || ') ' END || text, ' ' ORDER BY fikra, bent NULLS FIRST) AS text FROM u GROUP BY ALL""")
 def article_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,15 +181,15 @@ def superseded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.quote_evidence(rendered.records(rendered.prices(spark, sf_dir))).select("source", "seq", "rec", "later_seq")
 
 
-@query("""WITH g AS (SELECT l_suppkey, l_partkey % 50 AS k, count(*) AS g FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
-  p AS (SELECT l_suppkey, l_partkey % 50 AS k, count(*) AS p FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
+@query("""WITH g AS (SELECT l_suppkey, l_partkey % 50 AS k, count(*) AS g FROM lineitem GROUP BY ALL),
+  p AS (SELECT l_suppkey, l_orderkey % 50 AS k, count(*) AS p FROM lineitem GROUP BY ALL),
   j AS (SELECT coalesce(g.l_suppkey, p.l_suppkey) AS l_suppkey, coalesce(p, 0) AS p, coalesce(g, 0) AS g FROM g FULL JOIN p ON g.l_suppkey = p.l_suppkey AND g.k = p.k),
   s AS (SELECT l_suppkey, sum(least(p, g))::BIGINT AS tp, sum(p)::BIGINT AS n_pred, sum(g)::BIGINT AS n_gold FROM j GROUP BY ALL)
   SELECT *, round(tp / greatest(n_pred, 1), 3) AS precision, round(tp / greatest(n_gold, 1), 3) AS recall,
     round(coalesce(2 * (tp / greatest(n_pred, 1)) * (tp / greatest(n_gold, 1)) / nullif(tp / greatest(n_pred, 1) + tp / greatest(n_gold, 1), 0), 0), 3) AS f1 FROM s""")
 def multiset_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 50)
-    return evaluate.prf(items.where("l_linestatus = 'F'"), items.where("l_returnflag = 'R'"), ["l_suppkey"], ["k"])
+    items = _read(spark, sf_dir, "lineitem")
+    return evaluate.prf(items.withColumn("k", F.col("l_orderkey") % 50), items.withColumn("k", F.col("l_partkey") % 50), ["l_suppkey"], ["k"])
 
 
 @query(r"""SELECT conv_id, turn, lower(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))) AS plain, upper(translate(replace(text, 'ß', 'ss'), 'iı', 'İI')) AS turkish,
