@@ -177,6 +177,12 @@ def strip_apparatus(c: Column) -> Column:
     return F.when(F.size(ruled) > 0, F.concat(F.array_join(F.slice(lines, 1, F.get(ruled, F.lit(0))), "\n"), F.when(F.get(ruled, F.lit(0)) > 0, "\n").otherwise(""))).otherwise(c)
 
 
+def letter_after(letter: str) -> str | None:
+    """next_letter of one letter, for code that runs within a task."""
+    at = ALPHABET.find(letter[0])
+    return ALPHABET[at + 1] * len(letter) if 0 <= at < len(ALPHABET) - 1 else None
+
+
 def next_letter(c: Column) -> Column:
     """The item letter after c (doubled letters move together); null after the last."""
     one = F.substring(c, 1, 1)

@@ -8,40 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import collapse, gazette_norm, gazette_ref, issue_number_of_page
+from lexstrata.operators.grams import contained
 
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 DATED = r"(?s)(\d{1,2}/\d{1,2}/\d{4})\s+tarihli\s+ve\s+(\d+)(?:\s+sayılı)?((?:(?!\d{1,2}/\d{1,2}/\d{4}).){0,160})"
 
 
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with a row per anchor: href and title, tags aside. Pages without anchors have no row."""
+    """pages with a row per anchor: href and title, tags aside. Pages without anchors, or without html, have no row; repeated
+    pages give theirs each."""
     found = lambda i: F.regexp_extract_all(html, F.lit(LINK), F.lit(i))
     rows = pages.withColumn("_link", F.explode(F.arrays_zip(found(1).alias("href"), found(2).alias("title"))))
     return rows.select(*pages.columns, F.col("_link.href").alias("href"), collapse(F.regexp_replace("_link.title", "<[^>]*>", " ")).alias("title"))
 
 
-def _named(title: Column, keys: Column) -> Column:
-    return F.exists(keys, lambda k: F.contains(title, gazette_norm(k)))
-
-
-def amendment_links(found: DataFrame, names: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+def amendment_links(found: DataFrame, names: DataFrame | Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """found with source: links that bear any of a source's names and speak of a change. A link may serve several sources.
 
-    names come from the source configuration, a row per source, and are tried as one array per link, without a join.
+    names: a table (source, name), or pairs of a source and its names. See name_links for how they meet.
     """
     return _matched(found, names, lambda t: F.contains(t, F.lit("DEĞİŞİKLİK")))
 
 
-def original_links(found: DataFrame, names: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+def original_links(found: DataFrame, names: DataFrame | Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """found with source: links that bear a source's name and neither change nor repeal anything."""
     return _matched(found, names, lambda t: ~F.contains(t, F.lit("DEĞİŞİKLİK")) & ~F.contains(t, F.lit("YÜRÜRLÜKTEN")))
 
 
-def _matched(found: DataFrame, names: Sequence[tuple[str, Sequence[str]]], ok) -> DataFrame:
-    table = F.array(*[F.struct(F.lit(s).alias("source"), F.array(*map(F.lit, keys)).alias("keys")) for s, keys in names])
-    rows = found.withColumn("_title", gazette_norm(F.col("title"))).where(ok(F.col("_title")))
-    hit = F.transform(F.filter(table, lambda n: _named(F.col("_title"), n["keys"])), lambda n: n["source"])
-    return rows.withColumn("source", F.explode(hit)).drop("_title")
+def name_links(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """title, source: the distinct pairs of titles (title) and names (source, name) of which the title contains the name,
+    both without regard to case and spaces.
+
+    Each name is kept under its rarest gram among the titles, and titles ask with their grams, so that no name is tried on
+    titles that share nothing with it. Equal titles and equal names are looked up once. Null or empty names match nothing.
+    """
+    said = titles.where("title is not null").select("title", gazette_norm(F.col("title")).alias("text")).distinct()
+    keyed = lambda c: F.md5(F.col(c).cast("binary"))
+    called = names.where("name is not null and source is not null").select("source", gazette_norm(F.col("name")).alias("text")).distinct()
+    hit = contained(said.select(keyed("text").alias("id"), "text").distinct(), called.select(keyed("text").alias("id"), "text").distinct())
+    out = hit.join(said.select(keyed("text").alias("long_id"), "title"), "long_id").join(called.select(keyed("text").alias("short_id"), "source"), "short_id")
+    return out.select("title", "source").distinct()
+
+
+def _matched(found: DataFrame, names: DataFrame | Sequence[tuple[str, Sequence[str]]], ok) -> DataFrame:
+    if not isinstance(names, DataFrame):
+        names = found.sparkSession.createDataFrame([(s, k) for s, keys in names for k in keys], "source string, name string")
+    rows = found.where(ok(gazette_norm(F.col("title"))))
+    return rows.join(name_links(rows.select("title"), names), "title").select(*found.columns, "source")
 
 
 def find_urls(refs: DataFrame, matched: DataFrame, days: int = 5) -> DataFrame:
@@ -50,6 +63,7 @@ def find_urls(refs: DataFrame, matched: DataFrame, days: int = 5) -> DataFrame:
     matched: links with source, day and repeat of their page. The reference's own page goes first, then the repeated
     issues of that day in order, then the days before it, nearest first; the first link of the best page counts. A
     reference without any has nulls. Each reference offers only the days of its window, so the join is on equal days.
+    A row for each row of refs, repeated ones too; null sources or days find nothing; no rows give none.
     """
     wanted = refs.select("source", "day", "repeat", F.explode(F.sequence(F.date_sub("day", days), F.col("day"))).alias("page_day"))
     pages = matched.select("source", F.col("day").alias("page_day"), F.col("repeat").alias("page_repeat"), "href")

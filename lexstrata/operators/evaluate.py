@@ -17,8 +17,23 @@ def text_key(columns: Sequence[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.trim(F.regexp_replace(F.translate(F.col(c).cast("string"), "“”", ""), r"\s+", " ")), F.lit("")) for c in columns])
 
 
+#: What makes two records the same in an evaluation against a gold set: the place without its sentence, and the texts.
+GOLD_KEY = ("amending_article", "operation", "unit", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after", *LOCATION)
+
+
+def strict_prf(predicted: DataFrame, gold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """prf over GOLD_KEY, per group or over all (one row): equal records count as often as both sides have them."""
+    if by:
+        return prf(predicted, gold, by, GOLD_KEY)
+    over = lambda df: df.withColumn("_all", F.lit(1))
+    return prf(over(predicted), over(gold), ["_all"], GOLD_KEY).drop("_all")
+
+
 def prf(predicted: DataFrame, gold: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Multiset precision, recall and F1 per group: by, tp, n_pred, n_gold, precision, recall, f1."""
+    """Multiset precision, recall and F1 per group: by, tp, n_pred, n_gold, precision, recall, f1.
+
+    Null and empty fields are one; groups that only one side has count with 0 on the other; a null group never meets
+    another null one; no rows on both sides give none."""
     side = lambda df, n: df.select(*by, text_key(columns).alias("k")).groupBy(*by, "k").agg(F.count("*").alias(n))
     both = side(predicted, "p").join(side(gold, "g"), [*by, "k"], "full_outer").fillna(0, ["p", "g"])
     n = both.groupBy(*by).agg(F.sum(F.least("p", "g")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
@@ -59,9 +74,11 @@ def with_split(examples: DataFrame, splits: DataFrame) -> DataFrame:
     return examples.drop("split").join(splits.select("source", F.col("split").alias("_given")), "source", "left").withColumn("split", F.coalesce("_given", F.lit("train"))).drop("_given")
 
 
-def split_stats(examples: DataFrame) -> DataFrame:
-    """split, quality, n: counts, with a row per split (quality null) and one over all (both null)."""
-    return examples.rollup("split", "quality").agg(F.count("*").alias("n"))
+def split_stats(examples: DataFrame, by_source: bool = False) -> DataFrame:
+    """split, quality, n: counts, with a row per split (quality null) and one over all (both null); by_source gives split,
+    source, quality, n with totals per source, per split and over all. No examples give one row, n = 0, without by_source
+    too."""
+    return examples.rollup(*["split", *(["source"] if by_source else []), "quality"]).agg(F.count("*").alias("n"))
 
 
 def keep_first(records: DataFrame, group: Sequence[str], columns: Sequence[str], order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from itertools import count
 
-from lexstrata.functions.text import ALPHABET
+from lexstrata.functions.text import ALPHABET, letter_after
 
 APPLIED, NO_TARGET, NO_TEXT, UNSUPPORTED = "uygulandi", "hedef_bulunamadi", "metin_bulunamadi", "desteklenmiyor"
 KEYS = ("fikra", "bent", "alt_bent")
@@ -20,11 +20,6 @@ def sentences(text: str) -> list[str]:
     return re.split(r"(?<=[.:])\s+", text.strip())
 
 
-def next_letter(letter: str) -> str | None:
-    at = ALPHABET.find(letter[0])
-    return ALPHABET[at + 1] * len(letter) if 0 <= at < len(ALPHABET) - 1 else None
-
-
 def _rank(letter: str) -> tuple[int, int]:
     return len(letter), ALPHABET.find(letter[0])
 
@@ -211,9 +206,9 @@ class Article:
                 continue
             if u["bent"] != of:
                 of = u["bent"]
-                if _rank(of) > _rank(last) or next_letter(last) is None:
+                if _rank(of) > _rank(last) or letter_after(last) is None:
                     return
-                last = moved = next_letter(last)
+                last = moved = letter_after(last)
             self.put(i, 1, [{**u, "bent": moved}])
 
     def add(self, r: dict) -> str:

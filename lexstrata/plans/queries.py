@@ -13,6 +13,7 @@ from lexstrata.operators import dataset, discover, evaluate, evidence, replay, s
 from lexstrata.operators.extract import amending_articles
 from lexstrata.plans import rendered
 from lexstrata.sources import documents as src
+from lexstrata.sources import robots
 
 DAY = datetime.date(1996, 6, 30)
 P, R = f"WITH {rendered.PRICES}", f"WITH {rendered.PRICES}, {rendered.RECORDS}"
@@ -255,3 +256,28 @@ def hybrid_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_of_equal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 5).alias("k"), "l_linenumber")
     return evaluate.keep_first(rows, ["l_orderkey"], ["k"], "l_linenumber")
+
+
+@query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS title FROM pages),
+  t AS (SELECT page_id, href, trim(regexp_replace(upper(translate(replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), 'ß', 'ss'), 'iı', 'İI')), '[\s\x{A0}]+', ' ', 'g')) AS title FROM a),
+  n AS (SELECT DISTINCT item_id::VARCHAR AS source, trim(regexp_replace(upper(translate(replace(regexp_extract(text, '[^\s]+'), 'ß', 'ss'), 'iı', 'İI')), '[\s\x{A0}]+', ' ', 'g')) AS name FROM benchmark)
+  SELECT page_id, href, source FROM t JOIN n ON contains(title, name) AND name <> ''""")
+def links_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages whose title bears a name of another table, by the rarest gram of each name."""
+    names = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("source"), F.regexp_extract("text", r"\S+", 0).alias("name"))
+    return discover.original_links(discover.links(_read(spark, sf_dir, "pages")), names).select("page_id", "href", "source")
+
+
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS p FROM pages),
+  v AS (SELECT page_id, length(host) % 5 AS kind, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path FROM u WHERE host <> ''),
+  r(kind, prefix, allow) AS (VALUES (0, '/', TRUE), (1, '/', FALSE), (2, '/en/', FALSE), (2, '/en/6', TRUE), (2, '/fr/8', FALSE), (3, '/es/', TRUE), (3, '/de/', FALSE), (4, '/en/', FALSE), (4, '/en/6', TRUE), (4, '/fr/8', FALSE)),
+  b AS (SELECT page_id, arg_max(allow, length(prefix)) AS allow, arg_max(prefix, length(prefix)) AS rule FROM v JOIN r ON v.kind = r.kind AND starts_with(path, prefix) GROUP BY page_id)
+  SELECT page_id, CASE WHEN v.page_id IS NULL THEN FALSE ELSE coalesce(allow, TRUE) END AS allowed, rule FROM pages LEFT JOIN v USING (page_id) LEFT JOIN b USING (page_id)""")
+def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address against the robots.txt of its host, rendered by the length of the host's name."""
+    pages = _read(spark, sf_dir, "pages")
+    host = robots.host_of(F.col("url"))
+    kind, everyone = F.char_length("host") % 5, "User-agent: *\nDisallow: /en/\nAllow: /en/6 # some\nDisallow: /fr/8\n\nUser-agent: other\nDisallow: /\n"
+    own = "User-agent: lexbot\nUser-agent: third\nDisallow: /es/\nAllow: /es/\nDisallow:\nDisallow: /de/\n"
+    fetched = pages.select(host.alias("host")).where("host is not null").distinct().select("host", F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200).alias("status"), F.concat(F.lit(everyone), F.when(kind == 3, own).otherwise("")).alias("text"))
+    return robots.allowed(pages, fetched, "LexBot").select("page_id", "allowed", "rule")

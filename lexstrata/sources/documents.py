@@ -120,8 +120,12 @@ def by_role(files: DataFrame) -> DataFrame:
 
 def remove_repeats(pages: DataFrame, share: float = 0.5, longest: int = 90) -> DataFrame:
     """(doc, page, text) without running heads and feet: short lines that, digits aside, are on half the pages and on
-    three at least. Structural lines stay; documents of fewer than three pages stay as they are."""
-    rows = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    three at least. Structural lines stay; documents of fewer than three pages stay as they are.
+
+    A row per page: equal copies of a page are one, different texts of a page follow one another in the order of their
+    hashes. A null text is an empty page; null docs or pages are kept as they are named; no rows give none.
+    """
+    rows = pages.select("doc", "page", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.lower(F.trim(F.regexp_replace("line", r"\d{1,4}", "")))
     short = (F.char_length("line") <= longest) & ~F.trim("line").rlike(STRUCTURAL) & (F.trim("line") != "")
     rows = rows.withColumn("key", F.when(short, key))
@@ -129,8 +133,10 @@ def remove_repeats(pages: DataFrame, share: float = 0.5, longest: int = 90) -> D
     often = rows.where("key is not null").groupBy("doc", "key").agg(F.count_distinct("page").alias("on")).join(n, "doc")
     often = often.where((F.col("pages") >= 3) & (F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("pages") * share)))).select("doc", "key")
     kept = rows.join(often, ["doc", "key"], "left_anti")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return pages.select("doc", "page").join(kept.groupBy("doc", "page").agg(text.alias("text")), ["doc", "page"], "left").fillna("", ["text"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("of", "pos", "line"))), lambda x: x["line"]), "\n")
+    kept = kept.groupBy(F.col("doc").alias("_doc"), F.col("page").alias("_page")).agg(text.alias("text"))
+    each = pages.select("doc", "page").distinct()
+    return each.join(kept, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")), "left").select("doc", "page", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def needs_ocr(pages: DataFrame, least: int = 50) -> DataFrame:
@@ -201,7 +207,8 @@ def move_to_split(splits: DataFrame, moved: DataFrame) -> DataFrame:
 def pages_before(refs: DataFrame, pages: DataFrame, days: int) -> DataFrame:
     """refs (ref, day) with the last page day in the window [day - days, day - 1], null without one.
 
-    The join is on the day itself, of which each ref offers only those of its window.
+    The join is on the day itself, of which each ref offers only those of its window. A row for each row of refs, repeated
+    ones too; a null day finds nothing; no rows give none.
     """
     wanted = refs.select("ref", "day", F.explode(F.sequence(F.date_sub("day", days), F.date_sub("day", 1))).alias("page_day"))
     hit = wanted.join(pages.select("page_day").distinct(), "page_day").groupBy("ref", "day").agg(F.max("page_day").alias("page_day"))

@@ -12,14 +12,16 @@ from lexstrata.operators.discover import amendment_links, links
 from lexstrata.operators.extract import extract_amendments
 from lexstrata.operators.structure import parse_units
 from lexstrata.operators.verify import verify
+from lexstrata.sources.tables import SnapshotTable
 
 HIT = "source string, url string, label string, statuses array<string>, error string, at timestamp"
 PAGE = "day date, repeat int, url string, html string, status int, at timestamp"
 
 
 def status_map(rows: DataFrame) -> DataFrame:
-    """rows with statuses as a map from status to count, and the number of records. Null statuses count as none."""
-    statuses = F.coalesce("statuses", F.array().cast("array<string>"))
+    """rows with statuses as a map from status to count, and the number of records. Null statuses, alone or for all, count
+    as none."""
+    statuses = F.filter(F.coalesce("statuses", F.array().cast("array<string>")), lambda s: s.isNotNull())
     distinct = F.array_distinct(statuses)
     counts = F.map_from_arrays(distinct, F.transform(distinct, lambda s: F.size(F.filter(statuses, lambda x: x == s))))
     return rows.withColumn("record_count", F.size(statuses)).withColumn("statuses", counts)
@@ -40,7 +42,7 @@ def run_watch(spark: SparkSession, folder: str, out: str, checkpoint: str) -> St
     return watch(spark, folder).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_pages(pages: DataFrame, texts: DataFrame, names: Sequence[tuple[str, Sequence[str]]], consolidated: DataFrame) -> DataFrame:
+def scan_pages(pages: DataFrame, texts: DataFrame, names: DataFrame | Sequence[tuple[str, Sequence[str]]], consolidated: DataFrame) -> DataFrame:
     """Hits (source, url, label, title, statuses, error, at) of index pages (PAGE; 404 has none).
 
     texts: (url, text) of fetched documents; a link without one is a hit with an error. consolidated: (doc_id = source,
@@ -58,16 +60,33 @@ def scan_pages(pages: DataFrame, texts: DataFrame, names: Sequence[tuple[str, Se
     return out.select("source", "url", "label", "title", F.coalesce(F.transform("x", lambda r: r["status"]), F.array().cast("array<string>")).alias("statuses"), F.when(F.col("text").isNull(), "no text").alias("error"), "at")
 
 
-def run_scan(spark: SparkSession, folder: str, scan: Callable[[DataFrame], DataFrame], seen: str, checkpoint: str) -> StreamingQuery:
-    """Scans the index pages that come as JSON files in a folder; hits whose address is not among those seen are appended
-    to the table seen. Hits with an error are tried again whenever their page comes."""
+SEEN = "source string, url string, label string, title string, statuses map<string, int>, at timestamp, record_count int"
 
-    def handle(batch: DataFrame, _: int) -> None:
-        new = status_map(scan(batch).where("error is null"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(seen)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(seen).select("source", "url"), ["source", "url"], "left_anti")
-        new.write.mode("append").parquet(seen)
+
+def seen_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
+    """The hits that have been seen, one for each source and address."""
+    return SnapshotTable(spark, path, SEEN, ["source", "url"], buckets)
+
+
+def run_scan(spark: SparkSession, folder: str, scan: Callable[[DataFrame], DataFrame], seen: SnapshotTable, checkpoint: str) -> StreamingQuery:
+    """Scans the index pages that come as JSON files in a folder; hits whose address has not been seen join the table.
+
+    A batch reads the buckets of its own hits only, and becomes visible once: run again after a failure, or beside another
+    run, it adds nothing twice. The first hit of an address stays. Hits with an error are not kept, and are tried again
+    whenever their page comes.
+    """
+
+    def first_stay(old: DataFrame, new: DataFrame) -> DataFrame:
+        first = new.groupBy("source", "url").agg(F.min(F.struct("at", "label", "title", "record_count")).alias("k"), F.min_by(F.struct("statuses"), F.struct("at", "label", "title", "record_count")).alias("s"))
+        first = first.select("source", "url", "k.label", "k.title", "s.statuses", "k.at", "k.record_count")
+        return old.unionByName(first.join(old.select("source", "url"), ["source", "url"], "left_anti").select(old.columns))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        new = status_map(scan(batch).where("error is null and source is not null and url is not null")).drop("error").persist()
+        try:
+            seen.upsert(new, first_stay, batch=(checkpoint, number))
+        finally:
+            new.unpersist()
 
     pages = spark.readStream.schema(PAGE).json(folder)
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

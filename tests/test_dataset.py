@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import text as t
 from lexstrata.operators import dataset, discover, evaluate, evidence, structure, verify
 from lexstrata.operators.extract import amending_articles, extract_amendments
-from lexstrata.sources import config, documents, sinks
+from lexstrata.sources import config, documents, robots, sinks
 from lexstrata.streaming import watch
 
 HEAD = "1/2/2003 tarihli ve 25000 sayılı Resmî Gazete’de yayımlanan Deneme Yönetmeliğin "
@@ -239,6 +239,15 @@ def test_config_and_sinks(spark, tmp_path):
     assert sources.first().amendments == ["a", "b"]
     config.write_sources(documents.upsert_sources(sources, sources.limit(0)), str(path))
     assert config.read_sources(spark, str(path)).collect() == sources.collect()
+    # what the table does not know stays, and a writer that comes second takes the next version
+    path.write_text("crawl: {delay_seconds: 3}\nsources:\n- id: s\n  name: Ad\n  note: own\n  amendments: [a, {url: b, label: x}]\n- id: z\n  name: Z\n", encoding="utf-8")
+    for f in tmp_path.glob("sources.v*.yaml"):
+        f.unlink()
+    change = spark.createDataFrame([("s", "Yeni", None, None, [], ["a", "b"], None, None), ("n", "N", None, None, None, None, None, None)], config.SOURCE)
+    assert [config.write_sources(change, str(path)) for _ in range(2)] == [1, 2]
+    said = json.loads((tmp_path / "sources.v000002.yaml").read_text(encoding="utf-8"))
+    assert said == {"crawl": {"delay_seconds": 3}, "sources": [{"id": "s", "name": "Yeni", "note": "own", "amendments": ["a", {"url": "b", "label": "x"}]}, {"id": "z", "name": "Z"}, {"id": "n", "name": "N"}]}
+    assert {r.id for r in config.read_sources(spark, str(path)).collect()} == {"s", "z", "n"}
     (tmp_path / "splits.yaml").write_text("train: [s]\ntest: [t]\n", encoding="utf-8")
     assert {tuple(r) for r in config.read_splits(spark, str(tmp_path / "splits.yaml")).collect()} == {("train", "s"), ("test", "t")}
     rows = spark.createDataFrame([("train", 1), ("test", 2)], "split string, x int")
@@ -261,11 +270,14 @@ def test_watch(spark, tmp_path):
     scan = lambda pages: watch.scan_pages(pages, texts, [("s", ["Deneme"])], base)
     out = scan(spark.read.schema(watch.PAGE).json(str(tmp_path / "in"))).collect()
     assert {(r.url[-5:], r.error, len(r.statuses), r.label) for r in out} == {("x.htm", None, 3, "RG-10/1/2020"), ("y.htm", "no text", 0, "RG-10/1/2020 2. Mükerrer")}
+    seen = watch.seen_table(spark, f"file://{tmp_path}/seen", 4)
     for _ in range(2):  # the second run finds nothing new
-        watch.run_scan(spark, str(tmp_path / "in"), scan, str(tmp_path / "seen"), str(tmp_path / "ck")).awaitTermination()
+        watch.run_scan(spark, str(tmp_path / "in"), scan, seen, str(tmp_path / "ck")).awaitTermination()
     (tmp_path / "in/b.json").write_text(page(0), encoding="utf-8")
-    watch.run_scan(spark, str(tmp_path / "in"), scan, str(tmp_path / "seen"), str(tmp_path / "ck")).awaitTermination()
-    (hit,) = spark.read.parquet(str(tmp_path / "seen")).collect()
+    watch.run_scan(spark, str(tmp_path / "in"), scan, seen, str(tmp_path / "ck")).awaitTermination()
+    # another run over the same files, with a checkpoint of its own, adds nothing either
+    watch.run_scan(spark, str(tmp_path / "in"), scan, seen, str(tmp_path / "ck2")).awaitTermination()
+    (hit,) = seen.read().collect()
     assert hit.record_count == 3 and sum(hit.statuses.values()) == 3 and hit.statuses["uyumlu"] == 1
     pages = lambda *s: spark.createDataFrame([(x,) for x in s], "status int")
     assert watch.all_failed(pages(500, None)) and not watch.all_failed(pages(500, 404)) and not watch.all_failed(pages().limit(0))
@@ -277,3 +289,35 @@ def test_watch(spark, tmp_path):
     (hits / "b.json").write_text(json.dumps({"source": "s", "url": "e", "statuses": None}), encoding="utf-8")
     watch.run_watch(spark, str(hits), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     assert {r.url for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {"u", "e"}
+
+
+def test_nulls_and_repeats(spark):
+    rows = spark.createDataFrame([(["a", None, "a"],), (None,), ([None],), ([],)], "statuses array<string>")
+    assert sorted((r.record_count, sorted(r.statuses.items())) for r in watch.status_map(rows).collect()) == [(0, []), (0, []), (0, []), (2, [("a", 2)])]
+    pages = [("d", k, f"Baş {k}\n{w}\nMADDE 1") for k, w in enumerate("abcd")] + [("d", 1, "Baş 1\nb\nMADDE 1"), ("e", 1, "a\nb"), ("e", 1, "a\nb"), ("n", 1, None), (None, 1, "x")]
+    for n in (1, 4):
+        got = documents.remove_repeats(spark.createDataFrame(pages, "doc string, page int, text string").repartition(n))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([*(("d", k, f"{w}\nMADDE 1") for k, w in enumerate("abcd")), ("e", 1, "a\nb"), ("n", 1, ""), (None, 1, "x")], key=str)
+    assert documents.remove_repeats(spark.createDataFrame([], "doc string, page int, text string")).collect() == []
+    day = datetime.date(2020, 1, 10)
+    refs = spark.createDataFrame([("r", day), ("r", day), ("q", None)], "ref string, day date")
+    found = documents.pages_before(refs, spark.createDataFrame([(datetime.date(2020, 1, 8),)], "page_day date"), 5)
+    assert sorted((r.ref, str(r.page_day)) for r in found.collect()) == [("q", "None"), ("r", "2020-01-08"), ("r", "2020-01-08")]
+    examples = spark.createDataFrame([("train", "s", "kismen"), ("train", "t", "kismen"), ("test", "s", "sorunlu")], "split string, source string, quality string")
+    assert {(r.split, r.source, r.quality): r.n for r in evaluate.split_stats(examples, True).collect()}[None, None, None] == 3
+    assert evaluate.split_stats(examples, True).where("split = 'train' and source = 's' and quality is null").first().n == 1
+    keys = [(c, "string") for c in evaluate.GOLD_KEY]
+    make = lambda *x: spark.createDataFrame([tuple("1" if c == "madde" else v if c == "new_text" else None for c, _ in keys) for v in x], ", ".join(f"{c} {k}" for c, k in keys))
+    (row,) = evaluate.strict_prf(make("a", "a", "b"), make("a", " a", "c")).collect()
+    assert (row.tp, row.n_pred, row.n_gold, row.f1) == (2, 3, 3, 0.667)
+
+
+def test_robots(spark):
+    text = "# all\nUser-agent: a\nUser-agent: Mine\nDisallow: /x\nAllow: /x/y\nDisallow: /x/y\n\nUser-agent: *\nDisallow: /\n"
+    fetched = spark.createDataFrame([("h", 200, text), ("gone", 404, "User-agent: *\nDisallow: /"), ("down", 503, None), ("never", None, None), ("all", 200, "user-agent : *\r\nDISALLOW : /z\r\nbad line"), (None, 200, text)], "host string, status int, text string")
+    urls = ["http://H/x", "http://h/x/y/z", "http://h/w", "http://h", "https://gone/q", "http://down/", "http://never/a", "http://unknown/", "http://all/z?q#f", "http://all/?z", "no url", None, "http://h/w"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    got = {r.i: (r.allowed, r.rule) for r in robots.allowed(rows, fetched, "mine").collect()}
+    assert got == {0: (False, "/x"), 1: (True, "/x/y"), 2: (True, None), 3: (True, None), 4: (True, "/"), 5: (False, "/"), 6: (False, "/"), 7: (False, None), 8: (False, "/z"), 9: (True, None), 10: (False, None), 11: (False, None), 12: (True, None)}
+    assert {r.i: r.allowed for r in robots.allowed(rows, fetched, "else").collect()}[2] is False
+    assert robots.allowed(rows.limit(0), fetched, "mine").collect() == [] and not any(r.allowed for r in robots.allowed(rows, fetched.limit(0), "mine").collect())
