@@ -214,7 +214,8 @@ def read_back(catalogue: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, at (offset), media_bytes (length), and what read_back finds there.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes (length), media_sha256, feature; then digest,
+    shard, at (offset) and the rest of what read_back finds there.
 
     A null text counts as empty; an empty text is one row of zeros. A text of any length is one payload, held whole by
     its task. Equal texts have equal values: a shard stores them once, and all rows of a digest point at the one copy that
@@ -225,4 +226,6 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     rows = store(docs, folder or scratch.path("shards"), scratch)
     catalogue = rows.groupBy("digest").agg(F.min(F.struct("shard", "at", "media_bytes")).alias("x")).select("digest", "x.*")
     found = scratch.save(read_back(catalogue.repartitionByRange("shard", "at")), "found")
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    first = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    both = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    return both.select(*first, *[c for c in both.columns if c not in first])

@@ -45,6 +45,7 @@ def test_encode_documents(spark):
 def test_media_round_trip(spark):
     texts = [*ODD, "x" * 64, "x" * 65, "x" * 200_000]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts * 2)], "doc_id long, text string, digest string")
+    assert media.media_columns(docs).columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     got = media.media_columns(docs).collect()
     assert sorted(r.doc_id for r in got) == list(range(2 * len(texts)))
     for r in got:
