@@ -15,6 +15,7 @@ from lexstrata.operators.extract import extract_amendments
 from lexstrata.operators.replay import replay
 from lexstrata.operators.structure import parse_units
 from lexstrata.operators.verify import excuse_later, verify
+from lexstrata.sources.shared import written
 
 ARTICLES, KINDS = 20, 7
 
@@ -111,11 +112,11 @@ statuses AS (SELECT r.*, CASE WHEN CASE kind WHEN 0 THEN price IN (v0, v5) WHEN
 
 
 def records(p: DataFrame) -> DataFrame:
-    """The extracted records with source, seq and date, kept for the several uses that verification and replay make."""
+    """The extracted records with source, seq and date, written once for the several uses of verification and replay."""
     days = p.where("step > 0").select("source", "seq", "date")
     at = F.split("doc_id", "/")
     rows = extract_amendments(amendments(p)).withColumns({"source": at[0], "seq": at[1].cast("bigint")})
-    return rows.join(days, ["source", "seq"]).persist()
+    return written(rows.join(days, ["source", "seq"]))
 
 
 def verified(p: DataFrame) -> DataFrame:
