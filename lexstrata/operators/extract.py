@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import collapse
+from lexstrata.functions.text import collapse, let
 from lexstrata.operators.grammar import article_records
 from lexstrata.operators.structure import ARTICLE, lines_of
 
@@ -40,25 +40,30 @@ def amending_articles(docs: DataFrame) -> DataFrame:
 def _kind_meant(word: Column) -> Column:
     """The kind of regulation that a word of a sentence names in one of CASES, else null. A bracket between the noun and
     its ending has been taken out, which leaves the noun, an apostrophe and the ending."""
-    bare = F.regexp_replace(word, r"[.,;:]+$", "")
-    parts = F.split(F.translate(bare, "'`", "’’"), "’")
-    out = F.lit(None).cast("string")
-    for kind, stem in KINDS.items():
-        plain = bare.isin(*[f"{stem}ğ{c}" for c in CASES])
-        out = F.when(plain | ((F.size(parts) > 1) & F.get(parts, F.lit(0)).isin(kind, f"{stem}ği")), kind).otherwise(out)
-    return out
+    def of(bare: Column) -> Column:
+        noun = F.substring_index(bare, "’", 1)
+        plain = lambda stem: bare.isin(*[f"{stem}ğ{c}" for c in CASES])
+        apart = lambda kind, stem: (noun != bare) & noun.isin(kind, f"{stem}ği")
+        return F.coalesce(*[F.when(plain(stem) | apart(kind, stem), kind) for kind, stem in KINDS.items()])
+
+    maybe = F.exists(F.array(*map(F.lit, KINDS.values())), lambda stem: F.startswith(word, stem))
+    return F.when(maybe, let(F.rtrim(F.translate(word, "'`", "’’"), F.lit(".,;:")), of))
 
 
 def _target(sentence: Column) -> Column:
     """struct<meant, name>: whether a sentence speaks of a regulation that it amends, and the name of the one it says
     was published, null without."""
-    words = F.split(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), " ")
-    kinds = F.transform(words, lambda w, i: F.struct(i.alias("i"), _kind_meant(w).alias("kind")))
-    named = F.filter(kinds, lambda x: x["kind"].isNotNull())
-    start = F.array_position(words, PUBLISHED)
-    first = F.get(F.filter(named, lambda x: (start > 0) & (x["i"] > start)), F.lit(0))
-    before = F.array_join(F.slice(words, F.greatest(start, F.lit(1)).cast("int") + 1, F.greatest(first["i"] - start, F.lit(0)).cast("int")), " ")
-    return F.struct((F.size(named) > 0).alias("meant"), F.when(first.isNotNull(), F.concat_ws(" ", before, first["kind"])).alias("name"))
+    def of(words: Column) -> Column:
+        kinds = F.transform(words, lambda w, i: F.struct(i.alias("i"), _kind_meant(w).alias("kind")))
+        start = F.array_position(words, PUBLISHED).cast("int")
+        return let(F.struct(F.filter(kinds, lambda x: x["kind"].isNotNull()).alias("named"), start.alias("start")), lambda x: told(words, x))
+
+    def told(words: Column, x: Column) -> Column:
+        first = F.get(F.filter(x["named"], lambda k: (x["start"] > 0) & (k["i"] > x["start"])), F.lit(0))
+        name = let(first, lambda k: F.when(k.isNotNull(), F.concat_ws(" ", F.array_join(F.slice(words, x["start"] + 1, k["i"] - x["start"]), " "), k["kind"])))
+        return F.struct((F.size(x["named"]) > 0).alias("meant"), name.alias("name"))
+
+    return let(F.split(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), " "), of)
 
 
 def extract_amendments(docs: DataFrame) -> DataFrame:
