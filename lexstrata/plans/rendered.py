@@ -121,7 +121,7 @@ def records(p: DataFrame) -> DataFrame:
 
 def verified(p: DataFrame) -> DataFrame:
     units = parse_units(originals(p, last=True))
-    return excuse_later(verify(records(p), units))
+    return excuse_later(written(verify(records(p), units)))
 
 
 def versions(p: DataFrame) -> DataFrame:
