@@ -9,9 +9,13 @@ The levels from 'least' on are broadcast, least being 2 or the lowest level from
 exact counts of the words counted head_from times or more, 2 or the lowest power of two that leaves at most 'head' of
 them. An n-gram of a document learned from occurs, so its first level needs no probe, and a word of one that the head
 lacks where head_from is 2 occurs once: such documents are scored where they lie. All others (those held out, those with a
-word outside the head where head_from is above 2, and, where least is above 2, every document) ask the buckets: each chunk of documents sends a bucket the hashes it needs, the bucket
-probes its own pieces and answers with levels and exact word counts, and the chunk puts the answers together. Both ways
-probe the same pieces, so the score does not depend on the bounds.
+word outside the head where head_from is above 2, and, where least is above 2, every document) are far: they are packed
+into chunks, a chunk sends each region (a run of buckets) the sorted hashes it needs, the region probes its own pieces and
+answers with levels and exact word counts, and the chunk puts the answers together. Both ways probe the same pieces, so
+the score does not depend on the bounds.
+
+What a task sends holds many hashes in one row at any input size: counts are dealt to at most FAN ranges of buckets
+first, and a task that holds a range deals them on; regions widen with the number of buckets, up to WIDTH of them.
 
 A token's probability mixes its triple, its pair and its additively smoothed word. Levels round counts down; the context
 of a triple is the most its pair's level allows, so the probabilities of all words after a context sum to at most 1.
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 from lexstrata.llm.common import Scratch
 from lexstrata.llm.tokens import chunks, constants, fold, mix, word_hashes
 
-HEAD, FILTER_BYTES, BITS_PER_ENTRY = 2_000_000, 96 << 20, 12
+HEAD, FILTER_BYTES, BITS_PER_ENTRY = 200_000, 8 << 20, 12
 ADD, TRIPLE_SHARE, PAIR_SHARE = 0.1, 0.5, 0.2
 #: Tokens a task counts before it sends them on, n-grams (with repeats) meant for a bucket, bytes of text in a chunk.
-FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 1_000_000, 1_500_000, 2 << 20
+FLUSH, BUCKET_ENTRIES, CHUNK_BYTES = 1_000_000, 1_500_000, 4 << 20
+#: What a piece's bucket, place and size take beside it.
+PIECE_BYTES = 24
+#: Rows a flush is cut into at most, and buckets of a region at most.
+FAN, WIDTH = 8192, 16
 END, START = constants(2, 21)
 _LEVELS = constants(64, 22)
 #: N-grams are known by 48 bits, words by 64.
@@ -87,12 +95,29 @@ def bucket_of(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _cuts(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    return np.searchsorted(bucket_of(h, buckets, bits), np.arange(buckets + 1))
+def _split(grams: np.ndarray, words: np.ndarray, buckets: int, width: int = 1) -> list[tuple[int, slice, slice]]:
+    """(region, its part of grams, its part of words) of each run of width buckets that sorted hashes fall into."""
+    of = [bucket_of(x, buckets, bits) // np.uint64(width) for x, bits in ((grams, 48), (words, 64))]
+    own = np.union1d(*of)
+    cut = [[slice(a, b) for a, b in zip(np.searchsorted(x, own), np.searchsorted(x, own, side="right"), strict=True)] for x in of]
+    return list(zip(own.tolist(), *cut, strict=True))
+
+
+def _packed(grams: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    parts = _split(grams[0], words[0], buckets)
+    for at in range(0, len(parts), 256):
+        some = parts[at : at + 256]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _, _ in some], pa.int64()), pa.array([pack(grams[0][g], grams[1][g]) for _, g, _ in some], pa.binary()),
+             pa.array([pack(words[0][w], words[1][w]) for _, _, w in some], pa.binary())], names=["bucket", "grams", "words"])
+
+
+_COUNTED = "bucket bigint, grams binary, words binary"
 
 
 def counted(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, grams, words): counts of pairs and triples, and of words, of a run of documents."""
+    fan = min(buckets, FAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -100,11 +125,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             grams, words = (np.unique(np.concatenate([x[i] for x in held]), return_counts=True) for i in (0, 1))
             held.clear()
-            cut_g, cut_w = _cuts(grams[0], buckets, 48), _cuts(words[0], buckets, 64)
-            for at in range(0, buckets, 256):
-                some = [b for b in range(at, min(at + 256, buckets)) if cut_g[b] < cut_g[b + 1] or cut_w[b] < cut_w[b + 1]]
-                of = lambda x, cut, some=some: pa.array([pack(x[0][cut[b] : cut[b + 1]], x[1][cut[b] : cut[b + 1]]) for b in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), of(grams, cut_g), of(words, cut_w)], names=["bucket", "grams", "words"])
+            yield from _packed(grams, words, fan)
 
         size = 0
         for batch in batches:
@@ -118,11 +139,27 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, grams binary, words binary")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        size = 0
+        for batch in batches:
+            for blobs in zip(batch.column("grams").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                held.append(blobs)
+                size += sum(int(np.frombuffer(x[:8], np.uint64)[0]) for x in blobs)
+                if size >= FLUSH:
+                    yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets)
+                    held, size = [], 0
+        if held:
+            yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets)
+
+    rows = docs.select("text").mapInArrow(run, _COUNTED)
+    if fan == buckets:
+        return rows
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(deal, _COUNTED)
 
 
-def _merged(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(x.as_py()) for x in blobs]
+def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(x) for x in blobs]
     h, c = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in (0, 1))
     order = np.argsort(h)
     h, c = h[order], c[order]
@@ -148,26 +185,25 @@ def level_filter(h: np.ndarray, level: int, bits_per_entry: int = BITS_PER_ENTRY
 
 
 class Pieces:
-    """Filters of consecutive levels from 'least' on, each a piece per bucket."""
+    """Filters of consecutive levels from 'least' on, each of the pieces of the buckets that have any."""
 
     def __init__(self, least: int, buckets: int, pieces: dict[int, list[tuple[int, bytes]]]):
         self.least, self.buckets, self.levels = least, buckets, []
         for level in range(least, max(pieces, default=least - 1) + 1):
-            size, of = np.zeros(buckets, np.uint64), dict(pieces.get(level, []))
-            for b, x in of.items():
-                size[b] = len(x) // 8
-            words = np.frombuffer(b"".join(of[b] for b in sorted(of)), np.uint64)
-            self.levels.append((words, np.cumsum(size) - size, size))
+            of = sorted(pieces.get(level, []))
+            size = np.array([len(x) // 8 for _, x in of], np.uint64)
+            self.levels.append((np.frombuffer(b"".join(x for _, x in of), np.uint64), np.array([b for b, _ in of], np.uint64), np.cumsum(size) - size, size))
 
     def climb(self, h: np.ndarray, level: np.ndarray) -> np.ndarray:
         """level, raised by the probes of those that stand right under these filters."""
         live = np.flatnonzero(level == self.least - 1)
-        for q, (words, first, size) in enumerate(self.levels, self.least):
-            b = bucket_of(h[live], self.buckets, 48)
-            live, b = live[size[b] > 0], b[size[b] > 0]
-            at, bits = _probe(h[live], q, first[b], size[b])
-            live = live[words[at] & bits == bits]
-            level[live] = q
+        for q, (words, own, first, size) in enumerate(self.levels, self.least):
+            piece, there = _find(own, bucket_of(h[live], self.buckets, 48))
+            live, piece = live[there], piece[there]
+            if len(live):
+                at, bits = _probe(h[live], q, first[piece], size[piece])
+                live = live[words[at] & bits == bits]
+                level[live] = q
         return level
 
 
@@ -178,10 +214,10 @@ def build_model(rows: DataFrame, bits_per_entry: int = BITS_PER_ENTRY) -> DataFr
     """
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
-        h, c = _merged(table.column("grams"))
+        h, c = _merged(table.column("grams").to_pylist())
         level = np.frexp(c.astype(np.float64))[1]
         filters = [level_filter(h[level >= q], q, bits_per_entry).tobytes() for q in range(1, int(level.max(initial=0)) + 1)]
-        w, n = _merged(table.column("words"))
+        w, n = _merged(table.column("words").to_pylist())
         hist = [int((n >= 2**k).sum()) for k in range(50)]
         return pa.table({
             "bucket": [key[0].as_py()], "filters": pa.array([filters], pa.list_(pa.binary())), "sizes": pa.array([[len(f) for f in filters]], pa.list_(pa.int64())), "word_h": pa.array([w.tobytes()], pa.binary()),
@@ -224,6 +260,26 @@ def _sums(c: np.ndarray, pair: np.ndarray, triple: np.ndarray, at: np.ndarray, d
     return of((c > 0).astype(np.int64)), of(np.log10(alone)), of(np.log10(p))
 
 
+def _facts(n: int, c: np.ndarray, pair: np.ndarray, triple: np.ndarray, at: np.ndarray, docs: int, space: float) -> list[np.ndarray]:
+    known, base, whole = _sums(c, pair, triple, at, docs, space)
+    return [known, np.full(len(at) - 1, n, np.int64), base, whole]
+
+
+def _frozen(part: pa.RecordBatch) -> bytes:
+    """Documents as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _thawed(blob: pa.Scalar) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, whether held out, tokens, pairs, triples, offsets) of packed documents."""
+    table = pa.ipc.open_stream(blob.as_buffer()).read_all()
+    ((_, data, offsets),) = chunks(table.column("text"), 1 << 62)
+    return table.column("doc_id"), table.column("held_out").to_numpy(), *tokens_of(data, offsets)
+
+
 def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -239,11 +295,11 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     model = scratch.save(build_model(counted(learned, buckets), bits_per_entry), "model")
     facts = model.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n", "ends")], *[F.coalesce(F.sum(F.col("hist")[k]), F.lit(0)).alias(f"k{k}") for k in range(50)]).first()
     n, docs_learned, space = facts["n"], facts["ends"], facts["n"] + ADD * (facts["v"] + 1)
-    sizes = {r.pos + 1: r.b for r in model.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("b")).collect()}
+    sizes = {r.pos + 1: r.b for r in model.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum(F.col("col") + PIECE_BYTES).alias("b")).collect()}
     least = next(q for q in range(2, 66) if sum(b for level, b in sizes.items() if level >= q) <= filter_bytes)
     head_from = 2 ** next(k for k in range(1, 50) if facts[f"k{k}"] <= head)
     pieces: dict[int, list[tuple[int, bytes]]] = {}
-    for r in model.select("bucket", F.slice("filters", least, 64).alias("filters")).toLocalIterator():  # filter_bytes at most
+    for r in model.where(F.size("filters") >= least).select("bucket", F.slice("filters", least, 64).alias("filters")).toLocalIterator():  # filter_bytes at most
         for q, x in enumerate(r.filters, least):
             pieces.setdefault(q, []).append((r.bucket, bytes(x)))
     shared = spark.sparkContext.broadcast((*_head(model, head_from), Pieces(least, buckets, pieces)))  # and head words at most
@@ -253,82 +309,95 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         at, there = _find(shared.value[0], t)
         return np.where(there, shared.value[1][at], 0) if len(shared.value[0]) else np.zeros(len(t), np.int64), there
 
-    def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct n-grams and words that the far documents of a chunk must ask for."""
-        words = t[np.repeat(far & (held | (head_from > 2)), np.diff(at)) & ~counts_of(t)[1]]
-        return np.unique(np.concatenate([g[np.repeat(far & (held | (least > 2)), np.diff(at))] for g in grams])), np.unique(words)
+    def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-grams and words that a chunk of far documents must ask for."""
+        words = t[np.repeat(held | (head_from > 2), np.diff(at)) & ~counts_of(t)[1]]
+        return np.unique(np.concatenate([g[np.repeat(held | (least > 2), np.diff(at))] for g in grams])), np.unique(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = shared.value[2]
         for batch in batches:
             every = batch.column("held_out").to_numpy(zero_copy_only=False)
             for row, data, offsets in chunks(batch.column("text"), CHUNK_BYTES):
-                t, pair, triple, at = tokens_of(data, offsets)
-                rows, held = len(at) - 1, every[row : row + len(at) - 1]
-                c, there = counts_of(t)
-                far = held | (least > 2)
-                if head_from > 2:
-                    far = far | (np.add.reduceat((~there).astype(np.int64), at[:-1]) > 0)
-                near = np.repeat(~far, np.diff(at))  # all of these tokens and n-grams were counted
-                c = np.where(near & ~there, 1, c)
-                level = [high.climb(g, np.where(near, 1, 0)) for g in (pair, triple)]
-                known, base, whole = _sums(c, *level, at, docs_learned, space)
-                grams, words = wanted(t, [pair, triple], at, held, far)
-                cut_g, cut_w = _cuts(grams, buckets, 48), _cuts(words, buckets, 64)
-                asks = [{"bucket": b, "grams": pack(grams[cut_g[b] : cut_g[b + 1]]), "words": pack(words[cut_w[b] : cut_w[b + 1]])} for b in np.flatnonzero((np.diff(cut_g) > 0) | (np.diff(cut_w) > 0)).tolist()]
-                part = batch.slice(row, rows)
-                texts = [x or "" if f else None for x, f in zip(part.column("text").to_pylist(), far, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), *map(pa.array, (np.diff(at).astype(np.int64), known, np.full(rows, n, np.int64), base, whole, far)), pa.array(texts, pa.string()),
-                     pa.array([uuid.uuid4().int >> 65] * rows, pa.int64()), pa.array([asks] + [None] * (rows - 1), ask_kind)],
-                    names=[*scored, "far", "text", "chunk", "asks"])
+                part, far = batch.slice(row, len(offsets) - 1), np.ones(len(offsets) - 1, bool)
+                if least == 2:
+                    t, pair, triple, at = tokens_of(data, offsets)
+                    c, there = counts_of(t)
+                    far = every[row : row + len(far)]
+                    if head_from > 2:
+                        far = far | (np.add.reduceat((~there).astype(np.int64), at[:-1]) > 0)
+                    near = np.repeat(~far, np.diff(at))  # all of these tokens and n-grams were counted
+                    c = np.where(near & ~there, 1, c)
+                    level = [high.climb(g, np.where(near, 1, 0)) for g in (pair, triple)]
+                    out = pa.table([part.column("doc_id"), part.column("held_out"), np.diff(at), *_facts(n, c, *level, at, docs_learned, space)], names=scored)
+                    out = out.filter(pa.array(~far)).combine_chunks()
+                    for x in out.append_column("chunk", pa.nulls(len(out), pa.int64())).append_column("blob", pa.nulls(len(out), pa.binary())).to_batches():
+                        yield x
+                if far.any():
+                    blob = _frozen(part.filter(pa.array(far)))
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in kind_of), pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([blob], pa.binary())], names=[*scored, "chunk", "blob"])
 
     kinds = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scored = [x.split(" ")[0] for x in kinds.split(", ")]
-    ask_kind = pa.list_(pa.struct([("bucket", pa.int64()), ("grams", pa.binary()), ("words", pa.binary())]))
-    first = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"{kinds}, far boolean, text string, chunk bigint, asks array<struct<bucket:bigint, grams:binary, words:binary>>")
+    kind_of = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in scored[2:5]), *((c, pa.float64()) for c in scored[5:])])
+    first = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"{kinds}, chunk bigint, blob binary")
     first = scratch.save(first, "first")  # chunks have their numbers once written
-    asked = first.where("asks is not null").select("chunk", F.inline("asks"))
-    far = first.where("far").select("chunk", "doc_id", "held_out", "text")
+    far = first.where("blob is not null").select("chunk", "blob")
+    width = max(1, min(WIDTH, buckets // 1024))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                _, held, t, pair, triple, at = _thawed(blob)
+                grams, words = wanted(t, [pair, triple], at, held)
+                parts = _split(grams, words, buckets, width)
+                for k in range(0, len(parts), 256):
+                    some = parts[k : k + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r for r, _, _ in some], pa.int64()), pa.array([chunk] * len(some), pa.int64()), pa.array([pack(grams[g]) for _, g, _ in some], pa.binary()), pa.array([pack(words[w]) for _, _, w in some], pa.binary())],
+                        names=["region", "chunk", "grams", "words"])
 
     def answer(key: tuple, asked: pa.Table, have: pa.Table) -> pa.Table:
-        own = have.to_pylist()[0] if have.num_rows else {"filters": [], "word_h": b"", "word_c": b""}
-        low = Pieces(1, buckets, {q: [(key[0].as_py(), x)] for q, x in enumerate(own["filters"], 1)})
-        known, count = np.frombuffer(own["word_h"], np.uint64), np.frombuffer(own["word_c"], np.int64)
+        own = have.sort_by("bucket").to_pylist()
+        pieces: dict[int, list[tuple[int, bytes]]] = {}
+        for r in own:
+            for q, x in enumerate(r["filters"], 1):
+                pieces.setdefault(q, []).append((r["bucket"], x))
+        low = Pieces(1, buckets, pieces)
+        known, count = np.frombuffer(b"".join(r["word_h"] for r in own), np.uint64), np.frombuffer(b"".join(r["word_c"] for r in own), np.int64)
         levels, counts = [], []
         for g, w in zip(asked.column("grams"), asked.column("words"), strict=True):
             h, w = unpack(g.as_py(), False)[0], unpack(w.as_py(), False)[0]
             levels.append(low.climb(h, np.zeros(len(h), np.int64)).astype(np.uint8).tobytes())
             at, there = _find(known, w)
             counts.append(np.uint64(len(w)).tobytes() + _narrow(np.where(there, count[at], 0) if len(known) else np.zeros(len(w), np.int64)))
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pa.table({"chunk": asked.column("chunk"), "region": asked.column("region"), "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        high = shared.value[2]
-        said = [(tokens_of(data, offsets), table.slice(row, len(offsets) - 1)) for row, data, offsets in chunks(table.column("text"), CHUNK_BYTES)]
-        asked = [wanted(t, [pair, triple], at, part.column("held_out").to_numpy(), np.ones(len(at) - 1, bool)) for (t, pair, triple, at), part in said]
-        grams, words = (np.unique(np.concatenate([a[i] for a in asked])) if asked else np.empty(0, np.uint64) for i in (0, 1))
-        answers = answers.sort_by("bucket")
-        low = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8).astype(np.int64)
+        high, out = shared.value[2], []
+        answers = answers.sort_by("region")
+        low = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)
         counts = [_widen(np.frombuffer(x, np.uint8)[8:], int(np.frombuffer(x[:8], np.uint64)[0]))[0].astype(np.int64) for x in answers.column("counts").to_pylist()]
         counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
-        out = []
-        for (t, pair, triple, at), part in said:
+        for blob in table.column("blob"):  # one
+            ids, held, t, pair, triple, at = _thawed(blob)
+            grams, words = wanted(t, [pair, triple], at, held)
             c, there = counts_of(t)
             if len(words):
                 place, rare = _find(words, t)
                 c = np.where(rare & ~there, counts[place], c)
-            held, level = np.repeat(part.column("held_out").to_numpy(), np.diff(at)), []
-            c = np.where(~held & (c == 0), 1, c)  # only where head_from is 2 is such a word not asked for
+            of_held, level = np.repeat(held, np.diff(at)), []
+            c = np.where(~of_held & (c == 0), 1, c)  # only where head_from is 2 is such a word not asked for
             for g in (pair, triple):
                 place, got = _find(grams, g)
-                found = np.where(got, low[place], 0) if len(grams) else np.zeros(len(g), np.int64)
-                level.append(high.climb(g, np.where(held, found, np.maximum(found, 1))))
-            known, base, whole = _sums(c, *level, at, docs_learned, space)
-            out.append(pa.table([part.column("doc_id"), part.column("held_out"), np.diff(at).astype(np.int64), known, np.full(len(at) - 1, n, np.int64), base, whole], names=scored))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in scored[2:5]), *((c, pa.float64()) for c in scored[5:])]).empty_table()
-
-    low = model.select("bucket", F.slice("filters", 1, least - 1).alias("filters"), "word_h", "word_c")
-    answers = asked.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, levels binary, counts binary")
+                found = np.where(got, low[place].astype(np.int64), 0) if len(grams) else np.zeros(len(g), np.int64)
+                level.append(high.climb(g, np.where(of_held, found, np.maximum(found, 1))))
+            out.append(pa.table([ids, pa.array(held), np.diff(at), *_facts(n, c, *level, at, docs_learned, space)], names=scored))
+        return pa.concat_tables(out) if out else kind_of.empty_table()
+
+    region = F.expr(f"bucket div {width}").alias("region")
+    low = model.select(region, "bucket", F.slice("filters", 1, least - 1).alias("filters"), "word_h", "word_c")
+    asked = far.mapInArrow(ask, "region bigint, chunk bigint, grams binary, words binary")
+    answers = asked.groupBy("region").cogroup(low.groupBy("region")).applyInArrow(answer, "chunk bigint, region bigint, levels binary, counts binary")
     settled = far.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds)
-    return first.where("not far").select(*scored).union(settled)
+    return first.where("blob is null").select(*scored).union(settled)

@@ -157,6 +157,29 @@ def test_score_is_the_same_within_any_bounds(spark, odd_rows, usual, head, filte
     assert [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in a] == [(*x[:5], round(x[5], 6), round(x[6], 6)) for x in b]
 
 
+@pytest.mark.parametrize(("head", "filter_bytes", "bits", "off"), [(300, 1, 400, 1e-9), (300, 40_000, 12, 8e-2), (2_000_000, 1, 12, 8e-2)])
+def test_many_buckets_dealt_in_two_steps(spark, odd_rows, monkeypatch, head, filter_bytes, bits, off):
+    """Thousands of buckets of about 60 n-grams each: counts pass 16 ranges first, chunks ask regions of several buckets."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_ENTRIES", 60)
+    monkeypatch.setattr(lm_scoring, "FAN", 16)
+    got = by_row(lm_scoring.score(frame(spark, odd_rows), head=head, filter_bytes=filter_bytes, bits_per_entry=bits).collect())
+    want = sorted(Plain(odd_rows).scored(odd_rows), key=str)
+    base = sorted(brute(odd_rows), key=lambda r: str((r[0], r[2])))
+    assert all(math.isclose(r.score, w[2], rel_tol=off) for r, w in zip(got, want, strict=True))
+    for r, w in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_tokens))), base, strict=True):
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:5] and math.isclose(r.base_score, w[5], rel_tol=1e-9)
+
+
+def test_rows_sent_hold_runs_of_hashes(spark, odd_rows):
+    """The rows of the first step do not grow in number with the buckets."""
+    docs = frame(spark, odd_rows).coalesce(1)
+    first = lm_scoring.counted(docs, lm_scoring.FAN).count()
+    dealt = lm_scoring.counted(docs, 4 * lm_scoring.FAN)
+    assert first <= lm_scoring.FAN and dealt.count() <= 4 * lm_scoring.FAN
+    fine = [x for r in dealt.collect() for x in lm_scoring.unpack(r.grams)[0].tolist()]
+    assert len(set(fine)) == len(fine) == len({x for r in lm_scoring.counted(docs, 1).collect() for x in lm_scoring.unpack(r.grams)[0].tolist()})
+
+
 def test_documents_learned_twice_stand_apart(spark):
     """Texts of random words: a text that occurs twice scores above those that occur once, and those above texts held out."""
     rng = np.random.default_rng(4)
