@@ -44,9 +44,16 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}_{tag}"
 
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.path(tag)
-        df.write.parquet(path)
+    def save(self, df: DataFrame, tag: str, drop_shuffles: bool = False) -> DataFrame:
+        """drop_shuffles: what was shuffled for the table goes from the executors' disks once it is written."""
+        path, setting = self.path(tag), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting)
+        if drop_shuffles:
+            self.spark.conf.set(setting, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

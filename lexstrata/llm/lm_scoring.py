@@ -44,12 +44,17 @@ PIECE_BYTES = 24
 FAN, WIDTH = 8192, 16
 END, START = constants(2, 21)
 _LEVELS = constants(64, 22)
-#: N-grams are known by 48 bits, words by 64.
-SHIFT = np.uint64(16)
+#: Words are known by 64 bits, n-grams by this many at least.
+MIN_BITS = 36
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens with one end per document, 48-bit hashes of the pairs and triples they end, offsets of documents)."""
+def gram_bits(n: int) -> int:
+    """Bits by which n n-grams are known: one that did not occur is taken for one that did in fewer than 1 of 500 cases."""
+    return max(MIN_BITS, min(64, n.bit_length() + 9))
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens with one end per document, hashes of the pairs and triples they end, offsets of documents)."""
     h, at = word_hashes(data, offsets)
     t = np.insert(h, at[1:], END)
     bounds = at + np.arange(len(at))
@@ -58,13 +63,17 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     two[bounds[:-1]] = START
     second = bounds[:-1] + 1
     two[second[second < bounds[1:]]] = START
-    return t, fold([one, t]) >> SHIFT, fold([two, one, t]) >> SHIFT, bounds
+    shift = np.uint64(64 - bits)
+    return t, fold([one, t]) >> shift, fold([two, one, t]) >> shift, bounds
 
 
 def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Unsigned values in as many byte planes as the largest needs."""
     width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
@@ -80,13 +89,14 @@ def _widen(raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(h: np.ndarray, c: np.ndarray | None = None) -> bytes:
-    """Sorted distinct hashes as differences, and their counts."""
-    return np.uint64(len(h)).tobytes() + _narrow(np.diff(h, prepend=np.uint64(0))) + (b"" if c is None else _narrow(c))
+    """Sorted distinct hashes as differences, and their counts, by byte planes."""
+    raw = _narrow(np.diff(h, prepend=np.uint64(0))) + (b"" if c is None else _narrow(c))
+    return np.array([len(h), len(raw)], np.uint64).tobytes() + _ZSTD.compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob[:8], np.uint64)[0])
-    d, rest = _widen(np.frombuffer(blob, np.uint8)[8:], n)
+    n, size = np.frombuffer(blob[:16], np.uint64).tolist()
+    d, rest = _widen(np.frombuffer(_ZSTD.decompress(blob[16:], size, asbytes=True), np.uint8), n)
     return np.cumsum(d, dtype=np.uint64), _widen(rest, n)[0] if counted else np.ones(n, np.uint64)
 
 
@@ -95,16 +105,16 @@ def bucket_of(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _split(grams: np.ndarray, words: np.ndarray, buckets: int, width: int = 1) -> list[tuple[int, slice, slice]]:
+def _split(grams: np.ndarray, words: np.ndarray, buckets: int, gram: int, width: int = 1) -> list[tuple[int, slice, slice]]:
     """(region, its part of grams, its part of words) of each run of width buckets that sorted hashes fall into."""
-    of = [bucket_of(x, buckets, bits) // np.uint64(width) for x, bits in ((grams, 48), (words, 64))]
+    of = [bucket_of(x, buckets, bits) // np.uint64(width) for x, bits in ((grams, gram), (words, 64))]
     own = np.union1d(*of)
     cut = [[slice(a, b) for a, b in zip(np.searchsorted(x, own), np.searchsorted(x, own, side="right"), strict=True)] for x in of]
     return list(zip(own.tolist(), *cut, strict=True))
 
 
-def _packed(grams: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    parts = _split(grams[0], words[0], buckets)
+def _packed(grams: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], buckets: int, gram: int) -> Iterator[pa.RecordBatch]:
+    parts = _split(grams[0], words[0], buckets, gram)
     for at in range(0, len(parts), 256):
         some = parts[at : at + 256]
         yield pa.RecordBatch.from_arrays(
@@ -115,7 +125,7 @@ def _packed(grams: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.nd
 _COUNTED = "bucket bigint, grams binary, words binary"
 
 
-def counted(docs: DataFrame, buckets: int) -> DataFrame:
+def counted(docs: DataFrame, buckets: int, gram: int) -> DataFrame:
     """(bucket, grams, words): counts of pairs and triples, and of words, of a run of documents."""
     fan = min(buckets, FAN)
 
@@ -125,12 +135,12 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             grams, words = (np.unique(np.concatenate([x[i] for x in held]), return_counts=True) for i in (0, 1))
             held.clear()
-            yield from _packed(grams, words, fan)
+            yield from _packed(grams, words, fan, gram)
 
         size = 0
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text")):
-                t, pair, triple, _ = tokens_of(data, offsets)
+                t, pair, triple, _ = tokens_of(data, offsets, gram)
                 held += [(pair, t), (triple, t[:0])]
                 size += len(t)
                 if size >= FLUSH:
@@ -147,10 +157,10 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
                 held.append(blobs)
                 size += sum(int(np.frombuffer(x[:8], np.uint64)[0]) for x in blobs)
                 if size >= FLUSH:
-                    yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets)
+                    yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets, gram)
                     held, size = [], 0
         if held:
-            yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets)
+            yield from _packed(*(_merged([x[i] for x in held]) for i in (0, 1)), buckets, gram)
 
     rows = docs.select("text").mapInArrow(run, _COUNTED)
     if fan == buckets:
@@ -187,8 +197,8 @@ def level_filter(h: np.ndarray, level: int, bits_per_entry: int = BITS_PER_ENTRY
 class Pieces:
     """Filters of consecutive levels from 'least' on, each of the pieces of the buckets that have any."""
 
-    def __init__(self, least: int, buckets: int, pieces: dict[int, list[tuple[int, bytes]]]):
-        self.least, self.buckets, self.levels = least, buckets, []
+    def __init__(self, least: int, buckets: int, pieces: dict[int, list[tuple[int, bytes]]], gram: int):
+        self.least, self.buckets, self.gram, self.levels = least, buckets, gram, []
         for level in range(least, max(pieces, default=least - 1) + 1):
             of = sorted(pieces.get(level, []))
             size = np.array([len(x) // 8 for _, x in of], np.uint64)
@@ -198,7 +208,7 @@ class Pieces:
         """level, raised by the probes of those that stand right under these filters."""
         live = np.flatnonzero(level == self.least - 1)
         for q, (words, own, first, size) in enumerate(self.levels, self.least):
-            piece, there = _find(own, bucket_of(h[live], self.buckets, 48))
+            piece, there = _find(own, bucket_of(h[live], self.buckets, self.gram))
             live, piece = live[there], piece[there]
             if len(live):
                 at, bits = _probe(h[live], q, first[piece], size[piece])
@@ -273,11 +283,11 @@ def _frozen(part: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _thawed(blob: pa.Scalar) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _thawed(blob: pa.Scalar, gram: int) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, whether held out, tokens, pairs, triples, offsets) of packed documents."""
     table = pa.ipc.open_stream(blob.as_buffer()).read_all()
     ((_, data, offsets),) = chunks(table.column("text"), 1 << 62)
-    return table.column("doc_id"), table.column("held_out").to_numpy(), *tokens_of(data, offsets)
+    return table.column("doc_id"), table.column("held_out").to_numpy(), *tokens_of(data, offsets, gram)
 
 
 def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
@@ -291,8 +301,9 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     scratch, spark = Scratch(docs.sparkSession), docs.sparkSession
     learned = docs.where(~held_out())
     n_bytes = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-2 * (n_bytes // 5) // BUCKET_ENTRIES))
-    model = scratch.save(build_model(counted(learned, buckets), bits_per_entry), "model")
+    grams = 2 * (n_bytes // 5)  # of words of four characters
+    buckets, gram = max(1, -(-grams // BUCKET_ENTRIES)), gram_bits(grams)
+    model = scratch.save(build_model(counted(learned, buckets, gram), bits_per_entry), "model", drop_shuffles=True)
     facts = model.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n", "ends")], *[F.coalesce(F.sum(F.col("hist")[k]), F.lit(0)).alias(f"k{k}") for k in range(50)]).first()
     n, docs_learned, space = facts["n"], facts["ends"], facts["n"] + ADD * (facts["v"] + 1)
     sizes = {r.pos + 1: r.b for r in model.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum(F.col("col") + PIECE_BYTES).alias("b")).collect()}
@@ -302,7 +313,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     for r in model.where(F.size("filters") >= least).select("bucket", F.slice("filters", least, 64).alias("filters")).toLocalIterator():  # filter_bytes at most
         for q, x in enumerate(r.filters, least):
             pieces.setdefault(q, []).append((r.bucket, bytes(x)))
-    shared = spark.sparkContext.broadcast((*_head(model, head_from), Pieces(least, buckets, pieces)))  # and head words at most
+    shared = spark.sparkContext.broadcast((*_head(model, head_from), Pieces(least, buckets, pieces, gram)))  # and head words at most
     del pieces
 
     def counts_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +332,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
             for row, data, offsets in chunks(batch.column("text"), CHUNK_BYTES):
                 part, far = batch.slice(row, len(offsets) - 1), np.ones(len(offsets) - 1, bool)
                 if least == 2:
-                    t, pair, triple, at = tokens_of(data, offsets)
+                    t, pair, triple, at = tokens_of(data, offsets, gram)
                     c, there = counts_of(t)
                     far = every[row : row + len(far)]
                     if head_from > 2:
@@ -348,9 +359,9 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                _, held, t, pair, triple, at = _thawed(blob)
+                _, held, t, pair, triple, at = _thawed(blob, gram)
                 grams, words = wanted(t, [pair, triple], at, held)
-                parts = _split(grams, words, buckets, width)
+                parts = _split(grams, words, buckets, gram, width)
                 for k in range(0, len(parts), 256):
                     some = parts[k : k + 256]
                     yield pa.RecordBatch.from_arrays(
@@ -363,7 +374,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         for r in own:
             for q, x in enumerate(r["filters"], 1):
                 pieces.setdefault(q, []).append((r["bucket"], x))
-        low = Pieces(1, buckets, pieces)
+        low = Pieces(1, buckets, pieces, gram)
         known, count = np.frombuffer(b"".join(r["word_h"] for r in own), np.uint64), np.frombuffer(b"".join(r["word_c"] for r in own), np.int64)
         levels, counts = [], []
         for g, w in zip(asked.column("grams"), asked.column("words"), strict=True):
@@ -380,7 +391,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         counts = [_widen(np.frombuffer(x, np.uint8)[8:], int(np.frombuffer(x[:8], np.uint64)[0]))[0].astype(np.int64) for x in answers.column("counts").to_pylist()]
         counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         for blob in table.column("blob"):  # one
-            ids, held, t, pair, triple, at = _thawed(blob)
+            ids, held, t, pair, triple, at = _thawed(blob, gram)
             grams, words = wanted(t, [pair, triple], at, held)
             c, there = counts_of(t)
             if len(words):

@@ -51,13 +51,13 @@ def test_filters_hold_levels():
     buckets = 7
     own = lm_scoring.bucket_of(h, buckets, 48)
     pieces = {q: [(b, lm_scoring.level_filter(h[(own == b) & (want >= q)], q).tobytes()) for b in range(buckets)] for q in range(1, 13)}
-    whole = lm_scoring.Pieces(1, buckets, pieces)
+    whole = lm_scoring.Pieces(1, buckets, pieces, 48)
     found = whole.climb(h, np.zeros(len(h), np.int64))
     assert (found >= want).all() and (found == want).mean() > 0.97
     assert (whole.climb(np.setdiff1d(rng.integers(0, 2**48, 40_000).astype(np.uint64), h), np.zeros(40_000, np.int64)) > 0).mean() < 0.03
     for least in (2, 5):  # low levels in their bucket, high ones together: the same answers
-        low = lm_scoring.Pieces(1, buckets, {q: x for q, x in pieces.items() if q < least}).climb(h, np.zeros(len(h), np.int64))
-        high = lm_scoring.Pieces(least, buckets, {q: x for q, x in pieces.items() if q >= least}).climb(h, low)
+        low = lm_scoring.Pieces(1, buckets, {q: x for q, x in pieces.items() if q < least}, 48).climb(h, np.zeros(len(h), np.int64))
+        high = lm_scoring.Pieces(least, buckets, {q: x for q, x in pieces.items() if q >= least}, 48).climb(h, low)
         assert (high == found).all()
 
 
@@ -173,11 +173,11 @@ def test_many_buckets_dealt_in_two_steps(spark, odd_rows, monkeypatch, head, fil
 def test_rows_sent_hold_runs_of_hashes(spark, odd_rows):
     """The rows of the first step do not grow in number with the buckets."""
     docs = frame(spark, odd_rows).coalesce(1)
-    first = lm_scoring.counted(docs, lm_scoring.FAN).count()
-    dealt = lm_scoring.counted(docs, 4 * lm_scoring.FAN)
+    first = lm_scoring.counted(docs, lm_scoring.FAN, 48).count()
+    dealt = lm_scoring.counted(docs, 4 * lm_scoring.FAN, 48)
     assert first <= lm_scoring.FAN and dealt.count() <= 4 * lm_scoring.FAN
     fine = [x for r in dealt.collect() for x in lm_scoring.unpack(r.grams)[0].tolist()]
-    assert len(set(fine)) == len(fine) == len({x for r in lm_scoring.counted(docs, 1).collect() for x in lm_scoring.unpack(r.grams)[0].tolist()})
+    assert len(set(fine)) == len(fine) == len({x for r in lm_scoring.counted(docs, 1, 48).collect() for x in lm_scoring.unpack(r.grams)[0].tolist()})
 
 
 def test_documents_learned_twice_stand_apart(spark):
