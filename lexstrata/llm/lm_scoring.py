@@ -320,9 +320,9 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         at, there = _find(shared.value[0], t)
         return np.where(there, shared.value[1][at], 0) if len(shared.value[0]) else np.zeros(len(t), np.int64), there
 
-    def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def wanted(t: np.ndarray, grams: list[np.ndarray], at: np.ndarray, held: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct n-grams and words that a chunk of far documents must ask for."""
-        words = t[np.repeat(held | (head_from > 2), np.diff(at)) & ~counts_of(t)[1]]
+        words = t[np.repeat(held | (head_from > 2), np.diff(at)) & ~there]
         return np.unique(np.concatenate([g[np.repeat(held | (least > 2), np.diff(at))] for g in grams])), np.unique(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +360,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 _, held, t, pair, triple, at = _thawed(blob, gram)
-                grams, words = wanted(t, [pair, triple], at, held)
+                grams, words = wanted(t, [pair, triple], at, held, counts_of(t)[1])
                 parts = _split(grams, words, buckets, gram, width)
                 for k in range(0, len(parts), 256):
                     some = parts[k : k + 256]
@@ -392,8 +392,8 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
         counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
         for blob in table.column("blob"):  # one
             ids, held, t, pair, triple, at = _thawed(blob, gram)
-            grams, words = wanted(t, [pair, triple], at, held)
             c, there = counts_of(t)
+            grams, words = wanted(t, [pair, triple], at, held, there)
             if len(words):
                 place, rare = _find(words, t)
                 c = np.where(rare & ~there, counts[place], c)
@@ -410,5 +410,7 @@ def score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, b
     low = model.select(region, "bucket", F.slice("filters", 1, least - 1).alias("filters"), "word_h", "word_c")
     asked = far.mapInArrow(ask, "region bigint, chunk bigint, grams binary, words binary")
     answers = asked.groupBy("region").cogroup(low.groupBy("region")).applyInArrow(answer, "chunk bigint, region bigint, levels binary, counts binary")
+    answers = scratch.save(answers, "answers", drop_shuffles=True)
+    scratch.drop(model)
     settled = far.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, kinds)
     return first.where("blob is null").select(*scored).union(settled)
