@@ -1,7 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter of word pairs and triples.
 
 A count c is stored as level 1 + floor(log2 c): the filter of a level holds every n-gram of that level or above, so a
-lookup probes level after level until one is missing. N-grams live in buckets of their hash; tasks send each bucket
+lookup probes level after level until one is missing. N-grams are known by as many bits of their hash as the size of
+the text learned from needs (gram_bits), and live in buckets of it; tasks send each bucket
 their sorted hashes and counts, delta-coded, and a bucket is turned into one piece of every level's filter. No n-gram is
 left out at any input size: buckets grow in number with the text.
 
