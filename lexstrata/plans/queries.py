@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions import text as t
 from lexstrata.operators import dataset, discover, evaluate, evidence, replay, structure, table_function, verify
-from lexstrata.operators.extract import amending_articles
-from lexstrata.plans import rendered
+from lexstrata.operators.extract import amending_articles, extract_amendments
+from lexstrata.plans import forms, rendered
 from lexstrata.sources import documents as src
 from lexstrata.sources import robots
 
@@ -281,3 +281,34 @@ def robots_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "User-agent: lexbot\nUser-agent: third\nDisallow: /es/\nAllow: /es/\nDisallow:\nDisallow: /de/\n"
     fetched = pages.select(host.alias("host")).where("host is not null").distinct().select("host", F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200).alias("status"), F.concat(F.lit(everyone), F.when(kind == 3, own).otherwise("")).alias("text"))
     return robots.allowed(pages, fetched, "LexBot").select("page_id", "allowed", "rule")
+
+
+@query(forms.RECORDS)
+def amendment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of amending texts in every form that the other rendered texts do not take."""
+    rows = extract_amendments(forms.amendments(spark, sf_dir))
+    return rows.select("doc_id", "rec", "operation", "unit", "madde_type", "madde", "fikra", "bent", "alt_bent", "cumle", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after")
+
+
+@query(f"""WITH {forms.ANNOTATED} SELECT doc_id, u.key, u.fikra, u.bent, u.alt_bent, u.text || x || u.tail AS text, u.type, CASE u.type WHEN 'Dipnot' THEN 'dipnot:3' ELSE 'RG-' || d || '-' || u.before || n || u.after END AS source, u.head
+  FROM o, (VALUES ('1', 1, NULL, NULL, 'Tutar ', ' liradır.', 'Ek', '', '', TRUE), ('1', 1, NULL, NULL, 'Tutar ', ' liradır.', 'Dipnot', '', '', FALSE), ('1', 1, 'a', NULL, 'Genel ', ',', 'Ek', '', '', TRUE), ('1', 1, 'a', NULL, 'Genel ', ',', 'Değişik', '1', ' 2. Mükerrer', FALSE),
+    ('1', 1, 'a', 1, 'İlk ', ',', 'Ek', '', '', TRUE), ('2', 1, NULL, NULL, 'Son ', '.', 'Mülga', '2', '', FALSE)) u(key, fikra, bent, alt_bent, text, tail, type, before, after, head)""")
+def unit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of all units, sub-items too, and of their articles' heads (head)."""
+    own = forms.annotated(spark, sf_dir).select("doc_id", t.strip_apparatus(F.col("text")).alias("text"))
+    each = F.concat(F.transform("notes", lambda n: F.struct(n["type"].alias("type"), n["source"].alias("source"), F.lit(False).alias("head"))), F.transform("article_notes", lambda n: F.struct(n["type"].alias("type"), n["source"].alias("source"), F.lit(True).alias("head"))))
+    return structure.parse_units(own).select("doc_id", "key", "fikra", "bent", "alt_bent", "text", F.inline(each))
+
+
+@query(f"""WITH {forms.ANNOTATED} SELECT doc_id, year(day)::INT AS year, month(day)::INT AS month, day(day)::INT AS day, u.before || n AS number, u.repeat FROM o, (VALUES ('', 0), ('1', 2), ('2', 0), ('3', 0)) u(before, repeat)""")
+def note_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct gazette references of all notes and footnotes."""
+    docs = forms.annotated(spark, sf_dir).select("doc_id", t.strip_apparatus(F.col("text")).alias("text"))
+    return structure.annotation_refs(structure.parse_units(docs), structure.footnotes(docs)).select("doc_id", "ref.*")
+
+
+@query(f"""WITH {forms.ANNOTATED} SELECT doc_id, u.nth, year(day)::INT AS year, month(day)::INT AS month, day(day)::INT AS day, u.before || n AS number, u.repeat FROM o, (VALUES (0, '', 0), (1, '1', 2), (2, '2', 0)) u(nth, before, repeat)""")
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first publication (0) and those of the amendments (1, 2, ...) as publication tables say."""
+    table = forms.annotated(spark, sf_dir).select("doc_id", t.publication_table(F.col("text")).alias("p"))
+    return table.select("doc_id", F.posexplode(F.concat(F.array("p.first"), "p.amendments")).alias("nth", "ref")).select("doc_id", "nth", "ref.*")
