@@ -45,6 +45,14 @@ RECORDS = f"""WITH o AS (SELECT o_orderkey::VARCHAR AS doc_id, o_orderkey % {FOR
     CASE WHEN form = 9 AND rec = 0 THEN x END AS anchor_text, CASE WHEN form = 9 AND rec = 0 THEN 'önce' END AS anchor_position, CASE form WHEN 3 THEN m END AS insert_after
   FROM o JOIN r USING (form)"""
 
+#: For each form with quoted lines below its sentence, those lines as a model reads them, and how many quotes they hold.
+READ_BLOCKS = {3: ("[ALINTI1]", 1), 4: ("[ALINTI1]", 1), 5: ("[ALINTI1]", 1), 7: ("[ALINTI1]", 1), 9: ("a) Birinci fıkrasında yer alan [ALINTI1] ibaresinden önce gelmek üzere [ALINTI2] ibaresi eklenmiştir. b) İkinci fıkrası yürürlükten kaldırılmıştır.", 2)}
+_INPUTS = [(k, (NAMED + said.partition("\n")[0] + " " + READ_BLOCKS.get(k, ("", 0))[0]).strip(), READ_BLOCKS.get(k, ("", 0))[1]) for k, said in enumerate(SAID)]
+#: SQL of the model inputs of all articles: doc_id, article, input, quotes.
+INPUTS = f"""WITH o AS (SELECT o_orderkey::VARCHAR AS doc_id, o_orderkey % {FORMS} AS form, (o_custkey % 40 + 1)::VARCHAR AS m, 'K' || o_orderkey AS x FROM orders),
+  i(form, said, quotes) AS (VALUES {", ".join(f"({k}, '{said}', {n})" for k, said, n in _INPUTS)})
+  SELECT doc_id, 1 AS article, replace(replace(said, '{{m}}', m), '{{x}}', x) AS input, quotes FROM o JOIN i USING (form) UNION ALL SELECT doc_id, 2, 'Bu Yönetmelik yayımı tarihinde yürürlüğe girer.', 0 FROM o"""
+
 
 def _filled(said: Column, **values: Column) -> Column:
     for name, value in values.items():

@@ -312,3 +312,40 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first publication (0) and those of the amendments (1, 2, ...) as publication tables say."""
     table = forms.annotated(spark, sf_dir).select("doc_id", t.publication_table(F.col("text")).alias("p"))
     return table.select("doc_id", F.posexplode(F.concat(F.array("p.first"), "p.amendments")).alias("nth", "ref")).select("doc_id", "nth", "ref.*")
+
+
+@query(f"SELECT * EXCLUDE (new_text), CASE WHEN operation IN ('BIRIM_DEGISTIR', 'BIRIM_EKLE') THEN NULL ELSE new_text END AS new_text FROM ({forms.RECORDS})")
+def targets_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every form as targets of a sequence model, and the records that these targets read as."""
+    fields = ["operation", "unit", "madde_type", "madde", "fikra", "bent", "alt_bent", "cumle", "old_text", "new_text", "anchor_text", "anchor_position", "insert_after"]
+    held = F.array_sort(F.collect_list(F.struct("rec", F.struct(*fields).alias("r"))))
+    rows = extract_amendments(forms.amendments(spark, sf_dir)).groupBy("doc_id").agg(held.alias("held"))
+    said = rows.select("doc_id", dataset.linearize(F.transform("held", lambda x: dataset.canonical(x["r"]))).alias("target"))
+    return said.select("doc_id", F.posexplode(dataset.delinearize(F.col("target"))).alias("rec", "r")).select("doc_id", "rec", *[f"r.{c}" for c in fields])
+
+
+@query(forms.INPUTS)
+def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sequence model reads of every amending article: its sentence and the lines below with quotes by name."""
+    rows = dataset.model_input(amending_articles(forms.amendments(spark, sf_dir)))
+    return rows.select("doc_id", F.col("article").cast("int").alias("article"), "input", F.size("quotes").alias("quotes"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS w, o_orderdate::DATE AS day, day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) AS d, (20000 + o_orderkey % 9000)::VARCHAR AS n FROM orders)
+  SELECT k, CASE WHEN k % 3 < 2 THEN n END AS of_index, n AS of_page, CASE WHEN k % 29 < 28 THEN repeat(substr('{t.ALPHABET}', (k % 29 + 2)::INT, 1), (k % 3 + 1)::INT) END AS next_letter, CASE k % 3 WHEN 0 THEN 'ılık ' WHEN 1 THEN 'ilk ' ELSE 'kural ' END || w AS lowered,
+    CASE WHEN k % 4 > 0 THEN day::VARCHAR END AS day, CASE WHEN k % 2 = 0 THEN w || '/Ç' END AS article, k % 2 = 0 AS tombstone, '(1) Bir ' || w || chr(10) || 'devam|(2) İki' AS paragraphs, d || n AS digits, 'karar ' || w AS joined, w || ' söz' AS cleaned, 'Bir ' || w || '.|İki:|(2) Üç; dört.' AS to_show,
+    CASE WHEN k % 2 = 0 THEN 'b) İki ' || w ELSE 'a) Bir ' || w || chr(10) || 'b) İki ' || w END AS item, CASE WHEN k % 40 BETWEEN 1 AND 39 THEN (k % 40)::INT END AS ordinal FROM o""")
+def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small readings of texts that carry an order's key and day: issue numbers, letters, dates, numbers, marks, paragraphs."""
+    k, word = F.col("k"), F.col("k").cast("string")
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws("/", F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")).alias("d"), (F.col("o_orderkey") % 9000 + 20000).cast("string").alias("n"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    in_turn = lambda *texts: F.element_at(F.array(*[said(x) for x in texts]), (k % len(texts) + 1).cast("int"))
+    letter = F.repeat(F.substr(F.lit(t.ALPHABET), (k % 29 + 1).cast("int"), F.lit(1)), (k % 3 + 1).cast("int"))
+    names = sorted(t.ORDINALS, key=t.ORDINALS.get)
+    return rows.select(
+        "k", t.issue_number_of_index(in_turn(said("<b>10 Ocak Tarihli ve ", F.col("n"), " Sayılı</b>"), said("Sayı : ", F.col("n")), "Sayı : 12")).alias("of_index"), t.issue_number_of_page(said("<p>", F.col("d"), " <b>tarihli</b> ve ", F.col("n"), " sayılı Resmî Gazete</p>")).alias("of_page"),
+        t.next_letter(letter).alias("next_letter"), t.tr_lower_first(said(in_turn("Ilık ", "İlk ", "Kural "), word)).alias("lowered"), t.day_of(F.when(k % 4 == 0, "31/2/2020").otherwise(F.col("d"))).cast("string").alias("day"), t.article_number(in_turn(said(word, "/Ç ncı madde"), "yok")).alias("article"),
+        t.is_tombstone(said("MADDE ", word, " – (Mülga:RG-", F.col("d"), "-", F.col("n"), ")", in_turn("", " (1) Söz"))).alias("tombstone"), F.array_join(t.paragraph_blocks(said("önce\n(1) Bir ", word, "\ndevam\n(2) İki")), "|").alias("paragraphs"), t.rg_digits(said("RG-", F.col("d"), "-", F.col("n"))).alias("digits"),
+        t.dehyphenate(said("ka-\nrar ", word)).alias("joined"), t.clean_block(said("“", word, "  söz”")).alias("cleaned"), F.array_join(t.diff_sentences(said("Bir ", word, ". İki: (2) Üç; dört.")), "|").alias("to_show"), t.pick_item(said("a) Bir ", word, "\nb) İki ", word), in_turn("b", "z")).alias("item"),
+        t.ordinal(F.element_at(F.array(*map(F.lit, ["yok", *names])), (k % 40 + 1).cast("int"))).alias("ordinal"))
