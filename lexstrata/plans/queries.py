@@ -349,3 +349,80 @@ def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.is_tombstone(said("MADDE ", word, " – (Mülga:RG-", F.col("d"), "-", F.col("n"), ")", in_turn("", " (1) Söz"))).alias("tombstone"), F.array_join(t.paragraph_blocks(said("önce\n(1) Bir ", word, "\ndevam\n(2) İki")), "|").alias("paragraphs"), t.rg_digits(said("RG-", F.col("d"), "-", F.col("n"))).alias("digits"),
         t.dehyphenate(said("ka-\nrar ", word)).alias("joined"), t.clean_block(said("“", word, "  söz”")).alias("cleaned"), F.array_join(t.diff_sentences(said("Bir ", word, ". İki: (2) Üç; dört.")), "|").alias("to_show"), t.pick_item(said("a) Bir ", word, "\nb) İki ", word), in_turn("b", "z")).alias("item"),
         t.ordinal(F.element_at(F.array(*map(F.lit, ["yok", *names])), (k % 40 + 1).cast("int"))).alias("ordinal"))
+
+
+_DAYS = "o AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS w, o_custkey, o_orderdate::DATE AS day, day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) AS d, (20000 + o_orderkey % 9000)::VARCHAR AS n FROM orders)"
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, w (as text), o_custkey, d (the day as written), n (a gazette's number) of every order."""
+    return _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("w"), "o_custkey", F.concat_ws("/", F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")).alias("d"),
+        (F.col("o_orderkey") % 9000 + 20000).cast("string").alias("n"))
+
+
+@query(f"""WITH {_DAYS} SELECT (o_custkey % 50)::VARCHAR AS source, w AS key, CASE WHEN k % 5 IN (0, 2) THEN 'ayni' WHEN k % 5 = 1 THEN 'farkli' WHEN k % 5 = 3 THEN 'resmide_yok' WHEN k % 2 = 0 THEN 'mulga_mezari' WHEN k % 3 = 0 THEN 'kaynak_tutarsizligi' ELSE 'bizde_yok' END AS durum FROM o""")
+def article_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of two sides compared, with the reason where one side lacks them."""
+    k, at = F.col("k"), [(F.col("o_custkey") % 50).cast("string").alias("source"), F.col("w").alias("key")]
+    rows, said = _days(spark, sf_dir), F.concat(F.lit("Söz "), "w", F.lit(" söylendi."))
+    official = F.when(k % 5 == 0, F.concat(F.lit("söz  "), "w", F.lit(" söylendi."))).when(k % 5 == 1, F.concat(F.lit("Bambaşka bir şey: "), "w")).when(k % 5 == 2, F.concat(F.lit("(Değişik:RG-1/1/2020-31000) "), said))
+    official = official.when(k % 2 == 0, F.concat(F.lit("MADDE "), "w", F.lit(" – (Mülga:RG-1/1/2020-31000)"))).otherwise(said)
+    found = replay.compare_articles(rows.where(k % 5 != 4).select(*at, said.alias("text")), rows.where(k % 5 != 3).select(*at, official.alias("text")), known=rows.where(k % 3 == 0).select(*at))
+    return found.select("source", "key", "durum")
+
+
+@query(f"""WITH {_DAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY day, n) AS i FROM (SELECT DISTINCT o_custkey, day, d, n FROM o)), a AS (SELECT o_custkey, k, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS i FROM o)
+  SELECT a.o_custkey::VARCHAR AS source, a.k AS seq, day::VARCHAR AS date, d || '-' || n AS label FROM a LEFT JOIN r ON a.o_custkey = r.o_custkey AND a.i = r.i""")
+def amendment_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day and reference of every amending text: of a source's references in order the one at its place."""
+    rows = _days(spark, sf_dir).withColumn("source", F.col("o_custkey").cast("string"))
+    refs = rows.select("source", t.gazette_ref(F.concat(F.lit("RG-"), "d", F.lit("-"), "n")).alias("ref"))
+    found = replay.amendment_dates(refs, rows.select("source", F.col("k").alias("seq")))
+    return found.select("source", "seq", F.col("date").cast("string").alias("date"), "label")
+
+
+@query(f"""WITH {_DAYS} SELECT w AS source, CASE WHEN k % 4 > 0 THEN day::VARCHAR END AS date FROM o""")
+def original_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each source was first published."""
+    rows = _days(spark, sf_dir).select(F.col("w").alias("id"), F.when(F.col("k") % 4 > 0, F.concat("d", F.lit("-"), "n")).alias("original_ref"))
+    return replay.original_dates(rows).select("source", F.col("date").cast("string").alias("date"))
+
+
+@query(f"""WITH {_DAYS} SELECT w AS source, 'konsolide' AS role, 'https://www.ornek.example/anasayfa/MevzuatFihristDetayIframe?MevzuatTur=' || k % 9 || '&MevzuatNo=' || w || '&MevzuatTertip=' || CASE WHEN k % 2 = 0 THEN 5 ELSE 3 END AS url FROM o
+  UNION ALL SELECT w, 'orijinal', 'https://ilk.example/' || w FROM o WHERE k % 4 > 0 AND k % 5 > 0
+  UNION ALL SELECT w, 'degisiklik' || lpad(i::VARCHAR, 2, '0'), 'https://ek.example/' || w || '/' || i FROM (SELECT w, k, unnest(generate_series(0, k % 3 - 1)) AS i FROM o)""")
+def fetch_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be fetched for every source: consolidated texts again, others unless the manifest has them."""
+    k, rows = F.col("k"), _days(spark, sf_dir)
+    page = F.concat(F.lit("https://www.ornek.example/mevzuat?MevzuatNo="), "w", F.lit("&mevzuattur="), (k % 9).cast("string"), F.when(k % 2 == 0, "").otherwise("&MEVZUATTERTIP=3"))
+    first = F.when(k % 4 > 0, F.concat(F.lit("https://ilk.example/"), "w"))
+    later = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (k % 3).cast("int")), lambda i: F.concat(F.lit("https://ek.example/"), F.col("w"), F.lit("/"), i.cast("string")))
+    jobs = src.download_jobs(rows.select(F.col("w").alias("id"), src.frame_url(page).alias("url"), first.alias("original_url"), later.alias("amendments")))
+    manifest = rows.where(k % 5 == 0).select(first.alias("url")).union(rows.where(k % 7 == 0).select(src.frame_url(page)))
+    return src.not_yet_fetched(jobs, manifest, refresh=True)
+
+
+@query("""WITH i AS (SELECT n_nationkey::VARCHAR AS issue, n_nationkey AS place, (n_nationkey % 7)::VARCHAR AS source, n_nationkey % 3 AS op, (n_nationkey % 10)::VARCHAR AS madde, CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey % 4 END AS fikra FROM nation),
+  r AS (SELECT (o_custkey % 7)::VARCHAR AS source, o_orderkey AS seq, o_orderkey % 3 AS op, (o_orderkey % 10)::VARCHAR AS madde, o_orderkey % 4 AS fikra, CASE WHEN o_orderkey % 5 < 2 THEN 'uyumsuz' WHEN o_orderkey % 5 = 2 THEN 'hedef_bulunamadi' ELSE 'uyumlu' END AS status FROM orders),
+  f AS (SELECT seq, arg_min(issue, place) AS issue FROM r JOIN i USING (source, op, madde) WHERE i.fikra IS NULL OR i.fikra = r.fikra GROUP BY seq)
+  SELECT source, seq, CASE WHEN f.issue IS NOT NULL AND status <> 'uyumlu' THEN 'kaynak_tutarsizligi' ELSE status END AS status, CASE WHEN status <> 'uyumlu' THEN f.issue END AS issue FROM r LEFT JOIN f USING (seq)""")
+def known_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed records told apart by known issues of their source."""
+    n, k = F.col("n_nationkey"), F.col("o_orderkey")
+    op = lambda x: F.element_at(F.array(*map(F.lit, ("IBARE_DEGISTIR", "BIRIM_EKLE", "BIRIM_KALDIR"))), (x % 3 + 1).cast("int")).alias("operation")
+    issues = _read(spark, sf_dir, "nation").select(n.cast("string").alias("id"), n.alias("place"), (n % 7).cast("string").alias("source"), op(n), (n % 10).cast("string").alias("madde"), F.when(n % 2 == 1, n % 4).alias("fikra"))
+    status = F.when(k % 5 < 2, "uyumsuz").when(k % 5 == 2, "hedef_bulunamadi").otherwise("uyumlu")
+    rows = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).cast("string").alias("source"), k.alias("seq"), F.lit(0).alias("rec"), op(k), (k % 10).cast("string").alias("madde"), (k % 4).alias("fikra"), status.alias("status"))
+    return verify.relabel_known(rows, issues).select("source", "seq", "status", "issue")
+
+
+@query(f"""WITH {_DAYS} SELECT w AS source, u.seq, u.rec, 'RG-' || d || '-' || u.before || n AS label, u.unit FROM o, (VALUES (1, 0, '1', 'madde 1 fıkra 1 bent a'), (2, 1, '2', 'madde 2 fıkra 1'), (3, 0, '', 'madde 1')) u(seq, rec, before, unit)""")
+def noted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records overwritten later whose place bears a note of their own amending text, and where it stands."""
+    own = forms.annotated(spark, sf_dir).select("doc_id", t.strip_apparatus(F.col("text")).alias("text"))
+    kinds = "array<struct<seq:bigint,rec:int,madde:string,fikra:int,bent:string,before:string>>"
+    asked = F.from_json(F.lit('[{"seq":1,"rec":0,"madde":"1","fikra":1,"bent":"a","before":"1"},{"seq":2,"rec":1,"madde":"2","fikra":1,"before":"2"},{"seq":3,"rec":0,"madde":"1","before":""},{"seq":4,"rec":0,"madde":"1","before":"9"}]'), kinds)
+    rows = _days(spark, sf_dir).select(F.col("w").alias("source"), "d", "n", F.inline(asked)).withColumn("status", F.lit("sonradan_degisti"))
+    labels = rows.select("source", "seq", F.concat(F.lit("RG-"), "d", F.lit("-"), "before", "n").alias("label"))
+    return evidence.note_evidence(rows.drop("d", "n", "before"), labels, structure.parse_units(own)).select("source", "seq", "rec", "label", "unit")
