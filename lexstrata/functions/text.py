@@ -279,11 +279,13 @@ def publication_table(c: Column) -> Column:
 
 def _issue_number(c: Column, least: int, most: int, alone: bool) -> Column:
     """The number between 'tarihli ve' and 'sayılı', or, where it may stand alone, after 'sayı'."""
-    fields = _fields(F.lower(F.translate(F.replace(F.regexp_replace(c, "<[^>]*>", " "), F.lit(":"), F.lit(" ")), "Iİ", "ıi")))
-    is_ = lambda i, w: F.coalesce(F.get(fields, i) == w, F.lit(False))
-    dated = lambda i: is_(i - 2, "tarihli") & is_(i - 1, "ve") & F.coalesce(F.get(fields, i + 1).startswith("sayılı"), F.lit(False))
-    fits = lambda i: dated(i) | is_(i - 1, "sayı") if alone else dated(i)
-    return F.get(F.filter(F.transform(fields, lambda x, i: F.when(fits(i), _number(x, least, most))), lambda x: x.isNotNull()), F.lit(0))
+    def of(fields: Column) -> Column:
+        is_ = lambda i, w: F.coalesce(F.get(fields, i) == w, F.lit(False))
+        dated = lambda i: is_(i - 2, "tarihli") & is_(i - 1, "ve") & F.coalesce(F.get(fields, i + 1).startswith("sayılı"), F.lit(False))
+        fits = lambda i: dated(i) | is_(i - 1, "sayı") if alone else dated(i)
+        return F.get(F.filter(F.transform(fields, lambda x, i: F.when(fits(i), _number(x, least, most))), lambda x: x.isNotNull()), F.lit(0))
+
+    return let(_fields(F.lower(F.translate(F.replace(F.regexp_replace(c, "<[^>]*>", " "), F.lit(":"), F.lit(" ")), "Iİ", "ıi"))), of)
 
 
 def issue_number_of_index(c: Column) -> Column:
@@ -299,10 +301,12 @@ def issue_number_of_page(html: Column, head: int = 8000) -> Column:
 def diff_sentences(c: Column) -> Column:
     """Sentences for a side-by-side view: a paragraph mark opens a line, and so does a word that begins with a capital, a
     quote or a bracket after one that ends with . : or ;"""
-    said = _fields(c)
-    ends = lambda i: F.coalesce(F.right(F.get(said, i - 1), F.lit(1)).isin(".", ":", ";"), F.lit(False))
-    opens = lambda w: F.left(w, F.lit(1)).isin('"', "“", "(") | (F.left(w, F.lit(1)) != F.lower(F.left(w, F.lit(1))))
-    lines = F.array_join(F.transform(said, lambda w, i: F.concat(F.when(w.rlike(r"^\(\d{1,2}\)$") | (ends(i) & opens(w)), "\n").otherwise(" "), w)), "")
+    def joined(said: Column) -> Column:
+        ends = lambda i: F.coalesce(F.right(F.get(said, i - 1), F.lit(1)).isin(".", ":", ";"), F.lit(False))
+        opens = lambda w: F.left(w, F.lit(1)).isin('"', "“", "(") | (F.left(w, F.lit(1)) != F.lower(F.left(w, F.lit(1))))
+        return F.array_join(F.transform(said, lambda w, i: F.concat(F.when(w.rlike(r"^\(\d{1,2}\)$") | (ends(i) & opens(w)), "\n").otherwise(" "), w)), "")
+
+    lines = let(_fields(c), joined)
     return F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
