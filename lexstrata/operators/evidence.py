@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions.text import rg_digits, verify_norm
 from lexstrata.operators.grams import contained
+from lexstrata.sources.shared import written
 
 KEY = ("source", "seq", "rec")
 
@@ -19,15 +20,16 @@ def quote_links(records: DataFrame, least: int = 8) -> DataFrame:
     """source, madde_type, madde, new, quoted: the pairs of a record's new text and an old or anchor text of the same
     article of which one contains the other, as MD5s of the texts in lower case and without quotation marks.
 
-    Each text of an article counts once however often it is said. See grams.contained for how pairs are found.
+    Each text of an article counts once however often it is said; the texts and the pairs are written once, so that what
+    follows begins a plan of its own. See grams.contained for how pairs are found.
     """
     kind = F.coalesce("madde_type", F.lit("normal")).alias("madde_type")
     norm = lambda c: F.lower(verify_norm(F.col(c)))
     each = lambda *cs: records.where("source is not null and madde is not null").select("source", kind, "madde", F.explode(F.array(*map(norm, cs))).alias("text")).where(F.char_length("text") >= least).distinct().withColumn("id", F.md5(F.col("text").cast("binary")))
-    new, quoted = each("new_text"), each("old_text", "anchor_text")
+    new, quoted = written(each("new_text")), written(each("old_text", "anchor_text"))
     inside = contained(new, quoted, PLACE).select(*PLACE, F.col("long_id").alias("new"), F.col("short_id").alias("quoted"))
     around = contained(quoted, new, PLACE).select(*PLACE, F.col("short_id").alias("new"), F.col("long_id").alias("quoted"))
-    return inside.union(around).distinct()
+    return written(inside.union(around).distinct())
 
 
 def quote_evidence(records: DataFrame, least: int = 8) -> DataFrame:
@@ -41,7 +43,7 @@ def quote_evidence(records: DataFrame, least: int = 8) -> DataFrame:
     norm = lambda c: F.lower(verify_norm(F.col(c)))
     of = lambda c: F.md5(norm(c).cast("binary"))
     links = quote_links(records, least)
-    mine = records.select("source", kind, "madde", "seq", "rec", of("new_text").alias("new")).where("seq is not null").join(links, [*PLACE, "new"])
+    mine = records.select("source", kind, "madde", "seq", "rec", of("new_text").alias("new")).where("seq is not null").join(links.hint("merge"), [*PLACE, "new"])
     fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), norm(c).alias("said"), of(c).alias("quoted")) for i, c in enumerate(("old_text", "anchor_text"))])).alias("q")
     said = records.select("source", kind, "madde", "seq", F.col("amending_article").alias("later_article"), fields).where(F.char_length("q.said") >= least)
     said = said.groupBy(*PLACE, "q.quoted", "seq").agg(F.min(F.struct(F.col("q.field").alias("field"), "later_article", F.col("q.said").alias("said"))).alias("x"))

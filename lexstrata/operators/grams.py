@@ -21,7 +21,10 @@ def grams(text: Column, size: int | Column = SIZE) -> Column:
 
 
 def candidates(long: DataFrame, short: DataFrame, on: Sequence[str], size: int = SIZE) -> DataFrame:
-    """on, long_id, short_id: the pairs that share the short text's rarest gram. See contained."""
+    """on, long_id, short_id: the pairs that share the short text's rarest gram. See contained.
+
+    All joins are merged, as the size of a table of texts says nothing of that of its grams: by it they would be broadcast.
+    """
     sizes = F.least(F.char_length("text"), F.lit(size))
     mine = short.where(F.char_length("text") > 0).select(*on, F.col("id").alias("short_id"), F.explode(grams(F.col("text"), sizes)).alias("gram"))
     mine = mine.withColumn("gram", F.concat(F.char_length("gram").cast("string"), F.lit(":"), "gram"))
@@ -31,11 +34,10 @@ def candidates(long: DataFrame, short: DataFrame, on: Sequence[str], size: int =
     every = F.flatten(F.array(*map(sized, lengths))) if lengths else F.array().cast("array<string>")
     theirs = long.select(*on, F.col("id").alias("long_id"), F.explode(every).alias("gram"))
     often = theirs.groupBy(*on, "gram").agg(F.count("*").alias("n"))
-    rarest = mine.join(often, [*on, "gram"]).groupBy(*on, "short_id").agg(F.min(F.struct("n", "gram")).alias("x"))
     # a short text of which some gram is in no long text at all is in none
-    whole = mine.groupBy(*on, "short_id").agg(F.count("*").alias("k")).join(mine.join(often, [*on, "gram"], "left_semi").groupBy(*on, "short_id").agg(F.count("*").alias("k")), [*on, "short_id", "k"], "left_semi")
-    index = rarest.join(whole, [*on, "short_id"], "left_semi").select(*on, "short_id", F.col("x.gram").alias("gram"))
-    return theirs.join(index, [*on, "gram"]).select(*on, "long_id", "short_id")
+    rarest = mine.join(often.hint("merge"), [*on, "gram"], "left").groupBy(*on, "short_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
+    index = rarest.where("x.n > 0").select(*on, "short_id", F.col("x.gram").alias("gram"))
+    return theirs.join(index.hint("merge"), [*on, "gram"]).select(*on, "long_id", "short_id")
 
 
 def contained(long: DataFrame, short: DataFrame, on: Sequence[str] = (), size: int = SIZE) -> DataFrame:
@@ -46,6 +48,6 @@ def contained(long: DataFrame, short: DataFrame, on: Sequence[str] = (), size: i
     with the pairs that share a short text's rarest gram.
     """
     pairs = candidates(long, short, on, size)
-    pairs = pairs.join(long.select(*on, F.col("id").alias("long_id"), F.col("text").alias("_long")), [*on, "long_id"])
-    pairs = pairs.join(short.select(*on, F.col("id").alias("short_id"), F.col("text").alias("_short")), [*on, "short_id"])
+    pairs = pairs.join(long.select(*on, F.col("id").alias("long_id"), F.col("text").alias("_long")).hint("merge"), [*on, "long_id"])
+    pairs = pairs.join(short.select(*on, F.col("id").alias("short_id"), F.col("text").alias("_short")).hint("merge"), [*on, "short_id"])
     return pairs.where(F.contains("_long", F.col("_short"))).select(*on, "long_id", "short_id")
