@@ -64,8 +64,8 @@ def note_evidence(verified: DataFrame, labels: DataFrame, units: DataFrame) -> D
     article is found by number alone.
     """
     r = verified.where("status = 'sonradan_degisti' and madde is not null").join(labels, ["source", "seq"]).withColumn("digits", rg_digits(F.col("label"))).where("digits <> ''")
-    first = units.groupBy("doc_id", "key").agg(F.min("article").alias("article"))
-    u = units.join(first, ["doc_id", "key", "article"]).select(F.col("doc_id").alias("source"), F.col("key").alias("madde"), *[F.col(c).alias(f"u_{c}") for c in ("fikra", "bent", "alt_bent")], "pos", "notes", "article_notes")
+    first = F.min("article").over(W.partitionBy("doc_id", "key"))
+    u = units.withColumn("_first", first).where("article = _first").select(F.col("doc_id").alias("source"), F.col("key").alias("madde"), *[F.col(c).alias(f"u_{c}") for c in ("fikra", "bent", "alt_bent")], "pos", "notes", "article_notes")
     level = F.when(F.col("u_bent").isNotNull(), 2).when(F.col("u_fikra").isNotNull(), 1).otherwise(0)
     u = u.where("u_alt_bent is null").select("source", "madde", "u_fikra", "u_bent", "pos", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("article_notes").alias("n")), F.struct(level.alias("level"), F.col("notes").alias("n")))).alias("x"))
     u = u.select("source", "madde", "u_fikra", "u_bent", "pos", "x.level", F.transform("x.n", lambda n: rg_digits(n["source"])).alias("said")).where("size(said) > 0")

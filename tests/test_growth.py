@@ -1,6 +1,6 @@
 """What would make work grow faster than the input: gram tables broadcast, texts parsed twice, windows over lines."""
 
-from lexstrata.operators import grams
+from lexstrata.operators import evidence, grams, structure
 
 
 def planned(rows, physical=True):
@@ -13,3 +13,14 @@ def test_gram_tables_are_not_broadcast(spark, tmp_path):
     texts = spark.read.parquet(f"{tmp_path}/texts")
     assert "Broadcast" not in planned(grams.contained(texts, texts, ["g"]))
     assert grams.contained(texts, texts, ["g"]).count() == 1
+
+
+def test_note_evidence_parses_once(spark):
+    docs = spark.createDataFrame([("s", "MADDE 1 – (1) Bir.\nMADDE 1 – (Ek:RG-1/2/2020-30000) (1) İki. (Ek:RG-1/2/2020-30000)"), ("t", "MADDE 1 – (1) Bir. (Ek:RG-1/2/2020-30000)")], "doc_id string, text string")
+    kinds = "source string, seq bigint, rec int, madde string, fikra int, bent string, status string"
+    rows = spark.createDataFrame([(s, 1, 0, "1", 1, None, "sonradan_degisti") for s in "st"], kinds)
+    labels = spark.createDataFrame([(s, 1, "RG-1/2/2020-30000") for s in "st"], "source string, seq bigint, label string")
+    found = evidence.note_evidence(rows, labels, structure.parse_units(docs))
+    assert planned(found, physical=False).count("posexplode") == 1
+    # the first article of a key that repeats has no note
+    assert [(r.source, r.unit) for r in found.collect()] == [("t", "madde 1 fıkra 1")]
