@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions.text import collapse, let
 from lexstrata.operators.grammar import article_records
-from lexstrata.operators.structure import ARTICLE, lines_of
+from lexstrata.operators.structure import ARTICLE, line_arrays
 
 #: The word before a regulation's name, and the kinds of regulation with the cases in which it is amended.
 PUBLISHED, KINDS, CASES = "yayımlanan", {"Yönetmelik": "Yönetmeli", "Tebliğ": "Tebli"}, ("in", "inin", "e", "ine")
@@ -28,12 +28,16 @@ def amending_articles(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no articles. Lines within quotation marks open none.
     """
-    rows = lines_of(docs).where("line <> ''")
-    head = ~F.col("quoted") & F.col("line").rlike(ARTICLE)
-    doc = W.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("head", head).withColumn("article", F.sum(head.cast("int")).over(doc)).where("article > 0")
-    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    out = rows.groupBy("doc_id", "article").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("line"), block.alias("block"))
+    def articles(x: Column) -> Column:
+        lines, heads = x["lines"], x["heads"]
+        after = lambda h, k: F.transform(F.slice(lines, h + 2, F.coalesce(F.get(heads, k + 1), F.size(lines)) - h - 1), lambda y: y["line"])
+        return F.transform(heads, lambda h, k: F.struct((k + 1).cast("bigint").alias("article"), F.get(lines, h)["line"].alias("line"), F.array_join(after(h, k), "\n").alias("block")))
+
+    def headed(lines: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda y, i: F.when(y["head"], i)), lambda i: i.isNotNull())
+        return let(F.struct(lines.alias("lines"), heads.alias("heads")), articles)
+
+    out = line_arrays(docs).select("doc_id", F.inline(let(F.col("lines"), headed)))
     return out.select("doc_id", "article", F.regexp_extract("line", ARTICLE, 2).alias("amending_article"), F.regexp_replace("line", ARTICLE, "").alias("sentence"), "block")
 
 

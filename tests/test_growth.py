@@ -1,6 +1,9 @@
 """What would make work grow faster than the input: gram tables broadcast, texts parsed twice, windows over lines."""
 
+import random
+
 from lexstrata.operators import evidence, grams, structure
+from lexstrata.operators.extract import amending_articles
 
 
 def planned(rows, physical=True):
@@ -24,3 +27,28 @@ def test_note_evidence_parses_once(spark):
     assert planned(found, physical=False).count("posexplode") == 1
     # the first article of a key that repeats has no note
     assert [(r.source, r.unit) for r in found.collect()] == [("t", "madde 1 fıkra 1")]
+
+
+def told(lines):
+    """Whether each line starts inside quotes, line by line."""
+    s, low, straight, out = 0, 0, False, []
+    for x in lines:
+        art, low = x.startswith(("MADDE", "Madde")), min(low, s)
+        out.append(s - low > 0 or (straight and not art))
+        straight = True if x.startswith('"') and not (len(x) > 1 and x.endswith('"')) else False if x.endswith('"') or art else straight
+        s += x.count("“") - x.count("”")
+    return out
+
+
+def test_lines_and_articles_without_windows_over_lines(spark):
+    draw, kinds = random.Random(3), ["düz satır", "“açar", "kapar”", "“iç “iç” dış”", "iki”” kapar", '"düz açar', 'düz kapar"', '"bütün"', "MADDE 7 – (1) Söz", "Madde 8 – Söz"]
+    lines = [draw.choice(kinds) for _ in range(3 * structure.RUN + 7)]
+    short = ["MADDE 1 – Bir", "söz", "MADDE 2 – İki"]
+    rows = [("long", "\n \n".join(x.replace(" ", " \t\xa0 ") for x in lines)), ("s", "\n".join(short)), ("s", "\n".join(short)), ("none", None), ("none", " \n\t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r for r in structure.lines_of(docs).collect()), key=lambda r: (r.doc_id, r.pos))
+    assert [(r.pos, r.line, r.quoted) for r in got if r.doc_id == "long"] == [(i, x, q) for i, (x, q) in enumerate(zip(lines, told(lines), strict=True), 1)]
+    assert [r.line for r in got if r.doc_id == "s"] == short and len(got) == len(lines) + 3
+    articles = amending_articles(docs)
+    assert planned(articles, physical=False).count("Window") == 1 and "Aggregate" not in planned(articles)
+    assert [(r.article, r.amending_article, r.sentence, r.block) for r in articles.where("doc_id = 's'").orderBy("article").collect()] == [(1, "1", "Bir", "söz"), (2, "2", "İki", "")]
