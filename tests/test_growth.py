@@ -2,7 +2,7 @@
 
 import random
 
-from lexstrata.operators import evidence, grams, structure
+from lexstrata.operators import evidence, grammar, grams, structure
 from lexstrata.operators.extract import amending_articles
 
 
@@ -52,3 +52,12 @@ def test_lines_and_articles_without_windows_over_lines(spark):
     articles = amending_articles(docs)
     assert planned(articles, physical=False).count("Window") == 1 and "Aggregate" not in planned(articles)
     assert [(r.article, r.amending_article, r.sentence, r.block) for r in articles.where("doc_id = 's'").orderBy("article").collect()] == [(1, "1", "Bir", "söz"), (2, "2", "İki", "")]
+
+
+def test_a_plain_sentence_is_tokenised_once(monkeypatch):
+    read, tokens = [], grammar.tokens
+    monkeypatch.setattr(grammar, "tokens", lambda s: read.append(s) or tokens(s))
+    said = "Yönetmeliğin 3 üncü maddesinin ikinci fıkrasında yer alan “bir” ibaresi “iki” şeklinde değiştirilmiştir."
+    assert [(r["madde"], r["fikra"], r["new_text"]) for r in grammar.article_records(said, "")] == [("3", 2, "iki")] and len(read) == 1
+    listed = grammar.article_records("Yönetmeliğin 3 üncü maddesinde aşağıdaki düzenlemeler yapılmıştır.", "a) Birinci fıkrası yürürlükten kaldırılmıştır.\nb) İkinci fıkrası yürürlükten kaldırılmıştır.")
+    assert [(r["madde"], r["fikra"]) for r in listed] == [("3", 1), ("3", 2)]
