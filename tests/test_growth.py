@@ -2,8 +2,13 @@
 
 import random
 
-from lexstrata.operators import evidence, grammar, grams, structure
-from lexstrata.operators.extract import amending_articles
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lexstrata.functions.text import annotations, strip_apparatus, with_notes, without_notes
+from lexstrata.operators import evidence, grammar, grams, replay, structure
+from lexstrata.operators.extract import amending_articles, extract_amendments
+from lexstrata.sources.shared import written
 
 
 def planned(rows, physical=True):
@@ -61,3 +66,47 @@ def test_a_plain_sentence_is_tokenised_once(monkeypatch):
     assert [(r["madde"], r["fikra"], r["new_text"]) for r in grammar.article_records(said, "")] == [("3", 2, "iki")] and len(read) == 1
     listed = grammar.article_records("Yönetmeliğin 3 üncü maddesinde aşağıdaki düzenlemeler yapılmıştır.", "a) Birinci fıkrası yürürlükten kaldırılmıştır.\nb) İkinci fıkrası yürürlükten kaldırılmıştır.")
     assert [(r["madde"], r["fikra"]) for r in listed] == [("3", 1), ("3", 2)]
+
+
+def test_lines_are_read_once_and_apparatus_cut_in_one_pass(spark):
+    docs = spark.createDataFrame([("a", "MADDE 1 – (1) Bir\n  ___\nson"), ("b", "MADDE 1 – Bir\nx ___ y Eki için tıklayınız\n___"), ("c", None), ("d", "___\nMADDE 1 – Bir")], "doc_id string, text string")
+    own = docs.select("doc_id", strip_apparatus(F.col("text")).alias("text"))
+    assert {r.doc_id: r.text for r in own.collect()} == {"a": "MADDE 1 – (1) Bir\n", "b": "MADDE 1 – Bir\nx ___ y ", "c": None, "d": ""}
+    lines = structure.lines_of(own)
+    assert planned(lines, physical=False).count("aggregate(") == 1 and planned(lines, physical=False).count("tıklayınız") == 1
+    assert sorted((r.doc_id, r.line) for r in lines.collect()) == [("a", "MADDE 1 – (1) Bir"), ("b", "MADDE 1 – Bir"), ("b", "x ___ y")]
+
+
+def test_notes_are_read_once_and_equal_the_two_readings(spark):
+    said = ["Söz.(3) (Değişik:RG-1/1/2020-1) son", "(a:b) düz, (Ek cümle:RG-2/2/2020-2)", "Söz.(3)", "düz", "", None, "(yarım: "]
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select("x", with_notes(F.col("x")).alias("n"), without_notes(F.col("x")).alias("t"), annotations(F.col("x")).alias("a")).collect()
+    assert all((r.n.text, r.n.notes) == (r.t, r.a) for r in rows if r.x is not None) and [r.n.text for r in rows if r.x is None] == [None]
+
+
+def test_replay_parses_originals_and_new_texts_once(spark):
+    docs = spark.createDataFrame([("s", "MADDE 1 – (1) Bir.\nMADDE 1 – (1) İki."), (None, "MADDE 1 – Yok.")], "doc_id string, text string")
+    units = structure.parse_units(docs)
+    articles = replay.original_articles(units)
+    assert planned(articles, physical=False).count("posexplode") == 1
+    assert [(r.source, r.key, r.pos, [u.raw for u in r.base]) for r in articles.collect()] == [("s", "1", 1.0, ["Bir."])]
+    texts = spark.createDataFrame([("s/1", "DEĞİŞİKLİK\nMADDE 1 – Yönetmeliğin 1 inci maddesinin birinci fıkrası aşağıdaki şekilde değiştirilmiştir.\n“(1) Yeni.”")], "doc_id string, text string")
+    records = written(extract_amendments(texts).withColumns({"source": F.lit("s"), "seq": F.lit(1).cast("bigint"), "date": F.lit(None).cast("date")}))
+    versions = replay.replay(units, records)
+    assert "posexplode" not in planned(versions, physical=False)
+    assert [(u.raw, u.since, u.until) for u in versions.first().units] == [("Bir.", 0, 1), ("Yeni.", 1, None)]
+
+
+def test_sentences_that_differ_in_quotes_are_read_once(monkeypatch):
+    read, tokens = [], grammar.tokens
+    monkeypatch.setattr(grammar, "tokens", lambda s: read.append(s) or tokens(s))
+    said = "Yönetmeliğin 37 nci maddesinin ikinci fıkrasında yer alan “{}” ibaresi “{}” şeklinde değiştirilmiştir."
+    pairs = [("bir", "iki"), ("üç", "dış “iç” son"), ("", "(dört)")]
+    assert [(r["old_text"], r["new_text"]) for x in pairs for r in grammar.article_records(said.format(*x), "")] == pairs and len(read) == 1
+    # quotes too deep, and a name's bracket with one, are read as they stand
+    for odd in ("Yönetmeliğin 1 inci maddesinde yer alan “a “b “c” d” e” ibaresi “x” şeklinde değiştirilmiştir.", "Yönetmeliği (“a” b)’nin 1 inci maddesinde yer alan “a” ibaresi “x” şeklinde değiştirilmiştir."):
+        assert [{k: v for k, v in r.items() if k != "at"} for r in grammar.operations(odd, grammar.EMPTY)] == grammar.Reader(grammar.EMPTY).read(odd)
+
+
+def test_nested_values_equal_those_of_arrow():
+    a = pa.array([[{"a": 1, "b": [1, None]}, None], None, [], [{"a": None, "b": None}], [{"a": 3, "b": []}]])
+    assert all(replay.values(x) == x.to_pylist() for x in (a, a[1:4], a[:0], a[1:2]))
