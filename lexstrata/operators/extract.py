@@ -41,33 +41,22 @@ def amending_articles(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "article", F.regexp_extract("line", ARTICLE, 2).alias("amending_article"), F.regexp_replace("line", ARTICLE, "").alias("sentence"), "block")
 
 
-def _kind_meant(word: Column) -> Column:
-    """The kind of regulation that a word of a sentence names in one of CASES, else null. A bracket between the noun and
-    its ending has been taken out, which leaves the noun, an apostrophe and the ending."""
-    def of(bare: Column) -> Column:
-        noun = F.substring_index(bare, "’", 1)
-        plain = lambda stem: bare.isin(*[f"{stem}ğ{c}" for c in CASES])
-        apart = lambda kind, stem: (noun != bare) & noun.isin(kind, f"{stem}ği")
-        return F.coalesce(*[F.when(plain(stem) | apart(kind, stem), kind) for kind, stem in KINDS.items()])
-
-    maybe = F.exists(F.array(*map(F.lit, KINDS.values())), lambda stem: F.startswith(word, stem))
-    return F.when(maybe, let(F.rtrim(F.translate(word, "'`", "’’"), F.lit(".,;:")), of))
+#: A word that names a kind of regulation in one of CASES, which may stand behind an apostrophe; and the name that such a
+#: word ends, which begins after the first PUBLISHED and has a word of its own. Words stand one blank apart.
+NAMES = "|".join(rf"{stem}ğ(?:{'|'.join(CASES)})[.,;:]*|(?:{kind}|{stem}ği)[’'`][^ ]*" for kind, stem in KINDS.items())
+MEANT, NAMED = rf"(?:^| )(?:{NAMES})(?= |\z)", rf"(?s)(?:^| ){PUBLISHED} ([^ ].*?) ({NAMES})(?= |\z)"
 
 
 def _target(sentence: Column) -> Column:
     """struct<meant, name>: whether a sentence speaks of a regulation that it amends, and the name of the one it says
-    was published, null without."""
-    def of(words: Column) -> Column:
-        kinds = F.transform(words, lambda w, i: F.struct(i.alias("i"), _kind_meant(w).alias("kind")))
-        start = F.array_position(words, PUBLISHED).cast("int")
-        return let(F.struct(F.filter(kinds, lambda x: x["kind"].isNotNull()).alias("named"), start.alias("start")), lambda x: told(words, x))
-
-    def told(words: Column, x: Column) -> Column:
-        first = F.get(F.filter(x["named"], lambda k: (x["start"] > 0) & (k["i"] > x["start"])), F.lit(0))
-        name = let(first, lambda k: F.when(k.isNotNull(), F.concat_ws(" ", F.array_join(F.slice(words, x["start"] + 1, k["i"] - x["start"]), " "), k["kind"])))
-        return F.struct((F.size(x["named"]) > 0).alias("meant"), name.alias("name"))
-
-    return let(F.split(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), " "), of)
+    was published, null without. A bracket between the noun and its ending is taken out."""
+    def of(said: Column) -> Column:
+        ends = F.regexp_extract(said, NAMED, 2)
+        kind = F.coalesce(*[F.when(ends.startswith(stem), kind) for kind, stem in KINDS.items()])
+        name = F.when(F.contains(said, F.lit(PUBLISHED)), F.concat(F.regexp_extract(said, NAMED, 1), F.lit(" "), kind))
+        return F.struct(said.rlike(MEANT).alias("meant"), name.alias("name"))
+
+    return let(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), of)
 
 
 def extract_amendments(docs: DataFrame) -> DataFrame:

@@ -147,14 +147,33 @@ def _form(levels: Column) -> Column:
     return F.concat_ws("\x1f", levels.cast("string"), *own)
 
 
-#: Amending texts of one bucket, within which later ones are counted row by row.
-SEQ_BUCKET = 256
+#: Amending texts of one bucket, within which later ones are counted row by row; and the records of one article up to which
+#: each failing one is compared with every other.
+SEQ_BUCKET, FEW = 256, 256
 
 
 def later_counts(failing: DataFrame, records: DataFrame) -> DataFrame:
     """source, seq, rec, later_count of failing records: how many records of later amending texts (greater seq) have a
     place that overlaps theirs. Both come with source, e_type, e_madde, seq and the levels; rows without one are left out.
 
+    Within an article of few records each failing one is compared with the others. Those of an article with more go by
+    their open forms, so that no article is compared pair by pair; see _later_by_forms.
+    """
+    article = ["source", "e_type", "e_madde"]
+    many = records.groupBy(*article).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(*article)
+    asks, others = failing.select(*article, "seq", "rec", *LEVELS), records.select(*article, "seq", *LEVELS)
+    split = lambda rows, how: rows.join(many, article, how)
+    few, beside = split(asks, "left_anti").dropna(subset=[*article, "seq"]).alias("a"), others.alias("b")
+    overlapped = (F.col("a.seq") < F.col("b.seq")) & overlaps("a", "b")
+    # a left join: a failing record that none overlaps counts 0
+    pairs = few.join(beside, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in article], "left").select("a.source", "a.seq", "a.rec", F.when(overlapped, 1).otherwise(0).cast("bigint").alias("n"))
+    found = pairs.unionByName(_later_by_forms(split(asks, "left_semi"), split(others, "left_semi")))
+    return found.groupBy("source", "seq", "rec").agg(F.sum("n").alias("later_count"))
+
+
+def _later_by_forms(failing: DataFrame, records: DataFrame) -> DataFrame:
+    """source, seq, rec, n: parts of the later_count of failing records, to be summed.
+
     A record is counted under each of its open forms; a failing one asks, for each set of levels that others may name, for
     the form over the levels that both name. So all joins are on equal keys. Greater seq is a running sum within buckets of
     amending texts and one over the buckets, so that an article with very many records takes many tasks.
@@ -171,7 +190,7 @@ def later_counts(failing: DataFrame, records: DataFrame) -> DataFrame:
     after = totals.withColumn("after", F.coalesce(F.sum("n").over(W.partitionBy(*place).orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("asked")
     within = W.partitionBy(*place, "bucket").orderBy(F.col("seq").desc()).rangeBetween(W.unboundedPreceding, -1)
     found = rows.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).where("asks").join(after.select(*place, "bucket", "after"), [*place, "bucket"])
-    return found.groupBy("source", "seq", "rec").agg(F.sum(F.col("own") + F.col("after")).alias("later_count"))
+    return found.select("source", "seq", "rec", (F.col("own") + F.col("after")).alias("n"))
 
 
 def excuse_later(verified: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import annotations, strip_apparatus, with_notes, without_notes
-from lexstrata.operators import evidence, grammar, grams, replay, structure
+from lexstrata.operators import evidence, extract, grammar, grams, replay, structure
 from lexstrata.operators.extract import amending_articles, extract_amendments
 from lexstrata.sources.shared import written
 
@@ -96,6 +96,28 @@ def test_replay_parses_originals_and_new_texts_once(spark):
     assert [(u.raw, u.since, u.until) for u in versions.first().units] == [("Bir.", 0, 1), ("Yeni.", 1, None)]
 
 
+def test_texts_stay_in_as_many_partitions_as_asked_for(spark):
+    docs = spark.range(50).selectExpr("string(id) AS doc_id", "'MADDE 1 – (1) Bir.' AS text")
+    # small partitions would be put together, and few tasks would read all texts
+    assert structure.line_arrays(docs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_quotes_that_end_on_their_line_need_no_state(spark, monkeypatch):
+    monkeypatch.setattr(structure, "_with_quotes", lambda lines: F.lit(None).cast("array<struct<line:string,quoted:boolean,head:boolean>>"))
+    texts = ["MADDE 1 – “a” ve “b”\n“(1) Yeni.”", "MADDE 1 – “a\nb”", "MADDE 1 – “a “b” c”", 'MADDE 1 – "a"', "MADDE 1 – a”"]
+    rows = structure.line_arrays(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [tuple(x) for x in rows[0].lines] == [("MADDE 1 – “a” ve “b”", False, True), ("“(1) Yeni.”", False, False)]
+    assert all(r.lines is None for r in rows[1:])  # these go through the state
+
+
+def test_names_of_regulations_are_found_without_cutting_words(spark):
+    of = {"yayımlanan Örnek Yönetmeliğin 1 inci": (True, "Örnek Yönetmelik"), "yayımlanan Yönetmeliğin yayımlanan A B Tebliği (x)’nin": (True, "Yönetmeliğin yayımlanan A B Tebliğ"),
+          "yayımlanan Yönetmeliğin": (True, None), "Bu Yönetmelik yürürlüğe girer.": (False, None), "yayımlanan, A Yönetmeliğine., Tebliğ'e": (True, None), "": (False, None)}
+    assert "split" not in str(extract._target(F.col("s")))
+    rows = spark.createDataFrame([(s,) for s in of], "s string").select("s", extract._target(F.col("s")).alias("x")).collect()
+    assert {r.s: (r.x.meant, r.x.name) for r in rows} == of
+
+
 def test_sentences_that_differ_in_quotes_are_read_once(monkeypatch):
     read, tokens = [], grammar.tokens
     monkeypatch.setattr(grammar, "tokens", lambda s: read.append(s) or tokens(s))

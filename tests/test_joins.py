@@ -50,6 +50,18 @@ def test_a_hot_article_takes_many_tasks(spark):
     assert last.later_count == sum(1 for i in range(59997, 60000) if i % 3 == 0 or 59996 % 3 == 0 or i % 5 == 59996 % 5)
 
 
+def test_articles_of_few_and_of_many_records_count_alike(spark, monkeypatch):
+    rows = [*places(random.Random(8), 120), (None, "normal", "1", 5, 900, 1, None, None)]
+    make = lambda x: spark.createDataFrame(x, PLACE)
+    found = []
+    for few in (0, 20, 1000):  # all by their forms, some, none
+        monkeypatch.setattr(verify, "FEW", few)
+        got = verify.later_counts(make(rows[::2]), make(rows)).collect()
+        found.append({(x.source, x.seq, x.rec): x.later_count for x in got})
+        assert len(found[-1]) == len(got) == 60
+    assert found[0] == found[1] == found[2] and any(found[0].values()) and not all(found[0].values())
+
+
 RECORD = "source string, madde_type string, madde string, seq long, rec int, new_text string, old_text string, anchor_text string, amending_article string"
 
 
