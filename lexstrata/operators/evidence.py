@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,28 +32,65 @@ def quote_links(records: DataFrame, least: int = 8) -> DataFrame:
     return written(inside.union(around).distinct())
 
 
+#: How often an article is quoted up to which each of its new texts is compared with every quote.
+FEW = 256
+
+
 def quote_evidence(records: DataFrame, least: int = 8) -> DataFrame:
     """source, seq, rec, later_seq, later_article, quoted: the first later record of the same article that quotes a record's new text.
 
     A null kind of article counts as normal. Texts shorter than least do not count; an old text goes before an anchor.
-    Records without an article or a text have none; no records give none. Texts are compared once for all records that say
-    them; the first later record is the least one of those after it under each quoted text.
+    Records without an article or a text have none; no records give none. Within an article of up to FEW quotes the new
+    texts are compared with them as they stand, which deals out each text once; those of an article with more meet by
+    their grams, so that no article is compared pair by pair. See _hits_by_links.
     """
     kind = F.coalesce("madde_type", F.lit("normal")).alias("madde_type")
-    norm = lambda c: F.lower(verify_norm(F.col(c)))
-    of = lambda c: F.md5(norm(c).cast("binary"))
+    records = records.where("source is not null and madde is not null").withColumn("madde_type", kind)
+    said = _quotes(records, least).where("seq is not null")
+    many = written(said.groupBy(*PLACE).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(*PLACE))
+    hits = _hits_by_pairs(records.join(many, PLACE, "left_anti"), least)
+    if not many.isEmpty():
+        hits = hits.unionByName(_hits_by_links(records.join(many, PLACE, "left_semi"), least))
+    first = hits.groupBy(*KEY).agg(F.min("next").alias("x"))
+    return first.select(*KEY, "x.later_seq", "x.later_article", F.col("x.said").alias("quoted"))
+
+
+def _norm(c: str) -> Column:
+    return F.lower(verify_norm(F.col(c)))
+
+
+def _quotes(records: DataFrame, least: int) -> DataFrame:
+    """PLACE, seq, field (0 old text, 1 anchor), later_article, said: the texts that records quote."""
+    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), _norm(c).alias("said")) for i, c in enumerate(("old_text", "anchor_text"))])).alias("q")
+    return records.select(*PLACE, "seq", F.col("amending_article").alias("later_article"), fields).where(F.char_length("q.said") >= least).select(*PLACE, "seq", "later_article", "q.*")
+
+
+def _hits_by_pairs(records: DataFrame, least: int) -> DataFrame:
+    """KEY, next: each later quote of a record's new text, all of an article compared with one another.
+
+    The join is merged, as the size of stored texts says little of what they take in memory.
+    """
+    mine = records.select(*PLACE, "seq", F.col("rec").cast("int").alias("rec"), F.explode(F.array(_norm("new_text"))).alias("new")).where(F.char_length("new") >= least)
+    said = _quotes(records, least).withColumnRenamed("seq", "later_seq")
+    within = F.contains("new", F.col("said")) | F.contains("said", F.col("new"))
+    pairs = mine.join(said.hint("merge"), PLACE).where((F.col("later_seq") > F.col("seq")) & within)
+    return pairs.select(*KEY, F.struct("later_seq", "field", "later_article", "said").alias("next"))
+
+
+def _hits_by_links(records: DataFrame, least: int) -> DataFrame:
+    """KEY, next: of each quoted text that fits a record's new text its first later use.
+
+    Texts are compared once for all records that say them.
+    """
+    of = lambda c: F.md5(c.cast("binary"))
     links = quote_links(records, least)
-    mine = records.select("source", kind, "madde", "seq", "rec", of("new_text").alias("new")).where("seq is not null").join(links.hint("merge"), [*PLACE, "new"])
-    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), norm(c).alias("said"), of(c).alias("quoted")) for i, c in enumerate(("old_text", "anchor_text"))])).alias("q")
-    said = records.select("source", kind, "madde", "seq", F.col("amending_article").alias("later_article"), fields).where(F.char_length("q.said") >= least)
-    said = said.groupBy(*PLACE, "q.quoted", "seq").agg(F.min(F.struct(F.col("q.field").alias("field"), "later_article", F.col("q.said").alias("said"))).alias("x"))
+    mine = records.select(*KEY, "madde_type", "madde", of(_norm("new_text")).alias("new")).where("seq is not null").join(links.hint("merge"), [*PLACE, "new"])
+    said = _quotes(records, least).groupBy(*PLACE, of(F.col("said")).alias("quoted"), "seq").agg(F.min(F.struct("field", "later_article", "said")).alias("x"))
     none = F.lit(None)
     rows = said.select(*PLACE, "quoted", "seq", F.struct(F.col("seq").alias("later_seq"), "x.field", "x.later_article", "x.said").alias("hit"), none.cast("int").alias("rec"), F.lit(False).alias("asks"))
     rows = rows.unionByName(mine.select(*PLACE, "quoted", "seq", none.cast(rows.schema["hit"].dataType).alias("hit"), F.col("rec").cast("int").alias("rec"), F.lit(True).alias("asks")))
     after = W.partitionBy(*PLACE, "quoted").orderBy("seq").rangeBetween(1, W.unboundedFollowing)
-    hits = rows.withColumn("next", F.first("hit", True).over(after)).where("asks and next is not null")
-    first = hits.groupBy(*KEY).agg(F.min("next").alias("x"))
-    return first.select(*KEY, "x.later_seq", "x.later_article", F.col("x.said").alias("quoted"))
+    return rows.withColumn("next", F.first("hit", True).over(after)).where("asks and next is not null").select(*KEY, "next")
 
 
 def note_evidence(verified: DataFrame, labels: DataFrame, units: DataFrame) -> DataFrame:

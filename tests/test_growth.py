@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions.text import annotations, strip_apparatus, with_notes, without_notes
 from lexstrata.operators import evidence, extract, grammar, grams, replay, structure
 from lexstrata.operators.extract import amending_articles, extract_amendments
+from lexstrata.plans import rendered
 from lexstrata.sources.shared import written
 
 
@@ -23,6 +24,33 @@ def test_gram_tables_are_not_broadcast(spark, tmp_path):
     assert grams.contained(texts, texts, ["g"]).count() == 1
 
 
+def test_quotes_of_small_articles_make_no_grams(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(evidence, "contained", lambda *a: asked.append(a) or grams.contained(*a))
+    said = "source string, madde_type string, madde string, seq bigint, rec int, new_text string, old_text string, anchor_text string, amending_article string"
+    rows = [("s", m, "1", k, 0, f"tutar {k:04d} lira", f"tutar {k - 1:04d} lira", None, "1") for m in ("normal", None, "ek") for k in range(1, 6)] + [(None, None, "1", 1, 0, "tutar 0001 lira", None, None, "1")]
+    found = evidence.quote_evidence(spark.createDataFrame(rows, said))
+    assert not asked and "Broadcast" not in planned(evidence._hits_by_pairs(spark.createDataFrame(rows, said), 8))
+    assert sorted((r.seq, r.later_seq, r.quoted) for r in found.collect()) == [(k, k + 1, f"tutar {k:04d} lira") for k in range(1, 5)]
+    monkeypatch.setattr(evidence, "FEW", 7)  # the ten quotes of two kinds that are one article are too many now, those of the third are not
+    again = evidence.quote_evidence(spark.createDataFrame(rows, said))
+    assert len(asked) == 2 and sorted(again.collect()) == sorted(found.collect())
+
+
+def test_records_take_their_day_along(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(rendered, "written", lambda rows: rows)
+    p = written(rendered.prices(spark, sf_dir))
+    rows = rendered.records(p)
+    assert "Join" not in planned(rows, physical=False) and rows.columns[:3] == ["source", "seq", "doc_id"] and rows.columns[-1] == "date"
+    got = {(r.source, r.seq, r.doc_id, r.date) for r in rows.select("source", "seq", "doc_id", "date").collect()}
+    assert got == {(r.source, r.seq, f"{r.source}/{r.seq}", r.date) for r in p.where("step > 0").select("source", "seq", "date").collect()}
+
+
+def test_texts_are_hashed_where_they_are_put_together(spark):
+    plan = planned(structure._texts(spark.range(5).selectExpr("string(id) AS doc_id", "concat('MADDE ', id, ' – (1) Bir.') AS text")))
+    assert plan.index("xxhash64") < plan.index("hashpartitioning")  # above it: hashes, which nothing makes smaller, are not dealt out
+
+
 def test_note_evidence_parses_once(spark):
     docs = spark.createDataFrame([("s", "MADDE 1 – (1) Bir.\nMADDE 1 – (Ek:RG-1/2/2020-30000) (1) İki. (Ek:RG-1/2/2020-30000)"), ("t", "MADDE 1 – (1) Bir. (Ek:RG-1/2/2020-30000)")], "doc_id string, text string")
     kinds = "source string, seq bigint, rec int, madde string, fikra int, bent string, status string"

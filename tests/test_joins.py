@@ -96,6 +96,15 @@ def test_evidence_equals_all_pairs(spark):
     assert evidence.quote_evidence(spark.createDataFrame([], RECORD)).collect() == []
 
 
+def test_evidence_of_articles_with_few_and_many_quotes(spark, monkeypatch):
+    rows = evidence_rows(random.Random(12), 160)
+    quoted = [sum(len(x or "") >= 8 for r in rows if r[:1] + r[2:3] == at for x in r[6:8]) for at in (("s", "1"), ("s", "2"), ("t", "1"), ("t", "2"))]
+    monkeypatch.setattr(evidence, "FEW", sorted(quoted)[1])
+    assert sorted(quoted)[1] < sorted(quoted)[2]  # some articles go one way, some the other
+    found = evidence.quote_evidence(spark.createDataFrame(rows, RECORD).repartition(5))
+    assert {(r.source, r.seq, r.rec): (r.later_seq, r.later_article, r.quoted) for r in found.collect()} == plain_evidence(rows)
+
+
 def test_evidence_grows_with_the_article(spark):
     """One article whose records all differ, and as many that say the same: candidates stay as many as texts."""
     many = lambda n: spark.range(n).selectExpr("'s' AS source", "'normal' AS madde_type", "'1' AS madde", "id AS seq", "0 AS rec", "concat('tutar ', lpad(id + 1, 9, '0'), ' lira') AS new_text", "concat('tutar ', lpad(id, 9, '0'), ' lira') AS old_text", "'hep aynı çapa' AS anchor_text", "'1' AS amending_article")
