@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import collapse, let
+from lexstrata.functions.text import let, single_blanks
 from lexstrata.operators.grammar import article_records
 from lexstrata.operators.structure import ARTICLE, line_arrays
 
@@ -42,21 +44,29 @@ def amending_articles(docs: DataFrame) -> DataFrame:
 
 
 #: A word that names a kind of regulation in one of CASES, which may stand behind an apostrophe; and the name that such a
-#: word ends, which begins after the first PUBLISHED and has a word of its own. Words stand one blank apart.
+#: word ends, with that word, which begins after the first PUBLISHED and has a word of its own. Words stand one blank apart.
 NAMES = "|".join(rf"{stem}ğ(?:{'|'.join(CASES)})[.,;:]*|(?:{kind}|{stem}ği)[’'`][^ ]*" for kind, stem in KINDS.items())
-MEANT, NAMED = rf"(?:^| )(?:{NAMES})(?= |\z)", rf"(?s)(?:^| ){PUBLISHED} ([^ ].*?) ({NAMES})(?= |\z)"
+MEANT, NAMED = rf"(?:^| )(?:{NAMES})(?= |\z)", rf"(?s)(?:^| ){PUBLISHED} ([^ ].*? (?:{NAMES}))(?= |\z)"
 
 
 def _target(sentence: Column) -> Column:
     """struct<meant, name>: whether a sentence speaks of a regulation that it amends, and the name of the one it says
-    was published, null without. A bracket between the noun and its ending is taken out."""
-    def of(said: Column) -> Column:
-        ends = F.regexp_extract(said, NAMED, 2)
+    was published, null without. A bracket between the noun and its ending is taken out.
+
+    Each pattern is tried once, and only on sentences that hold a word of it.
+    """
+    def name(found: Column) -> Column:
+        ends = F.substring_index(found, " ", -1)
         kind = F.coalesce(*[F.when(ends.startswith(stem), kind) for kind, stem in KINDS.items()])
-        name = F.when(F.contains(said, F.lit(PUBLISHED)), F.concat(F.regexp_extract(said, NAMED, 1), F.lit(" "), kind))
-        return F.struct(said.rlike(MEANT).alias("meant"), name.alias("name"))
+        return F.concat(F.substr(found, F.lit(1), F.char_length(found) - F.char_length(ends)), kind)
+
+    def of(said: Column) -> Column:
+        may = reduce(or_, [F.contains(said, F.lit(stem)) for stem in KINDS.values()])
+        published = F.when(may & F.contains(said, F.lit(PUBLISHED)), let(F.regexp_extract(said, NAMED, 1), name))
+        return F.struct((may & said.rlike(MEANT)).alias("meant"), published.alias("name"))
 
-    return let(F.regexp_replace(collapse(sentence), r" ?\([^()]*\) ?(?=[’'`])", ""), of)
+    bare = lambda said: F.when(F.contains(said, F.lit("(")), F.regexp_replace(said, r" ?\([^()]*\) ?(?=[’'`])", "")).otherwise(said)
+    return let(let(let(sentence, lambda said: F.trim(single_blanks(said, feeds=True))), bare), of)
 
 
 def extract_amendments(docs: DataFrame) -> DataFrame:

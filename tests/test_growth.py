@@ -1,11 +1,12 @@
 """What would make work grow faster than the input: gram tables broadcast, texts parsed twice, windows over lines."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import annotations, strip_apparatus, with_notes, without_notes
+from lexstrata.functions.text import annotations, collapse, single_blanks, strip_apparatus, with_notes, without_notes
 from lexstrata.operators import evidence, extract, grammar, grams, replay, structure
 from lexstrata.operators.extract import amending_articles, extract_amendments
 from lexstrata.plans import rendered
@@ -146,6 +147,14 @@ def test_names_of_regulations_are_found_without_cutting_words(spark):
     assert {r.s: (r.x.meant, r.x.name) for r in rows} == of
 
 
+def test_blanks_and_targets_take_one_pattern_at_most(spark):
+    said = [None, "", "a b", "a  b", " \t a\xa0b\n c ", "a\x0bb\fc\rd", "a\xa0 b", "\n", "a\nb"]
+    rows = spark.createDataFrame([(x,) for x in said], "s string").select("s", F.trim(single_blanks(F.col("s"), feeds=True)).alias("one"), collapse(F.col("s")).alias("all"), single_blanks(F.col("s")).alias("lines")).collect()
+    assert [r.one for r in rows] == [r["all"] for r in rows]
+    assert [r.lines for r in rows] == [x and re.sub(r"[ \t\x0b\f\r\xa0]+", " ", x) for x in said]
+    assert str(extract._target(F.col("s"))).count("regexp_extract") == 1
+
+
 def test_sentences_that_differ_in_quotes_are_read_once(monkeypatch):
     read, tokens = [], grammar.tokens
     monkeypatch.setattr(grammar, "tokens", lambda s: read.append(s) or tokens(s))
